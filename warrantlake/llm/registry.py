@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warrantlake.llm import simhash
+from warrantlake.llm import decontaminate, language, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_fm_index": decontaminate.op5_fm_index,
     "op6_simhash": simhash.op6_simhash,
+    "op10_language": language.op10_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
