@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warrantlake.llm import decontaminate, language, simhash
+from warrantlake.llm import decontaminate, language, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fm_index": decontaminate.op5_fm_index,
     "op6_simhash": simhash.op6_simhash,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_language": language.op10_language,
 }
 
