@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warrantlake.llm import decontaminate, language, simhash, toxicity
+from warrantlake.llm import decontaminate, language, packing, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": packing.op1_packing,
+    "op2_histogram_sort": sharding.op2_histogram_sort,
     "op5_fm_index": decontaminate.op5_fm_index,
     "op6_simhash": simhash.op6_simhash,
     "op8_toxicity": toxicity.op8_toxicity,
