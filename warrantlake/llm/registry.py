@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warrantlake.llm import decontaminate, language, packing, quality, sharding, simhash, toxicity
+from warrantlake.llm import decontaminate, language, packing, quality, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
     "op2_histogram_sort": sharding.op2_histogram_sort,
+    "op3_zip_warc": warc.op3_zip_warc,
     "op4_mcd": quality.op4_mcd,
     "op5_fm_index": decontaminate.op5_fm_index,
     "op6_simhash": simhash.op6_simhash,
