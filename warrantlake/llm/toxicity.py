@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -45,9 +45,19 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
 
 
+def counted_terms(words: list[str]) -> Counter:
+    out: Counter = Counter()
+    for word, n in Counter(words).items():
+        for term in terms_of(word):
+            out[term] += n
+    return with_times(out)
+
+
 def with_times(counts: Counter) -> Counter:
     out = Counter(counts)
     for term, n in counts.items():
+        if n < TIMES[0]:
+            continue
         for times in TIMES:
             if n < times:
                 break
@@ -76,34 +86,33 @@ def choose_terms(counted: list[Counter], labels: np.ndarray, most: int = TERMS)
 
 @dataclass
 class Index:
-    """``postings[t]``: example numbers and weights of a term, in example order; ``block_max``: terms x blocks."""
+    """Postings (``example``, ``weight``) lie by term and block, from ``begin`` on; ``block_max``: terms x blocks."""
 
     terms: dict[str, int]
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    example: np.ndarray | None = None
+    weight: np.ndarray | None = None
+    begin: np.ndarray | None = None
     block_max: np.ndarray | None = None
     curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
     unmatched: float = 0.0
-    known: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def __post_init__(self):
         self.tracked = {t.partition("^")[0] for t in self.terms}
+        # No beginning is shorter than the first, so a word's first letters tell most words that have no term.
+        self.heads = {t.rstrip("*")[: BEGINNINGS[0]] for t in self.tracked}
+        self.names = list(self.terms)
 
     def matched(self, words: list[str]) -> Counter:
-        """Counts of the index's terms; what a word gives is remembered, for a bounded number of words."""
-        counts: Counter = Counter()
-        known, number = self.known, self.terms.get
-        for word in words:
-            hit = known.get(word)
-            if hit is None:
-                if len(known) > 200_000:
-                    known.clear()
-                hit = known[word] = tuple(t for t in terms_of(word) if t in self.tracked)
-            if hit:
-                counts.update(hit)
-        return Counter({number(t): n for t, n in with_times(counts).items() if t in self.terms}) if counts else counts
+        """Counts of the index's terms in a text's words."""
+        heads, first, counts = self.heads, BEGINNINGS[0], Counter()
+        for word, n in Counter([w for w in words if w[:first] in heads]).items():
+            for term in terms_of(word):
+                if term in self.tracked:
+                    counts[term] += n
+        return Counter({self.terms[t]: n for t, n in with_times(counts).items() if t in self.terms}) if counts else counts
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit-length weights (1 + log tf) * idf."""
@@ -116,29 +125,39 @@ class Index:
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.empty(0, int)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.empty(0)
         order = np.lexsort((example, term))
-        cuts = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
-        self.postings = [(example[order[a:b]], weight[order[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
-        self.block_max = np.zeros((len(self.terms), max(1, -(-len(vectors) // BLOCK))))
+        self.example, self.weight = example[order], weight[order]
+        blocks = max(1, -(-len(vectors) // BLOCK))
+        cells = np.bincount(term * blocks + example // BLOCK, minlength=len(self.terms) * blocks)
+        self.begin = np.concatenate(([0], np.cumsum(cells)))
+        self.block_max = np.zeros((len(self.terms), blocks))
         np.maximum.at(self.block_max, (term, example // BLOCK), weight)
 
+    def _scores(self, at: np.ndarray, weight: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Cosines of the examples of some blocks, block by block: only these blocks' postings are read."""
+        cell = (at[:, None] * self.block_max.shape[1] + blocks[None, :]).ravel()
+        begin, size = self.begin[cell], self.begin[cell + 1] - self.begin[cell]
+        read = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        place = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(at)), size) + self.example[read] % BLOCK
+        return np.bincount(place, self.weight[read] * np.repeat(np.repeat(weight, len(blocks)), size), minlength=len(blocks) * BLOCK)
+
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive cosine, exactly, and the cosines."""
         bounds = weight @ self.block_max[at]
         order = np.argsort(-bounds, kind="stable")
-        lists = [self.postings[t] for t in at.tolist()]
-        best, cosine = np.empty(0, np.int64), np.empty(0)
-        for block in order.tolist():
-            if bounds[block] <= 0 or len(cosine) == k and bounds[block] < cosine[-1] - 1e-12:
+        best, cosine, done, step = np.empty(0, np.int64), np.empty(0), 0, 4
+        while done < len(order):
+            blocks = order[done : done + step]
+            enough = cosine[-1] - 1e-12 if len(cosine) == k else 0.0
+            blocks = blocks[(bounds[blocks] >= enough) & (bounds[blocks] > 0)]
+            if not len(blocks):
                 break
-            scores = np.zeros(BLOCK)
-            for (examples, weights), w in zip(lists, weight.tolist(), strict=True):
-                a, b = np.searchsorted(examples, (block * BLOCK, block * BLOCK + BLOCK))
-                scores[examples[a:b] - block * BLOCK] += w * weights[a:b]
+            scores = self._scores(at, weight, blocks)
             hit = np.flatnonzero(scores > 0)
-            hit = hit[hit + block * BLOCK != without]
-            best, cosine = np.concatenate((best, hit + block * BLOCK)), np.concatenate((cosine, scores[hit]))
+            number = blocks[hit // BLOCK] * BLOCK + hit % BLOCK
+            hit, number = hit[number != without], number[number != without]
+            best, cosine = np.concatenate((best, number)), np.concatenate((cosine, scores[hit]))
             top = np.lexsort((best, -cosine))[:k]
-            best, cosine = best[top], cosine[top]
+            best, cosine, done, step = best[top], cosine[top], done + step, step * 2
         return best, cosine
 
     def features(self, best: np.ndarray, cosine: np.ndarray) -> tuple[float, float]:
@@ -156,19 +175,17 @@ class Index:
         if not counts:
             return self.unmatched, [], []
         best, cosine = self.nearest(*self.vector(counts), NEIGHBOURS)
-        names = list(self.terms)
         evidence = [{"doc_id": None if self.ids[i] is None else int(self.ids[i]), "toxic": int(self.labels[i]), "similarity": float(c)} for i, c in zip(best[:3].tolist(), cosine[:3].tolist(), strict=True)]
-        return self.probability(best, cosine), evidence, sorted(names[t] for t in counts)[:20]
+        return self.probability(best, cosine), evidence, sorted(self.names[t] for t in counts)
 
 
 def build(ids: list, texts: list[str | None], labels: list[int], totals: tuple[float, float], document_counts=None) -> Index | None:
     """An index over labelled examples. ``totals``: rows of label 0 and 1 that the examples stand for;
     ``document_counts(terms)``: how many documents there are, and how many have each term."""
     y = np.array(labels, np.int64)
-    words = [words_of(t) for t in texts]
-    counted = [with_times(Counter(t for w in ws for t in terms_of(w))) for ws in words]
+    counted = [counted_terms(words_of(t)) for t in texts]
     names = choose_terms(counted, y)
-    n, df = document_counts(names) if document_counts else (len(texts), np.array([sum(t in c for c in counted) for t in names], float))
+    n, df = document_counts(names) if document_counts else _own_counts(names, counted)
     idf = np.log((n + 1) / (np.asarray(df, float) + 1)) + 1e-3 if names else np.empty(0)
     # Examples of one label and leading term lie together, so that blocks differ and bounds are tight.
     number = {t: i for i, t in enumerate(names)}
@@ -187,6 +204,13 @@ def build(ids: list, texts: list[str | None], labels: list[int], totals: tuple[f
     return index
 
 
+def _own_counts(names: list[str], counted: list[Counter]) -> tuple[int, np.ndarray]:
+    found: Counter = Counter()
+    for terms in counted:
+        found.update(terms.keys() & set(names))
+    return len(counted), np.array([found[t] for t in names], float)
+
+
 def _calibrate(index: Index, vectors: list, each: np.ndarray) -> None:
     """A logistic curve over vote and closeness by damped Newton steps; every example is scored without itself."""
     x, y = [], []
