@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warrantlake.llm import decontaminate, language, packing, quality, sharding, simhash, toxicity, warc
+from warrantlake.llm import decontaminate, html_text, language, licences, packing, quality, sharding, simhash, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -15,7 +15,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mcd": quality.op4_mcd,
     "op5_fm_index": decontaminate.op5_fm_index,
     "op6_simhash": simhash.op6_simhash,
+    "op7_rare_tokens": licences.op7_rare_tokens,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_blocks": html_text.op9_blocks,
     "op10_language": language.op10_language,
 }
 
