@@ -2,4 +2,8 @@
 
 from __future__ import annotations
 
+from warrantlake.plans import q_metrics
+
 QUERIES: dict = {}
+for _module in (q_metrics,):
+    QUERIES |= _module.QUERIES
