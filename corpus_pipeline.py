@@ -23,7 +23,7 @@ def _kept(docs: DataFrame, judged, keep) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; labels of one fold are never learned from."""
     learned = docs.where(crc_of_id("doc_id") % 3 != 1)
-    index = toxicity.fit(docs, toxicity.labelled(learned, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    index = toxicity.fit(docs, learned, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = toxicity.toxicity_column(F.col("text"), index, spark)
     return _kept(docs, scored.alias("found"), F.col("found.score") < toxicity.THRESHOLD)
 

@@ -260,19 +260,18 @@ def document_counter(docs: DataFrame):
     return counts
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the documents that have a label."""
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
-
+def fit(docs: DataFrame, learned: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Index:
+    """An index over about ``per_label`` rows of each label, drawn by a hash from ``learned``; frequencies of ``docs``.
 
-def fit(docs: DataFrame, examples: DataFrame, per_label: int = PER_LABEL) -> Index:
-    """``examples`` (doc_id, text, toxic): about ``per_label`` rows of each label are learned from, drawn by a hash."""
-    totals = {r["toxic"]: r["n"] for r in examples.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    Ids alone meet the labels; the texts of the drawn rows, whose number is bounded, are then picked by broadcast.
+    """
+    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = learned.select("doc_id").join(marks, "doc_id")
+    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = {y: min(1.0, per_label / max(1, totals.get(y, 0))) for y in (0, 1)}
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = examples.where(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).limit(4 * per_label)
-    rows = chosen.toPandas().sort_values("doc_id")
+    drawn = known.where(draw < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).distinct().limit(4 * per_label)
+    rows = learned.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").limit(8 * per_label).toPandas().sort_values(["doc_id", "text"])
     return build(rows["doc_id"].tolist(), rows["text"].tolist(), rows["toxic"].tolist(), (totals.get(0, 0), totals.get(1, 0)), document_counter(docs))
 
 
@@ -290,6 +289,6 @@ def toxicity_column(text: Column, index: Index, spark) -> Column:
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = crc_of_id("doc_id") % 3 == 1
-    index = fit(docs, labelled(docs.where(~held_out), spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    index = fit(docs, docs.where(~held_out), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = docs.select("doc_id", held_out.alias("held_out"), toxicity_column(F.col("text"), index, spark).alias("r"))
     return scored.select("doc_id", "held_out", F.col("r.score").alias("score"), (F.col("r.score") >= THRESHOLD).cast("int").alias("predicted"), F.col("r.neighbours").alias("neighbours"), F.col("r.terms").alias("terms"))
