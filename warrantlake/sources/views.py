@@ -81,8 +81,8 @@ def warrant_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .agg(
             F.count("*").alias("n"),
-            F.count_if("l_quantity >= 25").alias("hits"),
-            F.count_if("l_discount >= 0.08").alias("false_flags"),
+            F.count_if(F.expr("l_quantity >= 25")).alias("hits"),
+            F.count_if(F.expr("l_discount >= 0.08")).alias("false_flags"),
             F.max("l_shipdate").alias("issued_at"),
         )
     )
