@@ -265,7 +265,7 @@ def fit(docs: DataFrame, learned: DataFrame, labels: DataFrame, per_label: int =
 
     Ids alone meet the labels; the texts of the drawn rows, whose number is bounded, are then picked by broadcast.
     """
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     known = learned.select("doc_id").join(marks, "doc_id")
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = {y: min(1.0, per_label / max(1, totals.get(y, 0))) for y in (0, 1)}
