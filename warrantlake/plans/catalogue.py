@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from warrantlake.plans import q_metrics
+from warrantlake.plans import q_drift, q_ledger, q_matrix, q_metrics
 
 QUERIES: dict = {}
-for _module in (q_metrics,):
+for _module in (q_metrics, q_drift, q_ledger, q_matrix):
     QUERIES |= _module.QUERIES
