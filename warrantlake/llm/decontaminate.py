@@ -58,7 +58,10 @@ class WaveletTree:
 
 
 class FMIndex:
-    """Over symbols 1..size-1 with separators 0, which match nothing and end every suffix comparison."""
+    """Over symbols 1..size-1 with separators 0, which match nothing and end every suffix comparison.
+
+    The text begins and ends with a separator.
+    """
 
     def __init__(self, text: np.ndarray, size: int, sample: int = SAMPLE):
         n = len(text)
@@ -254,4 +257,4 @@ def op5_fm_index(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = judged(find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
     listed = F.sha2(F.concat_ws(",", "items"), 256)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated", F.col("contamination.spans").alias("spans"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated")

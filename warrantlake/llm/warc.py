@@ -130,7 +130,7 @@ class ArchiveReader:
         """Place and size of the central directory."""
         tail_at = max(0, self.size - 22 - WIDE16)
         tail = self._read(tail_at, self.size - tail_at)
-        at = tail.rfind(struct.pack("<I", END))
+        at = tail.rfind(struct.pack("<I", END), 0, max(0, len(tail) - 18))
         while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
             at = tail.rfind(struct.pack("<I", END), 0, at)
         if at < 0:
