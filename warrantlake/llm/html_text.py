@@ -105,6 +105,29 @@ LABELLED = """
 9 0.2 15 0.0 33 0.0 1 0 0 0 1
 6 0.0 40 0.0 0 0.0 1 0 0 0 1
 2 0.0 9 0.0 45 0.0 1 0 0 1 1
+3 0.0 40 0.0 5 1.0 1 0 0 0 1
+8 0.0 20 0.0 2 1.0 1 0 0 0 1
+5 0.0 0 0.0 3 1.0 1 0 0 1 1
+1 0.0 10 0.0 1 1.0 1 0 0 0 1
+30 0.1 60 0.0 4 1.0 1 0 0 0 1
+6 0.3 12 0.5 6 0.5 1 0 0 0 1
+4 0.0 4 1.0 4 1.0 1 0 0 0 1
+2 0.0 5 1.0 0 0.0 1 0 0 0 1
+7 0.0 3 0.0 40 1.0 1 0 0 0 1
+40 0.0 60 0.0 5 1.0 0 1 0 0 0
+12 0.0 5 0.0 9 1.0 0 1 0 0 0
+100 0.0 50 0.0 5 1.0 0 1 0 0 0
+25 0.0 3 1.0 2 0.5 0 1 0 0 0
+60 0.0 40 0.0 5 1.0 0 0 0 0 1
+30 0.0 20 0.0 3 1.0 0 0 0 0 1
+6 0.0 60 0.0 4 1.0 0 0 0 0 0
+2 1.0 2 1.0 80 0.0 0 0 0 0 0
+1 1.0 0 0.0 120 0.0 0 0 0 0 0
+4 1.0 3 1.0 200 0.0 0 0 0 0 0
+8 0.8 2 1.0 90 0.0 0 0 0 0 0
+2 1.0 1 1.0 90 0.0 0 0 1 0 0
+12 1.0 9 1.0 90 0.0 0 0 1 0 0
+3 1.0 2 1.0 150 0.0 1 0 0 0 0
 2 1.0 2 1.0 3 1.0 1 0 0 0 0
 1 1.0 80 0.0 1 1.0 1 0 0 0 0
 3 1.0 2 1.0 0 0.0 1 0 0 0 0
@@ -191,8 +214,10 @@ def _marked(name: str, tag: str, inside: bool) -> bool:
             return True
         if attribute == "role" and value in ROLES:
             return True
-        if attribute in ("class", "id") and name not in ("html", "body") and NAMES & set(re.split(r"[^a-z]+", value)):
-            return True
+        if attribute in ("class", "id") and name not in ("html", "body"):
+            words = set(re.split(r"[^a-z]+", value))
+            if words & NAMES or "header" in words and not inside:
+                return True
     return False
 
 
