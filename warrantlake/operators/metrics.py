@@ -48,26 +48,50 @@ def score_counts(items: DataFrame, keys: list[str]) -> DataFrame:
     return items.groupBy(*keys, "score").agg(F.sum(F.col("label").cast("long")).alias("pos"), F.sum((1 - F.col("label")).cast("long")).alias("neg"))
 
 
+def running(counted: DataFrame, keys: list[str], sums: dict[str, str], descending: bool = False, buckets: int = 16) -> DataFrame:
+    """Running sums of columns along ``score`` within each key, the row included: ``sums`` maps new names to columns.
+
+    A key's distinct scores are cut into ranges at approximate percentiles; sums run within a range, and each range
+    starts at the exact total of those before it. So no task holds all the scores of a key.
+    """
+    cuts = counted.groupBy(*keys).agg(F.percentile_approx("score", [i / buckets for i in range(1, buckets)], 1000).alias("_cuts"))
+    ranged = counted.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
+    totals = ranged.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_{name}") for name, c in sums.items()))
+    order = F.desc("_range") if descending else F.asc("_range")
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "_range", *(F.coalesce(F.sum(f"_{name}").over(before), F.lit(0)).alias(f"_{name}") for name in sums))
+    within = Window.partitionBy(*keys, "_range").orderBy(F.desc("score") if descending else F.asc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.join(offsets, [*keys, "_range"]).withColumns({name: F.sum(c).over(within) + F.col(f"_{name}") for name, c in sums.items()})
+    return out.drop("_range", *(f"_{name}" for name in sums))
+
+
+def totals(counted: DataFrame, keys: list[str], sums: dict[str, str]) -> DataFrame:
+    """``counted`` with each key's totals beside every row."""
+    return counted.join(counted.groupBy(*keys).agg(*(F.sum(c).alias(name) for name, c in sums.items())), keys)
+
+
 def auroc(items: DataFrame, keys: list[str]) -> DataFrame:
     """The rank statistic with ties at half; null where a class is missing."""
-    below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    counted = score_counts(items, keys).withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    counted = running(score_counts(items, keys), keys, {"neg_upto": "neg"}).withColumn("neg_below", F.col("neg_upto") - F.col("neg"))
     won = F.sum(F.col("pos") * (2 * F.col("neg_below") + F.col("neg")))
     return counted.groupBy(*keys).agg(ratio(won, 2 * F.sum("pos") * F.sum("neg")).alias("auroc"))
 
 
 def average_ranks(items: DataFrame, keys: list[str]) -> DataFrame:
     """Each distinct score with its mean rank (ties share it) and its number of items."""
-    below = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    counted = items.groupBy(*keys, "score").agg(F.count("*").alias("ties"))
-    return counted.withColumn("avg_rank", F.coalesce(F.sum("ties").over(below), F.lit(0)).cast("double") + (F.col("ties") + 1) / F.lit(2.0))
+    counted = running(items.groupBy(*keys, "score").agg(F.count("*").alias("ties")), keys, {"upto": "ties"})
+    return counted.withColumn("avg_rank", (F.col("upto") - F.col("ties")).cast("double") + (F.col("ties") + 1) / F.lit(2.0)).drop("upto")
+
+
+def _from_the_top(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct scores with the positives and negatives at or above them (tp, fp) and in all (p, q)."""
+    counted = score_counts(items, keys)
+    return totals(running(counted, keys, {"tp": "pos", "fp": "neg"}, descending=True), keys, {"p": "pos", "q": "neg"})
 
 
 def roc(items: DataFrame, keys: list[str]) -> DataFrame:
     """The empirical ROC: the origin, then a vertex for each distinct score, from the highest down."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    counted = score_counts(items, keys).withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "p": F.sum("pos").over(whole), "q": F.sum("neg").over(whole)})
+    counted = _from_the_top(items, keys)
     vertices = counted.select(*keys, F.col("score").alias("threshold"), ratio(F.col("fp"), F.col("q")).alias("fpr"), ratio(F.col("tp"), F.col("p")).alias("tpr"))
     origin = items.select(*keys).distinct().withColumns({"threshold": F.lit(float("inf")), "fpr": F.lit(0.0), "tpr": F.lit(0.0)})
     return origin.unionByName(vertices)
@@ -110,7 +134,5 @@ def weighted_error(items: DataFrame, keys: list[str], threshold: float, w_fpr: f
 
 def confusion_at_every_score(items: DataFrame, keys: list[str]) -> DataFrame:
     """tp, fp, tn, fn for a threshold at each distinct score."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    c = score_counts(items, keys).withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "p": F.sum("pos").over(whole), "q": F.sum("neg").over(whole)})
+    c = _from_the_top(items, keys)
     return c.select(*keys, F.col("score").alias("threshold"), "tp", "fp", (F.col("q") - F.col("fp")).alias("tn"), (F.col("p") - F.col("tp")).alias("fn"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warrantlake.operators.metrics import confusion_at_every_score, ratio, rates
+from warrantlake.operators.metrics import confusion_at_every_score, rates, ratio, running, totals
 
 Z95 = 1.959963984540054
 
@@ -18,8 +18,8 @@ def within_budget(items: DataFrame, keys: list[str], budget: float) -> DataFrame
 
 def kth_largest(items: DataFrame, keys: list[str], budget: float) -> DataFrame:
     """The k-th largest score, k = max(1, round-half-even(budget * n)); ties may exceed the budget."""
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    counted = items.groupBy(*keys, "score").agg(F.count("*").alias("c")).withColumns({"upto": F.sum("c").over(down), "n": F.sum("c").over(Window.partitionBy(*keys))})
+    grain = items.groupBy(*keys, "score").agg(F.count("*").alias("c"))
+    counted = totals(running(grain, keys, {"upto": "c"}, descending=True), keys, {"n": "c"})
     k = F.greatest(F.lit(1), F.bround(F.lit(budget) * F.col("n"), 0).cast("long"))
     return counted.where(F.col("upto") >= k).groupBy(*keys).agg(F.max("score").alias("threshold"))
 

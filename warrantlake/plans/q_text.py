@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -83,11 +85,17 @@ def _canary(s, d):
 
 
 def _even_picks(s, d):
-    """Twenty documents evenly spaced by length."""
-    x = _docs(s, d).select("doc_id", "n_chars", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("n_chars", "doc_id")) - 1).alias("place"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"))
-    wanted = F.explode(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda i: F.floor(i * (F.col("n") - 1) / 19 + 0.5).cast("long")))
-    picks = x.agg(F.max("n").alias("n")).select(wanted.alias("place")).distinct()
-    return x.join(picks, "place").select("doc_id", "n_chars")
+    """Twenty documents evenly spaced by length: places are found among the lengths, rows only within those lengths."""
+    docs = _docs(s, d).select("doc_id", "n_chars")
+    lengths = docs.groupBy("n_chars").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("n_chars").rowsBetween(Window.unboundedPreceding, 0))
+    n = docs.count()
+    wanted = sorted({math.floor(i * (n - 1) / 19 + 0.5) for i in range(20)}) if n else []
+    picks = s.createDataFrame([(w,) for w in wanted], "place long")
+    cells = lengths.withColumn("upto", upto).join(F.broadcast(picks), (F.col("place") < F.col("upto")) & (F.col("place") >= F.col("upto") - F.col("c")))
+    inside = docs.join(cells.select("n_chars").distinct(), "n_chars", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("n_chars").orderBy("doc_id")))
+    chosen = cells.select("n_chars", (F.col("place") - F.col("upto") + F.col("c") + 1).alias("nth"))
+    return inside.join(chosen, ["n_chars", "nth"]).select("doc_id", "n_chars")
 
 
 def _best_by(s, d):
