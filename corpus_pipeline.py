@@ -36,9 +36,13 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that of the smallest id (rows of equal id stay together)."""
+    """One document of each SimHash component: that of the smallest id (rows of equal id stay together).
+
+    The ids to keep grow with the corpus, so they are never broadcast: both sides are dealt by id, whatever their
+    size, and the ids alone are hashed, so that texts are moved once and not sorted.
+    """
     keep = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(written(keep, "kept"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(written(keep, "kept").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
