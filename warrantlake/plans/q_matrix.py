@@ -47,11 +47,11 @@ def _summary(s, d):
 
 def _requirements(s, d):
     """Two requirements for each supplier nation's bundle."""
-    sup = s.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("B"), F.col("s_nationkey").cast("string")).alias("bundle"), F.concat(F.lit("D"), (F.col("s_suppkey") % 40).cast("string")).alias("detector_id"), (F.col("s_suppkey") % 7).alias("y"))
-    return sup.select("bundle", "detector_id", F.lit("P-A").alias("operating_point_id"), F.concat(F.lit("E"), (1992 + F.col("y")).cast("string")).alias("envelope_id")).distinct()
+    sup = s.read.parquet(f"{d}/supplier.parquet").select(F.concat(F.lit("B"), F.col("s_nationkey").cast("string")).alias("bundle"), F.concat(F.lit("D"), F.col("s_suppkey").cast("string")).alias("detector_id"), (F.col("s_suppkey") % 7).alias("y"))
+    return sup.select("bundle", "detector_id", F.lit("P-A").alias("operating_point_id"), F.concat(F.lit("E"), (1992 + F.col("y")).cast("string"), F.lit("-0"), (1 + F.col("y")).cast("string")).alias("envelope_id")).distinct()
 
 
-_REQ = "req AS (SELECT DISTINCT 'B' || CAST(s_nationkey AS VARCHAR) AS bundle, 'D' || CAST(s_suppkey % 40 AS VARCHAR) AS detector_id, 'P-A' AS operating_point_id, 'E' || CAST(1992 + s_suppkey % 7 AS VARCHAR) AS envelope_id FROM supplier)"
+_REQ = "req AS (SELECT DISTINCT 'B' || CAST(s_nationkey AS VARCHAR) AS bundle, 'D' || CAST(s_suppkey AS VARCHAR) AS detector_id, 'P-A' AS operating_point_id, 'E' || CAST(1992 + s_suppkey % 7 AS VARCHAR) || '-0' || CAST(1 + s_suppkey % 7 AS VARCHAR) AS envelope_id FROM supplier)"
 
 
 def _resolved(s, d):
@@ -98,7 +98,7 @@ def _profiles(s, d):
 
 def _invalidate(s, d):
     """Warrants against the pinned model of their detector: other or no pin revokes, refused stay."""
-    pins = s.read.parquet(f"{d}/supplier.parquet").groupBy(F.concat(F.lit("D"), (F.col("s_suppkey") % 40).cast("string")).alias("detector_id")).agg(F.min("s_nationkey").alias("pin"))
+    pins = s.read.parquet(f"{d}/supplier.parquet").groupBy(F.concat(F.lit("D"), F.col("s_suppkey").cast("string")).alias("detector_id")).agg(F.min("s_nationkey").alias("pin"))
     x = _cells(s, d).join(pins, "detector_id", "left")
     live = 0
     status = F.when(F.col("status") == "REFUSED", "REFUSED").when(~F.col("pin").eqNullSafe(F.lit(live)), "REVOKED").otherwise(F.col("status"))
@@ -130,8 +130,8 @@ QUERIES = {
     "jn03_matrix_summary": (_summary, f"WITH {ISSUED}, names AS (SELECT unnest(['REFUSED', 'REVOKED', 'UNVALIDATED', 'STALE', 'VALID']) AS status) SELECT n.status, count(f.status) AS cells FROM names n LEFT JOIN full_m f ON f.status = n.status GROUP BY 1"),
     "jn03_full_matrix": (lambda s, d: _full(s, d).select("detector_id", "envelope_id", "operating_point_id", "status"), f"WITH {ISSUED} SELECT * FROM full_m"),
     "jn04_unvalidated": (
-        lambda s, d: _cells(s, d).select("detector_id").distinct().join(_cells(s, d).where("envelope_id = 'E1998'"), "detector_id", "left_anti"),
-        f"WITH {ISSUED} SELECT DISTINCT detector_id FROM cells c WHERE NOT EXISTS (SELECT 1 FROM cells x WHERE x.detector_id = c.detector_id AND x.envelope_id = 'E1998')",
+        lambda s, d: _cells(s, d).select("detector_id").distinct().join(_cells(s, d).where("envelope_id = 'E1998-03'"), "detector_id", "left_anti"),
+        f"WITH {ISSUED} SELECT DISTINCT detector_id FROM cells c WHERE NOT EXISTS (SELECT 1 FROM cells x WHERE x.detector_id = c.detector_id AND x.envelope_id = 'E1998-03')",
     ),
     "jn05_cell_lookup": (lambda s, d: _requirements(s, d).join(_cells(s, d).select(*KEY, "status"), KEY, "left").select("bundle", *KEY, F.coalesce("status", F.lit("UNVALIDATED")).alias("status")), f"WITH {_RESOLVED} SELECT bundle, {_SEL}, coalesce(status, 'UNVALIDATED') AS status FROM j"),
     "jn06_resolve_bundle": (
@@ -142,7 +142,7 @@ QUERIES = {
     "jn10_interval_overlap": (_overlaps, f"WITH {ISSUED} SELECT a.detector_id, a.envelope_id, a.operating_point_id AS one, b.operating_point_id AS other, a.recall_high >= b.recall_low AND b.recall_high >= a.recall_low AS overlap FROM cells a JOIN cells b ON a.detector_id = b.detector_id AND a.envelope_id = b.envelope_id AND a.operating_point_id < b.operating_point_id"),
     "jn12_model_change": (
         _invalidate,
-        f"""WITH {ISSUED}, pins AS (SELECT 'D' || CAST(s_suppkey % 40 AS VARCHAR) AS detector_id, min(s_nationkey) AS pin FROM supplier GROUP BY 1)
+        f"""WITH {ISSUED}, pins AS (SELECT 'D' || CAST(s_suppkey AS VARCHAR) AS detector_id, min(s_nationkey) AS pin FROM supplier GROUP BY 1)
         SELECT c.detector_id, operating_point_id, envelope_id, status, CASE WHEN status = 'REFUSED' THEN 'REFUSED' WHEN pin IS DISTINCT FROM 0 THEN 'REVOKED' ELSE status END AS after,
         CASE WHEN status = 'REFUSED' THEN 'refused already' WHEN pin IS NULL THEN 'no pinned model' WHEN pin <> 0 THEN 'another model' ELSE 'unchanged' END AS reason FROM cells c LEFT JOIN pins p ON p.detector_id = c.detector_id""",
     ),
@@ -151,8 +151,8 @@ QUERIES = {
         f"""WITH {WARRANTS}, a AS (SELECT {_SEL}, CAST(hits AS DOUBLE) / n + CASE WHEN n % 13 = 0 THEN 1e-6::DOUBLE ELSE 0::DOUBLE END AS was FROM warrants WHERE n % 11 <> 1), b AS (SELECT {_SEL}, CAST(hits AS DOUBLE) / n AS now FROM warrants WHERE n % 17 <> 1)
         SELECT {_SEL}, CASE WHEN was IS NULL THEN 'only now' WHEN now IS NULL THEN 'only committed' WHEN abs(was - now) <= greatest(1e-12::DOUBLE * greatest(abs(was), abs(now)), 1e-15::DOUBLE) THEN 'agrees' ELSE 'differs' END AS outcome FROM a FULL JOIN b USING ({_SEL})""",
     ),
-    "pf04_valid_warrants": (lambda s, d: _cells(s, d).where("envelope_id = 'E1997' and status = 'VALID'").select(*KEY), f"WITH {ISSUED} SELECT {_SEL} FROM cells WHERE envelope_id = 'E1997' AND status = 'VALID'"),
-    "pf05_envelope_cells": (lambda s, d: _cells(s, d).where("envelope_id = 'E1995'").select("detector_id", "operating_point_id", "status"), f"WITH {ISSUED} SELECT detector_id, operating_point_id, status FROM cells WHERE envelope_id = 'E1995'"),
+    "pf04_valid_warrants": (lambda s, d: _cells(s, d).where("envelope_id = 'E1997-03' and status = 'VALID'").select(*KEY), f"WITH {ISSUED} SELECT {_SEL} FROM cells WHERE envelope_id = 'E1997-03' AND status = 'VALID'"),
+    "pf05_envelope_cells": (lambda s, d: _cells(s, d).where("envelope_id = 'E1995-03'").select("detector_id", "operating_point_id", "status"), f"WITH {ISSUED} SELECT detector_id, operating_point_id, status FROM cells WHERE envelope_id = 'E1995-03'"),
     "pf08_profile_accepts": (
         lambda s, d: _cells(s, d).select(*KEY, X.accepts(0.3, 0.5)[0].alias("accepted"), X.accepts(0.3, 0.5)[1].alias("reason")),
         f"WITH {ISSUED} SELECT {_SEL}, NOT (recall_low < 0.3 OR fpr_high > 0.5) AS accepted, CASE WHEN recall_low < 0.3 THEN 'recall bound too low' WHEN fpr_high > 0.5 THEN 'false-positive bound too high' ELSE 'accepted' END AS reason FROM cells",

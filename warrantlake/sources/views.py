@@ -70,29 +70,26 @@ LEDGER = """ledger AS (
 
 
 def warrant_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items summed into warrants: supplier is the detector, return flag the operating point, year the envelope."""
+    """Line items summed into warrants: supplier is the detector, return flag the operating point, month the envelope."""
     li = table(spark, sf_dir, "lineitem")
-    return (
-        li.where("l_suppkey % 7 <> 3 or l_returnflag = 'A'")
-        .groupBy(
-            F.concat(F.lit("D"), (F.col("l_suppkey") % 40).cast("string")).alias("detector_id"),
-            F.concat(F.lit("P-"), F.col("l_returnflag")).alias("operating_point_id"),
-            F.concat(F.lit("E"), F.year("l_shipdate").cast("string")).alias("envelope_id"),
-        )
-        .agg(
-            F.count("*").alias("n"),
-            F.count_if(F.expr("l_quantity >= 25")).alias("hits"),
-            F.count_if(F.expr("l_discount >= 0.08")).alias("false_flags"),
-            F.max("l_shipdate").alias("issued_at"),
-        )
+    keys = li.groupBy(
+        F.concat(F.lit("D"), F.col("l_suppkey").cast("string")).alias("detector_id"),
+        F.concat(F.lit("P-"), F.col("l_returnflag")).alias("operating_point_id"),
+        F.concat(F.lit("E"), F.date_format("l_shipdate", "yyyy-MM")).alias("envelope_id"),
+    )
+    return keys.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.expr("l_quantity >= 25")).alias("hits"),
+        F.count_if(F.expr("l_discount >= 0.08")).alias("false_flags"),
+        F.max("l_shipdate").alias("issued_at"),
     )
 
 
 WARRANTS = """warrants AS (
-  SELECT 'D' || CAST(l_suppkey % 40 AS VARCHAR) AS detector_id, 'P-' || l_returnflag AS operating_point_id,
-         'E' || CAST(year(l_shipdate) AS VARCHAR) AS envelope_id, count(*) AS n,
+  SELECT 'D' || CAST(l_suppkey AS VARCHAR) AS detector_id, 'P-' || l_returnflag AS operating_point_id,
+         'E' || strftime(l_shipdate, '%Y-%m') AS envelope_id, count(*) AS n,
          count(*) FILTER (l_quantity >= 25) AS hits, count(*) FILTER (l_discount >= 0.08) AS false_flags, max(l_shipdate) AS issued_at
-  FROM lineitem WHERE l_suppkey % 7 <> 3 OR l_returnflag = 'A' GROUP BY 1, 2, 3)"""
+  FROM lineitem GROUP BY 1, 2, 3)"""
 
 
 def probe_items(spark: SparkSession, sf_dir: str) -> DataFrame:
