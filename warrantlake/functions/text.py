@@ -106,15 +106,18 @@ def pii_score(text: Column) -> Column:
     twelve = F.filter(F.transform(found(text, TWELVE), digits), lambda n: F.length(n) == 12)
     pans = F.transform(found(text, PAN), compact)
     phones = F.filter(F.transform(found(text, PHONE), digits), lambda n: F.length(n).between(10, 13))
-    parts = [
+    # What a shape can't do without is looked for first: a digit, or the sign of an address.
+    digit, sign = text.rlike("[0-9]"), F.contains(text, F.lit("@"))
+    numbers = [
         F.when(F.exists(twelve, verhoeff_valid), 0.95).when(F.size(twelve) > 0, 0.55).otherwise(0.0),
         F.when(F.exists(pans, lambda p: F.substring(p, 4, 1).isin(*"PCHFATBLJG")), 0.92).when(F.size(pans) > 0, 0.50).otherwise(0.0),
         F.when(F.exists(phones, lambda n: F.substring(n, -10, 1).isin(*"6789")), 0.80).when(F.size(phones) > 0, 0.40).otherwise(0.0),
-        F.when(text.rlike("(?i)" + UPI), 0.88).when(text.rlike("(?i)" + UPI_SPOKEN), 0.66).otherwise(0.0),
         F.when(text.rlike("(?i)" + IFSC), 0.85).otherwise(0.0),
         *(F.when(text.rlike("(?i)" + p), c).otherwise(0.0) for p, c in OBFUSCATED),
     ]
-    return F.greatest(*parts)
+    spoken = sign | F.contains(F.lower(text), F.lit("at the rate"))
+    address = F.when(sign & text.rlike("(?i)" + UPI), 0.88).when(spoken & text.rlike("(?i)" + UPI_SPOKEN), 0.66).otherwise(0.0)
+    return F.greatest(F.when(digit, F.greatest(*numbers)).otherwise(0.0), address)
 
 
 def verhoeff_plain(number: str) -> bool:
@@ -135,19 +138,26 @@ def spans(text: str | None) -> list[dict]:
                 hits.append((kind, m.group(), m.start(), m.end(), float(c)))
 
     number = lambda s: re.sub("[^0-9]", "", s)
+    if "@" in text:
+        take("UPI_VPA", UPI, 0.88)
+    if "@" in text or "at the rate" in text.lower():
+        take("UPI_VPA", UPI_SPOKEN, 0.66)
+    if re.search(r"\d", text):
+        _take_numbers(take, number)
+    kept: list[tuple] = []
+    for h in sorted(hits, key=lambda h: (-h[4], h[2], h[3], h[0])):
+        if all(h[3] <= k[2] or h[2] >= k[3] for k in kept):
+            kept.append(h)
+    return [dict(zip(("kind", "text", "start", "end", "confidence"), h, strict=True)) for h in sorted(kept, key=lambda h: h[2])]
+
+
+def _take_numbers(take, number) -> None:
     take("IN_AADHAAR", TWELVE, lambda s: (0.95 if verhoeff_plain(number(s)) else 0.55) if len(number(s)) == 12 else None)
     take("IN_PAN", PAN, lambda s: 0.92 if re.sub(r"[ .\-]", "", s).upper()[3] in "PCHFATBLJG" else 0.50)
-    take("UPI_VPA", UPI, 0.88)
-    take("UPI_VPA", UPI_SPOKEN, 0.66)
     take("IN_PHONE", PHONE, lambda s: (0.80 if number(s)[-10] in "6789" else 0.40) if 10 <= len(number(s)) <= 13 else None)
     take("IN_IFSC", IFSC, 0.85)
     for pattern, confidence in OBFUSCATED:
         take("IN_AADHAAR", pattern, confidence)
-    kept: list[tuple] = []
-    for h in sorted(hits, key=lambda h: (-h[4], h[2], h[3], h[0])):
-        if all(h[3] <= k[2] or h[2] >= k[3] for k in kept):
-            kept.append(h)
-    return [dict(zip(("kind", "text", "start", "end", "confidence"), h, strict=True)) for h in sorted(kept, key=lambda h: h[2])]
 
 
 def span_column(text: Column) -> Column:
