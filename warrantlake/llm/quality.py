@@ -8,8 +8,7 @@ distance, and re-estimated once from all rows within the usual cutoff. A row is
 Mahalanobis distance from that estimate is above ``CUTOFF``.
 
 Every step is an aggregation by group (sums, approximate percentiles), which combines before the shuffle, and a
-join with the table of groups, which is written first, so that Spark knows its size and broadcasts it where it is
-small; a source that holds a third of all rows costs no more than others. Groups of fewer
+join with the table of groups, which is written and counted first and broadcast where it has few rows; a source that holds a third of all rows costs no more than others. Groups of fewer
 than ``LEAST`` rows are judged with the small groups of their language, and if those are few, with all such.
 
 Nulls: a null text has no words and fails the base rules; null languages and sources are groups of their own.
@@ -24,6 +23,8 @@ from pyspark.sql import functions as F
 
 from warrantlake.llm.common import written
 
+#: Tables of so many groups are broadcast; larger ones are joined by a shuffle.
+FEW_GROUPS = 20_000
 FEATURES = ("x0", "x1", "x2", "x3", "x4")
 #: Added to each feature's standard deviation, so that a feature that is constant in a group judges softly.
 SPREAD = (0.25, 0.25, 0.3, 0.15, 0.4)
@@ -34,6 +35,12 @@ LEAST_WORDS, REPEAT_PERCENT = 50, 50
 _BLANKS = " \t\n\x0b\x0c\r"
 
 
+def _by_group(groups: DataFrame, name: str) -> DataFrame:
+    """A table of one row a group, written, and broadcast where its counted rows are few."""
+    table = written(groups, name)
+    return F.broadcast(table) if table.count() <= FEW_GROUPS else table
+
+
 def _let(value: Column, body) -> Column:
     """``body(value)``, where the value is computed once for all places in the body."""
     return F.transform(F.array(value), body)[0]
@@ -107,7 +114,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
         .when(F.col("n_lang") >= LEAST, F.to_json(F.struct("_l")))
         .when(F.lit(n_rest >= LEAST), F.lit("{}"))
     )
-    return named.join(written(groups.select("_l", "_s", grp.alias("grp")), "groups"), ["_l", "_s"], "left").drop("_l", "_s")
+    return named.join(_by_group(groups.select("_l", "_s", grp.alias("grp")), "groups"), ["_l", "_s"], "left").drop("_l", "_s")
 
 
 def _estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,24 +147,24 @@ def _distance(rows: DataFrame) -> DataFrame:
 def mcd(rows: DataFrame) -> DataFrame:
     """Estimates by ``grp`` for rows (grp, features): mean, Cholesky factor, and ``scale`` of the squared distances."""
     keys = ["grp", "start"]
-    medians = written(rows.groupBy("grp").agg(*(F.percentile_approx(x, 0.5, 2000).alias(f"med_{x}") for x in FEATURES)), "medians")
+    medians = _by_group(rows.groupBy("grp").agg(*(F.percentile_approx(x, 0.5, 2000).alias(f"med_{x}") for x in FEATURES)), "medians")
     centred = rows.join(medians, "grp")
-    mads = written(centred.groupBy("grp").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"med_{x}")), 0.5, 2000).alias(f"mad_{x}") for x in FEATURES)), "deviations")
+    mads = _by_group(centred.groupBy("grp").agg(*(F.percentile_approx(F.abs(F.col(x) - F.col(f"med_{x}")), 0.5, 2000).alias(f"mad_{x}") for x in FEATURES)), "deviations")
     z = [F.abs(F.col(x) - F.col(f"med_{x}")) / (1.4826 * F.col(f"mad_{x}") + SPREAD[i]) for i, x in enumerate(FEATURES)]
     squares = [F.pow(v, 2) for v in z]
     starts = F.array(F.struct(F.lit(0).alias("start"), sum(squares[1:], squares[0]).alias("d")), F.struct(F.lit(1).alias("start"), F.greatest(*z).alias("d")))
     now = written(centred.join(mads, "grp").select("grp", *FEATURES, F.explode(starts).alias("s")).select("grp", *FEATURES, "s.start", "s.d"), "starts")
     base = now.drop("d")
     for _ in range(STEPS):
-        nearest = written(now.groupBy(*keys).agg(F.percentile_approx("d", COVERAGE, 2000).alias("most")), "nearest")
+        nearest = _by_group(now.groupBy(*keys).agg(F.percentile_approx("d", COVERAGE, 2000).alias("most")), "nearest")
         inside = now.join(nearest, keys).where(F.col("d") <= F.col("most"))
-        estimate = written(_estimates(inside, keys), "estimates")
+        estimate = _by_group(_estimates(inside, keys), "estimates")
         now = _distance(base.join(estimate, keys)).select("grp", "start", *FEATURES, "d")
     scales = now.groupBy(*keys).agg((F.percentile_approx("d", 0.5, 2000) / MEDIAN).alias("scale"))
     best = estimate.groupBy("grp").agg(F.min(F.struct("log_det", "start")).alias("b")).select("grp", F.col("b.start").alias("start"))
-    chosen = written(estimate.join(best, keys).join(scales, keys), "chosen").drop("start")
+    chosen = _by_group(estimate.join(best, keys).join(scales, keys).drop("start"), "chosen")
     usual = _distance(rows.join(chosen, "grp")).where(F.col("d") <= USUAL * F.greatest("scale", F.lit(1e-3)))
-    return written(_estimates(usual, ["grp"]), "reweighted")
+    return _by_group(_estimates(usual, ["grp"]), "reweighted")
 
 
 def judge(docs: DataFrame) -> DataFrame:
