@@ -36,13 +36,17 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that of the smallest id (rows of equal id stay together).
+    """One row of each SimHash component: that of the smallest id, and of rows of equal id the first by row key.
 
-    The ids to keep grow with the corpus, so they are never broadcast: both sides are dealt by id, whatever their
-    size, and the ids alone are hashed, so that texts are moved once and not sorted.
+    Ids may be repeated or null, so rows are told apart by a key of their own, written once with them. The keys to
+    keep grow with the corpus, so they are never broadcast: both sides are dealt by key, whatever their size, and
+    the keys alone are hashed, so that texts are moved once and not sorted.
     """
-    keep = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(written(keep, "kept").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    keyed = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_key")), "keyed")
+    ordered = F.struct(F.col("row.doc_id").isNull().alias("no_id"), F.col("row.doc_id").alias("id"), "row_key")
+    found = simhash.near_duplicates(keyed.select(ordered.alias("doc_id"), F.col("row.text").alias("text")))
+    keep = found.where(F.col("doc_id.row_key") == F.col("component_id.row_key")).select(F.col("doc_id.row_key").alias("row_key"))
+    return keyed.join(written(keep, "kept").hint("shuffle_hash"), "row_key", "left_semi").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

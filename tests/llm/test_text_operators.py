@@ -532,6 +532,15 @@ def test_pipeline_stages(spark):
     packed_ok(corpus_pipeline.STAGES[-1][1](spark, kept, sf).collect(), {r["doc_id"]: r["text"] for r in kept.collect()})
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+    rows = [(5, a), (5, a), (5, a), (3, b), (7, b), (7, c), (None, b), (None, d), (None, d), (None, d)]
+    for table in (documents(spark, rows), documents(spark, rows).repartition(5)):
+        kept = corpus_pipeline.drop_near_duplicates(spark, table, SF)
+        assert kept.columns == table.columns and kept.exceptAll(table).count() == 0
+        assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(5, a), (3, b), (7, c), (None, d)])
+
+
 def test_pipeline_on_an_odd_table(spark, odd, nothing):
     for table in (odd, nothing):
         docs = table
