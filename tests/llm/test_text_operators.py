@@ -496,6 +496,19 @@ def test_language_odd_tables(spark, odd, nothing):
     assert {r[0] for r in odd.select(language.language_column(F.col("text"), blank, spark)["lang_pred"]).collect()} == {"und"}
 
 
+def test_one_ruined_text_does_not_switch_rejection_off():
+    """Of 700 whole texts one is ruined and mislabelled; short stretches of low scores are often told wrong."""
+    model = language.Model(["a", "b"], np.eye(2, dtype=np.float32), np.eye(2, dtype=np.float32), np.zeros(2, np.float32))
+    sample = lambda lead, label, whole: (np.array([0, 1]), np.array([lead, 0.0], np.float32), label, True, whole)
+    held = [sample(3 + k / 700, 0, True) for k in range(699)] + [sample(0.05, 1, True)]
+    held += [sample(0.1 + k / 200, k % 3 == 0, False) for k in range(200)] + [sample(2 + k / 400, 0, False) for k in range(400)]
+    language._calibrate(model, held)
+    score = np.array([language._softmax(np.array([[v[0], 0.0]]) / model.temperature)[0].max() for _, v, *_ in held])
+    wrong, accepted = np.array([s[2] == 1 for s in held]), score >= model.threshold
+    assert wrong[accepted].mean() <= language.ERROR
+    assert (~accepted)[:699].mean() <= language.REJECTED
+
+
 # --- registered queries and the pipeline
 
 

@@ -25,8 +25,9 @@ from warrantlake.llm.common import crc_of_id
 #: Bounds of the training sample: languages by frequency, and documents of each.
 LANGUAGES, PER_LANGUAGE = 256, 700
 BUCKETS, DIMENSIONS, SIZES = 8192, 16, (1, 2, 3)
-#: Accepted held-out texts err at most so often, unless that rejects more than the second share of whole texts.
-ERROR, REJECTED = 0.005, 0.0005
+#: Accepted held-out texts err at most so often, unless that rejects more than the second share of the whole texts
+#: that were told right (wrong ones say nothing about how well a known language scores).
+ERROR, REJECTED = 0.005, 0.005
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, rejected boolean"
 
@@ -140,7 +141,7 @@ def _calibrate(model: Model, held: list) -> None:
     accepted_errors = wrong[order][::-1].cumsum()[::-1] / np.arange(len(order), 0, -1)
     fits = np.flatnonzero(accepted_errors <= ERROR)
     by_error = 0.0 if len(fits) and fits[0] == 0 else score[order][fits[0]] if len(fits) else score.max()
-    whole = score[np.array([s[4] for s in held])]
+    whole = score[np.array([s[4] for s in held]) & ~wrong]
     model.threshold = float(min(by_error, np.quantile(whole, REJECTED, method="lower"))) if len(whole) else 0.0
 
 
