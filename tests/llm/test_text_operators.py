@@ -55,8 +55,9 @@ def docs(spark):
 
 def test_ids_are_those_of_the_tokenizers_library(docs):
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     texts = [r["text"] for r in docs.select("text").collect()] + [t for _, t in ODD if t] + ["a\n  b", "it's  2nd  x <|endoftext|>", "\r\n\t "]
+    texts += ["x <|endoftext|> y", "<|endoftext|><|endoftext|>", "<|endof<|endoftext|>text|>", " <|endoftext|>  \n", "x <|endoftext |>"]
+    texts += [" " * 1_000_000, "\n" * 1_000_000, "a" + "\u2003\t" * 200_000 + "b<|endoftext|>", "a" * 300_000, "-" * 300_000]
     for text, expected in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
         assert packing.token_ids(text).tolist() == [*expected.ids, 0]
 
@@ -115,6 +116,24 @@ def test_crossover_keeps_every_item_once():
     assert all(sum(sizes[i] for i in b) + f == 2048 and f >= 0 for b, f in zip(child.bins, child.free, strict=True))
 
 
+def test_copies_of_one_row_are_dealt_over_blocks(spark):
+    same = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one two three").alias("text"))
+    rows = packing.pack(same, block=100).collect()
+    assert len(rows) == 3000 and len({r["sequence_id"] for r in rows}) <= 1.1 * 3000 * 4 / packing.CAPACITY + 2
+
+
+def test_crossover_beats_best_fit_and_is_always_tried(monkeypatch):
+    for seed, n, low, high in ((0, 60, 300, 1100), (1, 120, 400, 900), (5, 120, 200, 800), (7, 400, 400, 900)):
+        sizes = np.random.default_rng(seed).integers(low, high, n).tolist()
+        first = packing.Packing(sizes, 2048)
+        first.best_fit(packing.falling(range(n), sizes))
+        assert len(packing.evolve(sizes, 2048, [], np.random.default_rng(1), 40).bins) < len(first.bins)
+    calls, cross = [], packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: calls.append(1) or cross(*a))
+    easy = packing.evolve([1000, 1000, 48] * 20, 2048, [], np.random.default_rng(2))
+    assert len(easy.bins) == 20 and calls
+
+
 # --- 2: sharding
 
 

@@ -6,15 +6,19 @@ dealt by a hash into blocks of bounded size. Several islands evolve packings of
 whole well-filled bins of one parent into the other, removes the bins that now hold duplicates, and best-fits the
 displaced pieces; between epochs each island's elite also goes to its neighbour. The emptiest bins of the best
 packing of every block, at most an eighth, are opened again and packed together in fewer blocks, until one block
-is left. A block stops evolving once it needs no more bins than its tokens do.
+is left. Every block is crossed at least once in each epoch, and stops once it needs no more bins than its tokens do.
 
 Nulls: a null text is empty; its piece is the separator alone. Rows of equal or null ``doc_id`` are packed each
-for itself. An empty table gives no rows.
+for itself, and dealt row by row, so that copies don't meet in one block. An empty table gives no rows. Very long
+texts are cut like any other, however long their runs of white space. Only ``doc_id`` and ``text`` are read, so
+further columns, whatever their names, change nothing.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,10 +30,15 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from warrantlake.llm.common import written
 
 CAPACITY, SEPARATOR = 2048, 0
+#: Files of one vocabulary, and white space from which on its library makes the ids.
+VOCABULARY, LONG_RUN = "byte_bpe_50k", 50_000
+#: Sequences that a block fills at least, so that few of them are opened again; a block of short pieces is so much longer.
+BINS = 8
 #: Pieces of a block, islands of a block, epochs, generations of an epoch, packings on an island.
 BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 4096, 3, 2, 6, 5
 #: Emptiest bins that are packed again with those of other blocks.
@@ -38,16 +47,30 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 @lru_cache(maxsize=2)
-def encoding(ranks_path: str) -> tiktoken.Encoding:
-    """The byte-level BPE of a rank file; its ids equal those of the JSON vocabulary of the same name."""
-    with open(ranks_path, "rb") as lines:
+def encoding(vocabulary: str) -> tiktoken.Encoding:
+    """The byte-level BPE of a rank file, with the added tokens of the JSON vocabulary of the same name; ids are equal."""
+    with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as file:
+        added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+    return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def token_ids(text: str | None, ranks_path: str | None = None) -> np.ndarray:
-    """The text's ids and the separator, as little-endian unsigned 32-bit numbers."""
-    ids = encoding(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")).encode_to_numpy(text or "")
+@lru_cache(maxsize=2)
+def library(vocabulary: str) -> Tokenizer:
+    return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+
+
+def token_ids(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
+    """The text's ids and the separator, as little-endian unsigned 32-bit numbers.
+
+    A rank file's pattern backtracks along a run of white space; texts with a very long one go to the JSON file's library.
+    """
+    text = text or ""
+    if len(text) >= LONG_RUN and re.search(rf"\s{{{LONG_RUN}}}", text):
+        ids = library(vocabulary).encode(text, add_special_tokens=False).ids
+    else:
+        ids = encoding(vocabulary).encode_to_numpy(text, allowed_special="all")
     return np.append(ids, SEPARATOR).astype("<u4")
 
 
@@ -58,12 +81,12 @@ def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first)] + [(first + capacity * i, capacity) for i in range(count - 1)]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = token_ids(text, ranks_path)
+                ids = token_ids(text, vocabulary)
                 rows += [(doc, i, a, n, zlib.crc32(ids[a : a + n].tobytes())) for i, (a, n) in enumerate(cut(len(ids), capacity))]
             columns = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -151,20 +174,20 @@ def evolve(sizes: list[int], capacity: int, seeds: list[list[list[int]]], rng: n
         first = Packing(sizes, capacity)
         first.best_fit(falling(range(len(sizes)), sizes))
         population.append(first)
-    best = max(population, key=Packing.fitness)
-    if len(best.bins) <= fewest:
-        return best
-    while len(population) < POPULATION:
+    done = len(max(population, key=Packing.fitness).bins) <= fewest
+    most = 2 if done else POPULATION
+    while len(population) < most:
         other = Packing(sizes, capacity)
         other.best_fit(falling(range(len(sizes)), sizes, rng))
         population.append(other)
-    for _ in range(generations):
+    for _ in range(1 if done else generations):
         population.sort(key=Packing.fitness, reverse=True)
-        if len(population[0].bins) <= fewest:
-            break
         a, b = rng.choice(min(3, len(population)), 2, replace=False)
         children = [crossover(population[a], population[b], rng), crossover(population[b], population[a], rng)]
-        population = population[: POPULATION - len(children)] + children
+        # Of equally good packings the children come first; the best of the parents always stays.
+        population = children + population[: max(1, most - len(children))]
+        if len(max(population, key=Packing.fitness).bins) <= fewest:
+            break
     return max(population, key=Packing.fitness)
 
 
@@ -195,12 +218,13 @@ def _pack_blocks(items: DataFrame, blocks: int, level: int, capacity: int) -> Da
         kept = pdf[pdf["island"].eq(best)].sort_values(["bin", "item"], kind="stable")
         fill = kept.groupby("bin")["length"].sum()
         free = (capacity - fill).sort_values(ascending=False, kind="stable")
-        again = set(free[free > 0].index[: int(np.ceil(len(free) * REOPENED))]) if blocks > 1 else set()
+        most = min(int(np.ceil(len(free) * REOPENED)), len(free) // 2)
+        again = set(free[free > 0].index[:most]) if blocks > 1 else set()
         offset = kept.groupby("bin")["length"].cumsum() - kept["length"]
         sequence = (level << 56) + kept["block"].astype("int64") * (1 << 24) + kept["bin"].astype("int64")
         return kept.assign(sequence_id=sequence, offset=offset, reopened=kept["bin"].isin(again))[[*columns, "sequence_id", "offset", "reopened"]]
 
-    start = items.select(*columns, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(blocks)).cast("int").alias("block"))
+    start = items.select(*columns, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(level)), F.lit(blocks)).cast("int").alias("block"))
     state = start.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1)))).withColumns({"origin": F.col("island"), "item": F.lit(-1), "bin": F.lit(0), "bins": F.lit(0)})
     for number in range(EPOCHS):
         found = state.groupBy("block", "island").applyInPandas(epoch, row)
@@ -210,14 +234,15 @@ def _pack_blocks(items: DataFrame, blocks: int, level: int, capacity: int) -> Da
     return found.groupBy("block").applyInPandas(finish, f"{PIECES}, sequence_id long, offset long, reopened boolean")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, ranks_path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row per piece: ``PIECES``, ``sequence_id`` and ``offset``; sequences are gapless from 0."""
-    cut_pieces = written(pieces(docs, capacity, ranks_path), "pieces")
+    cut_pieces = written(pieces(docs, capacity, vocabulary), "pieces")
     out = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     whole = cut_pieces.where(F.col("length") == capacity).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     parts, left, level = [whole.select(*out)], cut_pieces.where(F.col("length") < capacity), 0
     while True:
-        blocks = max(1, -(-left.count() // block))
+        held = left.agg(F.count("*").alias("rows"), F.sum("length").alias("tokens")).first()
+        blocks = max(1, min(-(-held["rows"] // block), (held["tokens"] or 0) // (BINS * capacity)))
         packed = written(_pack_blocks(left, blocks, level, capacity), f"packed-{level}")
         parts.append(packed.where("not reopened").select(*out))
         if blocks == 1:
