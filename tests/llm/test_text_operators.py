@@ -5,6 +5,7 @@ import html as html_lib
 import io
 import random
 import re
+import time
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -481,6 +482,50 @@ def test_main_text():
     assert [html_text.main_text(x) for x in (None, "", "<", "<p", "<!--", "<script>x", "</div></p>")] == [""] * 2 + [html_text.main_text("<"), html_text.main_text("<p")] + [""] * 3
 
 
+PARAGRAPH = "<p>" + " ".join(f"word{i}" for i in range(70)) + ".</p>"
+ARTICLE = f"<h1>A title of it</h1>{PARAGRAPH}{PARAGRAPH}<p>Short one.</p>"
+REMARKS = '<ol class="comment-list"><li><article class="comment-body"><p>' + "I say this and that about it all the time " * 6 + "</p></article></li></ol>"
+
+
+@pytest.mark.parametrize("inner", ["<article>%s</article>", '<article class="post comments-open">%s</article>', '<main class="related-story">%s</main>', '<main class="promo-x"><article id="ad-free">%s</article></main>'])
+@pytest.mark.parametrize("outer", ['<div class="has-sidebar layout">%s</div>', '<div class="social-share-enabled">%s</div>', "<form id=aspnetForm>%s</form>", '<div class="related-wrap"><div id="page-sidebar">%s</div></div>', '<body style="visibility:hidden">%s'])
+def test_what_holds_the_article_is_never_void(inner, outer):
+    want = html_text.main_text(f"<article>{ARTICLE}</article>")
+    assert len(want) > 900
+    assert html_text.main_text("<nav><a href=1>One</a></nav>" + outer % (inner % ARTICLE + REMARKS) + "<footer>(c) all the rest of us</footer>") == want
+
+
+def test_links_around_blocks_and_pages_without_articles():
+    teasers = "".join(f"<a href={i}><div>Teaser number {i} about things that happen in the world today</div></a>" for i in range(6))
+    assert html_text.main_text(f"<body>{teasers}<article>{ARTICLE}</article>{teasers}") == html_text.main_text(f"<article>{ARTICLE}</article>")
+    assert html_text.main_text(f"<body>{teasers}") == ""
+    assert html_text.main_text('<section class="comments"><p>' + "many words of a reader here " * 20 + "</p></section>") == ""
+    for outer in ('<div class="has-sidebar">%s</div>', "<form id=aspnetForm>%s</form>"):
+        assert len(html_text.main_text(outer % f"<div id=content>{ARTICLE}</div>")) > 900
+
+
+BROKEN = [
+    "<a " * 300_000, '<a "' * 300_000, "<a '" * 300_001, "<script>" + "</script " * 100_000, "<div>" * 100_000 + "</p>" * 100_000, "<p" * 400_000, "<!--" * 300_000,
+    '<a href="x>' * 100_000, "<div class='sidebar'>" * 50_000 + "x " * 100_000, "<article>" * 50_000 + "x " * 100, "&" * 1_000_000, "<a title='" + ">" * 500_000, "<div hidden " + " class" * 200_000 + ">",
+]
+
+
+def test_long_broken_pages_take_linear_time():
+    for page in BROKEN:
+        began = time.monotonic()
+        html_text.main_text(page)
+        assert time.monotonic() - began < 10, page[:20]
+
+
+def test_odd_pages(spark):
+    rows = [(1, None), (2, ""), (3, f"<article>{ARTICLE}</article>"), (3, f"<article>{ARTICLE}</article>"), (None, f"<article>{PARAGRAPH * 3000}</article>"), (6, "plain"), (7, BROKEN[0])]
+    pages = spark.createDataFrame([(i, "u", h, "mine", 7) for i, h in rows], "page_id long, url string, html string, text string, n_chars int")
+    got = Counter((r["page_id"], r["r"]["text"], r["r"]["n_chars"], r["text"]) for r in pages.select("page_id", "text", html_text.main_text_column(F.col("html")).alias("r")).collect())
+    assert got == Counter((i, html_text.main_text(h), len(html_text.main_text(h)), "mine") for i, h in rows)
+    assert {len(t) for i, t, *_ in got if i is None} == {3000 * (len(PARAGRAPH) - 7) + 2 * 2999}
+    assert pages.where("false").select(html_text.main_text_column(F.col("html"))).count() == 0
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r for r in html_text.op9_blocks(spark, SF).collect()}

@@ -2,20 +2,30 @@
 
 A page is cut into blocks at block-level tags. A block has its words, the share of them inside links ("link
 density"), the same of its neighbours, and where it lies: in an article, elsewhere though the page has one, in
-something that its tags, roles or class names mark as no part of the text, or in a heading. A decision tree, grown
-by Gini impurity on the small labelled table below, keeps or drops each block.
-
-Nulls: a null or empty html has the empty text. Unclosed and misnested tags are closed as far as they must be.
-Character references are decoded once. Pages of equal id or html are rows of their own.
+something marked as no part of the text, or in a heading. A decision tree, grown by Gini impurity on the small
+labelled table below, keeps or drops each block.
+
+Some elements and roles mark what is in them for good. Class names, forms and hidden elements mark it weakly: such a
+mark is void on whatever holds the page's main article, the article or main element of the most unlinked words,
+where unmarked ones count threefold. On a page of which nothing would be kept, it is void on what holds the
+weakly marked element of the most unlinked words, unless its name is a whole word such as "comments".
+
+Nulls: a null or empty html has the empty text. Unclosed and misnested tags are closed as far as they must be; a tag
+that the page's end cuts off is dropped. A link lasts until its end, the next link, or the end of the block that it
+began in. Character references are decoded once. Pages of equal id or html are rows of their own, an empty table
+gives no rows, and columns of the table other than ``html`` are passed on or left as the caller selects. Parsing takes
+time in proportion to the page, however long or broken it is.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -32,15 +42,20 @@ RAW = ("script", "style", "textarea", "template", "noscript", "iframe", "svg", "
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that an opening tag of the second kind closes.
 CLOSED_BY = {"p": BLOCKS - {"button", "label", "caption", "legend", "summary"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"}, "head": {"body"}}
-#: What isn't main text, by element, role, and words of a class or id.
-OUTER = frozenset("nav aside footer form dialog button select menu head title label fieldset search figcaption".split()) - {"figcaption"}
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar note".split())
+#: What isn't main text, by element, role, and words of a class or id; elements and names that mark weakly.
+OUTER = frozenset("nav aside footer dialog button select menu head title label search".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar note".split())
+WEAK = frozenset(["form", "fieldset"])
+#: With one of these, a class name tells a state of the page, not what is in the element.
+STATES = frozenset("has have with without no not is enabled disabled open closed on off".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall "
     "sidebar aside rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer topbar masthead comment comments commentlist reply replies respond discussion disqus related recommended share sharing social "
     "pagination pager login signin signup register search toolbar skip hidden".split()
 )
 INNER = frozenset(["article", "main"])
+#: Unlinked words from which on a weakly marked element may be the text of a page without any other.
+LEAST_PLAIN = 25
 
 #: The labelled table: words, link density, words and density before, words and density behind, in an article,
 #: elsewhere, marked as no text, heading; and whether such a block is main text.
@@ -199,26 +214,40 @@ def tree() -> Node:
 
 
 #: What begins with a "<": a comment, a declaration, or a tag; else it is text.
-_PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^'\">])*>", re.S)
+_PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:\"[^\"]*\"|'[^']*'|[^'\">])*>", re.S)
+_UNQUOTED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>])", re.I)
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/>])", re.I)
+NONE, MAYBE, NAMED, SURE = 0, 1, 2, 3
+
+
+def _name_mark(value: str, inside: bool) -> int:
+    """What a class or id says: nothing, something by a part of a name, or by a whole name."""
+    best = NONE
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if not STATES.isdisjoint(words):
+            continue
+        if not NAMES.isdisjoint(words) or "header" in words and not inside:
+            best = max(best, NAMED if len(words) == 1 else MAYBE)
+    return best
 
 
-def _marked(name: str, tag: str, inside: bool) -> bool:
-    """Whether an opening tag says that what follows is no main text."""
+def _mark(name: str, tag: str, inside: bool) -> tuple[int, bool]:
+    """How surely an opening tag says that what follows is no main text, and whether it says that it is."""
     if name in OUTER or name == "header" and not inside:
-        return True
+        return SURE, False
+    best, main = MAYBE if name in WEAK else NONE, name in INNER
     for attribute, *values in _ATTRIBUTE.findall(tag[len(name) + 1 :]):
         attribute, value = attribute.lower(), html.unescape("".join(values)).lower()
         if attribute == "hidden" or attribute == "aria-hidden" and value == "true" or attribute == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if attribute == "role" and value in ROLES:
-            return True
-        if attribute in ("class", "id") and name not in ("html", "body"):
-            words = set(re.split(r"[^a-z]+", value))
-            if words & NAMES or "header" in words and not inside:
-                return True
-    return False
+            best = max(best, NAMED)
+        elif attribute == "role":
+            main = main or value == "main"
+            best = max(best, SURE if value in ROLES else MAYBE if value == "form" else NONE)
+        elif attribute in ("class", "id") and name not in ("html", "body"):
+            best = max(best, _name_mark(value, inside))
+    return best, main
 
 
 @dataclass
@@ -227,78 +256,156 @@ class Block:
     words: int
     linked: int
     inside: bool
-    marked: bool
     heading: bool
+    marked: bool = False
 
+    @property
+    def plain(self) -> int:
+        """Words outside links, where those prevail."""
+        return self.words - self.linked if 2 * self.linked < self.words else 0
 
-def blocks(page: str) -> list[Block]:
-    """Blocks with a word, in page order."""
-    out: list[Block] = []
-    parts: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, inside, marked, heading
-    links = 0
 
-    def flush() -> None:
-        if not parts:
-            return
-        text = " ".join("".join(t for t, _ in parts).split())
+@dataclass
+class Element:
+    """An element that is marked or holds main text, and the blocks [first, last) in it."""
+
+    mark: int
+    main: bool
+    first: int
+    last: int = 0
+
+    def holds(self, other: Element) -> bool:
+        return self.first <= other.first and other.last <= self.last
+
+
+class Page:
+    """Blocks with a word, in page order, and the elements that bear on them."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.elements: list[Element] = []
+        self._parts: list[tuple[str, bool]] = []
+        self._stack: list[tuple[str, bool, bool, Element | None]] = []  # name, inside, heading, element
+        self._open: Counter = Counter()
+        self._link = -1  # depth of the block that an open link began in
+        self._read(page)
+        while self._stack:
+            self._leave()
+
+    def _flush(self) -> None:
+        text = " ".join("".join(t for t, _ in self._parts).split())
         if text:
-            _, inside, marked, heading = stack[-1] if stack else ("", False, False, False)
-            linked = sum(len(t.split()) for t, in_link in parts if in_link)
-            out.append(Block(text, len(text.split()), linked, inside, marked, heading))
-        parts.clear()
-
-    def text(piece: str) -> None:
+            _, inside, heading, _ = self._stack[-1] if self._stack else ("", False, False, None)
+            linked = sum(len(t.split()) for t, in_link in self._parts if in_link)
+            words = len(text.split())
+            self.blocks.append(Block(text, words, min(linked, words), inside, heading))
+        self._parts.clear()
+
+    def _enter(self, name: str, tag: str) -> None:
+        _, inside, heading, _ = self._stack[-1] if self._stack else ("", False, False, None)
+        mark, main = _mark(name, tag, inside or name in INNER)
+        element = Element(mark, main, len(self.blocks)) if mark or main else None
+        if element:
+            self.elements.append(element)
+        self._stack.append((name, inside or main, heading or name in ("h1", "h2", "h3", "h4", "h5", "h6"), element))
+        self._open[name] += 1
+
+    def _leave(self) -> str:
+        name, *_, element = self._stack.pop()
+        self._open[name] -= 1
+        if element:
+            element.last = len(self.blocks)
+        if self._link > len(self._stack):
+            self._link = -1
+        return name
+
+    def _text(self, piece: str) -> None:
         if piece:
-            parts.append((html.unescape(piece), links > 0))
-
-    at, end = 0, len(page)
-    while at < end:
-        begin = page.find("<", at)
-        found = _PART.match(page, begin) if begin >= 0 else None
-        if not found:
-            stop = end if begin < 0 else begin + 1
-            text(page[at:stop])
-            at = stop
-            continue
-        text(page[at:begin])
-        tag, at = found.group(), found.end()
-        if tag[1] in "!?":
-            continue
-        name = _NAME.match(tag)[1].lower()
-        if tag[1] == "/":
-            if name == "a":
-                links = max(0, links - 1)
-            if name in BLOCKS:
-                flush()
-                if any(s[0] == name for s in stack):
-                    while stack.pop()[0] != name:
-                        pass
-                links = 0
-            continue
+            self._parts.append((html.unescape(piece), self._link >= 0))
+
+    def _read(self, page: str) -> None:
+        part, at, end = _PART, 0, len(page)
+        while at < end:
+            begin = page.find("<", at)
+            found = part.match(page, begin) if begin >= 0 else None
+            if begin >= 0 and not found and _NAME.match(page, begin):
+                # A quote that nothing closes: from here on tags end at the next ">".
+                part = _UNQUOTED
+                found = part.match(page, begin)
+            if not found:
+                stop = end if begin < 0 else begin + 1
+                self._text(page[at:stop])
+                at = stop
+                continue
+            self._text(page[at:begin])
+            tag, at = found.group(), found.end()
+            if tag[1] in "!?" or tag[-1] != ">":
+                continue
+            name = _NAME.match(tag)[1].lower()
+            if tag[1] == "/":
+                self._end(name)
+            elif name in RAW and not tag.endswith("/>"):
+                closing = re.compile(rf"</{name}\b", re.I).search(page, at)
+                at = (page.find(">", closing.end()) + 1 if closing else 0) or end
+                if name in BLOCKS:
+                    self._flush()
+            else:
+                self._begin(name, tag)
+        self._flush()
+
+    def _begin(self, name: str, tag: str) -> None:
         if name == "a":
-            links += 1
+            self._link = len(self._stack)
         elif name == "br":
-            parts.append((" ", links > 0))
-        if name in RAW and not tag.endswith("/>"):
-            closing = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = closing.end() if closing else end
-            if name in BLOCKS:
-                flush()
-            continue
-        if name not in BLOCKS:
-            continue
-        flush()
-        links = 0
-        while stack and name in CLOSED_BY.get(stack[-1][0], ()):
-            stack.pop()
-        if name in VOID:
-            continue
-        _, inside, marked, heading = stack[-1] if stack else ("", False, False, False)
-        inside = inside or name in INNER or 'role="main"' in tag
-        stack.append((name, inside, marked or _marked(name, tag, inside), heading or name in ("h1", "h2", "h3", "h4", "h5", "h6")))
-    flush()
-    return out
+            self._text(" ")
+        elif name in BLOCKS:
+            self._flush()
+            while self._stack and name in CLOSED_BY.get(self._stack[-1][0], ()):
+                self._leave()
+            if name not in VOID:
+                self._enter(name, tag)
+
+    def _end(self, name: str) -> None:
+        if name == "a":
+            self._link = -1
+        elif name in BLOCKS:
+            self._flush()
+            while self._open[name] and self._leave() != name:
+                pass
+
+    def _cover(self, least: int, void: Element | None) -> list[bool]:
+        """Which blocks lie in an element of that mark or a surer one; weak marks on what holds ``void`` don't count."""
+        change = [0] * (len(self.blocks) + 1)
+        for e in self.elements:
+            if e.mark >= least and (e.mark == SURE or void is None or not e.holds(void)):
+                change[e.first] += 1
+                change[e.last] -= 1
+        return [n > 0 for n in accumulate(change[:-1])]
+
+    def mark(self, void: Element | None) -> None:
+        for block, marked in zip(self.blocks, self._cover(MAYBE, void), strict=True):
+            block.marked = marked
+
+    def _plain(self, least: int) -> Callable[[Element], int]:
+        """Unlinked words of an element that lie in no mark as sure as ``least``."""
+        sums = [0, *accumulate(0 if covered else b.plain for b, covered in zip(self.blocks, self._cover(least, None), strict=True))]
+        return lambda e: sums[e.last] - sums[e.first]
+
+    def article(self) -> Element | None:
+        """The main article, and what in it is one that holds most of it."""
+        inner = [e for e in self.elements if e.main]
+        plain, free = self._plain(SURE), self._plain(MAYBE)
+        best = max(inner, key=lambda e: plain(e) + 2 * free(e), default=None)
+        if best is None or not plain(best):
+            return None
+        for e in inner:
+            if best.holds(e) and plain(e) >= 0.6 * plain(best):
+                best = e
+        return best
+
+    def weakly_marked(self) -> Element | None:
+        plain = self._plain(NAMED)
+        return max((e for e in self.elements if e.mark == MAYBE and plain(e) >= LEAST_PLAIN), key=plain, default=None)
 
 
 def features(found: list[Block]) -> list[list[float]]:
@@ -318,9 +425,16 @@ def features(found: list[Block]) -> list[list[float]]:
 
 
 def main_text(page: str | None, judge: Node | None = None) -> str:
-    found = blocks(page or "")
-    keeps = (judge or tree()).keeps
-    return "\n\n".join(b.text for b, x in zip(found, features(found), strict=True) if keeps(x))
+    read, keeps = Page(page or ""), (judge or tree()).keeps
+
+    def kept(void: Element | None) -> list[str]:
+        read.mark(void)
+        return [b.text for b, x in zip(read.blocks, features(read.blocks), strict=True) if keeps(x)]
+
+    texts = kept(read.article())
+    if not texts and (holder := read.weakly_marked()):
+        texts = kept(holder)
+    return "\n\n".join(texts)
 
 
 def main_text_column(page: Column) -> Column:
