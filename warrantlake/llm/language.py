@@ -3,11 +3,14 @@
 A text's letters, lower-cased, with every run of other characters as one space, give character n-grams; each is
 hashed to a row of an embedding table, the rows are averaged over the whole text, and a softmax over the mean
 names the language. Table and softmax are trained together by stochastic gradient descent in numpy, on a bounded
-sample of rows; a held-out part of that sample sets the temperature of the scores and the score below which a
-text is rejected.
+sample of rows of every language. A held-out part of that sample sets the temperature of the scores and the score
+below which a text is rejected: the split-conformal quantile that rejects at most the share ``REJECTED`` of whole
+texts of the known languages, for texts that come from where the sample does.
 
 Nulls and empties: a text that is null or has no letter is ``und`` with score 0 and is rejected. Rows of null
-``lang`` are never learned from. With nothing to learn from, every text is ``und``. Copies get equal rows.
+``lang`` are never learned from. With nothing to learn from, every text is ``und``. Very long texts are read whole.
+Copies get equal rows and are learned from once, an empty table gives no rows, and columns other than ``text`` and
+``lang`` aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ from pyspark.sql import functions as F
 
 from warrantlake.llm.common import crc_of_id
 
-#: Bounds of the training sample: languages by frequency, and documents of each.
-LANGUAGES, PER_LANGUAGE = 256, 700
+#: Bound of the training sample: about so many documents of each language.
+PER_LANGUAGE = 700
 BUCKETS, DIMENSIONS, SIZES = 8192, 16, (1, 2, 3)
-#: Accepted held-out texts err at most so often, unless that rejects more than the second share of the whole texts
-#: that were told right (wrong ones say nothing about how well a known language scores).
-ERROR, REJECTED = 0.005, 0.005
+#: Share of whole held-out texts of known languages, told right, that may be rejected (wrong ones say nothing about
+#: how well a known language scores).
+REJECTED = 0.005
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double, rejected boolean"
 
@@ -136,32 +139,26 @@ def _calibrate(model: Model, held: list) -> None:
     loss = lambda t: -np.log(_softmax(logits / t)[np.arange(len(y)), y].clip(1e-9)).mean()
     model.temperature = float(min(np.geomspace(0.1, 10, 41), key=loss))
     p = _softmax(logits / model.temperature)
-    score, wrong = p.max(axis=1), p.argmax(axis=1) != y
-    order = np.argsort(score)
-    accepted_errors = wrong[order][::-1].cumsum()[::-1] / np.arange(len(order), 0, -1)
-    fits = np.flatnonzero(accepted_errors <= ERROR)
-    by_error = 0.0 if len(fits) and fits[0] == 0 else score[order][fits[0]] if len(fits) else score.max()
-    whole = score[np.array([s[4] for s in held]) & ~wrong]
-    model.threshold = float(min(by_error, np.quantile(whole, REJECTED, method="lower"))) if len(whole) else 0.0
+    score, right = p.max(axis=1), p.argmax(axis=1) == y
+    whole = np.sort(score[np.array([s[4] for s in held]) & right])
+    rank = int((len(whole) + 1) * REJECTED)
+    model.threshold = float(whole[rank - 1]) if rank else 0.0
 
 
-def training_sample(docs: DataFrame, languages: int = LANGUAGES, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """About ``per_language`` rows of each of the commonest languages, chosen by a hash of the text.
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """About ``per_language`` texts of each language, chosen by a hash of the text; of copies one.
 
     The bound is the classifier's training sample alone; what it predicts covers every row.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    if not counts:
-        return known.limit(0)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"]))])
+    share = F.broadcast(known.groupBy("lang").agg((F.lit(per_language) / F.count("*")).alias("share")))
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    return known.where(draw < F.element_at(share, F.col("lang"))).limit(2 * per_language * len(counts))
+    return known.join(share, "lang").where(draw < F.col("share")).select("lang", "text").distinct()
 
 
 def fit(docs: DataFrame) -> Model:
     rows = training_sample(docs).toPandas()
-    order = rows.assign(key=pd.util.hash_pandas_object(rows["text"], index=False)).sort_values(["key", "lang"]).index
+    order = rows.assign(key=pd.util.hash_pandas_object(rows["text"], index=False)).sort_values(["key", "lang", "text"]).index
     rows = rows.loc[order]
     return train(rows["text"].tolist(), rows["lang"].tolist()) if len(rows) else Model([], np.zeros((BUCKETS, DIMENSIONS), np.float32), np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0, np.float32))
 
