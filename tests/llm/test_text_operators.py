@@ -436,16 +436,69 @@ def test_nearest_are_exact():
     index = toxicity.build(list(range(400)), texts, [i % 2 for i in range(400)], (200, 200))
     dense = np.zeros((len(index.ids), len(index.terms)))
     for row, doc in enumerate(index.ids):
-        at, weight = index.vector(index.matched(toxicity.words_of(texts[doc])))
+        at, weight = index.vector(*index.matched(toxicity.words_of(texts[doc])))
         dense[row, at] = weight
+    assert set(index.terms) == set().union(*(toxicity.counted_terms(toxicity.words_of(t)) for t in texts))
     for text in texts[:50] + ["term1 term15 nothing", "term3"]:
-        counts = index.matched(toxicity.words_of(text))
-        if not counts:
-            continue
-        at, weight = index.vector(counts)
+        at, weight = index.vector(*index.matched(toxicity.words_of(text)))
         cosine = dense[:, at] @ weight
         best, got = index.nearest(at, weight, 15)
-        assert np.allclose(np.sort(got)[::-1], np.sort(cosine[cosine > 0])[::-1][:15]) and np.allclose(cosine[best], got)
+        assert np.allclose(np.sort(got)[::-1], np.sort(cosine[cosine > 0])[::-1][:15], atol=1e-6) and np.allclose(cosine[best], got, atol=1e-6)
+
+
+def plain_toxicity(learned, texts, labels, curve):
+    """{text: score} by comparing each text with every example, all in dictionaries; ``learned``: ids by label."""
+    terms = {i: toxicity.counted_terms(toxicity.words_of(t)) for i, t in texts.items()}
+    df = Counter(t for c in terms.values() for t in c)
+    n = [len(learned[0]), len(learned[1])]
+    a, b = (Counter(t for i in learned[y] for t in terms[i]) for y in (0, 1))
+    worth = {}
+    for t in a.keys() | b.keys():
+        p = (a[t] + b[t] + 1) / (sum(n) + 2)
+        z2 = (b[t] / n[1] - a[t] / n[0]) ** 2 / (p * (1 - p) * (1 / n[0] + 1 / n[1]))
+        worth[t] = (np.log((len(texts) + 1) / (df[t] + 1)) + 1e-3) * ((z2 + 1e-3) / (z2 + toxicity.HALF_Z**2)) ** 2
+
+    def vector(c):
+        v = {t: (1 + np.log(k)) * worth[t] for t, k in c.items() if t in worth}
+        size = np.sqrt(sum(w * w for w in v.values()))
+        return {t: w / size for t, w in v.items()}
+
+    examples = {i: vector(terms[i]) for y in (0, 1) for i in learned[y]}
+    out = {}
+    for i, c in terms.items():
+        v = vector(c) if c.keys() & worth.keys() else {}
+        near = sorted(((sum(w * e[t] for t, w in v.items() if t in e), labels[j]) for j, e in examples.items()), reverse=True)[: toxicity.NEIGHBOURS]
+        near = [(x, y) for x, y in near if x > 0]
+        if near:
+            total = sum(x for x, _ in near)
+            vote, close = sum(x * y for x, y in near) / total - 0.5, total / len(near)
+            out[i] = 1 / (1 + np.exp(-np.dot((1, vote, close, close * vote), curve)))
+    return out
+
+
+def test_toxicity_query_equals_comparing_with_every_example(spark, docs, monkeypatch):
+    fitted, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: fitted.append(fit(*a)) or fitted[-1])
+    got = {r["doc_id"]: r for r in toxicity.op8_toxicity(spark, SF).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    labels = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").where("toxic is not null").collect():
+        labels[r["doc_id"]] = max(labels.get(r["doc_id"], 0), int(r["toxic"] > 0))
+    learned = {y: [i for i in texts if labels.get(i) == y and zlib.crc32(str(i).encode()) % 3 != 1] for y in (0, 1)}
+    assert sorted(fitted[0].ids) == sorted(learned[0] + learned[1])
+    want = plain_toxicity(learned, texts, labels, fitted[0].curve)
+    assert set(got) == set(texts) and len(want) > 150
+    for i, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) and r["predicted"] == (r["score"] >= 0.7)
+        assert abs(r["score"] - want.get(i, fitted[0].unmatched)) < 1e-4
+
+
+def test_toxicity_scores_are_calibrated(spark):
+    sf = "/root/testdata/sf0.1"
+    found = toxicity.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    for low, high in ((0, 0.1), (0.1, 0.6), (0.6, 1)):
+        part = found[found["score"].between(low, high)]
+        assert abs(part["score"].mean() - part["toxic"].mean()) < 0.12 + 1 / max(1, len(part)) ** 0.5
 
 
 def test_toxicity_on_held_out(spark):
@@ -560,17 +613,70 @@ def test_language_odd_tables(spark, odd, nothing):
     assert {r[0] for r in odd.select(language.language_column(F.col("text"), blank, spark)["lang_pred"]).collect()} == {"und"}
 
 
-def test_one_ruined_text_does_not_switch_rejection_off():
-    """Of 700 whole texts one is ruined and mislabelled; short stretches of low scores are often told wrong."""
+def test_language_query_equals_a_plain_softmax(spark, docs, monkeypatch):
+    fitted, fit = [], language.fit
+    monkeypatch.setattr(language, "fit", lambda d: fitted.append(fit(d)) or fitted[-1])
+    rows = {r["doc_id"]: r for r in language.op10_language(spark, SF).collect()}
+    model, two = fitted[0], 2**64
+
+    def plain(text):
+        spaced = " " + "".join(c if c.isalpha() else " " for c in text.lower())
+        spaced = re.sub(" +", " ", spaced)
+        grams = Counter()
+        for size in language.SIZES:
+            for at in range(len(spaced) - size + 1):
+                h = 0
+                for c in spaced[at : at + size]:
+                    h = (h * 0x100000001B3 + ord(c)) % two
+                grams[(h * 0x9E3779B97F4A7C15 + size) % two >> 51] += 1
+        mean = sum(n * model.table[g].astype(float) for g, n in grams.items()) / sum(grams.values())
+        logits = (mean @ model.weights + model.bias) / model.temperature
+        e = np.exp(logits - logits.max())
+        return model.languages[int(e.argmax())], float(e.max() / e.sum())
+
+    for r in docs.collect():
+        name, score = plain(r["text"])
+        assert rows[r["doc_id"]]["lang_pred"] == name and abs(rows[r["doc_id"]]["score"] - score) < 1e-3
+        assert rows[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(3)
+    names = [f"l{i:03d}" for i in range(300)]
+    letters = "abcdefghijklmnopqrstuvwxyzàéîõüçñßøåžšłđ"
+    words = {n: ["".join(rng.choices(rng.sample(letters, 6), k=5)) for _ in range(12)] for n in names}
+    rows = [(k, " ".join(rng.choices(words[n], k=30)), n) for k, n in enumerate(names * 3)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == names
+
+
+def test_rejection_on_held_out_and_on_foreign_texts(spark):
+    """The threshold comes from calibration alone: known languages mostly stay, what is none of them mostly goes."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language.fit(docs.where(~language.held_out(4, 2)))
+    held = docs.where(language.held_out(4, 2)).select("lang", language.language_column(F.col("text"), model, spark).alias("r")).select("lang", "r.*").toPandas()
+    assert held["rejected"].mean() <= 3 * language.REJECTED
+    accepted = held[~held["rejected"]]
+    assert (accepted["lang_pred"] != accepted["lang"]).mean() <= 0.005
+    rng = random.Random(9)
+    foreign = {
+        "letters": lambda: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(80)),
+        "cyrillic": lambda: " ".join("".join(rng.choices("абвгдежзиклмнопрст", k=rng.randint(2, 9))) for _ in range(80)),
+        "code": lambda: "\n".join(f"for (int i{k} = 0; i{k} < xs[{k}]; ++i{k}) {{ ptr->val = tmp_{rng.randint(0, 99)}; }}" for k in range(12)),
+    }
+    for kind, make in foreign.items():
+        assert np.mean([model.predict(make())[2] for _ in range(100)]) >= 0.9, kind
+
+
+def test_rejected_share_of_whole_texts_told_right():
+    """Of 700 whole texts one is ruined and mislabelled; it neither sets the threshold nor switches it off."""
     model = language.Model(["a", "b"], np.eye(2, dtype=np.float32), np.eye(2, dtype=np.float32), np.zeros(2, np.float32))
     sample = lambda lead, label, whole: (np.array([0, 1]), np.array([lead, 0.0], np.float32), label, True, whole)
     held = [sample(3 + k / 700, 0, True) for k in range(699)] + [sample(0.05, 1, True)]
     held += [sample(0.1 + k / 200, k % 3 == 0, False) for k in range(200)] + [sample(2 + k / 400, 0, False) for k in range(400)]
     language._calibrate(model, held)
     score = np.array([language._softmax(np.array([[v[0], 0.0]]) / model.temperature)[0].max() for _, v, *_ in held])
-    wrong, accepted = np.array([s[2] == 1 for s in held]), score >= model.threshold
-    assert wrong[accepted].mean() <= language.ERROR
-    assert (~accepted)[:699].mean() <= language.REJECTED
+    assert 0 < (score < model.threshold)[:699].mean() <= language.REJECTED and (score < model.threshold)[699]
 
 
 # --- registered queries and the pipeline
