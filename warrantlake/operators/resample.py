@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warrantlake.functions.rng import draw
@@ -18,19 +18,47 @@ def numbered_groups(items: DataFrame, keys: list[str], unit: str, threshold: flo
     return g.withColumns({"g": F.row_number().over(Window.partitionBy(*keys).orderBy(unit)) - 1, "groups": F.count("*").over(Window.partitionBy(*keys))})
 
 
-def replicates(groups: DataFrame, keys: list[str], n: int, seed: str, counts: list[str]) -> DataFrame:
-    """Summed counts of each replicate: as many draws with replacement as the key has groups."""
+def draws(groups: DataFrame, keys: list[str], n: int, seed: Column | str) -> DataFrame:
+    """keys, rep, g and ``times``: as many draws with replacement as the key has groups, in each of ``n`` replicates."""
     sizes = groups.groupBy(*keys).agg(F.max("groups").alias("groups"))
-    draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
-    drawn = draws.withColumn("g", draw(F.lit(seed), "rep", "i") % F.col("groups")).groupBy(*keys, "rep", "g").agg(F.count("*").alias("times"))
+    each = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    drawn = each.withColumn("g", draw(F.lit(seed) if isinstance(seed, str) else seed, "rep", "i") % F.col("groups"))
+    return drawn.groupBy(*keys, "rep", "g").agg(F.count("*").alias("times"))
+
+
+def replicates(groups: DataFrame, keys: list[str], n: int, seed: Column | str, counts: list[str]) -> DataFrame:
+    """Summed counts of each replicate: as many draws with replacement as the key has groups."""
+    drawn = draws(groups, keys, n, seed)
     return drawn.join(groups, [*keys, "g"]).groupBy(*keys, "rep").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in counts))
 
 
-def interval(reps: DataFrame, keys: list[str], statistic, level: float = 0.95) -> DataFrame:
-    """Percentile interval; undefined replicates are left out and counted."""
+def replicate_auroc(items: DataFrame, groups: DataFrame, keys: list[str], unit: str, n: int, seed: Column | str, ranges: int = 16) -> DataFrame:
+    """keys, rep, ``v``: the rank statistic of each replicate, ties at half; null where a class is missing.
+
+    Items meet the draws as counts by group and distinct score. A key's scores are cut into ranges once, so a window
+    runs within a range of one replicate, and a range's positives win against the negatives of the ranges below.
+    """
+    cuts = items.groupBy(*keys).agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
+    grain = items.groupBy(*keys, unit, "score").agg(F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
+    ranged = grain.join(cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("score")))).drop("_cuts")
+    numbered = ranged.join(groups.select(*keys, unit, "g"), [*keys, unit]).drop(unit)
+    met = draws(groups, keys, n, seed).join(numbered, [*keys, "g"]).groupBy(*keys, "rep", "_range", "score").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("pos", "neg")))
+    upto = F.sum("neg").over(Window.partitionBy(*keys, "rep", "_range").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
+    parts = met.withColumn("won", F.col("pos") * (2 * upto - F.col("neg"))).groupBy(*keys, "rep", "_range").agg(*(F.sum(c).alias(c) for c in ("won", "pos", "neg")))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy(*keys, "rep").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = parts.withColumn("won", F.col("won") + 2 * F.col("pos") * below).groupBy(*keys, "rep").agg(*(F.sum(c).alias(c) for c in ("won", "pos", "neg")))
+    return whole.select(*keys, "rep", ratio(F.col("won"), 2 * F.col("pos") * F.col("neg")).alias("v"))
+
+
+def interval(reps: DataFrame, keys: list[str], statistic: Column, level: float = 0.95, one_sided: bool = False) -> DataFrame:
+    """Percentile interval of the defined replicates; none where more than a tenth of them is undefined.
+
+    One-sided, all of the error lies at the upper end.
+    """
     x = reps.withColumn("v", statistic)
-    q = lambda p: F.percentile("v", F.lit(p))
-    return x.groupBy(*keys).agg(q((1 - level) / 2).alias("ci_low"), q((1 + level) / 2).alias("ci_high"), F.count("v").alias("replicates"), F.count_if(F.col("v").isNull()).alias("undefined"))
+    low, high = (0.0, level) if one_sided else ((1 - level) / 2, (1 + level) / 2)
+    q = lambda p: F.when(10 * F.count_if(F.col("v").isNull()) <= F.count("*"), F.percentile("v", F.lit(p)))
+    return x.groupBy(*keys).agg(q(low).alias("ci_low"), q(high).alias("ci_high"), F.count("v").alias("replicates"), F.count_if(F.col("v").isNull()).alias("undefined"))
 
 
 def recall(prefix: str = ""):

@@ -14,7 +14,11 @@ from warrantlake.operators import resample as R
 from warrantlake.sources.views import SCORED, TRAFFIC, scored_items, traffic
 
 KEY, TYPES, WINDOW, P0 = ["event_type"], ["click", "error", "purchase", "signup", "view"], 200, 0.15
-TAU, REPS = 0.1, 60
+TAU = 0.1
+#: Samples of the simulated nulls.
+NULLS = 400
+#: Bootstrap replicates, those of paired differences, and seeds of the stability sweep.
+REPS, PAIRED_REPS, SEEDS = 1000, 2000, 400
 
 EDGES = f"""{TRAFFIC}, cuts AS (SELECT event_type, list_sort(list_distinct(quantile_cont(value, [0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1]))) AS e FROM traffic WHERE NOT live GROUP BY 1),
 binned AS (SELECT t.event_type, live, value, greatest(1, least(len(e) - 1, len(list_filter(e, lambda c: c <= value)))) AS b FROM traffic t JOIN cuts c ON t.event_type = c.event_type),
@@ -92,6 +96,14 @@ GROUPS = f"""{SCORED}, grp AS (SELECT eval_set_id, question_id, count(*) FILTER
   row_number() OVER (PARTITION BY eval_set_id ORDER BY question_id) - 1 AS g, count(*) OVER (PARTITION BY eval_set_id) AS groups FROM scored GROUP BY 1, 2)"""
 
 
+def quantile_sql(p: float, v: str = "v") -> str:
+    """A percentile of the defined replicates; none where more than a tenth of them is undefined."""
+    return f"CASE WHEN 10 * count(*) FILTER ({v} IS NULL) <= count(*) THEN quantile_cont({v}, {p}) END"
+
+
+LOW, HIGH = (1 - 0.95) / 2, (1 + 0.95) / 2
+
+
 def _reps_sql(seed: str, n: int = REPS) -> str:
     return f"""sizes AS (SELECT eval_set_id, max(groups) AS groups FROM grp GROUP BY 1), dr AS (SELECT eval_set_id, groups, rep, unnest(range(0, groups)) AS i FROM (SELECT *, unnest(range(0, {n})) AS rep FROM sizes)),
     dw AS (SELECT eval_set_id, rep, {draw_sql(f"'{seed}'", "rep", "i")} % groups AS g FROM dr), reps AS (SELECT w.eval_set_id, w.rep, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM dw w JOIN grp x ON x.eval_set_id = w.eval_set_id AND x.g = w.g GROUP BY 1, 2)"""
@@ -107,7 +119,7 @@ def _bootstrap(name: str):
         x = R.interval(R.replicates(_groups(s, d), ["eval_set_id"], REPS, name, list(R.COUNTS)), ["eval_set_id"], statistic())
         return x.select("eval_set_id", F.round("ci_low", 9).alias("ci_low"), F.round("ci_high", 9).alias("ci_high"), "replicates", "undefined")
 
-    return build, f"WITH {GROUPS}, {_reps_sql(name)}, v AS (SELECT eval_set_id, {sql} AS v FROM reps) SELECT eval_set_id, round(quantile_cont(v, {(1 - 0.95) / 2}), 9) AS ci_low, round(quantile_cont(v, {(1 + 0.95) / 2}), 9) AS ci_high, count(v) AS replicates, count(*) FILTER (v IS NULL) AS undefined FROM v GROUP BY 1"
+    return build, f"WITH {GROUPS}, {_reps_sql(name)}, v AS (SELECT eval_set_id, {sql} AS v FROM reps) SELECT eval_set_id, round({quantile_sql(LOW)}, 9) AS ci_low, round({quantile_sql(HIGH)}, 9) AS ci_high, count(v) AS replicates, count(*) FILTER (v IS NULL) AS undefined FROM v GROUP BY 1"
 
 
 def _metric_block(s, d):
@@ -138,7 +150,7 @@ def _paired(s, d):
     a = R.numbered_groups(items, ["eval_set_id"], "question_id", TAU, "score", "a_")
     b = R.numbered_groups(items, ["eval_set_id"], "question_id", TAU, "other", "b_").drop("g", "groups")
     both = a.join(b, ["eval_set_id", "question_id"])
-    reps = R.replicates(both, ["eval_set_id"], REPS, "paired", ["a_tp", "a_fn", "b_tp", "b_fn"]).withColumn("v", R.recall("b_") - R.recall("a_"))
+    reps = R.replicates(both, ["eval_set_id"], PAIRED_REPS, "paired", ["a_tp", "a_fn", "b_tp", "b_fn"]).withColumn("v", R.recall("b_") - R.recall("a_"))
     x = reps.groupBy("eval_set_id").agg(F.percentile("v", F.lit(0.025)).alias("lo"), F.percentile("v", F.lit(0.975)).alias("hi"), F.stddev_samp("v").alias("se"))
     verdict = F.when((F.col("lo") > 0) | (F.col("hi") < 0), "difference").when((1.96 + 0.8416) * F.col("se") <= 0.1, "bounded").otherwise("UNDERPOWERED")
     return x.select("eval_set_id", F.round("lo", 9).alias("ci_low"), F.round("hi", 9).alias("ci_high"), F.round((1.96 + 0.8416) * F.col("se"), 6).alias("mde"), verdict.alias("verdict"))
@@ -147,7 +159,7 @@ def _paired(s, d):
 _PAIRED = f"""WITH {SCORED}, it AS (SELECT *, score * (0.5::DOUBLE + {draw_sql("'blur'", "item_id")} / 4503599627370496::DOUBLE) AS other FROM scored),
   grp AS (SELECT eval_set_id, question_id, count(*) FILTER (score >= {TAU} AND label = 1) AS a_tp, count(*) FILTER (score < {TAU} AND label = 1) AS a_fn, count(*) FILTER (other >= {TAU} AND label = 1) AS b_tp, count(*) FILTER (other < {TAU} AND label = 1) AS b_fn,
    row_number() OVER (PARTITION BY eval_set_id ORDER BY question_id) - 1 AS g, count(*) OVER (PARTITION BY eval_set_id) AS groups FROM it GROUP BY 1, 2),
-  sizes AS (SELECT eval_set_id, max(groups) AS groups FROM grp GROUP BY 1), dr AS (SELECT eval_set_id, groups, rep, unnest(range(0, groups)) AS i FROM (SELECT *, unnest(range(0, {REPS})) AS rep FROM sizes)),
+  sizes AS (SELECT eval_set_id, max(groups) AS groups FROM grp GROUP BY 1), dr AS (SELECT eval_set_id, groups, rep, unnest(range(0, groups)) AS i FROM (SELECT *, unnest(range(0, {PAIRED_REPS})) AS rep FROM sizes)),
   dw AS (SELECT eval_set_id, rep, {draw_sql("'paired'", "rep", "i")} % groups AS g FROM dr),
   v AS (SELECT w.eval_set_id, w.rep, CAST(sum(b_tp) AS DOUBLE) / nullif(sum(b_tp) + sum(b_fn), 0) - CAST(sum(a_tp) AS DOUBLE) / nullif(sum(a_tp) + sum(a_fn), 0) AS v FROM dw w JOIN grp x ON x.eval_set_id = w.eval_set_id AND x.g = w.g GROUP BY 1, 2),
   q AS (SELECT eval_set_id, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi, stddev_samp(v) AS se FROM v GROUP BY 1)
@@ -155,43 +167,46 @@ _PAIRED = f"""WITH {SCORED}, it AS (SELECT *, score * (0.5::DOUBLE + {draw_sql("
 
 
 def _seed_stability(s, d):
-    g = _groups(s, d)
-    out = None
-    for seed in range(5):
-        part = R.interval(R.replicates(g, ["eval_set_id"], 20, f"seed{seed}", list(R.COUNTS)), ["eval_set_id"], R.flag_rate()).withColumn("seed", F.lit(seed))
-        out = part if out is None else out.unionByName(part)
+    """The interval of the flag rate under many seeds: how much its lower end moves, and how often it clears a bar."""
+    g = _groups(s, d).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))))
+    sized = g.groupBy("eval_set_id", "seed").agg(F.max("groups").alias("groups"))
+    reps = R.draws(sized, ["eval_set_id", "seed"], REPS, F.concat(F.lit("seed"), F.col("seed").cast("string"))).join(F.broadcast(_groups(s, d)), ["eval_set_id", "g"])
+    rate = reps.groupBy("eval_set_id", "seed", "rep").agg(F.try_divide(F.sum(F.col("times") * (F.col("tp") + F.col("fp"))).cast("double"), F.sum(F.col("times") * (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))).cast("double")).alias("v"))
+    out = R.interval(rate, ["eval_set_id", "seed"], F.col("v"))
     return out.groupBy("eval_set_id").agg(F.round(F.avg("ci_low"), 9).alias("mean_low"), F.round(F.stddev_pop("ci_low"), 9).alias("sd_low"), F.round(F.min("ci_low"), 9).alias("least_low"), F.round(F.max("ci_low"), 9).alias("most_low"), F.round(F.avg((F.col("ci_low") >= 0.1).cast("double")), 9).alias("share_clear"))
 
 
 def _seed_stability_sql() -> str:
-    parts = []
-    for seed in range(5):
-        body = _reps_sql(f"seed{seed}", 20)
-        for n in ("sizes", "dr", "dw", "reps"):
-            body = body.replace(f"{n} AS (", f"{n}{seed} AS (").replace(f"FROM {n} ", f"FROM {n}{seed} ").replace(f"FROM {n})", f"FROM {n}{seed})")
-        parts.append(body)
-    union = " UNION ALL ".join(f"SELECT eval_set_id, quantile_cont(CAST(tp + fp AS DOUBLE) / (tp + fp + tn + fn), {(1 - 0.95) / 2}) AS lo FROM reps{i} GROUP BY 1" for i in range(5))
-    return f"WITH {GROUPS}, {', '.join(parts)}, u AS ({union}) SELECT eval_set_id, round(avg(lo), 9) AS mean_low, round(stddev_pop(lo), 9) AS sd_low, round(min(lo), 9) AS least_low, round(max(lo), 9) AS most_low, round(avg(CASE WHEN lo >= 0.1 THEN 1.0 ELSE 0.0 END), 9) AS share_clear FROM u GROUP BY 1"
+    return f"""WITH {GROUPS}, sizes AS (SELECT eval_set_id, max(groups) AS groups FROM grp GROUP BY 1),
+    dr AS (SELECT eval_set_id, groups, seed, rep, unnest(range(0, groups)) AS i FROM (SELECT *, unnest(range(0, {REPS})) AS rep FROM (SELECT *, unnest(range(0, {SEEDS})) AS seed FROM sizes))),
+    dw AS (SELECT eval_set_id, seed, rep, {draw_sql("'seed' || CAST(seed AS VARCHAR)", "rep", "i")} % groups AS g FROM dr),
+    reps AS (SELECT w.eval_set_id, seed, w.rep, CAST(sum(tp + fp) AS DOUBLE) / sum(tp + fp + tn + fn) AS v FROM dw w JOIN grp x ON x.eval_set_id = w.eval_set_id AND x.g = w.g GROUP BY 1, 2, 3),
+    u AS (SELECT eval_set_id, seed, quantile_cont(v, {LOW}) AS lo FROM reps GROUP BY 1, 2)
+    SELECT eval_set_id, round(avg(lo), 9) AS mean_low, round(stddev_pop(lo), 9) AS sd_low, round(min(lo), 9) AS least_low, round(max(lo), 9) AS most_low, round(avg(CASE WHEN lo >= 0.1 THEN 1.0 ELSE 0.0 END), 9) AS share_clear FROM u GROUP BY 1"""
 
 
 def _null_psi(s, d):
-    """Monte-Carlo null of PSI: 40 samples of 100 draws from each envelope, against the envelope."""
+    """Monte-Carlo null of PSI: reference and live samples are both drawn from each envelope, at the sizes that are compared."""
     env = _envelope(s, d)
     w = Window.partitionBy("event_type").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    cum = env.select("event_type", "bin", "p", F.sum("p").over(w).alias("upto"))
-    lists = cum.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "upto"))), lambda x: x["upto"]).alias("upto"))
-    u = lists.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("u", uniform(F.lit("null"), "rep", "i"))
-    b = u.select("event_type", "rep", F.least(F.size(F.filter("upto", lambda c: c <= F.col("u"))), F.size("upto") - 1).alias("bin")).groupBy("event_type", "rep", "bin").agg(F.count("*").alias("c"))
-    full = env.select("event_type", "bin", "p").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(39)))).join(b, ["event_type", "rep", "bin"], "left")
-    a = F.greatest(F.coalesce("c", F.lit(0)) / F.lit(100.0), F.lit(D.EPSILON))
-    v = full.groupBy("event_type", "rep").agg(F.sum((a - F.col("p")) * F.log(a / F.col("p"))).alias("v"))
+    cum = env.select("event_type", "bin", "p", "n_reference", F.sum("p").over(w).alias("upto"))
+    lists = cum.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "upto"))), lambda x: x["upto"]).alias("upto"), F.max("n_reference").alias("n_reference"))
+    sides = F.explode(F.array(F.struct(F.lit("ref").alias("side"), F.col("n_reference").cast("long").alias("n")), F.struct(F.lit("live").alias("side"), F.lit(WINDOW).cast("long").alias("n")))).alias("s")
+    u = lists.select("event_type", "upto", sides).select("event_type", "upto", "s.*").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(NULLS - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("u", uniform("side", "rep", "i"))
+    b = u.select("event_type", "rep", "n", "side", F.least(F.size(F.filter("upto", lambda c: c <= F.col("u"))), F.size("upto") - 1).alias("bin")).groupBy("event_type", "rep", "bin").agg(*(F.coalesce(F.count_if(F.col("side") == k) / F.max(F.when(F.col("side") == k, F.col("n"))), F.lit(0.0)).alias(k) for k in ("ref", "live")))
+    full = env.select("event_type", "bin").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(NULLS - 1)))).join(b, ["event_type", "rep", "bin"], "left")
+    share = lambda k: F.greatest(F.coalesce(k, F.lit(0.0)), F.lit(D.EPSILON))
+    v = full.groupBy("event_type", "rep").agg(F.sum((share("live") - share("ref")) * F.log(share("live") / share("ref"))).alias("v"))
     return v.groupBy("event_type").agg(F.round(F.percentile("v", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("v", F.lit(0.95)), 6).alias("p95"), F.round(F.percentile("v", F.lit(0.99)), 6).alias("p99"), F.round(F.avg((F.col("v") >= 0.1).cast("double")), 6).alias("false_alarm"))
 
 
-_NULL = f"""WITH {EDGES}, cum AS (SELECT event_type, b, p, sum(p) OVER (PARTITION BY event_type ORDER BY b ROWS UNBOUNDED PRECEDING) AS upto FROM envelope), l AS (SELECT event_type, list(upto ORDER BY b) AS upto FROM cum GROUP BY 1),
-  u AS (SELECT event_type, upto, rep, i, {draw_sql("'null'", "rep", "i")} / 4503599627370496::DOUBLE AS u FROM l, range(40) r(rep), range(100) q(i)),
-  k AS (SELECT event_type, rep, least(len(list_filter(upto, lambda c: c <= u)), len(upto) - 1) + 1 AS b, count(*) AS c FROM u GROUP BY 1, 2, 3),
-  v AS (SELECT e.event_type, r.rep, sum((greatest(coalesce(k.c, 0) / 100::DOUBLE, 1e-6) - p) * ln(greatest(coalesce(k.c, 0) / 100::DOUBLE, 1e-6) / p)) AS v FROM envelope e CROSS JOIN range(40) r(rep) LEFT JOIN k ON k.event_type = e.event_type AND k.rep = r.rep AND k.b = e.b GROUP BY 1, 2)
+_NULL = f"""WITH {EDGES}, cum AS (SELECT event_type, b, n, sum(p) OVER (PARTITION BY event_type ORDER BY b ROWS UNBOUNDED PRECEDING) AS upto FROM envelope), l AS (SELECT event_type, list(upto ORDER BY b) AS upto, max(n) AS n FROM cum GROUP BY 1),
+  sd AS (SELECT event_type, upto, 'ref' AS side, n FROM l UNION ALL SELECT event_type, upto, 'live', {WINDOW} FROM l),
+  u AS (SELECT event_type, upto, side, n, rep, i, {draw_sql("side", "rep", "i")} / 4503599627370496::DOUBLE AS u FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, unnest(range(0, {NULLS})) AS rep FROM sd))),
+  k AS (SELECT event_type, rep, side, n, least(len(list_filter(upto, lambda c: c <= u)), len(upto) - 1) + 1 AS b, count(*) AS c FROM u GROUP BY 1, 2, 3, 4, 5),
+  h AS (SELECT e.event_type, r.rep, e.b, greatest(coalesce(x.c / CAST(x.n AS DOUBLE), 0), 1e-6) AS live, greatest(coalesce(y.c / CAST(y.n AS DOUBLE), 0), 1e-6) AS ref FROM envelope e CROSS JOIN range({NULLS}) r(rep)
+    LEFT JOIN k x ON x.event_type = e.event_type AND x.rep = r.rep AND x.b = e.b AND x.side = 'live' LEFT JOIN k y ON y.event_type = e.event_type AND y.rep = r.rep AND y.b = e.b AND y.side = 'ref'),
+  v AS (SELECT event_type, rep, sum((live - ref) * ln(live / ref)) AS v FROM h GROUP BY 1, 2)
   SELECT event_type, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99, round(avg(CASE WHEN v >= 0.1 THEN 1.0 ELSE 0.0 END), 6) AS false_alarm FROM v GROUP BY 1"""
 
 
@@ -223,7 +238,7 @@ def _widened(s, d):
     return x.select("eval_set_id", F.round(F.col("v") - half, 9).alias("symmetric_low"), F.round(F.col("v") + half, 9).alias("symmetric_high"), F.round(F.col("v") - 1.5 * (F.col("v") - F.col("ci_low")), 9).alias("each_low"), F.round(F.col("v") + 1.5 * (F.col("ci_high") - F.col("v")), 9).alias("each_high"))
 
 
-_FLAG = f"{GROUPS}, {_reps_sql('flag_rate')}, v AS (SELECT eval_set_id, CAST(tp + fp AS DOUBLE) / (tp + fp + tn + fn) AS v FROM reps), q AS (SELECT eval_set_id, quantile_cont(v, {(1 - 0.95) / 2}) AS lo, quantile_cont(v, {(1 + 0.95) / 2}) AS hi FROM v GROUP BY 1), pt AS (SELECT eval_set_id, CAST(sum(tp + fp) AS DOUBLE) / sum(tp + fp + tn + fn) AS x FROM grp GROUP BY 1)"
+_FLAG = f"{GROUPS}, {_reps_sql('flag_rate')}, v AS (SELECT eval_set_id, CAST(tp + fp AS DOUBLE) / (tp + fp + tn + fn) AS v FROM reps), q AS (SELECT eval_set_id, {quantile_sql(LOW)} AS lo, {quantile_sql(HIGH)} AS hi FROM v GROUP BY 1), pt AS (SELECT eval_set_id, CAST(sum(tp + fp) AS DOUBLE) / sum(tp + fp + tn + fn) AS x FROM grp GROUP BY 1)"
 
 QUERIES = {
     "ag18_envelope": (lambda s, d: _envelope(s, d).select("event_type", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), F.round("p", 9).alias("p"), F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "n_reference"), f"WITH {EDGES} SELECT event_type, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 9) AS p, round(mean, 6) AS mean, round(std, 6) AS std, n AS n_reference FROM envelope"),

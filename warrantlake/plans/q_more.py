@@ -15,12 +15,12 @@ from warrantlake.operators import probe as P
 from warrantlake.operators import resample as R
 from warrantlake.operators import splits as S
 from warrantlake.operators import thresholds as H
-from warrantlake.plans.q_drift import GROUPS, PSI, REPS, TAU, _groups, _psi, _reps_sql
+from warrantlake.plans.q_drift import GROUPS, PSI, REPS, TAU, _groups, _psi, _reps_sql, quantile_sql
 from warrantlake.plans.q_metrics import BUDGET, KEYS, RATES
 from warrantlake.sources.views import SCORED, probe_items, scored_items, table
 
 _HALVES = f"""{SCORED}, va AS (SELECT * FROM scored WHERE item_id % 2 = 0), te AS (SELECT * FROM scored WHERE item_id % 2 = 1)"""
-REPEATS = 30
+REPEATS, IQR_SAMPLES = 1000, 20_000
 
 
 def _item_draws(items, seed: str):
@@ -84,18 +84,18 @@ _REGIMES = f"""WITH {SCORED}, it AS (SELECT *, score * (0.5::DOUBLE + {draw_sql(
 
 
 def _null_iqr(s, d):
-    """Ratio of interquartile ranges of small samples of a set's scores to that of the whole set: 50 hash samples of 12."""
+    """Ratio of interquartile ranges of small samples of a set's scores to that of the whole set, by hash samples of 12."""
     items = scored_items(s, d)
     whole = items.groupBy("eval_set_id").agg((F.percentile("score", F.lit(0.75)) - F.percentile("score", F.lit(0.25))).alias("whole"))
     n = items.withColumns({"g": F.row_number().over(Window.partitionBy("eval_set_id").orderBy("item_id")) - 1})
     sizes = items.groupBy("eval_set_id").agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(49)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("g", draw(F.lit("iqr"), "rep", "i") % F.col("n"))
+    draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(IQR_SAMPLES - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("g", draw(F.lit("iqr"), "rep", "i") % F.col("n"))
     v = draws.join(n, ["eval_set_id", "g"]).groupBy("eval_set_id", "rep").agg((F.percentile("score", F.lit(0.75)) - F.percentile("score", F.lit(0.25))).alias("v")).join(whole, "eval_set_id").withColumn("ratio", F.try_divide("v", "whole"))
     return v.groupBy("eval_set_id").agg(F.round(F.percentile("ratio", F.lit(0.05)), 6).alias("p05"), F.round(F.percentile("ratio", F.lit(0.5)), 6).alias("p50"), F.round(F.avg((F.col("ratio") < 0.439).cast("double")), 6).alias("false_alarm"))
 
 
 _IQR = f"""WITH {SCORED}, w AS (SELECT eval_set_id, count(*) AS n, quantile_cont(score, 0.75) - quantile_cont(score, 0.25) AS whole FROM scored GROUP BY 1), nn AS (SELECT *, row_number() OVER (PARTITION BY eval_set_id ORDER BY item_id) - 1 AS g FROM scored),
-  dr AS (SELECT eval_set_id, rep, {draw_sql("'iqr'", "rep", "i")} % n AS g, whole FROM w, range(50) a(rep), range(12) b(i)),
+  dr AS (SELECT eval_set_id, rep, {draw_sql("'iqr'", "rep", "i")} % n AS g, whole FROM w, range({IQR_SAMPLES}) a(rep), range(12) b(i)),
   v AS (SELECT dr.eval_set_id, rep, (quantile_cont(score, 0.75) - quantile_cont(score, 0.25)) / nullif(max(whole), 0) AS ratio FROM dr JOIN nn ON nn.eval_set_id = dr.eval_set_id AND nn.g = dr.g GROUP BY 1, 2)
   SELECT eval_set_id, round(quantile_cont(ratio, 0.05), 6) AS p05, round(quantile_cont(ratio, 0.5), 6) AS p50, round(avg(CASE WHEN ratio < 0.439 THEN 1::DOUBLE ELSE 0 END), 6) AS false_alarm FROM v GROUP BY 1"""
 
@@ -175,7 +175,7 @@ QUERIES = {
     "df14_span_fields": (_requests, "SELECT conv_id, turn, regexp_extract(text, '[0-9]+') AS span, length(regexp_extract(text, '[0-9]+')) AS length, regexp_extract(text, '[0-9]+') <> '' AS found FROM conversations"),
     "df04_interval_ratio": (
         lambda s, d: R.interval(R.replicates(_groups(s, d), ["eval_set_id"], REPS, "recall", list(R.COUNTS)), ["eval_set_id"], R.recall()).select("eval_set_id", F.round(F.try_divide(F.col("ci_high") - F.col("ci_low"), F.col("ci_high") + F.col("ci_low")), 6).alias("relative_width")),
-        f"WITH {GROUPS}, {_reps_sql('recall')}, v AS (SELECT eval_set_id, CAST(tp AS DOUBLE) / nullif(tp + fn, 0) AS v FROM reps), q AS (SELECT eval_set_id, quantile_cont(v, {(1 - 0.95) / 2}) AS lo, quantile_cont(v, {(1 + 0.95) / 2}) AS hi FROM v GROUP BY 1) SELECT eval_set_id, round((hi - lo) / nullif(hi + lo, 0), 6) AS relative_width FROM q",
+        f"WITH {GROUPS}, {_reps_sql('recall')}, v AS (SELECT eval_set_id, CAST(tp AS DOUBLE) / nullif(tp + fn, 0) AS v FROM reps), q AS (SELECT eval_set_id, {quantile_sql((1 - 0.95) / 2)} AS lo, {quantile_sql((1 + 0.95) / 2)} AS hi FROM v GROUP BY 1) SELECT eval_set_id, round((hi - lo) / nullif(hi + lo, 0), 6) AS relative_width FROM q",
     ),
     "pf12_metrics_long": (
         lambda s, d: M.rates(M.confusion(scored_items(s, d), KEYS, TAU)).select(*KEYS, F.explode(F.filter(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in ("recall", "precision", "fpr", "flag_rate")]), lambda x: x["value"].isNotNull())).alias("m")).select(*KEYS, "m.metric", "m.value"),
