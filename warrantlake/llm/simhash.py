@@ -12,7 +12,9 @@ the components, and linear in the group, not quadratic.
 
 Nulls: a null text is the empty text, whose fingerprint is zero and links like any other. A null ``doc_id`` is
 kept, and never a component id unless no other id is in the component. Copies share a fingerprint and are
-compared once. An empty table gives an empty result.
+compared once, and a fingerprint that many rows share is salted where its class goes back to them. Very long texts
+are read whole. An empty table gives an empty result. Only ``doc_id`` and ``text`` are read, whatever other columns
+there are.
 """
 
 from __future__ import annotations
@@ -27,11 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warrantlake.llm.common import written
+from warrantlake.llm.common import HOT, join_hot, written
 
 BITS = 64
 #: Pivots: five bits of each distance tuple go into one long per band.
 PIVOTS = 12
+#: Bands of bits, of which all but ``max_distance`` have to agree.
+BANDS = 5
 #: Rows of a key compared in one group, at most twice as many.
 CHUNK = 1024
 #: Groups up to this many rows are compared together, by offsets within the sorted batch.
@@ -153,11 +157,11 @@ def _group_edges(group: np.ndarray, values: np.ndarray, most: int) -> tuple[np.n
     return values[index[:, 0]].view(np.int64), values[index[:, 1]].view(np.int64)
 
 
-def links(distinct: DataFrame, bands: int = 4, max_distance: int = 3) -> DataFrame:
+def links(distinct: DataFrame, bands: int = BANDS, max_distance: int = 3) -> DataFrame:
     """(u, v): links between the distinct fingerprints of column ``fp``, a spanning forest of each compared group.
 
-    ``bands``: with 4, one band of 16 bits has to agree; more bands give more tables of longer keys (6: 20
-    tables of 32 bits), for corpora of billions of fingerprints. The links that follow are the same.
+    ``bands``: with 4, one band of 16 bits has to agree, in 4 tables; with 5, two of 13 bits in 10 tables, so that
+    billions of fingerprints meet some tens of others; with 6, three in 20. The classes that follow are the same.
     """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,10 +226,10 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_distance: int = 3, bands: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_distance: int = 3, bands: int = BANDS, hot: int = HOT) -> DataFrame:
     """(doc_id, fp, component_id): one row for each row of ``docs`` (columns ``doc_id`` and ``text``)."""
     marked = written(docs.select("doc_id", fingerprint_column(F.col("text"), shingle_words).alias("fp")), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
     roots = written(components(links(distinct, bands, max_distance)), "roots")
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", "root")
     linked = rooted.where("root is not null")
@@ -233,7 +237,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, max_distance: int =
     of_linked = linked.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     alone = rooted.where("root is null").select("fp", F.col("first_id").alias("component_id"))
     ids = written(of_linked.unionByName(alone), "ids")
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return join_hot(marked, ids, "fp", distinct.select("fp", "n"), "inner", hot).select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

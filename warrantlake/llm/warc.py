@@ -9,7 +9,9 @@ reads the index and, for each line, just the record's bytes. Nothing is extracte
 Of records whose payloads are equal and of at least ``LEAST_REVISIT`` bytes, that of the largest ``page_id`` is a
 response and the others revisit it. Nulls: a null html is the empty payload; a null ``page_id`` or url is written
 as an absent header and read back as null, and such a page is a response unless a payload's largest id is known.
-Pages of equal id are records of their own. An empty table gives no archives and no rows.
+Pages of equal id are records of their own. An empty table gives no archives and no rows. A payload that a third of
+the pages share is salted where its response is told. Very long pages are records like others. Only ``page_id``,
+``url`` and ``html`` are read, whatever other columns there are.
 
 Archives lie in the shared folder, reached by ``pyarrow.fs``. A task writes under a name of its own attempt, and
 the table of archives names those of the attempts that ended well.
@@ -29,7 +31,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from warrantlake.llm.common import shared_folder, written
+from warrantlake.llm.common import join_hot, shared_folder, written
 
 LEAST_REVISIT, ARCHIVE_BYTES = 1000, 32_000_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
@@ -196,9 +198,11 @@ def with_record_types(pages: DataFrame) -> DataFrame:
     payload = F.coalesce("html", F.lit("")).cast("binary")
     marked = pages.select("page_id", "url", "html", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
     shared = marked.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("payload_digest").agg(F.max("page_id").alias("original"), F.count("*").alias("n"))
-    shared = written(shared.where("n > 1 and original is not null").select("payload_digest", "original"), "originals")
+    shared = written(shared.where("n > 1 and original is not null").withColumnRenamed("payload_digest", "shared_digest"), "originals")
     revisits = (F.col("payload_bytes") >= LEAST_REVISIT) & F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    joined = marked.join(shared, "payload_digest", "left")
+    # Small payloads have no partner: each gets a key of its own, so that they aren't dealt to one place.
+    key = F.when(F.col("payload_bytes") >= LEAST_REVISIT, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string")))
+    joined = join_hot(marked.withColumn("shared_digest", key), shared.select("shared_digest", "original"), "shared_digest", shared.select("shared_digest", "n")).drop("shared_digest")
     return joined.withColumns({"record_type": F.when(revisits, "revisit").otherwise("response"), "refers_to": F.when(revisits, F.col("original"))}).drop("original")
 
 
