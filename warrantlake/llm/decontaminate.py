@@ -9,9 +9,11 @@ of an occurrence, so leaving them out loses none.
 
 A phrase is ``width`` consecutive words of a test item; an item of fewer words, but not none, is one phrase.
 
-The test items are read in blocks of bounded size, each searched in every shard; a document's spans and items
-are merged over the blocks. Nulls: a null or empty text has no words and no hits; a null item text has no
-phrases. Copies of an item are all named. Ids are compared as text. An empty benchmark hits nothing.
+The test items are read in blocks of bounded size, block by block through the driver, and searched in every shard,
+many blocks in one pass; a document's spans and items are merged over the blocks. Nulls: a null or empty text has no
+words and no hits; a null item text has no phrases. Copies of an item are all named, equal rows of documents are rows
+of their own, and very long texts are searched whole. Ids are compared as text. An empty benchmark hits nothing, an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,10 +26,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from warrantlake.llm.common import written
+
 #: Words a-z, 0-9 and everything beyond ASCII; the rest parts them.
 _PARTING = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-#: Bytes of test text in a block, and suffix positions from one sample to the next.
-BLOCK_BYTES, SAMPLE = 8_000_000, 8
+#: Bytes of test text in a block, about the bytes of built phrases in a pass, and suffix positions from one sample to
+#: the next. A byte of text takes some twelve bytes once built.
+BLOCK_BYTES, PASS_BYTES, SAMPLE = 1_000_000, 50_000_000, 8
 RESULT = "n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
@@ -122,17 +127,29 @@ class Phrases:
 
     def __init__(self, items: list[tuple[str, str | None]], width: int):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        self.items = sorted({str(item) for item, _ in items})
+        number = {item: i for i, item in enumerate(self.items)}
+        rows: dict[bytes, int] = {}
+        pairs: set[tuple[int, int]] = set()
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for at in range(max(1, len(ids) - width + 1) if ids else 0):
-                owners.setdefault(tuple(ids[at : at + width]), set()).add(str(item))
-        self.owners = [sorted(x) for x in owners.values()]
-        self.lengths = np.array([len(p) for p in owners], np.int64)
-        self.words = np.zeros((len(owners), width), np.int64)
-        for row, phrase in enumerate(owners):
-            self.words[row, : len(phrase)] = phrase
-        self.shortest = int(self.lengths.min()) if len(owners) else 0
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32)
+            for at in range(max(1, len(ids) - width + 1) if len(ids) else 0):
+                pairs.add((rows.setdefault(ids[at : at + width].tobytes(), len(rows)), number[str(item)]))
+        self.lengths = np.array([len(p) // 4 for p in rows], np.int32)
+        self.words = np.zeros((len(rows), width), np.int32)
+        for row, phrase in enumerate(rows):
+            self.words[row, : len(phrase) // 4] = np.frombuffer(phrase, np.int32)
+        # The items of a phrase lie together, from ``first`` on.
+        owned = np.array(sorted(pairs), np.int32).reshape(-1, 2)
+        self.owner, self.first = owned[:, 1].copy(), np.searchsorted(owned[:, 0], np.arange(len(rows) + 1)).astype(np.int64)
+        self.shortest = int(self.lengths.min()) if len(rows) else 0
+
+    def owners(self, phrase: int) -> list[str]:
+        return [self.items[i] for i in self.owner[self.first[phrase] : self.first[phrase + 1]]]
+
+    def size(self) -> int:
+        """About the bytes that it takes."""
+        return self.words.nbytes + self.owner.nbytes + self.first.nbytes + self.lengths.nbytes + sum(len(w) + 100 for w in self.vocabulary) + sum(len(i) + 60 for i in self.items)
 
 
 def _hits(texts: list[str | None], phrases: Phrases) -> tuple[list[int], list[tuple[int, int, int, int]]]:
@@ -185,9 +202,8 @@ def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[str, str | None]
         yield block
 
 
-def search_column(text: Column, phrases: list[Phrases], spark) -> Column:
-    """A struct column (``RESULT``) for each text; one pass over the shards for all blocks of phrases given."""
-    shipped = spark.sparkContext.broadcast(phrases)
+def search_column(text: Column, shipped) -> Column:
+    """A struct column (``RESULT``) for each text; one pass over the shards for all blocks of phrases broadcast."""
 
     @F.pandas_udf(RESULT)
     def search(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -199,33 +215,45 @@ def search_column(text: Column, phrases: list[Phrases], spark) -> Column:
                 counts, found = _hits(batch.tolist(), block)
                 for doc, a, b, phrase in found:
                     spans[doc].append((a, b))
-                    items[doc].update(block.owners[phrase])
+                    items[doc].update(block.owners(phrase))
             yield pd.DataFrame({"n_words": counts, "spans": [[{"start": a, "end": b} for a, b in merged(s)] for s in spans], "items": [sorted(x) for x in items]})
 
     return search(text)
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, width: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _passes(items: DataFrame, width: int, block_bytes: int, pass_bytes: int) -> Iterator[list[Phrases]]:
+    """Built blocks, as many together as one pass may carry; at least one pass."""
+    held, size = [], 0
+    for block in _blocks(items, block_bytes):
+        built = Phrases(block, width)
+        if held and size + built.size() > pass_bytes:
+            yield held
+            held, size = [], 0
+        held.append(built)
+        size += built.size()
+    yield held or [Phrases([], width)]
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, width: int = 13, block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """``docs`` with ``contamination``: n_words, merged word ``spans`` [start, end) and the ``items`` that occur.
 
-    Each block of items is broadcast on its own and is at most ``block_bytes`` and one item long.
+    A column of that name is replaced. The built phrases that one pass over the texts carries are at most
+    ``pass_bytes`` and one block; where there are more, each pass is written before the next one is broadcast.
     """
-    out = docs
-    for number, block in enumerate(_blocks(items, block_bytes)):
-        found = search_column(F.col("text"), [Phrases(block, width)], docs.sparkSession)
-        if number == 0:
+    spark, out = docs.sparkSession, docs.drop("contamination")
+    for number, built in enumerate(_passes(items, width, block_bytes, pass_bytes)):
+        if number:
+            out = written(out, f"pass-{number}")
+            shipped.destroy()
+        shipped = spark.sparkContext.broadcast(built)
+        found = search_column(F.col("text"), shipped)
+        if not number:
             out = out.withColumn("contamination", found)
             continue
-        out = out.withColumn("_more", found).withColumn(
-            "contamination",
-            F.struct(
-                F.col("contamination.n_words").alias("n_words"),
-                F.concat("contamination.spans", "_more.spans").alias("spans"),
-                F.array_union("contamination.items", "_more.items").alias("items"),
-            ),
-        ).drop("_more")
-    if "contamination" not in out.columns:
-        out = out.withColumn("contamination", search_column(F.col("text"), [Phrases([], width)], docs.sparkSession))
+        whole = out.select(F.struct("*").alias("row"), found.alias("more"))
+        was, more = F.col("row.contamination"), F.col("more")
+        both = F.struct(was["n_words"].alias("n_words"), F.concat(was["spans"], more["spans"]).alias("spans"), F.array_union(was["items"], more["items"]).alias("items"))
+        out = whole.withColumn("row", F.col("row").withField("contamination", both)).select("row.*")
     return out
 
 
