@@ -3,6 +3,7 @@
 import hashlib
 import html as html_lib
 import io
+import pickle
 import random
 import re
 import time
@@ -206,6 +207,18 @@ def test_archives_round_trip(spark, tmp_path):
     assert empty.count() == 0 and warc.read_archives(empty).count() == 0
 
 
+def test_a_hot_payload_and_repeated_ids(spark, tmp_path, monkeypatch):
+    join = warc.join_hot
+    monkeypatch.setattr(warc, "join_hot", lambda *a: join(*a, hot=20))
+    pages = [(i, "boilerplate " * 100 if i % 3 else f"page {i} " * 200) for i in range(300)]
+    table = spark.createDataFrame([(i, None, h) for i, h in pages], "page_id long, url string, html string")
+    pages_ok(warc.read_archives(warc.write_archives(warc.with_record_types(table), str(tmp_path / "w"))).collect(), pages)
+    odd = [(5, "x" * 2000), (5, "x" * 2000), (None, "x" * 2000), (None, "short"), (3, "y" * 2000), (3, "z" * 2000)]
+    table = spark.createDataFrame([(i, None, h) for i, h in odd], "page_id long, url string, html string")
+    found = warc.read_archives(warc.write_archives(warc.with_record_types(table), str(tmp_path / "o"))).collect()
+    assert Counter((r["page_id"], r["record_type"], r["refers_to"]) for r in found) == Counter([(5, "response", None)] * 2 + [(None, "revisit", 5), (None, "response", None)] + [(3, "response", None)] * 2)
+
+
 @pytest.mark.parametrize("wide", [False, True])
 def test_zip_directories(wide):
     out = io.BytesIO()
@@ -268,6 +281,59 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert not any(rows[i] for i, _ in junk) and sum(not rows[i] for i, _ in clean) <= 1
 
 
+def plain_mcd(rows, steps=quality.STEPS):
+    """{id: kept} of (id, lang, source, text) rows, all in numpy."""
+    stats = {i: counted(t) for i, _, _, t in rows}
+    passed = [(i, lang, src) for i, lang, src, _ in rows if not stats[i][5]]
+    x = {i: np.array([np.log1p(n), c / max(n, 1), np.log1p(100 * s / max(c, 1)), np.sqrt(r / max(n, 1)), np.log1p(d)]) for i in stats for n, c, s, d, r, _ in [stats[i]]}
+    own, of_lang = Counter((lang, src) for _, lang, src in passed), Counter()
+    for (lang, _), n in own.items():
+        of_lang[lang] += n if n < quality.LEAST else 0
+    rest = sum(n for n in of_lang.values() if 0 < n < quality.LEAST)
+    groups = defaultdict(list)
+    for i, lang, src in passed:
+        groups[(lang, src) if own[lang, src] >= quality.LEAST else lang if of_lang[lang] >= quality.LEAST else "" if rest >= quality.LEAST else None].append(i)
+    kept = {i: not s[5] for i, s in stats.items()}
+    spread = np.array(quality.SPREAD)
+    share = lambda v, q: np.sort(v)[max(0, int(np.ceil(q * len(v))) - 1)]
+
+    def estimate(part):
+        return part.mean(axis=0), np.cov(part.T, bias=True) + np.diag(spread**2)
+
+    def distance(points, mean, cov):
+        return np.einsum("ij,jk,ik->i", points - mean, np.linalg.inv(cov), points - mean)
+
+    for name, ids in groups.items():
+        if name is None:
+            continue
+        z = np.array([x[i] for i in ids])
+        med = np.array([share(c, 0.5) for c in z.T])
+        mad = np.array([share(abs(c - m), 0.5) for c, m in zip(z.T, med, strict=True)])
+        scaled = abs(z - med) / (1.4826 * mad + spread)
+        found = []
+        for d in ((scaled**2).sum(axis=1), scaled.max(axis=1)):
+            for _ in range(steps):
+                mean, cov = estimate(z[d <= share(d, quality.COVERAGE)])
+                d = distance(z, mean, cov)
+            found.append((np.linalg.slogdet(cov)[1], mean, cov, share(d, 0.5) / quality.MEDIAN))
+        _, mean, cov, scale = min(found, key=lambda f: f[0])
+        mean, cov = estimate(z[distance(z, mean, cov) <= quality.USUAL * max(scale, 1e-3)])
+        for i, d in zip(ids, distance(z, mean, cov), strict=True):
+            kept[i] = bool(d <= quality.CUTOFF)
+    return kept
+
+
+def test_verdicts_equal_a_plain_estimate(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["lang"], r["source"], r["text"]) for r in docs.collect()]
+    want, more = plain_mcd(rows), plain_mcd(rows, quality.STEPS + 4)
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs).collect()}
+    assert sum(not v for v in want.values()) > sum(counted(t)[5] for *_, t in rows) + 20
+    assert sum(got[i] != want[i] for i in want) <= 0.005 * len(want)
+    # Further concentration steps change next to nothing.
+    assert sum(more[i] != want[i] for i in want) <= 0.005 * len(want)
+
+
 # --- 5: decontamination
 
 
@@ -300,7 +366,7 @@ def test_contamination(spark, odd, nothing, docs, monkeypatch, block):
     rows = [*ODD, (50, "x " + " ".join(q[3:17]) + " alpha-BETA y"), (51, " ".join(q[:12])), (52, "the " * 400), (53, " ".join(q + q))]
     table = documents(spark, rows).select("doc_id", "text")
     find = decontaminate.find_contamination
-    monkeypatch.setattr(decontaminate, "find_contamination", lambda d, i: find(d, i, block_bytes=block))
+    monkeypatch.setattr(decontaminate, "find_contamination", lambda d, i: find(d, i, block_bytes=block, pass_bytes=decontaminate.PASS_BYTES if block > 1000 else 4000))
     expected = lambda t, its: Counter((r["doc_id"], *(lambda c: (c[0], c[1], tuple(c[2]), c[3]))(contamination(r["text"], its))) for r in t.collect())
     assert contaminated(table, items) == expected(table, ITEMS)
     assert contaminated(table, items.where("false")) == expected(table, [])
@@ -310,6 +376,27 @@ def test_contamination(spark, odd, nothing, docs, monkeypatch, block):
         assert contaminated(docs.select("doc_id", "text"), bench) == expected(docs, [tuple(r) for r in bench.collect()])
 
 
+def test_large_benchmarks_take_passes_of_bounded_size(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(200_000)}" for _ in range(2000))) for i in range(450)]
+    table = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    built = list(decontaminate._passes(table, 13, decontaminate.BLOCK_BYTES, decontaminate.PASS_BYTES))
+    assert len(built) > 1 and sum(len(b.lengths) for blocks in built for b in blocks) == 450 * 1988
+    assert all(len(pickle.dumps(b)) <= 1.2 * b.size() for blocks in built for b in blocks)
+    assert all(sum(b.size() for b in blocks) <= decontaminate.PASS_BYTES for blocks in built)
+
+
+def test_a_column_called_contamination_is_replaced(spark):
+    mine = documents(spark, [(1, "alpha beta"), (2, "gamma")]).withColumn("row", F.lit("mine"))
+    for items in ([(1, "alpha beta")], []):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        for most in (decontaminate.PASS_BYTES, 1):
+            found = decontaminate.find_contamination(mine, bench, block_bytes=1, pass_bytes=most)
+            assert sorted(found.columns) == sorted(mine.columns)
+            assert {r["doc_id"]: r["contamination"]["items"] for r in found.collect()} == {1: ["1"] if items else [], 2: []}
+            assert {r["row"] for r in found.collect()} == {"mine"}
+
+
 def test_index_ranks_and_places():
     rng = np.random.default_rng(8)
     for size in (2, 5, 40):
@@ -371,7 +458,32 @@ def test_near_duplicates(spark, odd, nothing, docs):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
-@pytest.mark.parametrize("bands", [4, 6])
+def test_a_hot_fingerprint_is_salted(spark):
+    rows = [(i, "the same text over and over" if i % 3 else f"text number {i} with words of its own {i * 7} and {i * 13}") for i in range(900)]
+    table = documents(spark, rows).repartition(6)
+    got = Counter((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in simhash.near_duplicates(table, hot=50).collect())
+    assert got == plain_components(rows)
+
+
+def test_what_the_pivots_discard():
+    """Of random pairs that share a candidate key, almost all go by the largest difference of pivot distances; no link does."""
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 2**64, 60_000, dtype=np.uint64)
+    pairs = kept = 0
+    for _, key in simhash.table_keys(values, simhash.BANDS, 3):
+        order = np.argsort(key, kind="stable")
+        same = np.flatnonzero(key[order][1:] == key[order][:-1])
+        a, b = values[order[same]], values[order[same + 1]]
+        da, db = simhash.pivot_distances(a, simhash.pivots()), simhash.pivot_distances(b, simhash.pivots())
+        pairs += len(a)
+        kept += int((np.abs(da - db).max(axis=1) <= 3).sum())
+    assert pairs > 300 and kept <= 0.05 * pairs
+    near = values ^ (np.uint64(1) << rng.integers(0, 64, len(values), dtype=np.uint64))
+    d, e = simhash.pivot_distances(values, simhash.pivots()), simhash.pivot_distances(near, simhash.pivots())
+    assert len(simhash._linked(values, near, d, e, 3)) == len(values)
+
+
+@pytest.mark.parametrize("bands", [4, 5, 6])
 def test_links_of_dense_and_sparse_fingerprints(spark, monkeypatch, bands):
     monkeypatch.setattr(simhash, "CHUNK", 40)
     rng = random.Random(2)
@@ -733,6 +845,9 @@ def test_pipeline_on_an_odd_table(spark, odd, nothing):
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= 0
 
 
-def test_tables_are_pandas_free_where_native(spark, docs):
-    plan = quality.base_statistics(docs)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", plan)
+def test_tables_are_pandas_free_where_native(spark, docs, monkeypatch):
+    plans, write = [], quality.written
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    monkeypatch.setattr(quality, "written", lambda df, name: write(seen(df), name))
+    seen(quality.op4_mcd(spark, SF))
+    assert len(plans) > 5 and not any(re.search("Python|Arrow|Pandas", p) for p in plans)

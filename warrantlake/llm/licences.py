@@ -9,7 +9,8 @@ of the template's words that stand where they should.
 
 Base phrases are counted on their own, wherever their words stand consecutively. Nulls: a null text has no words.
 Empty texts have empty labels and score 0. Copies are scanned alike. Words are those of the whole text, so very
-long texts have all their places found.
+long texts have all their places found. An empty table gives no rows. Only ``text`` is read, and the result is one
+column, which the caller names, so other columns may have any name.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ than ``LEAST`` rows are judged with the small groups of their language, and if t
 
 Nulls: a null text has no words and fails the base rules; null languages and sources are groups of their own.
 Where even the last group has fewer than ``LEAST`` rows, the base rules alone decide. Copies are rows like any
-other. An empty table gives no rows.
+other. An empty table gives no rows. Very long texts are counted whole. Repeated windows are told by a 64-bit hash of
+their three words; two different windows of one text share a hash with a probability of about w * w / 2^65 for w
+words. Only ``doc_id``, ``lang``, ``source`` and ``text`` are read, whatever other columns there are.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ between splitters, where each gets its place.
 
 The driver holds probes and their counts alone: a number fixed by the count of ranges, not by rows. Law
 ``bytes``. Nulls: a null text has no bytes and size 1; null ids hash like any other. Rows of equal id and text are
-one key and stay together. An empty table gives no rows; with fewer rows than shards some shards are empty.
+one key and stay together. An empty table gives no rows; with fewer rows than shards some shards are empty. Very long
+texts are rows of their size. Only ``doc_id`` and ``text`` are read, so other columns may have any name; those that
+``write_shards`` writes may not be called ``shard`` or ``_range``.
 """
 
 from __future__ import annotations
