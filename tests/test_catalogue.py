@@ -18,4 +18,5 @@ def test_query_equals_its_sql(spark, con, name):
     if sql:
         assert differences(df, con, sql) == ""
     else:
-        assert df.count() >= 0
+        # Compared with plain Python in test_evidence and test_operators.
+        assert df.count() > 0

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from warrantlake.functions import bounds, text
-from warrantlake.operators import drift, ledger, matrix, metrics, probe, thresholds
+from warrantlake.operators import drift, ledger, matrix, metrics, probe, ranges, thresholds
 from warrantlake.streaming import monitor
 
 
@@ -38,7 +38,7 @@ def test_curve_area_is_the_rank_statistic(spark):
     rng = np.random.default_rng(3)
     rows = [("a", int(y), float(round(s, 1))) for y, s in zip(rng.integers(0, 2, 300), rng.random(300), strict=True)]
     x = items(spark, rows)
-    assert metrics.roc_area(metrics.roc(x, ["k"]), ["k"]).first()["area"] == pytest.approx(metrics.auroc(x, ["k"]).first()["auroc"])
+    assert metrics.roc_area(x, ["k"]).first()["area"] == pytest.approx(metrics.auroc(x, ["k"]).first()["auroc"])
 
 
 def test_nothing_flagged_has_precision_zero(spark):
@@ -75,7 +75,7 @@ def test_psi_of_itself_is_zero_and_outside_values_are_kept(spark):
 
 def test_breach_is_revoked_and_latched(spark):
     x = spark.range(400).select(F.lit(0).alias("k"), F.col("id"), ((F.col("id") % 2 == 0) & (F.col("id") < 200)).alias("x"))
-    rows = drift.e_process(x, "k", ["id"], F.col("x"), 0.05).orderBy("id").collect()
+    rows = drift.e_process(x, "k", F.col("id"), ["id"], F.col("x"), 0.05).orderBy("id").collect()
     assert rows[199]["revoked"] and rows[399]["revoked"]
 
 
@@ -120,7 +120,7 @@ def test_stream_verdicts_and_ledger(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     got = {r["event_id"]: (r["n"], round(r["psi"], 6)) for r in spark.table("verdicts").collect()}
-    batch = drift.sliding_psi(events.withColumn("shard", F.col("user_id") % 4), "shard", ["ts", "event_id"], list(expected), "event_type", expected, 50)
+    batch = drift.sliding_psi(events.withColumn("shard", F.col("user_id") % 4), "shard", F.unix_micros(F.col("ts").cast("timestamp")), ["ts", "event_id"], list(expected), "event_type", expected, 50)
     assert got == {r["event_id"]: (r["n"], round(r["psi"], 6)) for r in batch.collect()}
     path = str(tmp_path / "ledger")
     sink = monitor.to_ledger(path)
@@ -128,3 +128,35 @@ def test_stream_verdicts_and_ledger(spark, tmp_path):
     n = spark.read.parquet(path).count()
     sink(spark.table("verdicts"), 0)
     assert spark.read.parquet(path).count() == n == spark.table("verdicts").where("state in ('MODERATE', 'SIGNIFICANT')").count()
+
+
+def test_ranged_numbers_running_values_and_quantiles(spark):
+    rng = np.random.default_rng(6)
+    rows = [("ab"[i % 7 == 0], i, int(v), float(v) / 4) for i, v in enumerate(rng.integers(0, 400, 3000))]
+    x = spark.createDataFrame(rows, "k string, id int, v int, f double").repartition(5)
+    got = {r["id"]: r["nth"] for r in ranges.numbered(x, ["k"], F.col("v"), ["v", "id"]).collect()}
+    for k in "ab":
+        part = sorted((v, i) for key, i, v, _ in rows if key == k)
+        assert all(got[i] == n + 1 for n, (_, i) in enumerate(part))
+    most = {r["id"]: r["m"] for r in ranges.accumulated(ranges.ranged(x, ["k"], F.col("id")), ["k"], ["id"], {"m": F.col("v")}, F.max).collect()}
+    upto = {"a": 0, "b": 0}
+    for k, i, v, _ in rows:
+        upto[k] = max(upto[k], v)
+        assert most[i] == upto[k]
+    q = {r["k"]: r for r in ranges.quantiles(x, ["k"], "f", {"low": 0.025, "mid": 0.5, "top": 1.0}).collect()}
+    for k in "ab":
+        values = [f for key, *_, f in rows if key == k]
+        assert np.allclose([q[k]["low"], q[k]["mid"], q[k]["top"]], np.quantile(values, [0.025, 0.5, 1.0]))
+
+
+def test_sliding_frames_reach_over_blocks(spark):
+    rng = np.random.default_rng(8)
+    kinds = rng.choice(["a", "b"], 700, p=[0.7, 0.3]).tolist()
+    x = spark.createDataFrame([("s", i, k) for i, k in enumerate(kinds)], "k string, id long, kind string")
+    blocks, own = ranges.framed(x, ["k"], F.col("id"), ["id"], 50, size=60)
+    assert blocks.select("_block").distinct().count() > 5 and blocks.where(own).count() == 700
+    got = {r["id"]: r["psi"] for r in drift.sliding_psi(x, "k", F.col("id"), ["id"], ["a", "b"], "kind", {"a": 0.5, "b": 0.5}, 50).collect()}
+    for i in range(700):
+        part = kinds[max(0, i - 49) : i + 1]
+        shares = [max(part.count(c) / len(part), 1e-6) for c in "ab"]
+        assert got[i] == pytest.approx(sum((a - 0.5) * np.log(a / 0.5) for a in shares))

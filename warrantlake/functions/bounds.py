@@ -93,3 +93,21 @@ def certify(scores: DataFrame, keys: list[str], cluster: str, target: float, pro
     ok: Column = F.col("cp_upper") <= target
     # A threshold just above a score flags the clusters that lie higher.
     return bounded.groupBy(*keys).agg(F.min(F.when(ok, F.col("score"))).alias("above"), F.max("n").alias("clusters"), (F.max("n") < least_clean(target, alpha / profiles)).alias("too_few"))
+
+
+def _bisect_sql(inside: str, tail: float, n: str, rising: bool) -> str:
+    """SQL for the p at which the binomial sum over ``inside`` has the tail: 60 halvings of [0, 1]."""
+    middle = "((s[1] + s[2]) / 2)"
+    term = f"exp(lgamma({n} + 1) - lgamma(j + 1) - lgamma({n} - j + 1) + j * ln({middle}) + ({n} - j) * ln(1 - {middle}))"
+    below = f"list_sum(list_transform({inside}, lambda j: {term})) {'<' if rising else '>='} {tail!r}::DOUBLE"
+    halved = f"list_reduce(list_transform(range(60), lambda i: [0.0::DOUBLE, 1.0::DOUBLE]), lambda s, x: CASE WHEN {below} THEN [{middle}, s[2]] ELSE [s[1], {middle}] END, [0.0::DOUBLE, 1.0::DOUBLE])"
+    return f"list_sum({halved}) / 2"
+
+
+def low_sql(k: str, n: str, tail: float = 0.025) -> str:
+    """The exact lower bound of k of n as SQL, by binomial sums: an independent form for the oracles."""
+    return f"CASE WHEN {k} = 0 THEN 0.0::DOUBLE ELSE {_bisect_sql(f'range(CAST({k} AS BIGINT), CAST({n} AS BIGINT) + 1)', tail, n, True)} END"
+
+
+def high_sql(k: str, n: str, tail: float = 0.025) -> str:
+    return f"CASE WHEN {k} = {n} THEN 1.0::DOUBLE ELSE {_bisect_sql(f'range(0, CAST({k} AS BIGINT) + 1)', tail, n, False)} END"

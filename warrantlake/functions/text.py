@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Phrases that say that no answer is known.
-ABSTENTIONS = ["i don't know", "i do not know", "not sure", "cannot answer", "can't answer", "no idea", "unknown"]
+ABSTENTIONS = ["i don't know", "i do not know", "i'm not sure", "i am not sure", "i cannot", "unable to", "no information"]
 #: Identifier shapes (Java and Python syntax alike) and the confidence of each.
 WORD_DIGITS = r"(?:zero|one|two|three|four|five|six|seven|eight|nine)"
 OBFUSCATED = [(rf"\b\d{{4,8}}(?:\s+{WORD_DIGITS}){{3,}}", 0.62), (r"\b[X*x]{4,}\s*\d{2,6}\b", 0.58), (r"\b\d{2}[*X]{4,}\d{2}\b", 0.58), (r"\b\d{3,7}\s*(?:ka|wala|\(space\)|-)\s*\d{3,7}\b", 0.52)]

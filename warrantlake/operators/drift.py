@@ -7,13 +7,16 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from warrantlake.operators import ranges as G
+
 EPSILON, STABLE, SIGNIFICANT = 1e-6, 0.10, 0.25
 
 
 def edges(reference: DataFrame, keys: list[str], value: str, bins: int = 8) -> DataFrame:
     """Distinct quantile edges by group; constant data gets one bin around its value."""
-    cut = F.array_distinct(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)])))
-    return reference.groupBy(*keys).agg(cut.alias("e")).select(*keys, F.when(F.size("e") > 1, F.col("e")).otherwise(F.array(F.get("e", F.lit(0)) - 1, F.get("e", F.lit(0)) + 1)).alias("edges"))
+    cuts = G.quantiles(reference, keys, value, {f"e{i}": i / bins for i in range(bins + 1)})
+    e = cuts.select(*keys, F.array_distinct(F.array(*[f"e{i}" for i in range(bins + 1)])).alias("e"))
+    return e.select(*keys, F.when(F.size("e") > 1, F.col("e")).otherwise(F.array(F.get("e", F.lit(0)) - 1, F.get("e", F.lit(0)) + 1)).alias("edges"))
 
 
 def bin_of(value: Column, cuts: Column) -> Column:
@@ -56,17 +59,22 @@ def ladder(status: Column, verdict: Column) -> Column:
     return F.when((status == "REFUSED") | (verdict == "INSUFFICIENT_DATA"), status).when(verdict == "INSIDE", "VALID").when(verdict == "MODERATE", "STALE").otherwise("REVOKED")
 
 
-def sliding_psi(stream: DataFrame, key: str, order: list[str], categories: list[str], category: str, expected: dict[str, float], window: int) -> DataFrame:
-    """PSI over the last ``window`` rows of each key, by one conditional sum for each category over one frame."""
-    frame = Window.partitionBy(key).orderBy(*order).rowsBetween(1 - window, 0)
-    x = stream.withColumn("n", F.count("*").over(frame))
+def sliding_psi(stream: DataFrame, key: str, lead: Column, order: list[str], categories: list[str], category: str, expected: dict[str, float], window: int) -> DataFrame:
+    """PSI over the last ``window`` rows of each key, by one conditional sum for each category over one frame.
+
+    A key's rows are cut into blocks that overlap by the frame, so that few keys are many tasks; ``order`` begins
+    with ``lead``.
+    """
+    blocks, own = G.framed(stream, [key], lead, order, window)
+    frame = Window.partitionBy(key, "_block").orderBy("_nth").rowsBetween(1 - window, 0)
+    x = blocks.withColumn("n", F.count("*").over(frame))
     for i, c in enumerate(categories):
         x = x.withColumn(f"c{i}", F.count_if(F.col(category) == c).over(frame))
     total = F.lit(0.0)
     for i, c in enumerate(categories):
         a, e = F.greatest(F.col(f"c{i}") / F.col("n"), F.lit(EPSILON)), F.lit(max(expected[c], EPSILON))
         total = total + (a - e) * F.log(a / e)
-    return x.withColumn("psi", total).drop(*(f"c{i}" for i in range(len(categories))))
+    return x.withColumn("psi", total).where(own).drop(*(f"c{i}" for i in range(len(categories))), "_block", "_own", "_nth")
 
 
 def bets(p0: float, n: int = 40, low: float = 0.01) -> list[float]:
@@ -75,15 +83,16 @@ def bets(p0: float, n: int = 40, low: float = 0.01) -> list[float]:
     return [low * (high / low) ** (i / (n - 1)) for i in range(n)]
 
 
-def e_process(stream: DataFrame, key: str, order: list[str], x: Column, p0: float, n_bets: int = 40) -> DataFrame:
+def e_process(stream: DataFrame, key: str, lead: Column, order: list[str], x: Column, p0: float, n_bets: int = 40) -> DataFrame:
     """log wealth of the mixture of bets after each row; the wealth is linear in running counts for every stake.
 
-    ``revoked`` is latched: it holds once wealth has ever reached 1/0.05 in the key.
+    ``revoked`` is latched: it holds once wealth has ever reached 1/0.05 in the key. Counts and the latch run in
+    ranges of ``lead``, with which ``order`` begins.
     """
-    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = stream.withColumns({"k": F.sum(x.cast("long")).over(upto), "n": F.count("*").over(upto)})
+    run = G.accumulated(G.ranged(stream, [key], lead), [key], order, {"k": x.cast("long"), "n": F.lit(1).cast("long")})
     logs = F.array(*[F.col("k") * math.log1p(b * (1 - p0)) + (F.col("n") - F.col("k")) * math.log1p(-b * p0) for b in bets(p0, n_bets)])
     run = run.withColumn("logs", logs).withColumn("most", F.array_max("logs"))
     mixed = F.col("most") + F.log(F.aggregate(F.transform("logs", lambda v: F.exp(v - F.col("most"))), F.lit(0.0), lambda a, v: a + v) / n_bets)
     run = run.withColumn("log_wealth", mixed).drop("logs", "most")
-    return run.withColumn("revoked", F.max(F.col("log_wealth")).over(upto) >= math.log(20))
+    latched = G.accumulated(run, [key], order, {"most": F.col("log_wealth")}, F.max)
+    return latched.withColumn("revoked", F.col("most") >= math.log(20)).drop("most", "_range")

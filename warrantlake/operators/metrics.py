@@ -97,11 +97,11 @@ def roc(items: DataFrame, keys: list[str]) -> DataFrame:
     return origin.unionByName(vertices)
 
 
-def roc_area(curve: DataFrame, keys: list[str]) -> DataFrame:
-    """The trapezoid area below a ROC."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("threshold"))
-    step = curve.withColumns({"f0": F.lag("fpr").over(order), "t0": F.lag("tpr").over(order)})
-    return step.groupBy(*keys).agg(F.sum((F.col("fpr") - F.col("f0")) * (F.col("tpr") + F.col("t0")) / 2).alias("area"))
+def roc_area(items: DataFrame, keys: list[str]) -> DataFrame:
+    """The trapezoid area below the ROC: each vertex knows the one before it by its own counts, so none looks back."""
+    at = _from_the_top(items, keys)
+    f0, t0 = ratio(F.col("fp") - F.col("neg"), F.col("q")), ratio(F.col("tp") - F.col("pos"), F.col("p"))
+    return at.groupBy(*keys).agg(F.sum((ratio(F.col("fp"), F.col("q")) - f0) * (ratio(F.col("tp"), F.col("p")) + t0) / 2).alias("area"))
 
 
 def roc_slope(curve: DataFrame, keys: list[str], points: DataFrame, window: float = 0.05) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from warrantlake.functions.rng import draw
+from warrantlake.operators import ranges as G
 
 SPLITS = ("train", "validation", "test")
 
@@ -14,8 +15,9 @@ def by_group(items: DataFrame, group: str, seed: str, fractions: tuple[float, fl
     """Whole groups into splits: by the rank of their hash, cut at rounded shares of their number (of a stratum)."""
     strata = strata or []
     groups = items.select(group, *strata).distinct().withColumn("h", draw(F.lit(seed), group))
-    order, whole = Window.partitionBy(*strata or [F.lit(0)]).orderBy("h", group), Window.partitionBy(*strata or [F.lit(0)])
-    ranked = groups.withColumns({"r": F.row_number().over(order), "n": F.count("*").over(whole)})
+    sizes = groups.groupBy(*strata).agg(F.count("*").alias("n"))
+    placed = G.numbered(groups, strata, F.col("h"), ["h", group], "r")
+    ranked = placed.join(sizes, strata) if strata else placed.crossJoin(F.broadcast(sizes))
     first, second = F.floor(F.col("n") * fractions[0] + 0.5), F.floor(F.col("n") * (fractions[0] + fractions[1]) + 0.5)
     split = F.when(F.col("r") <= first, SPLITS[0]).when(F.col("r") <= second, SPLITS[1]).otherwise(SPLITS[2])
     return items.join(ranked.select(group, *strata, split.alias("split")), [group, *strata])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from warrantlake.operators.metrics import confusion_at_every_score, rates, ratio, running, totals
+from warrantlake.operators.ranges import quantiles
 
 Z95 = 1.959963984540054
 
@@ -25,7 +26,7 @@ def kth_largest(items: DataFrame, keys: list[str], budget: float) -> DataFrame:
 
 
 def quantile(items: DataFrame, keys: list[str], budget: float) -> DataFrame:
-    return items.groupBy(*keys).agg(F.percentile("score", F.lit(1 - budget)).alias("threshold"))
+    return quantiles(items, keys, "score", {"threshold": 1 - budget})
 
 
 def least_weighted_error(items: DataFrame, keys: list[str], w_fpr: float, w_fnr: float) -> DataFrame:

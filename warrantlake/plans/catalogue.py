@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from warrantlake.plans import q_drift, q_ledger, q_matrix, q_metrics, q_more, q_records, q_rest, q_text
+from warrantlake.plans import q_drift, q_evidence, q_ledger, q_matrix, q_metrics, q_more, q_records, q_rest, q_text, q_validate
 
 QUERIES: dict = {}
-for _module in (q_metrics, q_drift, q_ledger, q_matrix, q_text, q_records, q_more, q_rest):
+for _module in (q_metrics, q_drift, q_evidence, q_ledger, q_matrix, q_text, q_records, q_more, q_rest, q_validate):
     QUERIES |= _module.QUERIES

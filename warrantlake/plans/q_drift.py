@@ -51,7 +51,7 @@ def _window_rate(s, d):
 
 def _sliding(s, d):
     expected = {c: 0.2 for c in TYPES}
-    x = D.sliding_psi(traffic(s, d).withColumn("shard", F.col("user_id") % 4), "shard", ["ts", "event_id"], TYPES, "event_type", expected, WINDOW)
+    x = D.sliding_psi(traffic(s, d).withColumn("shard", F.col("user_id") % 4), "shard", F.unix_micros(F.col("ts").cast("timestamp")), ["ts", "event_id"], TYPES, "event_type", expected, WINDOW)
     return x.select("event_id", "n", F.round("psi", 6).alias("psi"), D.state(F.col("psi"), F.col("n"), WINDOW).alias("state"))
 
 
@@ -70,7 +70,7 @@ def _ladder(s, d):
 
 
 def _eprocess(s, d):
-    x = D.e_process(traffic(s, d).withColumn("shard", F.col("user_id") % 8), "shard", ["ts", "event_id"], F.col("event_type") == "error", P0)
+    x = D.e_process(traffic(s, d).withColumn("shard", F.col("user_id") % 8), "shard", F.unix_micros(F.col("ts").cast("timestamp")), ["ts", "event_id"], F.col("event_type") == "error", P0)
     return x.select("event_id", "n", "k", F.round("log_wealth", 6).alias("log_wealth"), "revoked")
 
 
@@ -122,28 +122,6 @@ def _bootstrap(name: str):
     return build, f"WITH {GROUPS}, {_reps_sql(name)}, v AS (SELECT eval_set_id, {sql} AS v FROM reps) SELECT eval_set_id, round({quantile_sql(LOW)}, 9) AS ci_low, round({quantile_sql(HIGH)}, 9) AS ci_high, count(v) AS replicates, count(*) FILTER (v IS NULL) AS undefined FROM v GROUP BY 1"
 
 
-def _metric_block(s, d):
-    """Point values with bootstrap intervals, stretched to hold the point."""
-    points = M.rates(M.confusion(scored_items(s, d), ["eval_set_id"], TAU))
-    reps = R.replicates(_groups(s, d), ["eval_set_id"], REPS, "block", list(R.COUNTS))
-    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("value")) for n in _STATS])).alias("m")
-    long = points.select("eval_set_id", "n", rows).select("eval_set_id", "n", "m.*")
-    out = None
-    for n, (_, statistic) in _STATS.items():
-        part = R.interval(reps, ["eval_set_id"], statistic()).withColumn("metric", F.lit(n))
-        out = part if out is None else out.unionByName(part)
-    x = long.join(out, ["eval_set_id", "metric"], "left")
-    return x.select("eval_set_id", "metric", "n", F.round("value", 9).alias("value"), F.round(F.least("ci_low", "value"), 9).alias("ci_low"), F.round(F.greatest("ci_high", "value"), 9).alias("ci_high"))
-
-
-def _metric_block_sql() -> str:
-    points = " UNION ALL ".join(f"SELECT eval_set_id, '{n}' AS metric, n, {n} AS value FROM pts" for n in _STATS)
-    reps = " UNION ALL ".join(f"SELECT eval_set_id, '{n}' AS metric, quantile_cont({q}, {(1 - 0.95) / 2}) AS lo, quantile_cont({q}, {(1 + 0.95) / 2}) AS hi FROM reps GROUP BY 1" for n, (q, _) in _STATS.items())
-    return f"""WITH {GROUPS}, {_reps_sql("block")}, tot AS (SELECT eval_set_id, sum(tp) AS tp, sum(fp) AS fp, sum(tn) AS tn, sum(fn) AS fn FROM grp GROUP BY 1),
-    pts AS (SELECT eval_set_id, CAST(tp + fp + tn + fn AS BIGINT) AS n, CAST(tp AS DOUBLE) / nullif(tp + fn, 0) AS recall, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0) AS precision, CAST(tp + fp AS DOUBLE) / (tp + fp + tn + fn) AS flag_rate FROM tot),
-    p AS ({points}), r AS ({reps}) SELECT p.eval_set_id, p.metric, n, round(value, 9) AS value, round(least(lo, value), 9) AS ci_low, round(greatest(hi, value), 9) AS ci_high FROM p LEFT JOIN r ON r.eval_set_id = p.eval_set_id AND r.metric = p.metric"""
-
-
 def _paired(s, d):
     """Difference in recall of two scores over the same draws: the score, and a hash-blurred one."""
     items = scored_items(s, d).withColumn("other", F.col("score") * (0.5 + uniform(F.lit("blur"), "item_id")))
@@ -257,7 +235,6 @@ QUERIES = {
     "st01_bootstrap_recall": _bootstrap("recall"),
     "st01_bootstrap_precision": _bootstrap("precision"),
     "st18_bootstrap_flag_rate": _bootstrap("flag_rate"),
-    "ag10_metric_block": (_metric_block, _metric_block_sql()),
     "st07_seed_stability": (_seed_stability, _seed_stability_sql()),
     "st08_paired_difference": (_paired, _PAIRED),
     "st12_n_to_detect": (_n_to_detect, f"WITH {GROUPS}, pt AS (SELECT eval_set_id, CAST(sum(tp + fp) AS DOUBLE) / sum(tp + fp + tn + fn) AS t FROM grp GROUP BY 1), m AS (SELECT *, t * 1.25::DOUBLE AS mv FROM pt WHERE t > 0) SELECT eval_set_id, CAST(ceil({1.96 * 1.96!r}::DOUBLE * mv * (1 - mv) / pow(mv - t, 2)) AS BIGINT) AS n_needed FROM m"),

@@ -70,9 +70,9 @@ QUERIES = {
         SELECT session_id, seq, concat_ws('+', CASE WHEN bad_hash THEN 'hash' END, CASE WHEN bad_link THEN 'link' END) AS reason FROM y WHERE bad_hash OR bad_link""",
     ),
     "wn07_declared_purge": (
-        # Records before 1995 are gone; sessions of even id declare the anchor at which their chain now begins.
+        # The ledger's first thousand records are gone; sessions of even id declare the anchor at which their chain now begins.
         lambda s, d: _purged_breaks(s, d),
-        f"""WITH {_CHAINS}, k AS (SELECT c.*, l.created_at FROM chain c JOIN ledger l ON l.seq = c.seq), kept AS (SELECT * FROM k WHERE created_at >= TIMESTAMP '1995-01-01'),
+        f"""WITH {_CHAINS}, kept AS (SELECT * FROM chain WHERE seq > 1000),
         f AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq) AS nth FROM kept)
         SELECT session_id, seq, 'link' AS reason FROM f WHERE nth = 1 AND prev_hash <> 'GENESIS' AND session_id % 2 = 1""",
     ),
@@ -89,7 +89,7 @@ QUERIES = {
         lambda s, d: L.override_summary(_overrides(s, d), ["stratum"]),
         f"WITH {_OVERRIDES} SELECT stratum, count(*) AS n, count(*) FILTER (direction = 'none') AS upheld, count(*) FILTER (direction <> 'none') AS overridden, round(coalesce(sum(1 / p) FILTER (direction = 'false_negative'), 0), 6) AS weighted_false_negatives, round(coalesce(sum(1 / p) FILTER (direction = 'false_positive'), 0), 6) AS weighted_false_positives FROM ov GROUP BY 1",
     ),
-    "ag26_one_hash": (lambda s, d: _led(s, d).groupBy("kind").agg((F.count_distinct(F.sha2(F.substring("body", -3, 3), 256)) == 1).alias("consistent")), f"WITH {LEDGER} SELECT kind, count(DISTINCT sha256(right(body, 3))) = 1 AS consistent FROM ledger GROUP BY 1"),
+    "ag26_one_hash": (lambda s, d: _led(s, d).groupBy("session_id").agg((F.count_distinct(F.sha2("detector_versions", 256)) == 1).alias("consistent")), f"WITH {LEDGER} SELECT session_id, count(DISTINCT sha256(detector_versions)) = 1 AS consistent FROM ledger GROUP BY 1"),
     "jn07_overrides_of_certificate": (
         lambda s, d: _overrides(s, d).where("direction <> 'none'").groupBy("session_id").agg(F.count("*").alias("overrides")).join(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("session_id"), "c_mktsegment"), "session_id"),
         f"WITH {_OVERRIDES} SELECT session_id, count(*) AS overrides, any_value(c_mktsegment) AS c_mktsegment FROM ov JOIN customer ON c_custkey = session_id WHERE direction <> 'none' GROUP BY 1",
@@ -99,15 +99,10 @@ QUERIES = {
         f"WITH {LEDGER} SELECT kind, arg_max(body, seq) AS last_body, min(seq) AS first_seq, min(seq) > 8 AS truncated FROM ledger GROUP BY 1",
     ),
     "df11_override_weight": (lambda s, d: _overrides(s, d).groupBy("direction", "selection_probability").agg(F.count("*").alias("n")).withColumns({"weight": 1 / F.col("selection_probability"), "is_false_negative": F.col("direction") == "false_negative"}), f"WITH {_OVERRIDES} SELECT direction, p AS selection_probability, count(*) AS n, 1 / p AS weight, direction = 'false_negative' AS is_false_negative FROM ov GROUP BY 1, 2"),
-    "ud14_validation_queue": (
-        lambda s, d: _led(s, d).select("session_id").distinct().join(_led(s, d).where("kind = 'urgent'"), "session_id", "left_anti"),
-        f"WITH {LEDGER} SELECT DISTINCT session_id FROM ledger l WHERE NOT EXISTS (SELECT 1 FROM ledger x WHERE x.session_id = l.session_id AND x.kind = 'urgent')",
-    ),
 }
 
 
 def _purged_breaks(s, d):
-    led = _led(s, d)
-    rows = L.chained(led.select("session_id", "seq", "body"), "session_id").join(led.select("seq", "created_at"), "seq")
-    gone = rows.where("created_at < '1995-01-01'").groupBy("session_id").agg(F.max_by("self_hash", "seq").alias("anchor"))
-    return L.breaks(rows.where("created_at >= '1995-01-01'"), "session_id", gone.where("session_id % 2 = 0"))
+    rows = L.chained(_led(s, d).select("session_id", "seq", "body"), "session_id")
+    gone = rows.where("seq <= 1000").groupBy("session_id").agg(F.max_by("self_hash", "seq").alias("anchor"))
+    return L.breaks(rows.where("seq > 1000"), "session_id", gone.where("session_id % 2 = 0"))

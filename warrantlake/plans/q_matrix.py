@@ -124,14 +124,21 @@ def _diff(s, d):
 
 
 _SEL = ", ".join(KEY)
+
+
+def _tiers(s, d):
+    """The access tier of each detector."""
+    return s.read.parquet(f"{d}/supplier.parquet").groupBy(F.concat(F.lit("D"), F.col("s_suppkey").cast("string")).alias("detector_id")).agg((F.min("s_nationkey") % 3).alias("tier"))
+
+
 QUERIES = {
     "sr14_issue": (lambda s, d: _issued(s, d).select(*KEY, F.round("recall_low", 9).alias("recall_low"), F.concat_ws("; ", "reasons").alias("reasons"), "status"), f"WITH {ISSUED} SELECT {_SEL}, round(recall_low, 9) AS recall_low, array_to_string(reasons, '; ') AS reasons, first_status AS status FROM st"),
     "df01_cell_status": (lambda s, d: _cells(s, d).select(*KEY, "status"), f"WITH {ISSUED} SELECT {_SEL}, status FROM cells"),
     "jn03_matrix_summary": (_summary, f"WITH {ISSUED}, names AS (SELECT unnest(['REFUSED', 'REVOKED', 'UNVALIDATED', 'STALE', 'VALID']) AS status) SELECT n.status, count(f.status) AS cells FROM names n LEFT JOIN full_m f ON f.status = n.status GROUP BY 1"),
     "jn03_full_matrix": (lambda s, d: _full(s, d).select("detector_id", "envelope_id", "operating_point_id", "status"), f"WITH {ISSUED} SELECT * FROM full_m"),
     "jn04_unvalidated": (
-        lambda s, d: _cells(s, d).select("detector_id").distinct().join(_cells(s, d).where("envelope_id = 'E1998-03'"), "detector_id", "left_anti"),
-        f"WITH {ISSUED} SELECT DISTINCT detector_id FROM cells c WHERE NOT EXISTS (SELECT 1 FROM cells x WHERE x.detector_id = c.detector_id AND x.envelope_id = 'E1998-03')",
+        lambda s, d: _cells(s, d).select("detector_id").distinct().join(_cells(s, d).where("envelope_id = 'E2001-11'"), "detector_id", "left_anti"),
+        f"WITH {ISSUED} SELECT DISTINCT detector_id FROM cells c WHERE NOT EXISTS (SELECT 1 FROM cells x WHERE x.detector_id = c.detector_id AND x.envelope_id = 'E2001-11')",
     ),
     "jn05_cell_lookup": (lambda s, d: _requirements(s, d).join(_cells(s, d).select(*KEY, "status"), KEY, "left").select("bundle", *KEY, F.coalesce("status", F.lit("UNVALIDATED")).alias("status")), f"WITH {_RESOLVED} SELECT bundle, {_SEL}, coalesce(status, 'UNVALIDATED') AS status FROM j"),
     "jn06_resolve_bundle": (
@@ -190,8 +197,16 @@ QUERIES = {
         f"WITH {ISSUED} SELECT {_SEL}, concat_ws('|', {_SEL}) AS key, 'W-' || substr(sha256(concat_ws('|', {_SEL}, 'v1')), 1, 16) AS warrant_id FROM cells",
     ),
     "df13_status_flags": (lambda s, d: _full(s, d).groupBy("status").agg(F.count("*").alias("cells")).withColumns({"can_be_relied_upon": F.col("status") == "VALID", "was_ever_measured": F.col("status") != "UNVALIDATED"}), f"WITH {ISSUED} SELECT status, count(*) AS cells, status = 'VALID' AS can_be_relied_upon, status <> 'UNVALIDATED' AS was_ever_measured FROM full_m GROUP BY 1"),
-    "ud08_canary": (
-        lambda s, d: warrant_facts(s, d).groupBy("detector_id").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")).withColumn("passed", F.col("hits") == F.col("n")),
-        f"WITH {WARRANTS} SELECT detector_id, CAST(sum(hits) AS BIGINT) AS hits, CAST(sum(n) AS BIGINT) AS n, sum(hits) = sum(n) AS passed FROM warrants GROUP BY 1",
+    "pf15_measured": (
+        lambda s, d: _cells(s, d).select(*KEY, F.when(F.col("operating_point_id") == "P-A", "measured").when(F.col("operating_point_id") == "P-N", "fixture").alias("data_source")).withColumn("measured", F.col("data_source").eqNullSafe(F.lit("measured"))).groupBy("envelope_id", "measured").agg(F.count("*").alias("warrants")),
+        f"WITH {ISSUED} SELECT envelope_id, operating_point_id = 'P-A' AS measured, count(*) AS warrants FROM cells GROUP BY 1, 2",
+    ),
+    "pf16_pinned_tier": (
+        lambda s, d: _cells(s, d).join(_tiers(s, d), "detector_id").where("tier = 1").select(*KEY, "status"),
+        f"WITH {ISSUED}, t AS (SELECT 'D' || CAST(s_suppkey AS VARCHAR) AS detector_id, min(s_nationkey) % 3 AS tier FROM supplier GROUP BY 1) SELECT c.detector_id, operating_point_id, envelope_id, status FROM cells c JOIN t ON t.detector_id = c.detector_id WHERE tier = 1",
+    ),
+    "ud14_validation_queue": (
+        lambda s, d: _requirements(s, d).join(_cells(s, d).select(*KEY), KEY, "left_anti").select("bundle", *KEY),
+        f"WITH {ISSUED}, {_REQ} SELECT bundle, {_SEL} FROM req r WHERE NOT EXISTS (SELECT 1 FROM cells c WHERE c.detector_id = r.detector_id AND c.operating_point_id = r.operating_point_id AND c.envelope_id = r.envelope_id)",
     ),
 }

@@ -6,6 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from warrantlake.operators import metrics as M
+from warrantlake.operators import ranges as G
+from warrantlake.operators import resample as R
 from warrantlake.operators import thresholds as T
 from warrantlake.sources.views import SCORED, scored_items
 
@@ -162,32 +164,42 @@ def _branch(s, d):
     return M.auroc(_items(s, d), KEYS).select(*KEYS, F.when(a.isNull(), "C").when(a >= 0.6, "A").when(a >= 0.5, "B").otherwise("C").alias("branch"), F.coalesce(a <= 0.55, F.lit(True)).alias("below_floor"))
 
 
+#: The band of wrong questions, the ratio of spreads below which scores are saturated, and the bar of an issue.
+BAND, SATURATION, MIN_AUROC_LOW = (3, 9), 0.439, 0.55
+
+
 def _pilot(s, d):
-    """The pilot's ladder: how many questions went wrong, whether scores are saturated, whether the area clears."""
+    """The pilot's ladder: questions that went wrong, the spread of scores against a reference set, the area's lower bound."""
     items = _items(s, d)
-    stats = items.groupBy(*KEYS).agg(F.count_distinct(F.when(F.col("label") == 1, F.col("question_id"))).alias("wrong_questions"), (F.percentile("score", F.lit(0.75)) - F.percentile("score", F.lit(0.25))).alias("iqr"))
-    overall = items.agg((F.percentile("score", F.lit(0.75)) - F.percentile("score", F.lit(0.25))).alias("whole")).first()["whole"]
-    r = stats.join(M.auroc(items, KEYS), KEYS).withColumn("ratio", F.try_divide(F.col("iqr"), F.lit(overall)))
-    verdict = F.when(~F.col("wrong_questions").between(3, 19), "outside band").when(F.col("ratio") < 0.439, "saturated").when(F.coalesce(F.col("auroc") < 0.55, F.lit(True)), "not above chance").otherwise("clears")
-    return r.select(*KEYS, "wrong_questions", F.round("ratio", 6).alias("iqr_ratio"), verdict.alias("verdict"))
+    wrong = items.groupBy(*KEYS).agg(F.count_distinct(F.when(F.col("label") == 1, F.col("question_id"))).alias("wrong_questions"))
+    spread = G.quantiles(items, KEYS, "score", {"low": 0.25, "high": 0.75}).select(*KEYS, (F.col("high") - F.col("low")).alias("iqr"))
+    whole = spread.where("eval_set_id = 'en'").select(F.col("iqr").alias("whole"))
+    reps = R.replicate_auroc(items, R.numbered_groups(items, KEYS, "question_id", TAU), KEYS, "question_id", 1000, "block")
+    low = R.interval(reps, KEYS, F.col("v")).select(*KEYS, "ci_low")
+    r = wrong.join(spread, KEYS).join(low, KEYS, "left").crossJoin(F.broadcast(whole)).withColumn("ratio", F.try_divide("iqr", "whole"))
+    branch = F.when(~F.col("wrong_questions").between(*BAND), "construction_defect").when(F.col("ratio") < SATURATION, "saturation").when(F.col("ci_low") < MIN_AUROC_LOW, "probe_does_not_transfer").otherwise("clears")
+    return r.select(*KEYS, "wrong_questions", F.round("ratio", 6).alias("iqr_ratio"), F.round("ci_low", 9).alias("auroc_low"), branch.alias("branch"), (branch == "saturation").alias("consumes_retry"))
 
 
 def _prompt_summary(s, d):
     docs = s.read.parquet(f"{d}/documents.parquet")
     chars, words = F.length("text"), F.size(F.filter(F.split("text", "[ \t-\r]+"), lambda w: w != ""))
     x = docs.select("lang", chars.alias("c"), words.alias("w"))
-    return x.groupBy("lang").agg(F.count("*").alias("n"), *(e for k, c in (("chars", "c"), ("words", "w")) for e in (F.round(F.avg(c), 6).alias(f"{k}_mean"), F.percentile(c, F.lit(0.5)).alias(f"{k}_median"), F.min(c).cast("long").alias(f"{k}_min"), F.max(c).cast("long").alias(f"{k}_max"))))
+    plain = x.groupBy("lang").agg(F.count("*").alias("n"), *(e for k, c in (("chars", "c"), ("words", "w")) for e in (F.round(F.avg(c), 6).alias(f"{k}_mean"), F.min(c).cast("long").alias(f"{k}_min"), F.max(c).cast("long").alias(f"{k}_max"))))
+    return plain.join(G.quantiles(x, ["lang"], "c", {"chars_median": 0.5}), "lang").join(G.quantiles(x, ["lang"], "w", {"words_median": 0.5}), "lang")
 
 
 def _token_lengths(s, d):
     docs = s.read.parquet(f"{d}/documents.parquet").select("source", F.size(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))).alias("t"))
-    q = lambda p: F.percentile("t", F.lit(p))
-    return docs.groupBy("source").agg(F.round(F.avg("t"), 6).alias("mean"), q(0.5).alias("median"), (q(0.75) - q(0.25)).alias("iqr"), F.min("t").cast("long").alias("least"), F.max("t").cast("long").alias("most"))
+    q = G.quantiles(docs, ["source"], "t", {"low": 0.25, "median": 0.5, "high": 0.75})
+    plain = docs.groupBy("source").agg(F.round(F.avg("t"), 6).alias("mean"), F.min("t").cast("long").alias("least"), F.max("t").cast("long").alias("most"))
+    return plain.join(q, "source").select("source", "mean", "median", (F.col("high") - F.col("low")).alias("iqr"), "least", "most")
 
 
 def _latency(s, d):
     e = s.read.parquet(f"{d}/events.parquet")
-    return e.groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias("median"), F.percentile("value", F.lit(0.95)).alias("p95"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most"))
+    q = G.quantiles(e, ["event_type"], "value", {"median": 0.5, "p95": 0.95})
+    return q.join(e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("least"), F.max("value").alias("most")), "event_type")
 
 
 QUERIES = {
@@ -246,7 +258,7 @@ QUERIES = {
     "th02_kth_threshold": (lambda s, d: T.kth_largest(_items(s, d), KEYS, BUDGET), f"WITH {SCORED}, r AS (SELECT eval_set_id, score, row_number() OVER (PARTITION BY eval_set_id ORDER BY score DESC) AS nth, count(*) OVER (PARTITION BY eval_set_id) AS n FROM scored) SELECT eval_set_id, max(score) AS threshold FROM r WHERE nth = greatest(1, CAST(round_even({BUDGET} * n, 0) AS BIGINT)) GROUP BY 1"),
     "th03_quantile_threshold": (lambda s, d: T.quantile(_items(s, d), KEYS, BUDGET).select(*KEYS, F.round("threshold", 9).alias("threshold")), f"WITH {SCORED} SELECT eval_set_id, round(quantile_cont(score, {1 - BUDGET}), 9) AS threshold FROM scored GROUP BY 1"),
     "th04_roc_curve": (_curve, f"WITH {CURVE} SELECT * FROM curve"),
-    "th04_roc_area": (lambda s, d: M.roc_area(_curve(s, d), KEYS).select(*KEYS, F.round("area", 9).alias("area")), f"WITH {SCORED}, {_auroc_sql()} SELECT eval_set_id, round(auroc, 9) AS area FROM area"),
+    "th04_roc_area": (lambda s, d: M.roc_area(_items(s, d), KEYS).select(*KEYS, F.round("area", 9).alias("area")), f"WITH {SCORED}, {_auroc_sql()} SELECT eval_set_id, round(auroc, 9) AS area FROM area"),
     "th05_roc_slope": (_slopes, f"WITH {_CURVE_RATES}, {_SLOPE_SQL} SELECT eval_set_id, round(at_fpr, 9) AS at_fpr, round(slope, 6) AS slope, round(width, 9) AS width FROM slopes"),
     "th06_op_geometry": (_geometry, f"WITH {_CURVE_RATES}, {_SLOPE_SQL} SELECT r.eval_set_id, fpr, recall AS tpr, flag_rate, round(slope, 6) AS slope, round(slope / nullif(slope * base_rate + (1 - base_rate), 0) / 100, 6) AS recall_per_point FROM rates r JOIN slopes s ON r.eval_set_id = s.eval_set_id"),
     "th08_lift": (lambda s, d: _rates(s, d).select(*KEYS, F.round(T.lift(F.col("recall"), F.col("flag_rate")), 9).alias("lift")), f"WITH {RATES} SELECT eval_set_id, round(recall / nullif(flag_rate, 0), 9) AS lift FROM rates"),
@@ -265,12 +277,6 @@ QUERIES = {
     "th14_achieved_risk": (_achieved, f"WITH {RATES}, x AS (SELECT *, base_rate * (1 - recall) / nullif(1 - flag_rate, 0) AS r FROM rates), y AS (SELECT *, CASE WHEN r < 1 THEN greatest(0, (base_rate - r) / (1 - r)) END AS fl FROM x) SELECT eval_set_id, round(r, 9) AS residual_risk, round(fl, 9) AS floor, CASE WHEN fl > 1e-9 THEN round(flag_rate / fl, 6) END AS efficiency FROM y"),
     "th15_review_volume": (_volume, f"WITH {RATES} SELECT eval_set_id, round(flag_rate * 100000, 4) AS flagged, round(base_rate * recall * 100000, 4) AS true_flags, round(greatest(0, flag_rate * 100000 - base_rate * recall * 100000), 4) AS false_flags, round(greatest(0, base_rate * 100000 - base_rate * recall * 100000), 4) AS missed FROM rates"),
     "th16_sample_size": (lambda s, d: _rates(s, d).select(*KEYS, T.sample_size(F.col("recall"), 0.05, 1.5).cast("long").alias("items")), f"WITH {RATES} SELECT eval_set_id, CAST(ceil(1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE * recall * (1 - recall) / (0.05::DOUBLE * 0.05::DOUBLE) * 1.5::DOUBLE) AS BIGINT) AS items FROM rates"),
-    "th17_pilot_ladder": (
-        _pilot,
-        f"""WITH {SCORED}, {_auroc_sql()}, o AS (SELECT quantile_cont(score, 0.75) - quantile_cont(score, 0.25) AS whole FROM scored),
-        x AS (SELECT eval_set_id, count(DISTINCT CASE WHEN label = 1 THEN question_id END) AS wrong_questions, quantile_cont(score, 0.75) - quantile_cont(score, 0.25) AS iqr FROM scored GROUP BY 1)
-        SELECT x.eval_set_id, wrong_questions, round(iqr / whole, 6) AS iqr_ratio, CASE WHEN wrong_questions NOT BETWEEN 3 AND 19 THEN 'outside band' WHEN iqr / whole < 0.439 THEN 'saturated' WHEN coalesce(auroc < 0.55, true) THEN 'not above chance' ELSE 'clears' END AS verdict FROM x JOIN area a ON x.eval_set_id = a.eval_set_id, o""",
-    ),
     "th18_branch": (_branch, f"WITH {SCORED}, {_auroc_sql()} SELECT eval_set_id, CASE WHEN auroc >= 0.6 THEN 'A' WHEN auroc >= 0.5 THEN 'B' ELSE 'C' END AS branch, coalesce(auroc <= 0.55, true) AS below_floor FROM area"),
     "th20_probe_score": (
         _top_two,

@@ -12,11 +12,13 @@ from warrantlake.functions.rng import draw, draw_sql, uniform
 from warrantlake.operators import drift as D
 from warrantlake.operators import metrics as M
 from warrantlake.operators import probe as P
+from warrantlake.operators import ranges as G
 from warrantlake.operators import resample as R
 from warrantlake.operators import splits as S
 from warrantlake.operators import thresholds as H
 from warrantlake.plans.q_drift import GROUPS, PSI, REPS, TAU, _groups, _psi, _reps_sql, quantile_sql
 from warrantlake.plans.q_metrics import BUDGET, KEYS, RATES
+from warrantlake.plans.q_text import _ABSTAINS
 from warrantlake.sources.views import SCORED, probe_items, scored_items, table
 
 _HALVES = f"""{SCORED}, va AS (SELECT * FROM scored WHERE item_id % 2 = 0), te AS (SELECT * FROM scored WHERE item_id % 2 = 1)"""
@@ -25,11 +27,11 @@ REPEATS, IQR_SAMPLES = 1000, 20_000
 
 def _item_draws(items, seed: str):
     """Items numbered by id, and for each replicate as many draws of them as there are."""
-    n = items.withColumns({"g": F.row_number().over(Window.partitionBy("eval_set_id").orderBy("item_id")) - 1, "n": F.count("*").over(Window.partitionBy("eval_set_id"))})
-    sizes = n.groupBy("eval_set_id").agg(F.max("n").alias("n"))
+    n = G.numbered(items, ["eval_set_id"], F.col("item_id"), ["item_id"], "g").withColumn("g", F.col("g") - 1)
+    sizes = items.groupBy("eval_set_id").agg(F.count("*").alias("n"))
     draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     picked = draws.withColumn("g", draw(F.lit(seed), "rep", "i") % F.col("n")).groupBy("eval_set_id", "rep", "g").agg(F.count("*").alias("times"))
-    return picked.join(n.drop("n"), ["eval_set_id", "g"])
+    return picked.join(n, ["eval_set_id", "g"])
 
 
 def _selection_aware(s, d):
@@ -87,7 +89,7 @@ def _null_iqr(s, d):
     """Ratio of interquartile ranges of small samples of a set's scores to that of the whole set, by hash samples of 12."""
     items = scored_items(s, d)
     whole = items.groupBy("eval_set_id").agg((F.percentile("score", F.lit(0.75)) - F.percentile("score", F.lit(0.25))).alias("whole"))
-    n = items.withColumns({"g": F.row_number().over(Window.partitionBy("eval_set_id").orderBy("item_id")) - 1})
+    n = G.numbered(items, ["eval_set_id"], F.col("item_id"), ["item_id"], "g").withColumn("g", F.col("g") - 1)
     sizes = items.groupBy("eval_set_id").agg(F.count("*").alias("n"))
     draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(IQR_SAMPLES - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("g", draw(F.lit("iqr"), "rep", "i") % F.col("n"))
     v = draws.join(n, ["eval_set_id", "g"]).groupBy("eval_set_id", "rep").agg((F.percentile("score", F.lit(0.75)) - F.percentile("score", F.lit(0.25))).alias("v")).join(whole, "eval_set_id").withColumn("ratio", F.try_divide("v", "whole"))
@@ -151,6 +153,18 @@ def _controls(s, d):
     return out
 
 
+def _padding(s, d):
+    """Left-padded vectors (scaled a little) stand by their references, right-padded ones (shifted by a place) don't."""
+    v = probe_items(s, d).select("vec_id", "vec", F.transform("vec", lambda x: x * 1.05).alias("left"), F.concat(F.slice("vec", F.lit(2), F.lit(63)), F.slice("vec", F.lit(1), F.lit(1))).alias("right"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    size = F.sqrt(dot("vec", "vec"))
+    cosine = lambda c: dot("vec", c) / F.greatest(size * F.sqrt(dot(c, c)), F.lit(1e-12))
+    apart = lambda c: F.sqrt(F.aggregate(F.zip_with("vec", c, lambda x, y: x - y), F.lit(0.0), lambda t, x: t + x * x)) / F.greatest(size, F.lit(1e-12))
+    x = v.select("vec_id", cosine("left").alias("lc"), apart("left").alias("ld"), cosine("right").alias("rc"), apart("right").alias("rd"))
+    same = lambda c, e: (F.col(c) >= 0.999) & (F.col(e) <= 0.1)
+    return x.select("vec_id", F.round("lc", 6).alias("left_cosine"), F.round("ld", 6).alias("left_distance"), F.round("rc", 6).alias("right_cosine"), F.round("rd", 6).alias("right_distance"), same("lc", "ld").alias("left_accepted"), (~same("rc", "rd")).alias("right_rejected"))
+
+
 def _psi_flags(s, d):
     p = _psi(s, d).withColumn("state", D.state(F.col("psi")))
     return p.select("event_type", (F.col("state") == "SIGNIFICANT").alias("revokes"), (F.col("state") == "MODERATE").alias("widens"), (F.col("state") == "INSIDE").alias("is_inside"), F.sha2(F.concat_ws("|", F.lit("0.1"), F.lit("0.25"), F.lit("200"), "state"), 256).alias("policy_hash"))
@@ -168,7 +182,12 @@ QUERIES = {
     "st11_selection_aware": (_selection_aware, _SELECTION),
     "st15_null_iqr_ratio": (_null_iqr, _IQR),
     "st17_null_summary": (_null_summary, _NULL_SUMMARY),
-    "jn09_overlap_free": (_overlap_free, None),
+    "jn09_overlap_free": (
+        _overlap_free,
+        """WITH x AS (SELECT l_orderkey, [-round(l_extendedprice, 2), CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE), CAST(l_linenumber AS DOUBLE), date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + trunc(l_quantity)] AS x FROM lineitem),
+        g AS (SELECT l_orderkey, list_sort(list(x)) AS xs FROM x GROUP BY 1), k AS (SELECT l_orderkey, len(xs) AS n, list_reduce(list_transform(xs, lambda x: [x]), lambda done, x: CASE WHEN len(list_filter(done, lambda k: x[1][2] < k[4] AND k[2] < x[1][4])) > 0 THEN done ELSE list_concat(done, x) END) AS kept FROM g)
+        SELECT l_orderkey, len(kept) AS kept, n AS "of" FROM k""",
+    ),
     "sr18_ablation": (_ablation, None),
     "ud06_controls": (_controls, None),
     "df08_verdict_flags": (_psi_flags, f"WITH {PSI}, st AS (SELECT event_type, CASE WHEN psi < 0.1 THEN 'INSIDE' WHEN psi < 0.25 THEN 'MODERATE' ELSE 'SIGNIFICANT' END AS state FROM psi) SELECT event_type, state = 'SIGNIFICANT' AS revokes, state = 'MODERATE' AS widens, state = 'INSIDE' AS is_inside, sha256('0.1|0.25|200|' || state) AS policy_hash FROM st"),
@@ -205,19 +224,18 @@ QUERIES = {
         lambda s, d: probe_items(s, d).select("vec_id", F.round(F.aggregate(F.filter("vec", lambda x, i: i % 3 == 0), F.lit(0.0), lambda a, x: a + x) / 22, 6).alias("masked_mean")),
         "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT vec_id, round(list_sum(list_filter(v, lambda x, i: (i - 1) % 3 = 0)) / 22, 6) AS masked_mean FROM v",
     ),
-    "sr20_recompute": (
-        lambda s, d: M.rates(M.confusion(scored_items(s, d), KEYS, TAU)).join(M.rates(M.confusion(scored_items(s, d).repartition(7, "item_id"), KEYS, TAU)).select(*KEYS, F.col("recall").alias("again")), KEYS).select(*KEYS, F.col("recall").eqNullSafe(F.col("again")).alias("reproduced")),
-        f"WITH {RATES} SELECT eval_set_id, true AS reproduced FROM rates",
-    ),
-    "jn15_length_order": (lambda s, d: table(s, d, "conversations").select("conv_id", "turn", (F.row_number().over(Window.partitionBy("role").orderBy(F.length("text"), "conv_id", "turn")) - 1).cast("long").alias("place")), "SELECT conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY length(text), conv_id, turn) - 1 AS place FROM conversations"),
+    "jn15_length_order": (lambda s, d: G.numbered(table(s, d, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n")), ["role"], F.col("n"), ["n", "conv_id", "turn"], "place").select("conv_id", "turn", (F.col("place") - 1).alias("place")), "SELECT conv_id, turn, row_number() OVER (PARTITION BY role ORDER BY length(text), conv_id, turn) - 1 AS place FROM conversations"),
     "ud05_padding_fault": (
-        lambda s, d: probe_items(s, d).select("vec_id", F.round(F.aggregate(F.zip_with("vec", F.concat(F.slice("vec", F.lit(2), F.lit(63)), F.slice("vec", F.lit(1), F.lit(1))), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x) / F.greatest(F.aggregate("vec", F.lit(0.0), lambda t, x: t + x * x), F.lit(1e-12)), 6).alias("cosine")).withColumn("rejected", F.col("cosine") < 0.999),
-        "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id, round(list_dot_product(v, list_concat(v[2:64], v[1:1])) / greatest(list_dot_product(v, v), 1e-12), 6) AS cosine FROM v) SELECT *, cosine < 0.999 AS rejected FROM c",
+        _padding,
+        """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT vec_id, v, list_transform(v, lambda x: x * 1.05::DOUBLE) AS l, list_concat(v[2:64], v[1:1]) AS r FROM v),
+        c AS (SELECT vec_id, list_dot_product(v, v) AS n, list_dot_product(v, l) / greatest(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(l, l)), 1e-12) AS lc, list_dot_product(v, r) / greatest(sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(r, r)), 1e-12) AS rc,
+          sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(v[i] - l[i], 2)))) / greatest(sqrt(list_dot_product(v, v)), 1e-12) AS ld, sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(v[i] - r[i], 2)))) / greatest(sqrt(list_dot_product(v, v)), 1e-12) AS rd FROM p)
+        SELECT vec_id, round(lc, 6) AS left_cosine, round(ld, 6) AS left_distance, round(rc, 6) AS right_cosine, round(rd, 6) AS right_distance, lc >= 0.999 AND ld <= 0.1 AS left_accepted, NOT (rc >= 0.999 AND rd <= 0.1) AS right_rejected FROM c""",
     ),
     "ud19_labelled_frame": (
         lambda s, d: table(s, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", T.answer(F.col("text")).contains("the").alias("correct"), T.abstains(F.col("text")).alias("abstained")).withColumn("label", (~F.col("correct")).cast("int")),
-        r"""WITH n AS (SELECT conv_id, turn, ' ' || regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', ' ', 'g'), '[ \t\n\r]+', '  ', 'g') || ' ' AS b, regexp_replace(lower(replace(text, '’', '''')), '\s+', ' ', 'g') AS h FROM conversations WHERE role = 'assistant'),
+        rf"""WITH n AS (SELECT conv_id, turn, ' ' || regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{{-~]', ' ', 'g'), '[ \t\n\r]+', '  ', 'g') || ' ' AS b, regexp_replace(lower(replace(text, '’', '''')), '\s+', ' ', 'g') AS t FROM conversations WHERE role = 'assistant'),
         m AS (SELECT *, contains(trim(regexp_replace(regexp_replace(b, ' (a|an|the) ', ' ', 'g'), ' +', ' ', 'g')), 'the') AS correct FROM n)
-        SELECT conv_id, turn, correct, contains(h, 'i don''t know') OR contains(h, 'i do not know') OR contains(h, 'not sure') OR contains(h, 'cannot answer') OR contains(h, 'can''t answer') OR contains(h, 'no idea') OR contains(h, 'unknown') AS abstained, CASE WHEN correct THEN 0 ELSE 1 END AS label FROM m""",
+        SELECT conv_id, turn, correct, {_ABSTAINS} AS abstained, CASE WHEN correct THEN 0 ELSE 1 END AS label FROM m""",
     ),
 }

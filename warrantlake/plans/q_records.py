@@ -34,8 +34,13 @@ def _warrants(s, d):
 
 
 def _envelopes(s, d):
-    e = table(s, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", F.lit(1), F.lit(4)), lambda x: F.round(x.cast("double"), 2)).alias("v"))
-    return e.select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.array_sort("v")).otherwise(F.col("v")).alias("edges"), F.when(F.col("vec_id") % 6 == 0, F.array(F.lit(0.5), F.lit(0.25), F.lit(0.25))).otherwise(F.array(F.lit(0.5), F.lit(0.4))).alias("probabilities"))
+    """Edges from whole vectors, a third of them sorted, and shares of their sizes: half of them one too many."""
+    e = table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    edges = F.when(F.col("vec_id") % 3 == 0, F.array_sort("v")).otherwise(F.col("v"))
+    sizes = F.transform(F.when(F.col("vec_id") % 2 == 0, F.slice("v", 1, 63)).otherwise(F.col("v")), F.abs)
+    total = F.aggregate(sizes, F.lit(0.0), lambda t, x: t + x)
+    scaled = F.transform(sizes, lambda x: x / (total * F.when(F.col("vec_id") % 12 == 6, 1.01).otherwise(1.0)))
+    return e.select("vec_id", edges.alias("edges"), scaled.alias("probabilities"))
 
 
 def _exact_bounds(s, d):
@@ -77,10 +82,15 @@ def _misaligned(s, d):
     return a.join(b, "vec_id", "full").where(~F.col("x").eqNullSafe(F.col("y"))).select("vec_id", "x", "y")
 
 
-def _claims(s, d):
-    """Quoted prices against recomputed ones at the quoted precision."""
-    p = table(s, d, "part").select("p_partkey", (F.bround(F.col("p_retailprice"), 0) + (F.col("p_partkey") % 37 == 0).cast("int")).alias("quoted"), "p_retailprice")
-    return p.select("p_partkey", (F.bround("p_retailprice", 0) == F.col("quoted")).alias("reproduced"))
+def _identity(s, d):
+    """A set's content hash: of the hashes of its blocks of a thousand ids, so that no list holds all items."""
+
+    def hashed(rows, keys, order, text, name):
+        return rows.groupBy(*keys).agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct(order, text.alias("t")))), lambda x: x["t"])), 256).alias(name))
+
+    items = scored_items(s, d).withColumn("block", F.floor(F.col("item_id") / 1000))
+    blocks = hashed(items, ["eval_set_id", "block"], "item_id", F.concat_ws("|", F.col("item_id").cast("string"), F.col("label").cast("string")), "h")
+    return hashed(blocks, ["eval_set_id"], "block", F.col("h"), "content_hash")
 
 
 QUERIES = {
@@ -109,8 +119,8 @@ QUERIES = {
     ),
     "v08_envelope_violations": (
         lambda s, d: _envelopes(s, d).where(V.envelope()).select("vec_id"),
-        """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_sort(v) ELSE v END AS g FROM (SELECT vec_id, list_transform(embedding[1:4], lambda x: round(CAST(x AS DOUBLE), 2)) AS v FROM embeddings))
-        SELECT vec_id FROM e WHERE g[2] <= g[1] OR g[3] <= g[2] OR g[4] <= g[3] OR vec_id % 6 <> 0""",
+        """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN list_sort(v) ELSE v END AS g FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))
+        SELECT vec_id FROM e WHERE vec_id % 2 = 1 OR vec_id % 12 = 6 OR len(list_filter(range(1, len(g)), lambda i: g[i + 1] <= g[i])) > 0""",
     ),
     "v09_match_violations": (
         lambda s, d: table(s, d, "events").select("event_id", F.create_map(F.lit("a"), F.col("value"), F.lit("b"), F.lit(50.0)).alias("psi"), F.col("value").alias("max_psi"), F.when(F.col("event_type") == "view", "c").otherwise("a").alias("driver")).where(V.match_result()).select("event_id"),
@@ -129,9 +139,14 @@ QUERIES = {
         "SELECT conv_id FROM conversations GROUP BY 1 HAVING count(text) <> count(*) FILTER (role <> 'system')",
     ),
     "v15_vector_violations": (lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.when(x > 0.3, float("nan")).otherwise(x.cast("double"))).alias("v")).where(V.not_finite("v")).select("vec_id"), "SELECT vec_id FROM embeddings WHERE list_max(embedding) > 0.3::FLOAT"),
-    "st03_exact_bounds": (_exact_bounds, None),
+    "st03_exact_bounds": (_exact_bounds, f"WITH {WARRANTS}, x AS (SELECT DISTINCT hits, n FROM warrants) SELECT hits, n, round({B.low_sql('hits', 'n')}, 9) AS cp_low, round({B.high_sql('hits', 'n')}, 9) AS cp_high, round({B.high_sql('hits', 'n', 0.05)}, 9) AS cp_upper FROM x"),
     "st04_zero_event_bound": (lambda s, d: warrant_facts(s, d).groupBy("detector_id").agg(F.sum("n").alias("n")).select("detector_id", F.round(1 - F.pow(F.lit(0.05), 1.0 / F.col("n")), 9).alias("upper")), f"WITH {WARRANTS} SELECT detector_id, round(1 - pow(0.05::DOUBLE, 1::DOUBLE / sum(n)), 9) AS upper FROM warrants GROUP BY 1"),
-    "st06_certified_threshold": (_certified, None),
+    "st06_certified_threshold": (
+        _certified,
+        f"""WITH {SCORED}, t AS (SELECT eval_set_id, question_id, max(score) AS score FROM scored WHERE label = 0 GROUP BY 1, 2), g AS (SELECT eval_set_id, score, count(*) AS c FROM t GROUP BY 1, 2),
+        w AS (SELECT eval_set_id, score, sum(c) OVER (PARTITION BY eval_set_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING) - c AS k, sum(c) OVER (PARTITION BY eval_set_id) AS n FROM g), u AS (SELECT *, {B.high_sql("k", "n", 0.05)} AS upper FROM w)
+        SELECT eval_set_id, round(min(score) FILTER (upper <= 0.5), 9) AS above, CAST(max(n) AS BIGINT) AS clusters, max(n) < {B.least_clean(0.5)} AS too_few FROM u GROUP BY 1""",
+    ),
     "ud01_probe_auroc": (_probe, None),
     "sr17_text_detector": (_text_validation, None),
     "sr06_certificates": (
@@ -141,14 +156,13 @@ QUERIES = {
     ),
     "jn01_alignment": (_misaligned, "WITH a AS (SELECT vec_id, CAST(label AS BIGINT) AS x FROM embeddings WHERE vec_id % 50 <> 3), b AS (SELECT vec_id, CAST(label + CASE WHEN vec_id % 90 = 5 THEN 1 ELSE 0 END AS BIGINT) AS y FROM embeddings WHERE vec_id % 70 <> 4) SELECT vec_id, x, y FROM a FULL JOIN b USING (vec_id) WHERE x IS DISTINCT FROM y"),
     "jn02_common_items": (lambda s, d: scored_items(s, d).select("item_id", "score").join(table(s, d, "documents").where("n_chars > 2000").select(F.col("doc_id").alias("item_id"), "source"), "item_id"), f"WITH {SCORED} SELECT item_id, score, source FROM scored JOIN documents ON doc_id = item_id WHERE n_chars > 2000"),
-    "jn13_claims": (_claims, "SELECT p_partkey, round_even(p_retailprice, 0) = round_even(p_retailprice, 0) + CASE WHEN p_partkey % 37 = 0 THEN 1 ELSE 0 END AS reproduced FROM part"),
     "io08_registry": (lambda s, d: scored_items(s, d).groupBy("eval_set_id").agg(F.count("*").alias("n_items"), F.sum("label").alias("n_positive"), F.avg("label").alias("base_rate"), (F.min("label") == F.max("label")).alias("single_class")), f"WITH {SCORED} SELECT eval_set_id, count(*) AS n_items, CAST(sum(label) AS BIGINT) AS n_positive, avg(label) AS base_rate, min(label) = max(label) AS single_class FROM scored GROUP BY 1"),
     "io15_first_of_normalised": (
         lambda s, d: table(s, d, "conversations").withColumn("k", T.question(F.col("text"))).groupBy("k").agg(F.min(F.struct("conv_id", "turn")).alias("first")).select("first.conv_id", "first.turn"),
         r"WITH n AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_]', ' ', 'g'), ' +', ' ', 'g')) AS k FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY conv_id, turn) AS nth FROM n) SELECT conv_id, turn FROM r WHERE nth = 1",
     ),
     "df05_set_identity": (
-        lambda s, d: scored_items(s, d).groupBy("eval_set_id").agg(F.sha2(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("item_id", F.concat_ws("|", F.col("item_id").cast("string"), F.col("label").cast("string")).alias("t")))), lambda x: x["t"])), 256).alias("content_hash")),
-        f"WITH {SCORED} SELECT eval_set_id, sha256(string_agg(CAST(item_id AS VARCHAR) || '|' || CAST(label AS VARCHAR), chr(10) ORDER BY item_id)) AS content_hash FROM scored GROUP BY 1",
+        lambda s, d: _identity(s, d),
+        f"WITH {SCORED}, b AS (SELECT eval_set_id, item_id // 1000 AS block, sha256(string_agg(CAST(item_id AS VARCHAR) || '|' || CAST(label AS VARCHAR), chr(10) ORDER BY item_id)) AS h FROM scored GROUP BY 1, 2) SELECT eval_set_id, sha256(string_agg(h, chr(10) ORDER BY block)) AS content_hash FROM b GROUP BY 1",
     ),
 }

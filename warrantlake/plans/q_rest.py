@@ -12,6 +12,7 @@ from warrantlake.operators import metrics as M
 from warrantlake.operators import probe as P
 from warrantlake.operators import resample as R
 from warrantlake.plans.q_drift import PSI, REPS, TAU, _groups, _psi
+from warrantlake.plans.q_evidence import block_sql
 from warrantlake.sources.views import probe_items, scored_items, table
 
 
@@ -51,12 +52,21 @@ def _kinds(s, d):
     return table(s, d, "documents").select("doc_id", F.size(twelve).alias("twelve_digits"), F.size(F.filter(twelve, T.verhoeff_valid)).alias("valid"), F.size(T.found(text, T.PAN)).alias("pans"), F.size(phones).alias("phones"), F.size(F.filter(phones, lambda n: F.substring(n, -10, 1).isin(*"6789"))).alias("plausible"))
 
 
+SEPARATOR = r"[\s.\-:]"
 #: Separator-tolerant shapes and their base scores.
-TOLERANT = {"upi": (r"\b[a-z0-9._-]{2,}@[a-z][a-z0-9]{2,}\b", 0.6), "ifsc": (r"\b[A-Z]{4}0[A-Z0-9]{6}\b", 0.6), "twelve": (r"\b\d{4}[ -]\d{4}[ -]\d{4}\b", 0.3)}
+TOLERANT = {
+    "aadhaar_tolerant": (rf"\b[0-9]{{4}}{SEPARATOR}{{0,3}}[0-9]{{4}}{SEPARATOR}{{0,3}}[0-9]{{4}}\b", 0.01),
+    "aadhaar_pairs": (rf"\b(?:[0-9]{{2}}{SEPARATOR}{{1,3}}){{5}}[0-9]{{2}}\b", 0.01),
+    "pan_tolerant": (rf"\b[A-Za-z]{{3}}{SEPARATOR}{{0,3}}[A-Za-z]{{2}}[0-9]{SEPARATOR}{{0,3}}[0-9]{{3}}{SEPARATOR}{{0,3}}[A-Za-z]\b", 0.3),
+    "upi": (r"\b[A-Za-z0-9._-]{3,}\s?@\s?[A-Za-z]{2,}\b", 0.6),
+    "upi_spelled": (r"\b[A-Za-z0-9._-]{3,}\s+(?:at the rate|at)\s+[A-Za-z]{2,}\b", 0.4),
+    "ifsc": (r"\b[A-Za-z]{4}0[A-Za-z0-9]{6}\b", 0.6),
+    "ifsc_tolerant": (rf"\b[A-Za-z]{{2}}{SEPARATOR}{{0,3}}[A-Za-z]{{2}}{SEPARATOR}{{0,3}}0(?:{SEPARATOR}{{0,3}}[A-Za-z0-9]{{1,6}}){{1,6}}\b", 0.35),
+}
 
 
 def _tolerant(s, d):
-    return table(s, d, "documents").select("doc_id", F.greatest(*[F.when(F.col("text").rlike("(?i)" + p), c).otherwise(0.0) for p, c in TOLERANT.values()]).alias("score"))
+    return table(s, d, "documents").select("doc_id", F.greatest(*[F.when(F.col("text").rlike("(?i)" + p), c).otherwise(0.0) for p, c in TOLERANT.values()]).alias("score"), *(F.col("text").rlike("(?i)" + p).alias(n) for n, (p, _) in TOLERANT.items()))
 
 
 def _estimated(s, d):
@@ -95,8 +105,12 @@ QUERIES = {
         SELECT event_type, state, CASE state WHEN 'INSIDE' THEN 'VALID' WHEN 'MODERATE' THEN 'STALE' ELSE 'REVOKED' END AS status, round(rate - w * (rate - (rate - 0.05::DOUBLE)), 9) AS low, round(rate + w * (rate + 0.08::DOUBLE - rate), 9) AS high FROM w""",
     ),
     "tx01_identifier_kinds": (_kinds, None),
-    "tx10_tolerant_score": (_tolerant, "SELECT doc_id, greatest(" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN {c}::DOUBLE ELSE 0::DOUBLE END" for p, c in TOLERANT.values()) + ") AS score FROM documents"),
-    "st02_estimated": (_estimated, None),
+    "tx10_tolerant_score": (_tolerant, "SELECT doc_id, greatest(" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN {c}::DOUBLE ELSE 0::DOUBLE END" for p, c in TOLERANT.values()) + ") AS score, " + ", ".join(f"regexp_matches(text, '(?i){p}') AS {n}" for n, (p, _) in TOLERANT.items()) + " FROM documents"),
+    "st02_estimated": (
+        _estimated,
+        f"""WITH {block_sql(seed="recall")} SELECT lg.s AS eval_set_id, round(value, 9) AS recall, round(CASE WHEN coalesce(hi - lo < 1e-12, true) THEN CASE WHEN o > 0 THEN {B.low_sql("k", "o")} END ELSE lo END, 9) AS low,
+        round(CASE WHEN coalesce(hi - lo < 1e-12, true) THEN CASE WHEN o > 0 THEN {B.high_sql("k", "o")} END ELSE hi END, 9) AS high, coalesce(hi - lo < 1e-12, true) AS exact FROM lg LEFT JOIN iv ON iv.s = lg.s AND iv.metric = 'recall' WHERE lg.metric = 'recall'""",
+    ),
     "tk04_best_regularisation": (_best_c, None),
     "sr16_transfer": (_transfer, None),
     "io21_scoring_log": (lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("scorings"), F.max("ts").alias("last")), "SELECT user_id, count(*) AS scorings, max(ts) AS last FROM events GROUP BY 1"),

@@ -8,14 +8,15 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from warrantlake.functions import text as T
-from warrantlake.functions.rng import draw_sql
+from warrantlake.functions.rng import draw, draw_sql
+from warrantlake.operators import metrics as M
 from warrantlake.operators import splits as S
 from warrantlake.sources.views import probe_items, table
 
 _Q = r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_]', ' ', 'g'), ' +', ' ', 'g'))"
 _BARE = r"regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', ' ', 'g'), '[ \t\n\r]+', '  ', 'g')"
 _A = rf"trim(regexp_replace(regexp_replace(' ' || {_BARE} || ' ', ' (a|an|the) ', ' ', 'g'), ' +', ' ', 'g'))"
-_HEX = lambda t: f"sha256({t})"
+_ABSTAINS = " OR ".join("contains(t, '" + p.replace("'", "''") + "')" for p in T.ABSTENTIONS)
 
 
 def _docs(s, d):
@@ -46,12 +47,49 @@ def _split_sql(name: str, seed: str, a: float, b: float) -> str:
     (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY h, user_id) AS r, count(*) OVER (PARTITION BY cohort) AS n FROM (SELECT DISTINCT user_id, user_id % 3 AS cohort, {draw_sql(f"'{seed}'", "user_id")} AS h FROM events)))"""
 
 
-def _pair_integrity(s, d):
-    """Turns of a conversation whose text begins as the turn before it, and what was added."""
+def _flat_aliases(s, d):
+    """A document's first line, its lines, and their normal forms as one list, each once and in order."""
+    lines = F.split("text", "\n")
+    flat = F.array_distinct(F.filter(F.concat(F.slice(lines, 1, 1), lines, F.transform(lines, T.question)), lambda x: x != ""))
+    return _docs(s, d).select("doc_id", F.size(flat).cast("long").alias("aliases"), F.sha2(F.concat_ws("\n", flat), 256).alias("digest"))
+
+
+def _exact_matches(s, d):
+    """Documents whose normalised text is also that of a document of another source, and how many other sources have it."""
+    n = _docs(s, d).select("doc_id", "source", T.answer(F.col("text")).alias("k")).where(F.length("k") > 0)
+    keyed = n.withColumn("h", F.sha2("k", 256)).select("doc_id", "source", "h")
+    shared = keyed.select("h", "source").distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    return keyed.join(shared, "h").select("doc_id", (F.col("n") - 1).alias("matches"))
+
+
+def _states(s, d):
+    """Prompts in two states, made of a conversation's first, second and last turn: some with a planted fault."""
     c = table(s, d, "conversations")
-    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    x = c.withColumn("before", before).where("before is not null")
-    return x.select("conv_id", "turn", F.startswith("text", F.substring("before", 1, 3)).alias("same_start"), (F.length("text") - F.length("before")).cast("long").alias("added"))
+    x = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("frame"), F.max_by("text", "turn").alias("ask"), F.max_by("text", F.when(F.col("turn") == 1, 1)).alias("clause"), F.count("*").alias("turns")).where("turns > 1 and clause is not null")
+    x = x.withColumn("fault", draw(F.lit("pair"), "conv_id") % 10)
+    plain = F.concat("frame", F.when(F.col("fault") == 2, F.lit(" note ")).otherwise(F.lit(" ")), "ask")
+    other = F.when(F.col("fault") == 0, F.concat_ws(" ", "frame", "clause", "ask", F.lit("!"))).when(F.col("fault") == 1, F.concat(F.lit("> "), F.concat_ws(" ", "frame", "clause", "ask"))).when(F.col("fault") == 3, F.concat_ws(" ", "frame", "ask")).otherwise(F.concat_ws(" ", "frame", "clause", "ask"))
+    prompts = F.filter(F.array(F.struct(F.lit(0).alias("state"), plain.alias("prompt")), F.struct(F.lit(1).alias("state"), other.alias("prompt"))), lambda p: (F.col("fault") != 4) | (p["state"] == 0))
+    return x.select("conv_id", "frame", "ask"), x.select("conv_id", F.explode(prompts).alias("p")).select("conv_id", "p.*")
+
+
+def _pair_integrity(s, d):
+    """Two states of a question may differ by the inserted clause alone: the first rule that a pair breaks."""
+    questions, prompts = _states(s, d)
+    sides = prompts.groupBy("conv_id").agg(*(F.max(F.when(F.col("state") == i, F.col("prompt"))).alias(f"s{i}") for i in (0, 1)), F.count_distinct("state").alias("states"))
+    between = lambda c: F.trim(F.expr(f"substring({c}, length(frame) + 1, greatest(0, length({c}) - length(frame) - length(ask)))"))
+    rules = [("states", F.col("states") != 2), ("plain frame", ~F.startswith("s0", "frame")), ("plain ask", ~F.endswith("s0", "ask")), ("clause ask", ~F.endswith("s1", "ask")), ("clause frame", ~F.startswith("s1", "frame")), ("plain differs by more", between("s0") != ""), ("nothing inserted", between("s1") == "")]
+    outcome = F.lit("holds")
+    for name, broken in reversed(rules):
+        outcome = F.when(broken, name).otherwise(outcome)
+    return questions.join(sides, "conv_id").select("conv_id", outcome.alias("outcome"))
+
+
+_PAIRS = f"""WITH c AS (SELECT conv_id, arg_min(text, turn) AS frame, arg_max(text, turn) AS ask, max(text) FILTER (turn = 1) AS clause, count(*) AS turns FROM conversations GROUP BY 1),
+  x AS (SELECT *, {draw_sql("'pair'", "conv_id")} % 10 AS f FROM c WHERE turns > 1 AND clause IS NOT NULL),
+  p AS (SELECT *, frame || CASE WHEN f = 2 THEN ' note ' ELSE ' ' END || ask AS s0, CASE f WHEN 0 THEN frame || ' ' || clause || ' ' || ask || ' !' WHEN 1 THEN '> ' || frame || ' ' || clause || ' ' || ask WHEN 3 THEN frame || ' ' || ask WHEN 4 THEN NULL ELSE frame || ' ' || clause || ' ' || ask END AS s1 FROM x),
+  b AS (SELECT *, trim(substr(s0, length(frame) + 1, greatest(0, length(s0) - length(frame) - length(ask)))) AS m0, trim(substr(s1, length(frame) + 1, greatest(0, length(s1) - length(frame) - length(ask)))) AS m1 FROM p)
+  SELECT conv_id, CASE WHEN s1 IS NULL THEN 'states' WHEN NOT starts_with(s0, frame) THEN 'plain frame' WHEN NOT ends_with(s0, ask) THEN 'plain ask' WHEN NOT ends_with(s1, ask) THEN 'clause ask' WHEN NOT starts_with(s1, frame) THEN 'clause frame' WHEN m0 <> '' THEN 'plain differs by more' WHEN m1 = '' THEN 'nothing inserted' ELSE 'holds' END AS outcome FROM b"""
 
 
 def _cosines(s, d):
@@ -79,9 +117,38 @@ def _rolling(s, d):
 
 
 def _canary(s, d):
-    """The ten items of the largest worst margin over two scores of a vector; only positive margins, only positives."""
-    x = probe_items(s, d).where("label = 1").select("vec_id", F.least(F.element_at("vec", 1), F.element_at("vec", 2)).alias("margin")).where("margin > 0")
-    return x.orderBy(F.desc("margin"), "vec_id").limit(10).select("vec_id", F.round("margin", 6).alias("margin"))
+    """The ten positives of the largest worst margin over four scores of a vector, each the mean of a quarter of it.
+
+    A score that ranks no better than chance doesn't count; only positive margins do.
+    """
+    quarter = lambda i: F.aggregate(F.slice("vec", 16 * i + 1, 16), F.lit(0.0), lambda t, x: t + x) / 16
+    x = probe_items(s, d).select("vec_id", "label", *(quarter(i).alias(f"q{i}") for i in range(4)))
+    long = x.select("vec_id", "label", F.explode(F.array(*[F.struct(F.lit(i).alias("variant"), F.col(f"q{i}").alias("score")) for i in range(4)])).alias("v")).select("vec_id", "label", "v.*")
+    good = M.auroc(long, ["variant"]).where("auroc >= 0.5").select("variant")
+    worst = long.where("label = 1").join(F.broadcast(good), "variant").groupBy("vec_id").agg(F.min("score").alias("margin")).where("margin > 0")
+    return worst.orderBy(F.desc("margin"), "vec_id").limit(10).select("vec_id", F.round("margin", 6).alias("margin"))
+
+
+_CANARY = """WITH v AS (SELECT vec_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT vec_id, y, unnest(range(4)) AS i, v FROM v), l AS (SELECT vec_id, y, i, list_sum(v[16 * i + 1:16 * i + 16]) / 16 AS m FROM q),
+  r AS (SELECT *, rank() OVER (PARTITION BY i ORDER BY m) + (count(*) OVER (PARTITION BY i, m) - 1) / 2::DOUBLE AS r FROM l),
+  a AS (SELECT i FROM r GROUP BY 1 HAVING (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2::DOUBLE) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) >= 0.5)
+  SELECT vec_id, round(min(m), 6) AS margin FROM l JOIN a ON a.i = l.i WHERE y = 1 GROUP BY 1 HAVING min(m) > 0 ORDER BY min(m) DESC, vec_id LIMIT 10"""
+
+
+def _shape_difference(s, d):
+    """Metric shapes (name, kind, unit) that only one of two sets has: here parts of two brands."""
+    shape = lambda brand: table(s, d, "part").where(F.col("p_brand") == brand).select(F.col("p_name").alias("name"), F.col("p_type").alias("kind"), (F.col("p_size") % 3).alias("unit")).distinct()
+    a, b = shape("Brand#1"), shape("Brand#2")
+    only = lambda x, y, name: x.join(y, ["name", "kind", "unit"], "left_anti").withColumn("only_in", F.lit(name))
+    return only(a, b, "first").unionByName(only(b, a, "second"))
+
+
+def _determinism(s, d):
+    """Two runs of the scoring over differently dealt rows: how far scores differ, and a digest of each run's rows."""
+    runs = [_probe(s, d).repartition(n, "vec_id").select("vec_id", F.col("score").alias(name)) for n, name in ((3, "a"), (7, "b"))]
+    row = lambda c: F.conv(F.substring(F.md5(F.concat_ws("|", F.col("vec_id").cast("string"), F.bround(F.col(c) * 1e6, 0).cast("long").cast("string"))), 1, 8), 16, 10).cast("long")
+    x = runs[0].join(runs[1], "vec_id")
+    return x.agg(F.count("*").alias("n"), F.max(F.abs(F.col("a") - F.col("b"))).alias("largest"), F.sum(row("a")).alias("digest_a"), F.sum(row("b")).alias("digest_b"))
 
 
 def _even_picks(s, d):
@@ -129,9 +196,12 @@ QUERIES = {
     "sf03_answer": (lambda s, d: _docs(s, d).select("doc_id", _digest(T.answer(F.col("text"))).alias("digest")), f"SELECT doc_id, sha256({_A}) AS digest FROM documents"),
     "sf04_alias_match": (_aliases, f"WITH n AS (SELECT doc_id, {_A} AS t FROM documents) SELECT doc_id, CASE WHEN length(t) = 0 THEN 'empty' WHEN contains(t, 'licen') OR contains(t, 'trash') THEN 'substring' WHEN list_has_any(string_split(t, ' '), ['us', 'th']) THEN 'token' ELSE 'none' END AS rule FROM n"),
     "ag17_label_rules": (_labels_by_rule, f"WITH n AS (SELECT doc_id, {_A} AS t FROM documents) SELECT CASE WHEN length(t) = 0 THEN 'empty' WHEN contains(t, 'licen') OR contains(t, 'trash') THEN 'substring' WHEN list_has_any(string_split(t, ' '), ['us', 'th']) THEN 'token' ELSE 'none' END AS rule, count(*) AS n FROM n GROUP BY 1"),
-    "sf05_exact_match": (lambda s, d: _docs(s, d).join(table(s, d, "benchmark").select(T.answer(F.col("text")).alias("k"), "item_id"), T.answer(F.col("text")) == F.col("k")).groupBy("doc_id").agg(F.count("*").alias("matches")), f"WITH n AS (SELECT doc_id, {_A} AS k FROM documents), b AS (SELECT item_id, {_A} AS k FROM benchmark) SELECT doc_id, count(*) AS matches FROM n JOIN b ON n.k = b.k GROUP BY 1"),
-    "sf06_abstention": (lambda s, d: _docs(s, d).select("doc_id", T.abstains(F.col("text"), ["trash", "all rights", "released under"]).alias("abstains")), r"WITH n AS (SELECT doc_id, regexp_replace(lower(replace(text, '’', '''')), '\s+', ' ', 'g') AS t FROM documents) SELECT doc_id, contains(t, 'trash') OR contains(t, 'all rights') OR contains(t, 'released under') AS abstains FROM n"),
-    "sf07_aliases": (lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.size(F.array_distinct(F.collect_list(F.substring("text", 1, 2)))).cast("long").alias("aliases")), "SELECT conv_id, count(DISTINCT substr(text, 1, 2)) AS aliases FROM conversations GROUP BY 1"),
+    "sf05_exact_match": (_exact_matches, f"WITH n AS (SELECT doc_id, source, {_A} AS k FROM documents), g AS (SELECT k, count(DISTINCT source) AS n FROM n WHERE length(k) > 0 GROUP BY 1 HAVING count(DISTINCT source) > 1) SELECT doc_id, g.n - 1 AS matches FROM n JOIN g ON g.k = n.k"),
+    "sf06_abstention": (
+        lambda s, d: _docs(s, d).select("doc_id", T.abstains(F.col("text")).alias("abstains"), T.abstains(F.col("text"), ["trash", "all rights", "released under"]).alias("holds_other")),
+        rf"WITH n AS (SELECT doc_id, regexp_replace(lower(replace(text, '’', chr(39))), '\s+', ' ', 'g') AS t FROM documents) SELECT doc_id, {_ABSTAINS} AS abstains, contains(t, 'trash') OR contains(t, 'all rights') OR contains(t, 'released under') AS holds_other FROM n",
+    ),
+    "sf07_aliases": (_flat_aliases, rf"WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), a AS (SELECT doc_id, list_filter(list_concat(ls[1:1], ls, list_transform(ls, lambda text: {_Q})), lambda x: x <> '') AS l FROM l), u AS (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM a) SELECT doc_id, len(l) AS aliases, sha256(array_to_string(l, chr(10))) AS digest FROM u"),
     "sf08_digits": (lambda s, d: _docs(s, d).select("doc_id", T.digits(F.col("text")).alias("digits")), "SELECT doc_id, regexp_replace(text, '[^0-9]', '', 'g') AS digits FROM documents"),
     "sf09_verhoeff": (
         _verhoeff,
@@ -146,7 +216,6 @@ QUERIES = {
     "sf13_content_hash": (lambda s, d: _docs(s, d).select("doc_id", F.sha2("text", 256).alias("content"), F.sha2(F.concat(F.lit("GENESIS"), "text"), 256).alias("chained")), "SELECT doc_id, sha256(text) AS content, sha256('GENESIS' || text) AS chained FROM documents"),
     "sf16_json_path": (lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
     "sf17_half_even": (lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.bround(F.col("l_quantity") / 4, 0).alias("rounded")), "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 4, 0) AS rounded FROM lineitem"),
-    "sf19_render": (lambda s, d: table(s, d, "part").select("p_partkey", F.format_string("%.2f [%d]", "p_retailprice", "p_size").alias("text")), "SELECT p_partkey, printf('%.2f [%d]', p_retailprice, p_size) AS text FROM part"),
     "sf22_last_user_turn": (lambda s, d: table(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("prompt")), "SELECT conv_id, arg_max(text, turn) AS prompt FROM conversations WHERE role = 'user' GROUP BY 1"),
     "tx02_pattern_counts": (_pattern_counts, _pattern_counts_sql()),
     "tx04_upi": (lambda s, d: _docs(s, d).where(F.col("text").rlike("(?i)" + T.UPI)).select("doc_id", F.element_at(T.found(F.col("text"), T.UPI), 1).alias("first")), f"SELECT doc_id, regexp_extract(text, '(?i){T.UPI}') AS first FROM documents WHERE regexp_matches(text, '(?i){T.UPI}')"),
@@ -171,10 +240,11 @@ QUERIES = {
         "SELECT p_partkey, regexp_replace(p_type, ' (BRASS|STEEL)$', '') AS category, regexp_matches(p_type, ' (BRASS|STEEL)$') AS stripped FROM part",
     ),
     "pf14_distinct_categories": (lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.concat_ws(",", F.array_sort(F.collect_set("event_type"))).alias("categories")), "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS categories FROM events GROUP BY 1"),
-    "so09_pair_integrity": (_pair_integrity, "WITH x AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) SELECT conv_id, turn, starts_with(text, substr(b, 1, 3)) AS same_start, length(text) - length(b) AS added FROM x WHERE b IS NOT NULL"),
+    "so09_pair_integrity": (_pair_integrity, _PAIRS),
     "so10_symmetric_difference": (
-        lambda s, d: _docs(s, d).where("lang = 'en'").select("source").distinct().join(_docs(s, d).where("lang = 'es'").select("source").distinct().withColumn("o", F.lit(1)), "source", "full").where("o is null").select("source"),
-        "SELECT DISTINCT source FROM documents WHERE lang = 'en' EXCEPT SELECT source FROM documents WHERE lang = 'es'",
+        _shape_difference,
+        """WITH a AS (SELECT DISTINCT p_name AS name, p_type AS kind, p_size % 3 AS unit FROM part WHERE p_brand = 'Brand#1'), b AS (SELECT DISTINCT p_name AS name, p_type AS kind, p_size % 3 AS unit FROM part WHERE p_brand = 'Brand#2')
+        (SELECT *, 'first' AS only_in FROM a EXCEPT SELECT *, 'first' FROM b) UNION ALL (SELECT *, 'second' FROM b EXCEPT SELECT *, 'second' FROM a)""",
     ),
     "ag27_cosine": (
         _cosines,
@@ -183,12 +253,14 @@ QUERIES = {
     ),
     "ud02_probe_score": (_probe, "WITH v AS (SELECT vec_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT vec_id, label, round(1 / (1 + exp(-(list_dot_product(v, list_transform(range(0, 64), lambda i: cos(i))) - 0.25))), 6) AS score FROM v"),
     "wn11_max_rolling_means": (_rolling, "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT vec_id, round(list_max(list_transform(range(0, 57, 4), lambda i: list_sum(v[i + 1:i + 8]) / 8)), 6) AS max_rolling, round(list_sum(v) / 64, 6) AS mean_pool, round(v[64], 6) AS last FROM v"),
-    "tk02_canary": (_canary, "WITH v AS (SELECT vec_id, least(CAST(embedding[1] AS DOUBLE), CAST(embedding[2] AS DOUBLE)) AS m FROM embeddings WHERE label < 5) SELECT vec_id, round(m, 6) AS margin FROM v WHERE m > 0 ORDER BY m DESC, vec_id LIMIT 10"),
+    "tk02_canary": (_canary, _CANARY),
     "tk03_best_setting": (_best_by, "WITH g AS (SELECT lang, source, round(avg(n_chars), 6) AS score FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, source) AS nth FROM g) SELECT lang, source, score FROM r WHERE nth = 1"),
     "tk05_even_picks": (_even_picks, "WITH x AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS place, count(*) OVER () AS n FROM documents), w AS (SELECT DISTINCT CAST(floor(i * ((SELECT max(n) FROM x) - 1) / 19::DOUBLE + 0.5) AS BIGINT) AS place FROM range(20) t(i)) SELECT doc_id, n_chars FROM x JOIN w USING (place)"),
     "df06_base_rates": (lambda s, d: probe_items(s, d).groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("vec")).cast("long").alias("dimensions")), "SELECT CASE WHEN label < 5 THEN 1 ELSE 0 END AS label, count(*) AS n, CAST(min(len(embedding)) AS BIGINT) AS dimensions FROM embeddings GROUP BY 1"),
     "ud09_determinism": (
-        lambda s, d: _probe(s, d).alias("a").join(_probe(s, d).alias("b"), "vec_id").agg(F.count("*").alias("n"), F.max(F.abs(F.col("a.score") - F.col("b.score"))).alias("largest")),
-        "SELECT count(*) AS n, 0::DOUBLE AS largest FROM embeddings",
+        _determinism,
+        """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT vec_id, round(1 / (1 + exp(-(list_dot_product(v, list_transform(range(0, 64), lambda i: cos(i))) - 0.25))), 6) AS score FROM v),
+        h AS (SELECT CAST(('0x' || substr(md5(CAST(vec_id AS VARCHAR) || '|' || CAST(CAST(round_even(score * 1e6, 0) AS BIGINT) AS VARCHAR)), 1, 8)) AS BIGINT) AS h FROM p)
+        SELECT count(*) AS n, 0::DOUBLE AS largest, CAST(sum(h) AS BIGINT) AS digest_a, CAST(sum(h) AS BIGINT) AS digest_b FROM h""",
     ),
 }
