@@ -31,8 +31,8 @@ FEATURES = ("x0", "x1", "x2", "x3", "x4")
 #: Added to each feature's standard deviation, so that a feature that is constant in a group judges softly.
 SPREAD = (0.25, 0.25, 0.3, 0.15, 0.4)
 COVERAGE, STEPS, LEAST = 0.75, 4, 80
-#: Chi-squared of five degrees: median, 97.5 %, and the squared distance of rejection (a probability of 1e-9).
-MEDIAN, USUAL, CUTOFF = 4.351, 12.833, 52.0
+#: Chi-squared of five degrees: median, 97.5 %, and the squared distance of rejection (a probability of 1e-6).
+MEDIAN, USUAL, CUTOFF = 4.351, 12.833, 35.888
 LEAST_WORDS, REPEAT_PERCENT = 50, 50
 _BLANKS = " \t\n\x0b\x0c\r"
 
