@@ -141,8 +141,9 @@ def _calibrate(model: Model, held: list) -> None:
     p = _softmax(logits / model.temperature)
     score, right = p.max(axis=1), p.argmax(axis=1) == y
     whole = np.sort(score[np.array([s[4] for s in held]) & right])
-    rank = int((len(whole) + 1) * REJECTED)
-    model.threshold = float(whole[rank - 1]) if rank else 0.0
+    rank, chance = int((len(whole) + 1) * REJECTED), 1 / len(model.languages)
+    # With too few texts to tell so small a share: halfway between the least of their scores and chance.
+    model.threshold = float(whole[rank - 1]) if rank else float(whole[0] + chance) / 2 if len(whole) else 0.0
 
 
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
