@@ -8,6 +8,7 @@ micro-batches; a batch that was appended already (same batch id) is skipped, so
 from __future__ import annotations
 
 import math
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,19 +35,20 @@ def verdicts(events: DataFrame, expected: dict[str, float], window: int) -> Data
     """(``VERDICT``) for each event of a streaming frame (shard, ts, event_id, event_type), in arrival order of a batch."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ring, seen = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        ring, seen = (deque(state.get[0]), state.get[1]) if state.exists else (deque(), 0)
+        counts = Counter(ring)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         out = []
         for event_id, kind in zip(rows["event_id"], rows["event_type"], strict=True):
-            ring = (ring + [kind])[-window:]
+            ring.append(kind)
+            counts[kind] += 1
+            if len(ring) > window:
+                counts[ring.popleft()] -= 1
             seen += 1
-            counts: dict[str, int] = {}
-            for k in ring:
-                counts[k] = counts.get(k, 0) + 1
             value = psi_of(counts, expected)
             state_name = "INSUFFICIENT_DATA" if len(ring) < window else "INSIDE" if value < STABLE else "MODERATE" if value < SIGNIFICANT else "SIGNIFICANT"
             out.append((key[0], event_id, len(ring), value, state_name))
-        state.update((ring, seen))
+        state.update((list(ring), seen))
         yield pd.DataFrame(out, columns=["shard", "event_id", "n", "psi", "state"])
 
     return events.groupBy("shard").applyInPandasWithState(step, VERDICT, "ring array<string>, seen long", "append", GroupStateTimeout.NoTimeout)
