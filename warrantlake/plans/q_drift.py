@@ -7,10 +7,11 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from warrantlake.functions.rng import draw_sql, uniform
+from warrantlake.functions.rng import draw, draw_sql, uniform
 from warrantlake.operators import drift as D
 from warrantlake.operators import metrics as M
 from warrantlake.operators import resample as R
+from warrantlake.sources.shared import written
 from warrantlake.sources.views import SCORED, TRAFFIC, scored_items, traffic
 
 KEY, TYPES, WINDOW, P0 = ["event_type"], ["click", "error", "purchase", "signup", "view"], 200, 0.15
@@ -146,10 +147,13 @@ _PAIRED = f"""WITH {SCORED}, it AS (SELECT *, score * (0.5::DOUBLE + {draw_sql("
 
 def _seed_stability(s, d):
     """The interval of the flag rate under many seeds: how much its lower end moves, and how often it clears a bar."""
-    g = _groups(s, d).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))))
-    sized = g.groupBy("eval_set_id", "seed").agg(F.max("groups").alias("groups"))
-    reps = R.draws(sized, ["eval_set_id", "seed"], REPS, F.concat(F.lit("seed"), F.col("seed").cast("string"))).join(F.broadcast(_groups(s, d)), ["eval_set_id", "g"])
-    rate = reps.groupBy("eval_set_id", "seed", "rep").agg(F.try_divide(F.sum(F.col("times") * (F.col("tp") + F.col("fp"))).cast("double"), F.sum(F.col("times") * (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn"))).cast("double")).alias("v"))
+    groups = written(_groups(s, d), "groups")
+    sizes = groups.groupBy("eval_set_id").agg(F.max("groups").alias("groups"))
+    seeds = sizes.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1)))).repartition(64, "eval_set_id", "seed")
+    each = seeds.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    drawn = each.select("eval_set_id", "seed", "rep", (draw(F.concat(F.lit("seed"), F.col("seed").cast("string")), "rep", "i") % F.col("groups")).alias("g"))
+    flagged, n = F.col("tp") + F.col("fp"), F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    rate = drawn.join(groups, ["eval_set_id", "g"]).groupBy("eval_set_id", "seed", "rep").agg(M.ratio(F.sum(flagged), F.sum(n)).alias("v"))
     out = R.interval(rate, ["eval_set_id", "seed"], F.col("v"))
     return out.groupBy("eval_set_id").agg(F.round(F.avg("ci_low"), 9).alias("mean_low"), F.round(F.stddev_pop("ci_low"), 9).alias("sd_low"), F.round(F.min("ci_low"), 9).alias("least_low"), F.round(F.max("ci_low"), 9).alias("most_low"), F.round(F.avg((F.col("ci_low") >= 0.1).cast("double")), 9).alias("share_clear"))
 
