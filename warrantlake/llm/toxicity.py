@@ -1,7 +1,6 @@
 """Toxicity by the nearest labelled examples: exact cosine of weighted TF-IDF over a block-max inverted index.
 
-A text's terms are its words and, marked with ``*``, their beginnings of a few lengths, so that inflected forms
-meet; a term found several times gives further terms, marked with ``^`` and a number. A bounded sample of labelled
+A text's terms are its words and, marked with ``*``, the beginnings of longer ones, so that inflected forms meet; a term found several times gives further terms, marked with ``^`` and a number. A bounded sample of labelled
 rows gives the examples, and every term of theirs is indexed. A term weighs (1 + log tf) x idf x how well it tells
 the labels apart; document frequencies are counted over every document. Vectors have unit length over all of a
 text's indexed terms. Examples lie in blocks; each term's postings carry its largest weight per block, so the sum of
@@ -22,7 +21,6 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,12 +31,12 @@ from pyspark.sql import functions as F
 from warrantlake.llm.common import crc_of_id
 
 #: Bound of the learned part: examples of each label.
-PER_LABEL = 1000
+PER_LABEL = 700
 #: Words of which a worker remembers the terms, before it begins anew.
-KNOWN_WORDS = 100_000
+KNOWN_WORDS = 250_000
 #: A term whose shares among the labels lie this many standard errors apart counts a quarter of one that tells them surely.
 HALF_Z = 5.0
-BEGINNINGS, TIMES = (4, 6), (2, 4)
+BEGINNING, TIMES = 5, (2, 4)
 NEIGHBOURS, BLOCK, THRESHOLD, TELLING = 15, 64, 0.7, 5
 RESULT = "score double, neighbours array<struct<doc_id:long,toxic:int,similarity:double>>, terms array<string>"
 _PARTING = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -49,7 +47,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def terms_of(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
+    return [word, word[:BEGINNING] + "*"] if len(word) > BEGINNING else [word]
 
 
 def counted_terms(words: list[str]) -> Counter:
@@ -93,6 +91,19 @@ def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
 
 
+class _Numbers(dict):
+    """A word's two terms in one number: the word's in the upper half, its beginning's in the lower, from 1; 0 is none."""
+
+    def __init__(self, whole: dict[str, int], begun: dict[str, int]):
+        super().__init__()
+        self.whole, self.begun = whole, begun
+
+    def __missing__(self, word: str) -> int:
+        start = self.begun.get(word[:BEGINNING], -1) if len(word) > BEGINNING else -1
+        self[word] = found = (self.whole.get(word, -1) + 1 << 32) + start + 1
+        return found
+
+
 @dataclass
 class Index:
     """Postings (``example``, ``weight``) lie in cells, one for each block of a term; ``first`` tells a term's cells."""
@@ -124,22 +135,23 @@ class Index:
                     rows.append([-1] * len(TIMES))
                 rows[self.times_row[base]][TIMES.index(int(times))] = at
         self.times_table = np.array(rows)
-        self._known: dict[str, list[int]] = {}
+        whole = {t: at for t, at in self.terms.items() if t[-1] != "*"}
+        self._known = _Numbers(whole, {t[:-1]: at for t, at in self.terms.items() if t[-1] == "*"})
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "_known": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_known", "names", "times_row", "times_table")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
 
     def matched(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The index's terms in a text's words, in their order, and how often each is found."""
-        known, terms, parts = self._known, self.terms, []
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        for word in words:
-            numbers = known.get(word)
-            if numbers is None:
-                numbers = known[word] = [terms[t] for t in terms_of(word) if t in terms]
-            parts.append(numbers)
-        at, n = np.unique(np.fromiter(chain.from_iterable(parts), np.int64), return_counts=True)
+        if len(self._known) > KNOWN_WORDS:
+            self._known.clear()
+        pairs = np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))
+        both = np.concatenate((pairs >> 32, pairs & 0xFFFFFFFF))
+        at, n = np.unique(both[both > 0] - 1, return_counts=True)
         several = np.flatnonzero(n > 1)
         found = self.times_table[self.times_row[at[several]]]
         row, column = np.nonzero((found >= 0) & (n[several][:, None] >= np.array(TIMES)))
@@ -170,28 +182,34 @@ class Index:
         self.first = np.searchsorted(term[new], np.arange(len(self.terms) + 1))
 
     def nearest(self, at: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest positive cosine, exactly, and the cosines."""
+        """The k examples of the largest positive cosine, exactly (to single precision), and the cosines."""
         cells = _ranges(self.first[at], self.first[at + 1])
-        factor, block = np.repeat(weight, self.first[at + 1] - self.first[at]), self.cell_block[cells]
+        factor, block = np.repeat(weight.astype(np.float32), self.first[at + 1] - self.first[at]), self.cell_block.take(cells)
         blocks = -(-len(self.ids) // BLOCK)
-        bounds = np.bincount(block, factor * self.cell_max[cells], minlength=blocks)
+        bounds = np.bincount(block, factor * self.cell_max.take(cells), minlength=blocks)
         order = np.argsort(-bounds, kind="stable")
         best, cosine, done, step = np.empty(0, np.int64), np.empty(0), 0, 6
         while done < len(order):
             now = order[done : done + step]
-            enough = cosine[-1] - 1e-12 if len(cosine) == k else 0.0
+            enough = cosine[-1] - 1e-6 if len(cosine) == k else 0.0
             now = now[(bounds[now] >= enough) & (bounds[now] > 0)]
             if not len(now):
                 break
             wanted = np.zeros(blocks, bool)
             wanted[now] = True
-            read = np.flatnonzero(wanted[block])
-            begin, end = self.cell_begin[cells[read]], self.cell_begin[cells[read] + 1]
-            postings = _ranges(begin, end)
-            scores = np.bincount(self.example[postings], self.weight[postings] * np.repeat(factor[read], end - begin), minlength=len(self.ids))
-            number = np.flatnonzero(scores > 0)
+            read = np.flatnonzero(wanted.take(block))
+            chosen = cells.take(read)
+            begin = self.cell_begin.take(chosen)
+            size = self.cell_begin.take(chosen + 1) - begin
+            postings = np.repeat(begin - np.cumsum(size) + size, size)
+            postings += np.arange(len(postings))
+            scores = np.bincount(self.example.take(postings), self.weight.take(postings) * np.repeat(factor.take(read), size), minlength=len(self.ids))
+            number = np.flatnonzero(scores > max(enough, 0.0))
             number = number[number != without]
             best, cosine = np.concatenate((best, number)), np.concatenate((cosine, scores[number]))
+            if len(cosine) > 4 * k:
+                ahead = cosine >= np.partition(cosine, -k)[-k]
+                best, cosine = best[ahead], cosine[ahead]
             top = np.lexsort((best, -cosine))[:k]
             best, cosine, done, step = best[top], cosine[top], done + step, step * 4
         return best, cosine
