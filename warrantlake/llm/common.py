@@ -39,6 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the files of a table that ``written`` made, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, how: str = "left", hot: int = HOT) -> DataFrame:
     """``left`` joined with ``right``, which has one row of each key; ``counts`` (key, n): how often keys are in ``left``.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warrantlake.llm import decontaminate, html_text, language, licences, packing, quality, sharding, simhash, toxicity, warc
+from warrantlake.llm import centroids, decontaminate, html_text, language, licences, packing, quality, sharding, simhash, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_blocks": html_text.op9_blocks,
     "op10_language": language.op10_language,
+    "op11_subspace_pigeonhole": vectors.op11_subspace_pigeonhole,
+    "op13_geometric_drift": centroids.op13_geometric_drift,
 }
 
 #: The rest hash with XXH64, tokenize, learn or iterate: tests/llm hold them against plain Python.
@@ -41,6 +43,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_subspace_pigeonhole": """
+        WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+        u AS MATERIALIZED (SELECT r, label, CASE WHEN label IS NOT NULL AND len(e) > 0 AND list_bool_and(list_transform(e, lambda x: coalesce(isfinite(x), false)))
+                           AND list_bool_or(list_transform(e, lambda x: coalesce(x <> 0, false))) THEN e END AS e FROM v),
+        ok AS MATERIALIZED (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM u WHERE e IS NOT NULL),
+        l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+        reach AS (SELECT r, r AS t FROM v UNION SELECT reach.r, l.b FROM reach JOIN l ON l.a = reach.t),
+        c AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.t GROUP BY 1),
+        n AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY 1)
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM v JOIN c USING (r) LEFT JOIN n USING (r)""",
+    "op13_geometric_drift": centroids.oracle(),
 }
 
 
