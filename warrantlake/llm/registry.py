@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from warrantlake.llm import centroids, decontaminate, html_text, language, licences, packing, quality, sharding, simhash, toxicity, vectors, warc
+from warrantlake.llm import centroids, decontaminate, html_text, language, licences, packing, quality, sharding, simhash, spelling, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": packing.op1_packing,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_blocks": html_text.op9_blocks,
     "op10_language": language.op10_language,
     "op11_subspace_pigeonhole": vectors.op11_subspace_pigeonhole,
+    "op12_bloom_edits": spelling.op12_bloom_edits,
     "op13_geometric_drift": centroids.op13_geometric_drift,
 }
 
