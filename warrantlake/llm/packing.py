@@ -35,8 +35,8 @@ from tokenizers import Tokenizer
 from warrantlake.llm.common import written
 
 CAPACITY, SEPARATOR = 2048, 0
-#: Files of one vocabulary, and white space from which on its library makes the ids.
-VOCABULARY, LONG_RUN = "byte_bpe_50k", 50_000
+#: Files of one vocabulary, and white space from which on its library makes the ids: below it, a run costs no more than there.
+VOCABULARY, LONG_RUN = "byte_bpe_50k", 200
 #: Sequences that a block fills at least, so that few of them are opened again; a block of short pieces is so much longer.
 BINS = 8
 #: Pieces of a block, islands of a block, epochs, generations of an epoch, packings on an island.
@@ -56,6 +56,9 @@ def encoding(vocabulary: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+_LONG = re.compile(rf"\s{{{LONG_RUN}}}")
+
+
 @lru_cache(maxsize=2)
 def library(vocabulary: str) -> Tokenizer:
     return Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
@@ -64,10 +67,11 @@ def library(vocabulary: str) -> Tokenizer:
 def token_ids(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
     """The text's ids and the separator, as little-endian unsigned 32-bit numbers.
 
-    A rank file's pattern backtracks along a run of white space; texts with a very long one go to the JSON file's library.
+    A rank file's pattern backtracks along a run of white space, in the square of its length; texts with a long one go
+    to the JSON file's library.
     """
     text = text or ""
-    if len(text) >= LONG_RUN and re.search(rf"\s{{{LONG_RUN}}}", text):
+    if len(text) >= LONG_RUN and _LONG.search(text):
         ids = library(vocabulary).encode(text, add_special_tokens=False).ids
     else:
         ids = encoding(vocabulary).encode_to_numpy(text, allowed_special="all")
