@@ -11,7 +11,7 @@ A phrase is ``width`` consecutive words of a test item; an item of fewer words,
 
 The test items are read in blocks of bounded size, block by block through the driver, and searched in every shard,
 many blocks in one pass; a document's spans and items are merged over the blocks. Nulls: a null or empty text has no
-words and no hits; a null item text has no phrases. Copies of an item are all named, equal rows of documents are rows
+words and no hits; a null item text has no phrases; a null item id is named by the empty text. Copies of an item are all named, equal rows of documents are rows
 of their own, and very long texts are searched whole. Ids are compared as text. An empty benchmark hits nothing, an
 empty table gives no rows.
 """
@@ -192,7 +192,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _blocks(items: DataFrame, most: int) -> Iterator[list[tuple[str, str | None]]]:
     block, size = [], 0
-    for row in items.select(F.col("item_id").cast("string"), "text").toLocalIterator():
+    for row in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").toLocalIterator():
         block.append((row[0], row[1]))
         size += len(row[1] or "") + 16
         if size >= most:
