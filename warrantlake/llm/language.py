@@ -5,11 +5,13 @@ hashed to a row of an embedding table, the rows are averaged over the whole text
 names the language. Table and softmax are trained together by stochastic gradient descent in numpy, on a bounded
 sample of rows of every language. A held-out part of that sample sets the temperature of the scores and the score
 below which a text is rejected: the split-conformal quantile that rejects at most the share ``REJECTED`` of whole
-texts of the known languages, for texts that come from where the sample does.
+texts of the known languages, for texts that come from where the sample does. Where the sample holds too few such texts
+to tell that share (below 199 at 0.005), the threshold is halfway between the least of their scores and chance.
 
 Nulls and empties: a text that is null or has no letter is ``und`` with score 0 and is rejected. Rows of null
 ``lang`` are never learned from. With nothing to learn from, every text is ``und``. Very long texts are read whole.
-Copies get equal rows and are learned from once, an empty table gives no rows, and columns other than ``text`` and
+Copies get equal rows and are learned from once, whatever
+their number: a language's share is taken of its distinct texts, and it keeps one at least. An empty table gives no rows, and columns other than ``text`` and
 ``lang`` aren't read, whatever their names.
 """
 
@@ -23,10 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from warrantlake.llm.common import crc_of_id
+from warrantlake.llm.common import crc_of_id, written
 
-#: Bound of the training sample: about so many documents of each language.
-PER_LANGUAGE = 700
+#: Bounds of the training sample: about so many texts of each language, and about so many in all where languages are many.
+PER_LANGUAGE, IN_ALL = 700, 50_000
+#: Languages whose shares are broadcast; were there more, they are joined.
+FEW_LANGUAGES = 10_000
 BUCKETS, DIMENSIONS, SIZES = 8192, 16, (1, 2, 3)
 #: Share of whole held-out texts of known languages, told right, that may be rejected (wrong ones say nothing about
 #: how well a known language scores).
@@ -146,15 +150,21 @@ def _calibrate(model: Model, held: list) -> None:
     model.threshold = float(whole[rank - 1]) if rank else float(whole[0] + chance) / 2 if len(whole) else 0.0
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """About ``per_language`` texts of each language, chosen by a hash of the text; of copies one.
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> DataFrame:
+    """About ``per_language`` distinct texts of each language, those of the smallest hashes, and one at least.
 
-    The bound is the classifier's training sample alone; what it predicts covers every row.
+    The bound is the classifier's training sample alone; what it predicts covers every row. Where languages are so
+    many that the bounds of all would be more than ``in_all``, each one's is the smaller.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    share = F.broadcast(known.groupBy("lang").agg((F.lit(per_language) / F.count("*")).alias("share")))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    return known.join(share, "lang").where(draw < F.col("share")).select("lang", "text").distinct()
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
+    texts = known.select("lang", draw.alias("draw")).groupBy("lang").agg(F.count_distinct("draw").alias("texts"), F.min("draw").alias("least"))
+    shares = written(texts, "shares")
+    languages = shares.count()
+    bound = max(1.0, min(per_language, in_all / max(languages, 1)))
+    shares = shares.select("lang", "least", (F.lit(bound) / F.col("texts") * float(1 << 40)).alias("upto"))
+    met = known.join(F.broadcast(shares) if languages <= FEW_LANGUAGES else shares, "lang")
+    return met.where((draw < F.col("upto")) | (draw == F.col("least"))).select("lang", "text").distinct()
 
 
 def fit(docs: DataFrame) -> Model:
