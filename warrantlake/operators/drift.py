@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,16 +85,79 @@ def bets(p0: float, n: int = 40, low: float = 0.01) -> list[float]:
     return [low * (high / low) ** (i / (n - 1)) for i in range(n)]
 
 
-def e_process(stream: DataFrame, key: str, lead: Column, order: list[str], x: Column, p0: float, n_bets: int = 40) -> DataFrame:
+@dataclass(frozen=True)
+class Grid:
+    """The stakes of a betting process. Counts belong to the grid that they were bet on."""
+
+    p0: float
+    low: float = 0.01
+    stakes: int = 40
+
+    @property
+    def high(self) -> float:
+        return min(10.0, 0.9 / self.p0)
+
+    def bets(self) -> list[float]:
+        return bets(self.p0, self.stakes, self.low)
+
+    def fields(self) -> dict[str, float]:
+        return {"p0": self.p0, "low": self.low, "high": self.high, "stakes": self.stakes}
+
+    def check(self, recorded: dict, of: str) -> None:
+        """Refuses to resume counts whose recorded grid is missing or isn't this one."""
+        missing = sorted(name for name in self.fields() if recorded.get(name) is None)
+        if missing:
+            raise ValueError(f"the state of {of} is missing the betting grid ({', '.join(missing)}); it can't be resumed")
+        changed = sorted(name for name, value in self.fields().items() if recorded[name] != value)
+        if changed:
+            raise ValueError(f"the betting grid of {of} has changed ({', '.join(changed)}); its counts can't be resumed")
+
+    def log_wealth(self, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of the mixture of all stakes after ``k`` of ``n``."""
+        b = np.array(self.bets())
+        logs = k[:, None] * np.log1p(b * (1 - self.p0)) + (n - k)[:, None] * np.log1p(-b * self.p0)
+        most = logs.max(axis=1)
+        return most + np.log(np.exp(logs - most[:, None]).mean(axis=1))
+
+
+def _with_wealth(run: DataFrame, p0: float, stakes: list[float]) -> DataFrame:
+    """Adds log_wealth, the mixture of all stakes, to running counts k and n."""
+    logs = F.array(*[F.col("k") * math.log1p(b * (1 - p0)) + (F.col("n") - F.col("k")) * math.log1p(-b * p0) for b in stakes])
+    run = run.withColumn("logs", logs).withColumn("most", F.array_max("logs"))
+    mixed = F.col("most") + F.log(F.aggregate(F.transform("logs", lambda v: F.exp(v - F.col("most"))), F.lit(0.0), lambda a, v: a + v) / len(stakes))
+    return run.withColumn("log_wealth", mixed).drop("logs", "most")
+
+
+def wagers(stream: DataFrame, key: str, lead: Column, order: list[str], x: Column, grid: Grid) -> DataFrame:
+    """The state to store of each key: the grid, counts, highest log wealth and where it stands."""
+    last = e_process(stream, key, lead, order, x, grid.p0, grid.stakes, latch=False)
+    return last.groupBy(key).agg(F.max("n").alias("n"), F.max("k").alias("k"), F.max("log_wealth").alias("most")).withColumns({name: F.lit(value) for name, value in grid.fields().items()})
+
+
+def resumed(stream: DataFrame, key: str, lead: Column, order: list[str], x: Column, grid: Grid, state: DataFrame) -> DataFrame:
+    """``e_process`` of the rows after ``state``: its counts are offsets, as wealth is a function of running counts.
+
+    A state without its grid, or of another one, is refused by an error of the job.
+    """
+    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in grid.fields()]))
+    changed = F.array_compact(F.array(*[F.when(F.col(c) != v, F.lit(c)) for c, v in grid.fields().items()]))
+    fault = F.when(F.size(missing) > 0, F.concat(F.lit("the state is missing the betting grid: "), F.concat_ws(", ", missing))).when(F.size(changed) > 0, F.concat(F.lit("the betting grid has changed: "), F.concat_ws(", ", changed)))
+    checked = state.select(key, *(F.when(fault.isNotNull(), F.raise_error(fault).cast("double")).otherwise(F.col(c)).alias(f"{c}0") for c in ("n", "k", "most")))
+    run = G.accumulated(G.ranged(stream, [key], lead), [key], order, {"k": x.cast("long"), "n": F.lit(1).cast("long")}).join(checked, key, "left")
+    run = run.withColumns({c: F.col(c) + F.coalesce(F.col(f"{c}0").cast("long"), F.lit(0)) for c in ("n", "k")})
+    latched = G.accumulated(_with_wealth(run, grid.p0, grid.bets()), [key], order, {"most": F.col("log_wealth")}, F.max)
+    return latched.withColumn("revoked", F.greatest("most", F.coalesce("most0", F.lit(float("-inf")))) >= math.log(20)).drop("most", "n0", "k0", "most0", "_range")
+
+
+def e_process(stream: DataFrame, key: str, lead: Column, order: list[str], x: Column, p0: float, n_bets: int = 40, latch: bool = True) -> DataFrame:
     """log wealth of the mixture of bets after each row; the wealth is linear in running counts for every stake.
 
     ``revoked`` is latched: it holds once wealth has ever reached 1/0.05 in the key. Counts and the latch run in
     ranges of ``lead``, with which ``order`` begins.
     """
     run = G.accumulated(G.ranged(stream, [key], lead), [key], order, {"k": x.cast("long"), "n": F.lit(1).cast("long")})
-    logs = F.array(*[F.col("k") * math.log1p(b * (1 - p0)) + (F.col("n") - F.col("k")) * math.log1p(-b * p0) for b in bets(p0, n_bets)])
-    run = run.withColumn("logs", logs).withColumn("most", F.array_max("logs"))
-    mixed = F.col("most") + F.log(F.aggregate(F.transform("logs", lambda v: F.exp(v - F.col("most"))), F.lit(0.0), lambda a, v: a + v) / n_bets)
-    run = run.withColumn("log_wealth", mixed).drop("logs", "most")
+    run = _with_wealth(run, p0, bets(p0, n_bets))
+    if not latch:
+        return run.drop("_range")
     latched = G.accumulated(run, [key], order, {"most": F.col("log_wealth")}, F.max)
     return latched.withColumn("revoked", F.col("most") >= math.log(20)).drop("most", "_range")
