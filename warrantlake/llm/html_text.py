@@ -2,13 +2,16 @@
 
 A page is cut into blocks at block-level tags. A block has its words, the share of them inside links ("link
 density"), the same of its neighbours, and where it lies: in an article, elsewhere though the page has one, in
-something marked as no part of the text, or in a heading. A decision tree, grown by Gini impurity on the small
-labelled table below, keeps or drops each block.
+something marked as no part of the text, or in a heading. Neighbours are summed over the surrounding container, so
+that short paragraphs, items of lists and captions are judged by the run of text that they belong to; where the
+container has no other block on that side, the nearest block of the page counts. A decision tree, grown by Gini
+impurity on the small labelled table below, keeps or drops each block.
 
 Some elements and roles mark what is in them for good. Class names, forms and hidden elements mark it weakly: such a
 mark is void on whatever holds the page's main article, the article or main element of the most unlinked words,
 where unmarked ones count threefold. On a page of which nothing would be kept, it is void on what holds the
-weakly marked element of the most unlinked words, unless its name is a whole word such as "comments".
+weakly marked element of the most unlinked words, unless its name is a whole word such as "comments". A short block
+outside of articles that begins with a copyright notice, or holds "all rights reserved", is marked too.
 
 Nulls: a null or empty html has the empty text. Unclosed and misnested tags are closed as far as they must be; a tag
 that the page's end cuts off is dropped. A link lasts until its end, the next link, or the end of the block that it
@@ -51,124 +54,214 @@ STATES = frozenset("has have with without no not is enabled disabled open closed
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall "
     "sidebar aside rail widget widgets menu nav navbar navigation breadcrumb breadcrumbs footer topbar masthead comment comments commentlist reply replies respond discussion disqus related recommended share sharing social "
-    "pagination pager login signin signup register search toolbar skip hidden".split()
+    "pagination pager login signin signup register search toolbar skip hidden feedback legal copyright disclaimer".split()
 )
+#: Of these, words that mark weakly even when they are a whole name, as they are said of pages' text as well.
+VAGUE = frozenset("skip rail register search notice notices alert promo promotion widget widgets overlay modal legal feedback share social hidden".split())
 INNER = frozenset(["article", "main"])
+#: Elements that hold runs of blocks.
+GROUPS = frozenset("div section article main td body form center details".split())
+#: Notices of rights, in blocks of at most so many words.
+_RIGHTS, RIGHTS_WORDS = re.compile(r"\s*(?:©|\(c\)\s|copyright\s+(?:©|\(c\)|\d{4}))|.*\ball rights reserved\b", re.I | re.S), 40
 #: Unlinked words from which on a weakly marked element may be the text of a page without any other.
 LEAST_PLAIN = 25
 
-#: The labelled table: words, link density, words and density before, words and density behind, in an article,
-#: elsewhere, marked as no text, heading; and whether such a block is main text.
+#: The labelled table: words, link density, words and density before, words and density behind, unlinked words of the
+#: container, their share of the fullest container's, in an article, elsewhere, marked as no text, heading; and whether such a block is main text.
 LABELLED = """
-1 1.0 0 0.0 1 1.0 0 1 1 0 0
-2 1.0 1 1.0 2 1.0 0 1 1 0 0
-1 1.0 1 1.0 1 1.0 0 0 0 0 0
-2 1.0 2 1.0 1 1.0 0 0 0 0 0
-4 1.0 3 1.0 5 1.0 0 0 0 0 0
-9 1.0 8 1.0 9 1.0 0 0 0 0 0
-3 0.7 2 1.0 2 1.0 0 0 0 0 0
-12 0.9 9 1.0 14 0.8 0 1 0 0 0
-12 0.0 1 1.0 9 0.0 0 1 1 0 0
-45 0.0 2 1.0 60 0.0 0 1 1 0 0
-30 0.0 3 1.0 30 0.0 0 0 1 0 0
-150 0.0 90 0.0 120 0.0 0 0 1 0 0
-150 0.0 90 0.0 120 0.0 1 0 1 0 0
-14 0.0 80 0.0 9 0.0 1 0 1 0 0
-3 0.0 120 0.0 0 0.0 1 0 1 0 0
-6 0.0 20 0.0 30 0.0 1 0 1 1 0
-25 0.2 80 0.0 10 0.5 0 1 1 0 0
-5 0.0 100 0.0 0 0.0 0 1 1 0 0
-5 0.0 100 0.0 0 0.0 0 1 0 0 0
-8 0.3 60 0.0 2 1.0 0 1 0 0 0
-60 0.0 5 1.0 8 0.0 0 1 0 0 0
-35 0.0 2 1.0 8 0.0 0 1 0 0 0
-5 0.0 2 1.0 40 0.0 0 1 0 1 0
-7 0.0 30 0.0 80 0.0 1 0 0 1 1
-1 0.0 12 0.0 40 0.0 1 0 0 1 1
-9 0.0 1 1.0 5 0.0 1 0 0 1 1
-4 1.0 3 0.0 70 0.0 1 0 0 1 1
-80 0.0 7 0.0 90 0.0 1 0 0 0 1
-200 0.0 7 0.0 3 0.0 1 0 0 0 1
-2 0.0 90 0.0 70 0.0 1 0 0 0 1
-1 0.0 90 0.0 5 0.0 1 0 0 0 1
-1 0.0 1 0.0 1 0.0 1 0 0 0 1
-4 0.0 4 0.0 0 0.0 1 0 0 0 1
-12 0.0 30 0.0 2 1.0 1 0 0 0 1
-40 0.3 70 0.1 60 0.0 1 0 0 0 1
-25 0.5 70 0.0 60 0.0 1 0 0 0 1
-14 0.6 50 0.0 60 0.0 1 0 0 0 1
-20 1.0 60 0.0 70 0.0 1 0 0 0 1
-11 1.0 60 0.0 70 0.0 1 0 0 0 1
-60 0.0 3 1.0 3 0.0 0 0 0 0 1
-80 0.0 4 1.0 20 0.0 0 0 0 0 1
-10 0.0 5 1.0 20 0.0 1 0 0 0 1
-4 0.0 2 1.0 60 0.0 1 0 0 0 1
-30 0.0 2 1.0 0 0.0 1 0 0 0 1
-60 0.0 2 1.0 80 0.0 0 0 1 0 0
-60 0.0 2 1.0 80 0.0 0 1 0 0 0
-3 0.0 0 0.0 0 0.0 1 0 0 0 1
-300 0.0 0 0.0 0 0.0 1 0 0 0 1
-15 0.0 0 0.0 12 0.0 1 0 0 0 1
-25 0.0 2 0.0 0 0.0 1 0 0 0 1
-50 0.0 25 0.0 14 0.0 1 0 0 0 1
-5 0.0 22 0.0 30 0.0 1 0 0 0 1
-18 0.0 4 0.0 21 0.0 1 0 0 0 1
-33 0.0 18 0.0 5 0.0 1 0 0 0 1
-7 0.0 7 0.0 7 0.0 1 0 0 0 1
-110 0.0 300 0.0 1 0.0 1 0 0 0 1
-60 0.1 20 0.0 0 0.0 1 0 0 0 1
-9 0.2 15 0.0 33 0.0 1 0 0 0 1
-6 0.0 40 0.0 0 0.0 1 0 0 0 1
-2 0.0 9 0.0 45 0.0 1 0 0 1 1
-3 0.0 40 0.0 5 1.0 1 0 0 0 1
-8 0.0 20 0.0 2 1.0 1 0 0 0 1
-5 0.0 0 0.0 3 1.0 1 0 0 1 1
-1 0.0 10 0.0 1 1.0 1 0 0 0 1
-30 0.1 60 0.0 4 1.0 1 0 0 0 1
-6 0.3 12 0.5 6 0.5 1 0 0 0 1
-4 0.0 4 1.0 4 1.0 1 0 0 0 1
-2 0.0 5 1.0 0 0.0 1 0 0 0 1
-7 0.0 3 0.0 40 1.0 1 0 0 0 1
-40 0.0 60 0.0 5 1.0 0 1 0 0 0
-12 0.0 5 0.0 9 1.0 0 1 0 0 0
-100 0.0 50 0.0 5 1.0 0 1 0 0 0
-25 0.0 3 1.0 2 0.5 0 1 0 0 0
-60 0.0 40 0.0 5 1.0 0 0 0 0 1
-30 0.0 20 0.0 3 1.0 0 0 0 0 1
-6 0.0 60 0.0 4 1.0 0 0 0 0 0
-2 1.0 2 1.0 80 0.0 0 0 0 0 0
-1 1.0 0 0.0 120 0.0 0 0 0 0 0
-4 1.0 3 1.0 200 0.0 0 0 0 0 0
-8 0.8 2 1.0 90 0.0 0 0 0 0 0
-2 1.0 1 1.0 90 0.0 0 0 1 0 0
-12 1.0 9 1.0 90 0.0 0 0 1 0 0
-3 1.0 2 1.0 150 0.0 1 0 0 0 0
-2 1.0 2 1.0 3 1.0 1 0 0 0 0
-1 1.0 80 0.0 1 1.0 1 0 0 0 0
-3 1.0 2 1.0 0 0.0 1 0 0 0 0
-1 1.0 1 1.0 60 0.0 1 0 0 0 0
-90 0.0 8 0.0 80 0.0 0 0 0 0 1
-45 0.1 5 1.0 60 0.0 0 0 0 0 1
-30 0.0 60 0.0 4 0.0 0 0 0 0 1
-22 0.0 25 0.0 3 1.0 0 0 0 0 1
-25 0.3 60 0.0 50 0.0 0 0 0 0 1
-18 0.0 30 0.0 40 0.1 0 0 0 0 1
-5 0.0 70 0.0 90 0.0 0 0 0 0 1
-8 0.0 45 0.0 30 0.0 0 0 0 0 1
-2 0.0 21 0.0 20 0.0 0 0 0 0 1
-3 0.0 20 0.0 25 0.0 0 0 0 0 1
-1 0.0 30 0.0 25 0.0 0 0 0 0 1
-12 0.0 21 0.0 0 0.0 0 0 0 0 1
-3 0.0 0 0.0 21 0.0 0 0 0 1 1
-6 0.0 2 1.0 70 0.0 0 0 0 1 1
-4 0.0 60 0.0 45 0.0 0 0 0 1 1
-3 0.0 2 1.0 2 1.0 0 0 0 1 0
-3 0.0 2 1.0 2 1.0 0 0 0 0 0
-4 0.0 3 1.0 5 0.0 0 0 0 0 0
-6 0.0 60 0.0 0 0.0 0 0 0 0 0
-7 0.0 40 0.0 2 1.0 0 0 0 0 0
-20 0.8 40 0.0 30 0.0 0 0 0 0 0
-40 0.7 30 0.9 30 0.9 0 0 0 0 0
+1 1.0 0 0.0 1 1.0 0 0.3 0 1 1 0 0
+2 1.0 1 1.0 2 1.0 0 0.3 0 1 1 0 0
+12 0.9 9 1.0 14 0.8 4 0.3 0 1 0 0 0
+12 0.0 1 1.0 9 0.0 21 0.3 0 1 1 0 0
+45 0.0 2 1.0 60 0.0 105 0.3 0 1 1 0 0
+30 0.0 3 1.0 30 0.0 60 0.3 0 0 1 0 0
+150 0.0 90 0.0 120 0.0 360 0.3 0 0 1 0 0
+150 0.0 90 0.0 120 0.0 360 0.3 1 0 1 0 0
+14 0.0 80 0.0 9 0.0 103 0.3 1 0 1 0 0
+3 0.0 120 0.0 0 0.0 123 0.3 1 0 1 0 0
+6 0.0 20 0.0 30 0.0 56 0.3 1 0 1 1 0
+25 0.2 80 0.0 10 0.5 105 0.3 0 1 1 0 0
+5 0.0 100 0.0 0 0.0 105 0.3 0 1 1 0 0
+5 0.0 100 0.0 0 0.0 105 0.3 0 1 0 0 0
+8 0.3 60 0.0 2 1.0 66 0.3 0 1 0 0 0
+60 0.0 5 1.0 8 0.0 68 0.3 0 1 0 0 0
+35 0.0 2 1.0 8 0.0 43 0.3 0 1 0 0 0
+5 0.0 2 1.0 40 0.0 45 0.3 0 1 0 1 0
+7 0.0 30 0.0 80 0.0 117 1 1 0 0 1 1
+1 0.0 12 0.0 40 0.0 53 1 1 0 0 1 1
+9 0.0 1 1.0 5 0.0 14 1 1 0 0 1 1
+4 1.0 3 0.0 70 0.0 73 1 1 0 0 1 1
+80 0.0 7 0.0 90 0.0 177 1 1 0 0 0 1
+200 0.0 7 0.0 3 0.0 210 1 1 0 0 0 1
+2 0.0 90 0.0 70 0.0 162 1 1 0 0 0 1
+1 0.0 90 0.0 5 0.0 96 1 1 0 0 0 1
+1 0.0 1 0.0 1 0.0 3 1 1 0 0 0 1
+4 0.0 4 0.0 0 0.0 8 1 1 0 0 0 1
+12 0.0 30 0.0 2 1.0 42 1 1 0 0 0 1
+40 0.3 70 0.1 60 0.0 151 1 1 0 0 0 1
+25 0.5 70 0.0 60 0.0 142 1 1 0 0 0 1
+14 0.6 50 0.0 60 0.0 116 1 1 0 0 0 1
+20 1.0 60 0.0 70 0.0 130 1 1 0 0 0 1
+11 1.0 60 0.0 70 0.0 130 1 1 0 0 0 1
+10 0.0 5 1.0 20 0.0 30 1 1 0 0 0 1
+4 0.0 2 1.0 60 0.0 64 1 1 0 0 0 1
+30 0.0 2 1.0 0 0.0 30 1 1 0 0 0 1
+60 0.0 2 1.0 80 0.0 140 0.3 0 0 1 0 0
+60 0.0 2 1.0 80 0.0 140 0.3 0 1 0 0 0
+3 0.0 0 0.0 0 0.0 3 1 1 0 0 0 1
+300 0.0 0 0.0 0 0.0 300 1 1 0 0 0 1
+15 0.0 0 0.0 12 0.0 27 1 1 0 0 0 1
+25 0.0 2 0.0 0 0.0 27 1 1 0 0 0 1
+50 0.0 25 0.0 14 0.0 89 1 1 0 0 0 1
+5 0.0 22 0.0 30 0.0 57 1 1 0 0 0 1
+18 0.0 4 0.0 21 0.0 43 1 1 0 0 0 1
+33 0.0 18 0.0 5 0.0 56 1 1 0 0 0 1
+7 0.0 7 0.0 7 0.0 21 1 1 0 0 0 1
+110 0.0 300 0.0 1 0.0 411 1 1 0 0 0 1
+60 0.1 20 0.0 0 0.0 74 1 1 0 0 0 1
+9 0.2 15 0.0 33 0.0 55 1 1 0 0 0 1
+6 0.0 40 0.0 0 0.0 46 1 1 0 0 0 1
+2 0.0 9 0.0 45 0.0 56 1 1 0 0 1 1
+3 0.0 40 0.0 5 1.0 43 1 1 0 0 0 1
+8 0.0 20 0.0 2 1.0 28 1 1 0 0 0 1
+5 0.0 0 0.0 3 1.0 5 1 1 0 0 1 1
+1 0.0 10 0.0 1 1.0 11 1 1 0 0 0 1
+30 0.1 60 0.0 4 1.0 87 1 1 0 0 0 1
+6 0.3 12 0.5 6 0.5 13 1 1 0 0 0 1
+4 0.0 4 1.0 4 1.0 4 1 1 0 0 0 1
+2 0.0 5 1.0 0 0.0 2 1 1 0 0 0 1
+7 0.0 3 0.0 40 1.0 10 1 1 0 0 0 1
+40 0.0 60 0.0 5 1.0 100 0.3 0 1 0 0 0
+12 0.0 5 0.0 9 1.0 17 0.3 0 1 0 0 0
+100 0.0 50 0.0 5 1.0 150 0.3 0 1 0 0 0
+25 0.0 3 1.0 2 0.5 26 0.3 0 1 0 0 0
+2 1.0 1 1.0 90 0.0 90 0.3 0 0 1 0 0
+12 1.0 9 1.0 90 0.0 90 0.3 0 0 1 0 0
+3 1.0 2 1.0 150 0.0 150 1 1 0 0 0 0
+2 1.0 2 1.0 3 1.0 0 1 1 0 0 0 0
+1 1.0 80 0.0 1 1.0 80 1 1 0 0 0 0
+3 1.0 2 1.0 0 0.0 0 1 1 0 0 0 0
+1 1.0 1 1.0 60 0.0 60 1 1 0 0 0 0
+60 0.0 3 1.0 3 0.0 63 1 0 0 0 0 1
+80 0.0 4 1.0 20 0.0 100 1 0 0 0 0 1
+90 0.0 8 0.0 80 0.0 178 1 0 0 0 0 1
+45 0.1 5 1.0 60 0.0 105 1 0 0 0 0 1
+30 0.0 60 0.0 20 0.0 110 1 0 0 0 0 1
+25 0.3 60 0.0 50 0.0 130 1 0 0 0 0 1
+22 0.0 25 0.0 3 1.0 47 1 0 0 0 0 1
+18 0.0 30 0.0 40 0.1 84 1 0 0 0 0 1
+60 0.0 40 0.0 5 1.0 60 1 0 0 0 0 1
+30 0.0 20 0.0 3 1.0 50 1 0 0 0 0 1
+40 0.0 0 0.0 0 0.0 40 1 0 0 0 0 1
+300 0.0 2 1.0 3 1.0 300 1 0 0 0 0 1
+5 0.0 25 0.0 30 0.0 60 1 0 0 0 0 1
+5 0.0 55 0.0 0 0.0 60 1 0 0 0 0 1
+5 0.0 0 0.0 55 0.0 60 1 0 0 0 0 1
+5 0.0 55 0.0 4 1.0 60 1 0 0 0 0 1
+5 0.0 3 1.0 55 0.0 60 1 0 0 0 0 1
+10 0.0 60 0.0 50 0.0 120 1 0 0 0 0 1
+10 0.0 110 0.0 2 1.0 120 1 0 0 0 0 1
+10 0.0 2 1.0 110 0.0 120 1 0 0 0 0 1
+10 0.0 110 0.0 0 0.0 120 1 0 0 0 0 1
+15 0.0 165 0.0 0 0.0 180 1 0 0 0 0 1
+15 0.0 2 1.0 165 0.0 180 1 0 0 0 0 1
+3 0.0 20 0.0 25 0.0 48 1 0 0 0 0 1
+1 0.0 30 0.0 25 0.0 56 1 0 0 0 0 1
+1 0.0 12 0.0 12 0.0 25 1 0 0 0 0 1
+2 0.0 21 0.0 20 0.0 43 1 0 0 0 0 1
+12 0.0 21 0.0 0 0.0 33 1 0 0 0 0 1
+8 0.0 45 0.0 2 1.0 53 1 0 0 0 0 1
+8 0.0 45 0.0 30 0.0 83 1 0 0 0 0 1
+2 0.0 38 0.0 0 0.0 40 1 0 0 0 0 1
+11 1.0 60 0.0 70 0.0 130 1 0 0 0 0 1
+6 0.4 40 0.0 40 0.0 84 1 0 0 0 0 1
+7 0.0 0 0.0 0 0.0 7 1 0 0 0 0 1
+3 0.0 0 0.0 0 0.0 3 1 0 0 0 0 1
+1 0.0 0 0.0 0 0.0 1 1 0 0 0 0 1
+6 0.0 0 0.0 7 0.0 13 1 0 0 0 0 1
+7 0.0 6 0.0 0 0.0 13 1 0 0 0 0 1
+3 0.0 4 0.0 4 0.0 11 1 0 0 0 0 1
+3 0.0 0 0.0 21 0.0 24 1 0 0 0 1 1
+4 0.0 0 0.0 60 0.0 64 1 0 0 0 1 1
+6 0.0 2 1.0 70 0.0 76 1 0 0 0 1 1
+5 0.0 2 1.0 40 0.0 45 1 0 0 0 1 1
+4 0.0 60 0.0 45 0.0 109 1 0 0 0 1 1
+3 0.0 0 0.0 60 0.0 3 0.05 0 0 0 1 1
+6 0.0 2 1.0 70 0.0 6 0.05 0 0 0 1 1
+4 0.0 0 0.0 9 0.0 13 1 0 0 0 1 1
+2 0.0 4 0.0 5 0.0 11 1 0 0 0 1 1
+1 1.0 1 1.0 1 1.0 0 0 0 0 0 0 0
+2 1.0 2 1.0 1 1.0 0 0 0 0 0 0 0
+4 1.0 3 1.0 5 1.0 0 0 0 0 0 0 0
+9 1.0 8 1.0 9 1.0 0 0 0 0 0 0 0
+3 0.7 2 1.0 2 1.0 1 0 0 0 0 0 0
+2 1.0 2 1.0 80 0.0 0 0 0 0 0 0 0
+2 1.0 2 1.0 80 0.0 80 1 0 0 0 0 0
+1 1.0 0 0.0 120 0.0 0 0 0 0 0 0 0
+1 1.0 0 0.0 120 0.0 120 1 0 0 0 0 0
+4 1.0 3 1.0 200 0.0 0 0 0 0 0 0 0
+4 1.0 200 0.0 0 0.0 200 1 0 0 0 0 0
+8 0.8 2 1.0 90 0.0 2 0 0 0 0 0 0
+20 0.8 40 0.0 30 0.0 74 1 0 0 0 0 0
+40 0.7 30 0.9 30 0.9 18 0 0 0 0 0 0
+12 1.0 0 0.0 0 0.0 0 0 0 0 0 0 0
+3 1.0 0 0.0 0 0.0 0 0 0 0 0 0 0
+6 0.0 60 0.0 0 0.0 6 0.05 0 0 0 0 0
+12 0.0 200 0.0 0 0.0 12 0.06 0 0 0 0 0
+8 0.0 30 0.0 0 0.0 8 0.05 0 0 0 0 0
+7 0.0 40 0.0 2 1.0 7 0.05 0 0 0 0 0
+6 0.0 60 0.0 4 1.0 6 0.05 0 0 0 0 0
+3 0.0 2 1.0 2 1.0 3 0.1 0 0 0 0 0
+4 0.0 3 1.0 5 0.0 4 0.1 0 0 0 0 0
+2 0.0 0 0.0 60 0.0 2 0.05 0 0 0 0 0
+5 0.0 0 0.0 40 0.0 5 0.05 0 0 0 0 0
+8 0.0 3 1.0 60 0.0 8 0.05 0 0 0 0 0
+3 0.0 2 1.0 2 1.0 3 0.1 0 0 0 1 0
+5 0.0 60 0.0 3 1.0 5 0.05 0 0 0 1 0
+60 0.0 300 0.0 360 0.0 720 1 0 0 0 0 1
+60 0.0 660 0.0 2 1.0 720 1 0 0 0 0 1
+60 0.0 3 1.0 660 0.0 720 1 0 0 0 0 1
+50 0.0 250 0.0 0 0.0 300 1 0 0 0 0 1
+50 0.0 0 0.0 250 0.0 300 1 0 0 0 0 1
+50 0.0 100 0.0 150 0.0 300 1 0 0 0 0 1
+150 0.0 600 0.0 600 0.0 1350 1 0 0 0 0 1
+400 0.0 900 0.0 900 0.0 2200 1 0 0 0 0 1
+5 0.0 600 0.0 600 0.0 1205 1 0 0 0 0 1
+3 0.0 0 0.0 720 0.0 723 1 0 0 0 1 1
+3 0.0 2 1.0 720 0.0 723 1 0 0 0 1 1
+3 0.0 2 1.0 720 0.0 3 0.05 0 0 0 1 1
+3 0.0 360 0.0 360 0.0 723 1 0 0 0 1 1
+1 0.0 0 0.0 4 0.0 5 0.03 0 0 0 0 0
+4 0.0 1 0.0 0 0.0 5 0.03 0 0 0 0 0
+2 0.0 3 0.0 5 0.0 10 0.05 0 0 0 0 0
+6 0.0 8 0.0 0 0.0 14 0.08 0 0 0 0 0
+3 0.0 0 0.0 0 0.0 3 0.02 0 0 0 0 0
+1 0.0 5 0.0 6 0.0 12 1 0 0 0 0 1
+1 0.0 0 0.0 11 0.0 12 1 0 0 0 0 1
+1 0.0 11 0.0 0 0.0 12 1 0 0 0 0 1
+1 0.0 11 0.0 2 1.0 12 1 0 0 0 0 1
+1 0.0 2 1.0 11 0.0 12 1 0 0 0 0 1
+30 0.0 20 0.0 40 0.0 90 0.4 0 0 0 0 1
+60 0.0 0 0.0 10 0.0 70 0.3 0 0 0 0 1
+20 0.0 30 0.0 30 0.0 80 0.5 0 0 0 0 1
+3 0.0 0 0.0 12 0.0 1 0.08 0 0 0 1 1
+3 0.0 0 0.0 1 0.0 3 0.25 0 0 0 1 1
+6 0.0 180 0.0 0 0.0 180 1 0 0 1 0 0
+6 0.0 30 0.0 180 0.0 210 1 0 0 1 0 0
+7 0.0 0 0.0 0 0.0 0 0 0 0 1 0 0
+100 0.0 0 0.0 0 0.0 0 0 0 0 1 0 0
+6 0.0 20 0.0 0 0.0 0 0 0 0 1 0 0
+5 0.0 60 0.0 2 1.0 60 1 0 0 1 0 0
+300 0.0 0 0.0 0 0.0 0 0 0 0 1 0 0
+50 0.0 300 0.0 300 0.0 600 1 0 0 1 0 0
+3 0.0 7 0.0 0 0.0 7 1 0 0 1 0 0
+5 0.0 60 0.0 60 0.0 120 1 0 0 1 1 0
+3 0.0 0 0.0 60 0.0 0 0 0 0 1 1 0
+3 0.0 2 1.0 1 0.0 3 0.25 0 0 0 1 1
+3 0.0 2 1.0 3 0.0 3 0.08 0 0 0 1 1
+3 0.0 2 1.0 5 0.0 3 0.05 0 0 0 1 1
+3 0.0 2 1.0 10 0.0 3 0.025 0 0 0 1 1
+5 0.0 2 1.0 15 0.0 5 0.02 0 0 0 1 1
 """
 
 
@@ -187,7 +280,7 @@ class Node:
         return node.share >= 0.5
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Node:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 14) -> Node:
     """A tree of least Gini impurity; of equal cuts, that of the last feature and the smallest value."""
     node = Node(float(y.mean()))
     best = len(y) * 2 * node.share * (1 - node.share) - 1e-9
@@ -229,7 +322,7 @@ def _name_mark(value: str, inside: bool) -> int:
         if not STATES.isdisjoint(words):
             continue
         if not NAMES.isdisjoint(words) or "header" in words and not inside:
-            best = max(best, NAMED if len(words) == 1 else MAYBE)
+            best = max(best, NAMED if len(words) == 1 and VAGUE.isdisjoint(words) else MAYBE)
     return best
 
 
@@ -257,6 +350,7 @@ class Block:
     linked: int
     inside: bool
     heading: bool
+    group: int
     marked: bool = False
 
     @property
@@ -278,6 +372,16 @@ class Element:
         return self.first <= other.first and other.last <= self.last
 
 
+@dataclass
+class Group:
+    """An element that holds runs of blocks: its parent, and the blocks [first, last) in it."""
+
+    name: str
+    parent: int
+    first: int
+    last: int = 0
+
+
 class Page:
     """Blocks with a word, in page order, and the elements that bear on them."""
 
@@ -285,34 +389,52 @@ class Page:
         self.blocks: list[Block] = []
         self.elements: list[Element] = []
         self._parts: list[tuple[str, bool]] = []
-        self._stack: list[tuple[str, bool, bool, Element | None]] = []  # name, inside, heading, element
+        self.groups = [Group("body", 0, 0)]
+        self._stack: list[tuple[str, bool, bool, Element | None, int]] = []  # name, inside, heading, element, group
         self._open: Counter = Counter()
         self._link = -1  # depth of the block that an open link began in
         self._read(page)
         while self._stack:
             self._leave()
+        self.groups[0].last = len(self.blocks)
+        self._gather()
+
+    def _gather(self) -> None:
+        """Gives each block its container: what wraps one block, or is a section of something, counts as what is around it."""
+        whole: list[int] = []
+        for at, g in enumerate(self.groups):
+            around = whole[g.parent] if at else 0
+            part = g.last - g.first == 1 or g.name == "section" and self.groups[around].name != "body"
+            whole.append(around if at and (part or g.name == "body") else at)
+        for block in self.blocks:
+            block.group = whole[block.group]
 
     def _flush(self) -> None:
         text = " ".join("".join(t for t, _ in self._parts).split())
         if text:
-            _, inside, heading, _ = self._stack[-1] if self._stack else ("", False, False, None)
+            _, inside, heading, _, group = self._stack[-1] if self._stack else ("", False, False, None, 0)
             linked = sum(len(t.split()) for t, in_link in self._parts if in_link)
             words = len(text.split())
-            self.blocks.append(Block(text, words, min(linked, words), inside, heading))
+            self.blocks.append(Block(text, words, min(linked, words), inside, heading, group))
         self._parts.clear()
 
     def _enter(self, name: str, tag: str) -> None:
-        _, inside, heading, _ = self._stack[-1] if self._stack else ("", False, False, None)
+        _, inside, heading, _, group = self._stack[-1] if self._stack else ("", False, False, None, 0)
         mark, main = _mark(name, tag, inside or name in INNER)
         element = Element(mark, main, len(self.blocks)) if mark or main else None
         if element:
             self.elements.append(element)
-        self._stack.append((name, inside or main, heading or name in ("h1", "h2", "h3", "h4", "h5", "h6"), element))
+        if name in GROUPS:
+            self.groups.append(Group(name, group, len(self.blocks)))
+            group = len(self.groups) - 1
+        self._stack.append((name, inside or main, heading or name in ("h1", "h2", "h3", "h4", "h5", "h6"), element, group))
         self._open[name] += 1
 
     def _leave(self) -> str:
-        name, *_, element = self._stack.pop()
+        name, _, _, element, group = self._stack.pop()
         self._open[name] -= 1
+        if name in GROUPS:
+            self.groups[group].last = len(self.blocks)
         if element:
             element.last = len(self.blocks)
         if self._link > len(self._stack):
@@ -384,7 +506,7 @@ class Page:
 
     def mark(self, void: Element | None) -> None:
         for block, marked in zip(self.blocks, self._cover(MAYBE, void), strict=True):
-            block.marked = marked
+            block.marked = marked or not block.inside and block.words <= RIGHTS_WORDS and bool(_RIGHTS.match(block.text))
 
     def _plain(self, least: int) -> Callable[[Element], int]:
         """Unlinked words of an element that lie in no mark as sure as ``least``."""
@@ -398,6 +520,9 @@ class Page:
         best = max(inner, key=lambda e: plain(e) + 2 * free(e), default=None)
         if best is None or not plain(best):
             return None
+        outside = sum(b.plain for b, covered in zip(self.blocks, self._cover(MAYBE, None), strict=True) if not covered and not b.inside)
+        if not free(best) and outside > plain(best):
+            return None  # remarks in elements of their own, beside a text that has none
         for e in inner:
             if best.holds(e) and plain(e) >= 0.6 * plain(best):
                 best = e
@@ -409,19 +534,28 @@ class Page:
 
 
 def features(found: list[Block]) -> list[list[float]]:
-    """One vector a block; neighbours are the nearest blocks that aren't marked as no text."""
+    """One vector a block; neighbours are blocks that aren't marked as no text."""
     has_article = any(b.inside and not b.marked for b in found)
-    shapes = [(float(b.words), b.linked / b.words) for b in found]
 
     def neighbours(order: range) -> list[tuple[float, float]]:
+        """Words and link density of what comes before, in that order: of the container, else of the nearest block."""
         near, out = (0.0, 0.0), [(0.0, 0.0)] * len(found)
+        sums: dict[int, tuple[int, int]] = {}
         for i in order:
-            out[i] = near
-            near = near if found[i].marked else shapes[i]
+            b = found[i]
+            words, linked = sums.get(b.group, (0, 0))
+            out[i] = (float(words), linked / words) if words else near
+            if not b.marked:
+                sums[b.group] = (words + b.words, linked + b.linked)
+                near = (float(b.words), b.linked / b.words)
         return out
 
     before, behind = neighbours(range(len(found))), neighbours(range(len(found) - 1, -1, -1))
-    return [[*shapes[i], *before[i], *behind[i], float(b.inside), float(has_article and not b.inside), float(b.marked), float(b.heading)] for i, b in enumerate(found)]
+    held: Counter[int] = Counter()
+    for b in found:
+        held[b.group] += 0 if b.marked else b.words - b.linked
+    fullest = max(held.values(), default=0) or 1
+    return [[float(b.words), b.linked / b.words, *before[i], *behind[i], float(held[b.group]), held[b.group] / fullest, float(b.inside), float(has_article and not b.inside), float(b.marked), float(b.heading)] for i, b in enumerate(found)]
 
 
 def main_text(page: str | None, judge: Node | None = None) -> str:
