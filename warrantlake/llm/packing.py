@@ -71,7 +71,9 @@ def token_ids(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
     to the JSON file's library.
     """
     text = text or ""
-    if len(text) >= LONG_RUN and _LONG.search(text):
+    half = LONG_RUN // 2
+    # A run of that length holds a whole aligned block of half of it; most texts have none, and need no search.
+    if any(text[at : at + half].isspace() for at in range(0, len(text) - half + 1, half)) and _LONG.search(text):
         ids = library(vocabulary).encode(text, add_special_tokens=False).ids
     else:
         ids = encoding(vocabulary).encode_to_numpy(text, allowed_special="all")
