@@ -85,6 +85,43 @@ def bets(p0: float, n: int = 40, low: float = 0.01) -> list[float]:
     return [low * (high / low) ** (i / (n - 1)) for i in range(n)]
 
 
+def expected_shares(reference: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """One row: for each feature (column ``bin_<name>``) the shares of its bins among observed values; null if none was."""
+    share = lambda name, i: F.try_divide(F.count_if(F.col(f"bin_{name}") == i), F.count(f"bin_{name}"))
+    seen = lambda name: F.count(f"bin_{name}") > 0
+    return reference.agg(*(F.when(seen(name), F.array(*[share(name, i) for i in range(n)])).alias(f"expected_{name}") for name, n in sizes.items()))
+
+
+def verdicts(stream: DataFrame, key: str, lead: Column, order: list[str], sizes: dict[str, int], expected: DataFrame, window: int) -> DataFrame:
+    """The verdict of each row's window over several features: PSI of each, the worst state, its driver, and what wasn't observed.
+
+    Features are columns ``bin_<name>`` of bin numbers, null where a row lacks one; a window is of rows, and a feature
+    counts by the values that it has there. All features share one frame. The driver is the feature of the severest
+    state, of those the one of the largest index, then the first named. Below ``window`` rows, or with no feature
+    observed, there is no verdict.
+    """
+    blocks, own = G.framed(stream, [key], lead, order, window)
+    frame = Window.partitionBy(key, "_block").orderBy("_nth").rowsBetween(1 - window, 0)
+    x = blocks.withColumns({"n": F.count("*").over(frame)} | {f"_c_{name}_{i}": F.count_if(F.col(f"bin_{name}") == i).over(frame) for name, n in sizes.items() for i in range(n)})
+    x = x.where(own).crossJoin(F.broadcast(expected))
+    full = F.col("n") >= window
+    for name, n in sizes.items():
+        counts = [F.col(f"_c_{name}_{i}") for i in range(n)]
+        seen = sum(counts[1:], counts[0])
+        term = F.lit(0.0)
+        for i, c in enumerate(counts):
+            a, e = F.greatest(c / seen, F.lit(EPSILON)), F.greatest(F.get(f"expected_{name}", F.lit(i)), F.lit(EPSILON))
+            term = term + (a - e) * F.log(a / e)
+        x = x.withColumn(f"psi_{name}", F.when(full & (seen > 0) & F.col(f"expected_{name}").isNotNull(), term))
+    severity = lambda v: F.when(v < STABLE, 0).when(v < SIGNIFICANT, 1).otherwise(2)
+    scored = F.array_compact(F.array(*[F.when(F.col(f"psi_{name}").isNotNull(), F.struct(severity(F.col(f"psi_{name}")).alias("s"), F.col(f"psi_{name}").alias("psi"), F.lit(-at).alias("o"), F.lit(name).alias("name"))) for at, name in enumerate(sizes)]))
+    top = F.array_max(scored)
+    states = F.array(F.lit("INSIDE"), F.lit("MODERATE"), F.lit("SIGNIFICANT"))
+    lacking = F.array_compact(F.array(*[F.when(F.col(f"psi_{name}").isNull(), F.lit(name)) for name in sizes]))
+    x = x.withColumns({"state": F.coalesce(F.get(states, top["s"]), F.lit("INSUFFICIENT_DATA")), "driver": top["name"], "unobserved": lacking})
+    return x.drop("_block", "_own", "_nth", *(f"expected_{name}" for name in sizes), *(f"_c_{name}_{i}" for name, n in sizes.items() for i in range(n)))
+
+
 @dataclass(frozen=True)
 class Grid:
     """The stakes of a betting process. Counts belong to the grid that they were bet on."""

@@ -27,6 +27,7 @@ from pyspark.sql.types import StructType
 
 from warrantlake.operators import drift as D
 from warrantlake.operators.ledger import append
+from warrantlake.operators.nullband import refuse_noisy
 
 #: The state store that typed state needs.
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -132,8 +133,14 @@ def to_ledger(path: str, requests: DataFrame, warrants: DataFrame, window: int):
     return write
 
 
-def run(spark: SparkSession, stream: DataFrame, requests: DataFrame, warrants: DataFrame, window: int, p0: float, checkpoint: str, sink, stakes: int = 40) -> None:
-    """Takes what the stream has now, through state kept at ``checkpoint``, and returns."""
+def run(spark: SparkSession, stream: DataFrame, requests: DataFrame, warrants: DataFrame, window: int, p0: float, checkpoint: str, sink, stakes: int = 40, most_false_alarms: float | None = None, n_reference: int = 1000) -> None:
+    """Takes what the stream has now, through state kept at ``checkpoint``, and returns.
+
+    With ``most_false_alarms`` a window that would leave the stable band too often on unmoved traffic is refused first.
+    """
+    if most_false_alarms is not None:
+        settings = warrants.select("warrant_id", "probabilities", F.lit(window).alias("n"), F.lit(n_reference).alias("n_reference"), F.lit(D.STABLE).alias("stable"))
+        refuse_noisy(settings, ["warrant_id"], most_false_alarms)
     before = spark.conf.get(STORE[0], None)
     spark.conf.set(*STORE)
     try:
