@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +105,8 @@ def override_summary(overrides: DataFrame, keys: list[str]) -> DataFrame:
 def append(spark, path: str, records: DataFrame, retention_days: int = 365) -> int:
     """Appends (kind, record_id, body) rows in the order of ``record_id`` after the stored head; a single writer.
 
+    Further columns are kept beside the body.
+
     Unknown kinds and (kind, record_id) pairs already stored are refused as a whole. Returns the last ``seq``.
     """
     if retention_days < 365:
@@ -119,14 +124,22 @@ def append(spark, path: str, records: DataFrame, retention_days: int = 365) -> i
         last = stored.orderBy(F.desc("seq")).limit(1).first()
         if last is not None:
             seq, previous = last["seq"], last["self_hash"]
-    numbered = records.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("kind", "record_id")))
-    one = numbered.select(F.lit(0).alias("chain"), F.col("n").cast("long").alias("seq"), "body", "kind", "record_id")
-    fold = one.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("seq", "body", "kind", "record_id"))).alias("rows"))
-    empty = F.array().cast("array<struct<seq:bigint,kind:string,record_id:string,body:string,prev_hash:string,self_hash:string>>")
-
-    def step(done: Column, row: Column) -> Column:
-        before = F.when(F.size(done) == 0, F.lit(previous)).otherwise(F.get(done, F.size(done) - 1)["self_hash"])
-        return F.concat(done, F.array(F.struct((row["seq"] + seq).alias("seq"), row["kind"].alias("kind"), row["record_id"].alias("record_id"), row["body"].alias("body"), before.alias("prev_hash"), F.sha2(F.concat(before, row["body"]), 256).alias("self_hash"))))
-
-    fold.select(F.inline(F.aggregate("rows", empty, step))).write.mode("append").parquet(path)
+    beside = [c for c in records.columns if c not in ("kind", "record_id", "body")]
+    names = ["seq", "kind", "record_id", "body", *beside, "prev_hash", "self_hash"]
+    kinds = {"seq": "long", "prev_hash": "string", "self_hash": "string"} | {c: k for c, k in records.dtypes if c not in ("seq",)}
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, at = previous, seq
+        for batch in batches:
+            hashes = [last]
+            for body in batch.column("body").to_pylist():
+                hashes.append(hashlib.sha256((hashes[-1] + (body or "")).encode()).hexdigest())
+            last = hashes[-1]
+            made = {"seq": pa.array(range(at + 1, at + len(hashes)), pa.int64()), "prev_hash": pa.array(hashes[:-1], pa.string()), "self_hash": pa.array(hashes[1:], pa.string())}
+            at += batch.num_rows
+            yield pa.RecordBatch.from_arrays([made.get(c) if c in made else batch.column(c) for c in names], names)
+
+    # One task, as each hash needs the one before it; it holds a batch at a time.
+    ordered = records.select("kind", "record_id", "body", *beside).repartition(1).sortWithinPartitions("kind", "record_id")
+    ordered.mapInArrow(fold, ", ".join(f"`{c}` {kinds[c]}" for c in names)).write.mode("append").parquet(path)
     return spark.read.parquet(path).agg(F.max("seq")).first()[0] or 0
