@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -167,3 +168,19 @@ def span_column(text: Column) -> Column:
             yield pd.Series([spans(t) for t in batch])
 
     return scan(text)
+
+
+
+def folded_question(text: Column) -> Column:
+    """A question for comparing: NFKC, case folding, runs of characters that no word has as one space.
+
+    Spark has neither of the first two beyond ASCII, so these are an Arrow function; the rest stays on the JVM.
+    ``question`` is the form for ASCII, on the JVM alone.
+    """
+
+    @F.pandas_udf("string")
+    def fold(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([t if t is None else unicodedata.normalize("NFKC", t).casefold() for t in batch], dtype=object)
+
+    return F.trim(F.regexp_replace(fold(text), r"[^\p{L}\p{N}_]+", " "))
