@@ -95,6 +95,18 @@ def certify(scores: DataFrame, keys: list[str], cluster: str, target: float, pro
     return bounded.groupBy(*keys).agg(F.min(F.when(ok, F.col("score"))).alias("above"), F.max("n").alias("clusters"), (F.max("n") < least_clean(target, alpha / profiles)).alias("too_few"))
 
 
+def certified(scores: DataFrame, keys: list[str], cluster: str, target: float, profiles: int = 1, alpha: float = 0.05) -> DataFrame:
+    """(keys, clusters, outcome, above): ``certify``, or why it is refused.
+
+    A cluster that counts by its largest score bounds the items' rate only if all clusters are of one size, so unequal
+    ones are refused, whatever their number; then too few of them. A refused key has no threshold.
+    """
+    sizes = scores.groupBy(*keys, cluster).agg(F.count("*").alias("size")).groupBy(*keys).agg((F.min("size") < F.max("size")).alias("unequal"))
+    x = certify(scores, keys, cluster, target, profiles, alpha).join(sizes, keys)
+    outcome = F.when(F.col("unequal"), "unequal clusters").when(F.col("too_few"), "too few clusters").otherwise("certified")
+    return x.withColumn("outcome", outcome).select(*keys, "clusters", "outcome", F.when(F.col("outcome") == "certified", F.col("above")).alias("above"))
+
+
 def _bisect_sql(inside: str, tail: float, n: str, rising: bool) -> str:
     """SQL for the p at which the binomial sum over ``inside`` has the tail: 60 halvings of [0, 1]."""
     middle = "((s[1] + s[2]) / 2)"

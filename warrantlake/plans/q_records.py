@@ -53,6 +53,25 @@ def _certified(s, d):
     return B.certify(x, ["eval_set_id"], "question_id", 0.5).select("eval_set_id", F.round("above", 9).alias("above"), "clusters", "too_few")
 
 
+def _certified_or_not(s, d):
+    """Each set's harmless items certified by item, by pairs of items, and by question, for one profile and for four."""
+    x = scored_items(s, d).where("label = 0")
+    by = F.explode(F.array(F.struct(F.lit("item").alias("unit"), F.col("item_id").cast("string").alias("cluster")), F.struct(F.lit("pair").alias("unit"), F.floor(F.col("item_id") / 2).cast("string").alias("cluster")), F.struct(F.lit("question").alias("unit"), F.col("question_id").alias("cluster"))))
+    each, out = x.select("eval_set_id", "score", by.alias("b")).select("eval_set_id", "score", "b.*"), None
+    for profiles in (1, 4):
+        one = B.certified(each, ["eval_set_id", "unit"], "cluster", TARGET, profiles).withColumn("profiles", F.lit(profiles))
+        out = one if out is None else out.unionByName(one)
+    return out.select("eval_set_id", "unit", "profiles", "clusters", "outcome", F.round("above", 9).alias("above"))
+
+
+def _certified_sql(profiles):
+    return f"""SELECT eval_set_id, unit, {profiles} AS profiles, CAST(max(n) AS BIGINT) AS clusters, CASE WHEN any_value(unequal) THEN 'unequal clusters' WHEN max(n) < {B.least_clean(TARGET, 0.05 / profiles)} THEN 'too few clusters' ELSE 'certified' END AS outcome,
+      CASE WHEN NOT any_value(unequal) AND max(n) >= {B.least_clean(TARGET, 0.05 / profiles)} THEN round(min(score) FILTER (upper <= {TARGET}), 9) END AS above FROM (SELECT *, {B.high_sql("k", "n", 0.05 / profiles)} AS upper FROM w) GROUP BY 1, 2"""
+
+
+TARGET = 0.05
+
+
 def _probe(s, d):
     """A probe on even vectors, scored on odd ones: area under the curve by fold."""
     x = probe_items(s, d)
@@ -147,6 +166,13 @@ QUERIES = {
         w AS (SELECT eval_set_id, score, sum(c) OVER (PARTITION BY eval_set_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING) - c AS k, sum(c) OVER (PARTITION BY eval_set_id) AS n FROM g), u AS (SELECT *, {B.high_sql("k", "n", 0.05)} AS upper FROM w)
         SELECT eval_set_id, round(min(score) FILTER (upper <= 0.5), 9) AS above, CAST(max(n) AS BIGINT) AS clusters, max(n) < {B.least_clean(0.5)} AS too_few FROM u GROUP BY 1""",
     ),
+    "st06_certified_or_refused": (
+        _certified_or_not,
+        f"""WITH {SCORED}, x AS (SELECT eval_set_id, score, 'item' AS unit, CAST(item_id AS VARCHAR) AS cluster FROM scored WHERE label = 0 UNION ALL SELECT eval_set_id, score, 'pair', CAST(item_id // 2 AS VARCHAR) FROM scored WHERE label = 0 UNION ALL SELECT eval_set_id, score, 'question', question_id FROM scored WHERE label = 0),
+        t AS (SELECT eval_set_id, unit, cluster, max(score) AS score, count(*) AS size FROM x GROUP BY 1, 2, 3), z AS (SELECT eval_set_id, unit, min(size) < max(size) AS unequal FROM t GROUP BY 1, 2), g AS (SELECT eval_set_id, unit, score, count(*) AS c FROM t GROUP BY 1, 2, 3),
+        w AS (SELECT g.eval_set_id, g.unit, score, unequal, sum(c) OVER (PARTITION BY g.eval_set_id, g.unit ORDER BY score DESC ROWS UNBOUNDED PRECEDING) - c AS k, sum(c) OVER (PARTITION BY g.eval_set_id, g.unit) AS n FROM g JOIN z ON z.eval_set_id = g.eval_set_id AND z.unit = g.unit)
+        {_certified_sql(1)} UNION ALL {_certified_sql(4)}""",
+    ),
     "ud01_probe_auroc": (_probe, None),
     "sr17_text_detector": (_text_validation, None),
     "sr06_certificates": (
