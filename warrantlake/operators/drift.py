@@ -97,8 +97,9 @@ def verdicts(stream: DataFrame, key: str, lead: Column, order: list[str], sizes:
 
     Features are columns ``bin_<name>`` of bin numbers, null where a row lacks one; a window is of rows, and a feature
     counts by the values that it has there. All features share one frame. The driver is the feature of the severest
-    state, of those the one of the largest index, then the first named. Below ``window`` rows, or with no feature
-    observed, there is no verdict.
+    state, of those the one of the largest index, then the first named, and ``driven_by_smoothing`` tells whether bins that one
+    side leaves empty make over half of its index. Below ``window`` rows, or with no feature observed, there is no
+    verdict.
     """
     blocks, own = G.framed(stream, [key], lead, order, window)
     frame = Window.partitionBy(key, "_block").orderBy("_nth").rowsBetween(1 - window, 0)
@@ -108,18 +109,21 @@ def verdicts(stream: DataFrame, key: str, lead: Column, order: list[str], sizes:
     for name, n in sizes.items():
         counts = [F.col(f"_c_{name}_{i}") for i in range(n)]
         seen = sum(counts[1:], counts[0])
-        term = F.lit(0.0)
+        term, empty = F.lit(0.0), F.lit(0.0)
         for i, c in enumerate(counts):
-            a, e = F.greatest(c / seen, F.lit(EPSILON)), F.greatest(F.get(f"expected_{name}", F.lit(i)), F.lit(EPSILON))
+            share = F.get(f"expected_{name}", F.lit(i))
+            a, e = F.greatest(c / seen, F.lit(EPSILON)), F.greatest(share, F.lit(EPSILON))
             term = term + (a - e) * F.log(a / e)
-        x = x.withColumn(f"psi_{name}", F.when(full & (seen > 0) & F.col(f"expected_{name}").isNotNull(), term))
+            empty = empty + F.when((c == 0) | (share <= EPSILON), (a - e) * F.log(a / e)).otherwise(0.0)
+        known = full & (seen > 0) & F.col(f"expected_{name}").isNotNull()
+        x = x.withColumns({f"psi_{name}": F.when(known, term), f"_empty_{name}": F.when(known, empty)})
     severity = lambda v: F.when(v < STABLE, 0).when(v < SIGNIFICANT, 1).otherwise(2)
-    scored = F.array_compact(F.array(*[F.when(F.col(f"psi_{name}").isNotNull(), F.struct(severity(F.col(f"psi_{name}")).alias("s"), F.col(f"psi_{name}").alias("psi"), F.lit(-at).alias("o"), F.lit(name).alias("name"))) for at, name in enumerate(sizes)]))
+    scored = F.array_compact(F.array(*[F.when(F.col(f"psi_{name}").isNotNull(), F.struct(severity(F.col(f"psi_{name}")).alias("s"), F.col(f"psi_{name}").alias("psi"), F.lit(-at).alias("o"), F.lit(name).alias("name"), (2 * F.col(f"_empty_{name}") > F.col(f"psi_{name}")).alias("smoothed"))) for at, name in enumerate(sizes)]))
     top = F.array_max(scored)
     states = F.array(F.lit("INSIDE"), F.lit("MODERATE"), F.lit("SIGNIFICANT"))
     lacking = F.array_compact(F.array(*[F.when(F.col(f"psi_{name}").isNull(), F.lit(name)) for name in sizes]))
-    x = x.withColumns({"state": F.coalesce(F.get(states, top["s"]), F.lit("INSUFFICIENT_DATA")), "driver": top["name"], "unobserved": lacking})
-    return x.drop("_block", "_own", "_nth", *(f"expected_{name}" for name in sizes), *(f"_c_{name}_{i}" for name, n in sizes.items() for i in range(n)))
+    x = x.withColumns({"state": F.coalesce(F.get(states, top["s"]), F.lit("INSUFFICIENT_DATA")), "driver": top["name"], "driven_by_smoothing": F.coalesce(top["smoothed"], F.lit(False)), "unobserved": lacking})
+    return x.drop("_block", "_own", "_nth", *(f"_empty_{name}" for name in sizes), *(f"expected_{name}" for name in sizes), *(f"_c_{name}_{i}" for name, n in sizes.items() for i in range(n)))
 
 
 @dataclass(frozen=True)

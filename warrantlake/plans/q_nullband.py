@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warrantlake.functions.rng import draw_sql
@@ -66,18 +66,22 @@ SELECT r.shape, r.n, r.n_reference, collapse, round(avg(CASE WHEN ratio * collap
 FROM r JOIN b ON b.shape = r.shape AND b.n = r.n, (VALUES {_VALUES(COLLAPSES, "::DOUBLE")}) c(collapse) GROUP BY 1, 2, 3, 4"""
 
 
-def _verdict(s: SparkSession, d: str) -> DataFrame:
+def windows(s: SparkSession, d: str, key: Column, window: int) -> DataFrame:
     """Windows over a numeric value, a category, an attribute that some events lack, and a feature that none has."""
     x = traffic(s, d).join(s.read.parquet(f"{d}/events.parquet").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")), "event_id")
     ref = x.where("not live")
     cuts = D.edges(ref.withColumn("_one", F.lit(1)), ["_one"], "value").select("edges")
-    x = x.crossJoin(F.broadcast(cuts)).withColumn("shard", F.col("user_id") % 4)
+    x = x.crossJoin(F.broadcast(cuts)).withColumn("shard", key)
     bins = {"value": (D.bin_of(F.col("value"), F.col("edges")), 8), "event_type": (F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("event_type")).cast("int") - 1, len(TYPES)), "k": (F.when(F.col("k") >= 20, F.floor(F.col("k") / 20).cast("int") - 1), 4), "latency": (F.lit(None).cast("int"), 4)}
     known = x.select("shard", "ts", "event_id", "live", *(b.alias(f"bin_{name}") for name, (b, _) in bins.items()))
     sizes = {name: n for name, (_, n) in bins.items()}
     expected = D.expected_shares(known.where("not live"), sizes)
-    told = D.verdicts(known, "shard", F.unix_micros(F.col("ts").cast("timestamp")), ["ts", "event_id"], sizes, expected, 200)
-    return told.select("event_id", "n", *(F.round(f"psi_{name}", 6).alias(f"psi_{name}") for name in sizes), "state", "driver", F.concat_ws(",", "unobserved").alias("unobserved"))
+    return D.verdicts(known, "shard", F.unix_micros(F.col("ts").cast("timestamp")), ["ts", "event_id"], sizes, expected, window)
+
+
+def _verdict(s: SparkSession, d: str) -> DataFrame:
+    told = windows(s, d, F.col("user_id") % 4, 200)
+    return told.select("event_id", "n", *(F.round(f"psi_{name}", 6).alias(f"psi_{name}") for name in _SIZES), "state", "driver", F.concat_ws(",", "unobserved").alias("unobserved"))
 
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -85,22 +89,31 @@ TYPES = ["click", "error", "purchase", "signup", "view"]
 
 def _psi_sql(name: str, n: int) -> str:
     total = "(" + " + ".join(f"c_{name}_{i}" for i in range(n)) + ")"
-    term = " + ".join(f"(greatest(c_{name}_{i} / {total}::DOUBLE, 1e-6) - greatest(e_{name}_{i}, 1e-6)) * ln(greatest(c_{name}_{i} / {total}::DOUBLE, 1e-6) / greatest(e_{name}_{i}, 1e-6))" for i in range(n))
-    return f"CASE WHEN {total} > 0 AND e_{name}_0 IS NOT NULL THEN {term} END AS psi_{name}"
+    terms = [f"(greatest(c_{name}_{i} / {total}::DOUBLE, 1e-6) - greatest(e_{name}_{i}, 1e-6)) * ln(greatest(c_{name}_{i} / {total}::DOUBLE, 1e-6) / greatest(e_{name}_{i}, 1e-6))" for i in range(n)]
+    empty = [f"CASE WHEN c_{name}_{i} = 0 OR e_{name}_{i} <= 1e-6 THEN {term} ELSE 0 END" for i, term in enumerate(terms)]
+    known = f"CASE WHEN {total} > 0 AND e_{name}_0 IS NOT NULL THEN"
+    return f"{known} {' + '.join(terms)} END AS psi_{name}, {known} {' + '.join(empty)} END AS empty_{name}"
 
 
 _SIZES = {"value": 8, "event_type": 5, "k": 4, "latency": 4}
 _STATE = lambda c: f"CASE WHEN {c} < 0.1 THEN 0 WHEN {c} < 0.25 THEN 1 ELSE 2 END"
-_VERDICT = f"""WITH {TRAFFIC}, c0 AS (SELECT list_sort(list_distinct(quantile_cont(value, [0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1]))) AS e FROM traffic WHERE NOT live),
-x AS (SELECT t.event_id, t.ts, user_id % 4 AS shard, live, greatest(0, least(len(e) - 2, len(list_filter(e, lambda c: c <= value)) - 1)) AS bin_value, list_position({TYPES!r}, event_type) - 1 AS bin_event_type, CASE WHEN k >= 20 THEN k // 20 - 1 END AS bin_k, NULL::INTEGER AS bin_latency
+
+
+def windows_sql(key: str, window: int) -> str:
+    """The rows of ``windows`` as the table ``verdict``."""
+    return f"""c0 AS (SELECT list_sort(list_distinct(quantile_cont(value, [0, 0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875, 1]))) AS e FROM traffic WHERE NOT live),
+x AS (SELECT t.event_id, t.ts, {key} AS shard, live, greatest(0, least(len(e) - 2, len(list_filter(e, lambda c: c <= value)) - 1)) AS bin_value, list_position({TYPES!r}, event_type) - 1 AS bin_event_type, CASE WHEN k >= 20 THEN k // 20 - 1 END AS bin_k, NULL::INTEGER AS bin_latency
   FROM traffic t JOIN (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) p ON p.event_id = t.event_id, c0),
 ex AS (SELECT {", ".join(f"count(*) FILTER (bin_{f} = {i}) / nullif(count(bin_{f}), 0)::DOUBLE AS e_{f}_{i}" for f, n in _SIZES.items() for i in range(n))} FROM x WHERE NOT live),
-w AS (SELECT event_id, count(*) OVER f AS n, {", ".join(f"count(*) FILTER (bin_{f} = {i}) OVER f AS c_{f}_{i}" for f, n in _SIZES.items() for i in range(n))} FROM x WINDOW f AS (PARTITION BY shard ORDER BY ts, event_id ROWS 199 PRECEDING)),
-p AS (SELECT event_id, n, {", ".join(_psi_sql(f, n) for f, n in _SIZES.items())} FROM w, ex),
-v AS (SELECT *, list_filter([{", ".join(f"CASE WHEN psi_{f} IS NOT NULL THEN {{'s': {_STATE(f'psi_{f}')}, 'p': psi_{f}, 'o': {-at}, 'f': '{f}'}} END" for at, f in enumerate(_SIZES))}], lambda r: r IS NOT NULL) AS found FROM p),
-m AS (SELECT *, list_max(found) AS top FROM v)
-SELECT event_id, n, {", ".join(f"CASE WHEN n >= 200 THEN round(psi_{f}, 6) END AS psi_{f}" for f in _SIZES)}, CASE WHEN n < 200 OR top IS NULL THEN 'INSUFFICIENT_DATA' ELSE ['INSIDE', 'MODERATE', 'SIGNIFICANT'][top.s + 1] END AS state, CASE WHEN n >= 200 THEN top.f END AS driver,
-  array_to_string(CASE WHEN n < 200 THEN {list(_SIZES)!r} ELSE list_filter([{", ".join(f"CASE WHEN psi_{f} IS NULL THEN '{f}' END" for f in _SIZES)}], lambda r: r IS NOT NULL) END, ',') AS unobserved FROM m"""
+w AS (SELECT event_id, ts, shard, count(*) OVER f AS n, {", ".join(f"count(*) FILTER (bin_{f} = {i}) OVER f AS c_{f}_{i}" for f, n in _SIZES.items() for i in range(n))} FROM x WINDOW f AS (PARTITION BY shard ORDER BY ts, event_id ROWS {window - 1} PRECEDING)),
+p AS (SELECT event_id, ts, shard, n, {", ".join(_psi_sql(f, n) for f, n in _SIZES.items())} FROM w, ex),
+v AS (SELECT *, list_filter([{", ".join(f"CASE WHEN psi_{f} IS NOT NULL THEN {{'s': {_STATE(f'psi_{f}')}, 'p': psi_{f}, 'o': {-at}, 'f': '{f}', 'z': 2 * empty_{f} > psi_{f}}} END" for at, f in enumerate(_SIZES))}], lambda r: r IS NOT NULL) AS found FROM p),
+m AS (SELECT *, list_max(found) AS top FROM v),
+verdict AS (SELECT event_id, ts, shard, n, {", ".join(f"CASE WHEN n >= {window} THEN round(psi_{f}, 6) END AS psi_{f}" for f in _SIZES)}, CASE WHEN n < {window} OR top IS NULL THEN 'INSUFFICIENT_DATA' ELSE ['INSIDE', 'MODERATE', 'SIGNIFICANT'][top.s + 1] END AS state, CASE WHEN n >= {window} THEN top.f END AS driver, coalesce(n >= {window} AND top.z, false) AS smoothed,
+  CASE WHEN n < {window} THEN {list(_SIZES)!r} ELSE list_filter([{", ".join(f"CASE WHEN psi_{f} IS NULL THEN '{f}' END" for f in _SIZES)}], lambda r: r IS NOT NULL) END AS unobserved FROM m)"""
+
+
+_VERDICT = f"""WITH {TRAFFIC}, {windows_sql("user_id % 4", 200)} SELECT event_id, n, {", ".join(f"psi_{f}" for f in _SIZES)}, state, driver, array_to_string(unobserved, ',') AS unobserved FROM verdict"""
 
 QUERIES = {
     "sr03_guard": (_guarded, _GUARD),

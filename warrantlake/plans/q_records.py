@@ -175,7 +175,7 @@ QUERIES = {
     ),
     "ud01_probe_auroc": (_probe, None),
     "sr17_text_detector": (_text_validation, None),
-    "sr06_certificates": (
+    "tx06_number_citations": (
         _certificates,
         """WITH x AS (SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS user_turns, count(*) FILTER (regexp_matches(text, '(?i)password|secret|token')) AS findings FROM conversations GROUP BY 1),
         y AS (SELECT *, CASE WHEN findings > 1 THEN 'BLOCK' WHEN findings = 1 THEN 'REDACT' ELSE 'ALLOW' END AS action FROM x) SELECT *, sha256('v1|' || action) AS policy_hash FROM y""",

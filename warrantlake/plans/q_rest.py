@@ -98,7 +98,7 @@ QUERIES = {
     "io14_table_lines": (lambda s, d: _lines(s, d).where("cells is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("cells").cast("long").alias("widest"), F.count_if(F.col("cells") == F.col("header_cells")).alias("as_header")), f"WITH {_LINES} SELECT doc_id, count(*) AS rows, max(cells) AS widest, count(*) FILTER (cells = header_cells) AS as_header FROM h WHERE cells IS NOT NULL GROUP BY 1"),
     "wn12_inside_table": (lambda s, d: _lines(s, d).groupBy("doc_id").agg(F.count_if(F.col("header_cells").isNotNull()).alias("lines_behind_header"), F.count("*").alias("lines")), f"WITH {_LINES} SELECT doc_id, count(*) FILTER (header_cells IS NOT NULL) AS lines_behind_header, count(*) AS lines FROM h GROUP BY 1"),
     "pf10_failed_controls": (_controls_of, "SELECT l_orderkey, coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) FILTER (l_tax > 0 AND NOT l_quantity > 5), '') AS failed, coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) FILTER (NOT l_tax > 0), '') AS inapplicable FROM lineitem GROUP BY 1"),
-    "sr05_drift_response": (
+    "wn04_widened_rates": (
         _response,
         f"""WITH {PSI}, st AS (SELECT event_type, CASE WHEN psi < 0.1 THEN 'INSIDE' WHEN psi < 0.25 THEN 'MODERATE' ELSE 'SIGNIFICANT' END AS state, CAST(n_live AS DOUBLE) / (n_live + n_reference) AS rate FROM psi),
         w AS (SELECT *, CASE state WHEN 'MODERATE' THEN 1.5::DOUBLE WHEN 'INSIDE' THEN 1.0::DOUBLE END AS w FROM st)
