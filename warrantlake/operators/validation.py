@@ -2,7 +2,9 @@
 
 Standardised, class-balanced logistic regressions that differ in their labels, their strength or their features are
 fitted together: each step is one pass over the training rows, in which every task adds up the gradients and
-Hessians of all fits, and the sums, whose size doesn't depend on the rows, meet by a grouped aggregation.
+Hessians of all fits, and the sums, whose size doesn't depend on the rows, meet by a grouped aggregation. Vectors of
+more than ``WIDE`` components send gradients and losses alone, so what meets grows with the width and not its square.
+``pyspark.ml`` fits one label and strength at a time; ``operators/probe.py`` uses it where one fit is asked for.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ BAND, LEAST_REPEATS, MOST_REPEATS = (0.45, 0.55), 8, 200
 MIN_COSINE, MAX_RELATIVE_L2, CANARIES, LEAST_TEST = 0.999, 0.1, 20, 200
 #: Fits of one pass, Newton steps at most, buckets by which a hash's order statistic is found.
 TOGETHER, STEPS, BUCKETS = 16, 30, 4096
+#: Components beyond which Hessians stay unmade; passes, remembered steps and largest gradient of the descent used there.
+WIDE, PASSES, MEMORY, SLOPE = 256, 400, 12, 1e-8
 
 
 @dataclass
@@ -57,7 +61,56 @@ class Probes:
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(-1, width)
+    flat = column.flatten()
+    if column.null_count or flat.null_count or len(flat) != width * len(column):
+        raise ValueError(f"a vector is null, holds nulls or hasn't {width} components")
+    return np.asarray(flat).reshape(-1, width)
+
+
+def refuse_unusable(items: DataFrame) -> None:
+    """Raises if a label or vector is null, a component null or not finite, or widths differ."""
+    odd = F.col("vec").isNull() | F.col("label").isNull() | F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    r = items.agg(F.count_if(odd).alias("odd"), F.min(F.size("vec")).alias("least"), F.max(F.size("vec")).alias("most")).first()
+    if r["odd"] or r["least"] != r["most"]:
+        raise ValueError(f"{r['odd']} rows have a null label, no vector or an unusable component; vectors have {r['least']} to {r['most']} components")
+
+
+class _Descent:
+    """Limited-memory quasi-Newton steps of one fit, an evaluation at a time: ``at`` is where to evaluate next."""
+
+    def __init__(self, size: int):
+        self.at, self.done = np.zeros(size), False
+        self.here = self.value = self.slope = self.way = None
+        self.length, self.past = 1.0, []
+
+    def told(self, value: float, slope: np.ndarray) -> None:
+        if self.here is not None and value > self.value + 1e-4 * self.length * (self.slope @ self.way) + 1e-13 * abs(self.value):
+            self.length /= 2
+            self.done = self.length < 1e-12
+            self.at = self.here if self.done else self.here + self.length * self.way
+            return
+        if self.here is not None:
+            moved, bent = self.at - self.here, slope - self.slope
+            if moved @ bent > 0:
+                self.past = [*self.past[1 - MEMORY :], (moved, bent)]
+        self.here, self.value, self.slope = self.at, value, slope
+        self.done = bool(np.abs(slope).max() <= SLOPE)
+        if not self.done:
+            self.way, self.length = -self._scaled(slope), 1.0 if self.past else 1 / max(1.0, float(np.linalg.norm(slope)))
+            self.at = self.here + self.length * self.way
+
+    def _scaled(self, slope: np.ndarray) -> np.ndarray:
+        out, parts = slope.copy(), []
+        for moved, bent in reversed(self.past):
+            part = (moved @ out) / (moved @ bent)
+            parts.append(part)
+            out -= part * bent
+        if self.past:
+            moved, bent = self.past[-1]
+            out *= (moved @ bent) / (bent @ bent)
+        for (moved, bent), part in zip(self.past, reversed(parts), strict=True):
+            out += (part - (bent @ out) / (moved @ bent)) * moved
+        return out
 
 
 def fit_many(train: DataFrame, strengths: list[float], noise: list[int] | None = None) -> Probes:
@@ -75,9 +128,11 @@ def fit_many(train: DataFrame, strengths: list[float], noise: list[int] | None =
     balance = np.stack((n / (2 * np.maximum(1, n - positive)), n / (2 * np.maximum(1, positive))))
     upper, size = np.triu_indices(len(mean) + 1), len(mean) + 1
     penalty = np.append(np.ones(size - 1), 0.0)
+    curved = len(mean) <= WIDE
+    width = size + (len(upper[0]) if curved else 1)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((fits, size + len(upper[0])))
+        total = np.zeros((fits, width))
         for batch in batches:
             ids, x, y = np.asarray(batch.column("id")), _matrix(batch.column("vec"), size - 1), _matrix(batch.column("ys"), fits)
             p = probes.scores(ids, x)
@@ -86,17 +141,37 @@ def fit_many(train: DataFrame, strengths: list[float], noise: list[int] | None =
                 z = shared if shared is not None else probes.features(ids, x, k)
                 w = balance[y[:, k].astype(int), k]
                 total[k, :size] += z.T @ (w * (p[:, k] - y[:, k]))
-                total[k, size:] += ((z * (w * p[:, k] * (1 - p[:, k]))[:, None]).T @ z)[upper]
+                if curved:
+                    total[k, size:] += ((z * (w * p[:, k] * (1 - p[:, k]))[:, None]).T @ z)[upper]
+                else:
+                    lean = z @ probes.weights[k]
+                    total[k, size] += w @ (np.logaddexp(0, lean) - y[:, k] * lean)
         cells = total.ravel()
         met = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(cells[met])], ["cell", "value"])
 
     rows = train.select("id", "vec", "ys")
-    for _ in range(STEPS):
+
+    def evaluated() -> np.ndarray:
         found = rows.mapInArrow(sums, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
-        cells = np.zeros(fits * (size + len(upper[0])))
+        cells = np.zeros(fits * width)
         cells[found["cell"].to_numpy(int)] = found["value"].to_numpy()
-        cells, largest = cells.reshape(fits, -1), 0.0
+        return cells.reshape(fits, -1)
+
+    if not curved:
+        paths = [_Descent(size) for _ in range(fits)]
+        for _ in range(PASSES):
+            cells = evaluated()
+            for k, (path, strength) in enumerate(zip(paths, strengths, strict=True)):
+                if not path.done:
+                    w = probes.weights[k]
+                    path.told(strength * cells[k, size] + penalty @ (w * w) / 2, strength * cells[k, :size] + penalty * w)
+                    probes.weights[k] = path.at
+            if all(path.done for path in paths):
+                break
+        return probes
+    for _ in range(STEPS):
+        cells, largest = evaluated(), 0.0
         for k, strength in enumerate(strengths):
             gradient = strength * cells[k, :size] + penalty * probes.weights[k]
             hessian = np.zeros((size, size))
@@ -259,6 +334,7 @@ def validate(items: DataFrame, budget: float, reps: int, min_recall: float | Non
 
     ``items``: id, vec, label, cluster. The splits are written by the caller where reading them is dear.
     """
+    refuse_unusable(items)
     dealt = splits(items, seed)
     train, validation, test = (dealt.where(F.col("split") == s) for s in ("train", "validation", "test"))
     strength, probe, every = select(train, validation)
@@ -266,9 +342,22 @@ def validate(items: DataFrame, budget: float, reps: int, min_recall: float | Non
     controls = run_controls(train, validation, strength, probe, threshold, canaries_of(train, validation, every, budget))
     scored = written(score_many(test, probe).select(F.lit("test").alias("set"), "cluster", "label", F.col("scores")[0].alias("score")), "scored")
     block = written(E.metric_block(scored, ["set"], "cluster", threshold if threshold is not None else math.inf, reps, seed), "block")
+    row = decided(scored, block, ["set"], controls, least_test, min_recall, max_fpr).first()
+    return Validation(strength, threshold, probe, controls, block, list(row["r"]) if row else ["n_test"], dict(row["m"]) if row else {})
+
+
+def decided(scored: DataFrame, block: DataFrame, keys: list[str], controls: list[dict], least_test: int, min_recall: float | None = None, max_fpr: float | None = None) -> DataFrame:
+    """keys, n_test, ``m`` (see ``evidence.wide``) and ``r``: why the warrant of each key is refused."""
     failed = [c["control"] for c in controls if not c["passed"]]
-    x = E.wide(block, ["set"]).join(scored.groupBy("set").agg(F.count("*").alias("n_test")), "set")
+    x = E.wide(block, keys).join(scored.groupBy(*keys).agg(F.count("*").alias("n_test")), keys)
     told = lambda v: F.lit(v).cast("double")
     reasons = E.refusals(F.col("n_test"), F.array(*[F.lit(f) for f in failed]).cast("array<string>"), F.lit(len(controls)), least_test, told(min_recall), told(max_fpr))
-    row = x.select("m", reasons.alias("r")).first()
-    return Validation(strength, threshold, probe, controls, block, list(row["r"]) if row else ["n_test"], dict(row["m"]) if row else {})
+    return x.select(*keys, "n_test", "m", reasons.alias("r"))
+
+
+def warranted(scored: DataFrame, keys: list[str], threshold: float | None, reps: int, seed: str, controls: list[dict], least_test: int, min_recall: float | None = None, max_fpr: float | None = None) -> DataFrame:
+    """The metric block of scored items (keys, cluster, label, score) at a frozen threshold, each row with the key's status and reasons."""
+    held = written(scored, "scored")
+    block = written(E.metric_block(held, keys, "cluster", threshold if threshold is not None else math.inf, reps, seed), "block")
+    told = decided(held, block, keys, controls, least_test, min_recall, max_fpr)
+    return block.join(told.select(*keys, "n_test", F.when(F.size("r") == 0, "VALID").otherwise("REFUSED").alias("status"), F.concat_ws("; ", "r").alias("reasons")), keys)

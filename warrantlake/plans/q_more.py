@@ -128,18 +128,6 @@ def _overlap_free(s, d):
     return lists.select("l_orderkey", F.size(kept).cast("long").alias("kept"), F.size("xs").cast("long").alias("of"))
 
 
-def _ablation(s, d):
-    """One probe per set of dimensions: area on held-out vectors."""
-    x = probe_items(s, d)
-    out = None
-    for name, n in (("first8", 8), ("first32", 32), ("all", 64)):
-        part = x.withColumn("vec", F.slice("vec", F.lit(1), F.lit(n)))
-        held = P.score(P.fit(part.where("vec_id % 3 <> 0"), 1.0), part.where("vec_id % 3 = 0")).withColumn("variant", F.lit(name))
-        area = M.auroc(held, ["variant"]).select("variant", F.round("auroc", 3).alias("auroc"))
-        out = area if out is None else out.unionByName(area)
-    return out
-
-
 def _controls(s, d):
     """Permuted labels and Gaussian features against the true ones: held-out areas of three probes."""
     x = probe_items(s, d)
@@ -188,7 +176,6 @@ QUERIES = {
         g AS (SELECT l_orderkey, list_sort(list(x)) AS xs FROM x GROUP BY 1), k AS (SELECT l_orderkey, len(xs) AS n, list_reduce(list_transform(xs, lambda x: [x]), lambda done, x: CASE WHEN len(list_filter(done, lambda k: x[1][2] < k[4] AND k[2] < x[1][4])) > 0 THEN done ELSE list_concat(done, x) END) AS kept FROM g)
         SELECT l_orderkey, len(kept) AS kept, n AS "of" FROM k""",
     ),
-    "sr18_ablation": (_ablation, None),
     "ud06_controls": (_controls, None),
     "df08_verdict_flags": (_psi_flags, f"WITH {PSI}, st AS (SELECT event_type, CASE WHEN psi < 0.1 THEN 'INSIDE' WHEN psi < 0.25 THEN 'MODERATE' ELSE 'SIGNIFICANT' END AS state FROM psi) SELECT event_type, state = 'SIGNIFICANT' AS revokes, state = 'MODERATE' AS widens, state = 'INSIDE' AS is_inside, sha256('0.1|0.25|200|' || state) AS policy_hash FROM st"),
     "df14_span_fields": (_requests, "SELECT conv_id, turn, regexp_extract(text, '[0-9]+') AS span, length(regexp_extract(text, '[0-9]+')) AS length, regexp_extract(text, '[0-9]+') <> '' AS found FROM conversations"),

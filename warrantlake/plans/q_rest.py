@@ -1,4 +1,4 @@
-"""Tables inside text, nested controls, responses to drift, identifier kinds, and probes moved between sets."""
+"""Tables inside text, nested controls, responses to drift, and identifier kinds."""
 
 from __future__ import annotations
 
@@ -9,11 +9,10 @@ from warrantlake.functions import bounds as B
 from warrantlake.functions import text as T
 from warrantlake.operators import drift as D
 from warrantlake.operators import metrics as M
-from warrantlake.operators import probe as P
 from warrantlake.operators import resample as R
 from warrantlake.plans.q_drift import PSI, REPS, TAU, _groups, _psi
 from warrantlake.plans.q_evidence import block_sql
-from warrantlake.sources.views import probe_items, scored_items, table
+from warrantlake.sources.views import scored_items, table
 
 
 def _lines(s, d):
@@ -78,21 +77,6 @@ def _estimated(s, d):
     return x.select("eval_set_id", F.round(M.ratio(F.col("k"), F.col("n")), 9).alias("recall"), F.round(F.when(flat, F.col("cp_low")).otherwise(F.col("ci_low")), 9).alias("low"), F.round(F.when(flat, F.col("cp_high")).otherwise(F.col("ci_high")), 9).alias("high"), flat.alias("exact"))
 
 
-def _best_c(s, d):
-    x = probe_items(s, d)
-    c, model = P.select_c(x.where("vec_id % 4 < 2"), x.where("vec_id % 4 = 2"), [0.01, 1.0])
-    held = P.score(model, x.where("vec_id % 4 = 3")).withColumn("c", F.lit(c))
-    return M.auroc(held, ["c"]).select("c", F.round("auroc", 3).alias("auroc"))
-
-
-def _transfer(s, d):
-    """A probe fitted on one set, applied to another whose vectors are scaled and shifted; nothing is refit."""
-    x = probe_items(s, d)
-    model = P.fit(x.where("vec_id % 2 = 0"), 1.0)
-    moved = x.where("vec_id % 2 = 1").withColumn("vec", F.transform("vec", lambda v: v * 1.5 + 0.1))
-    both = P.score(model, x.where("vec_id % 2 = 1")).select(F.lit("own").alias("envelope"), "label", "score").unionByName(P.score(model, moved).select(F.lit("moved").alias("envelope"), "label", "score"))
-    return M.auroc(both, ["envelope"]).select("envelope", F.round("auroc", 3).alias("auroc"))
-
 
 QUERIES = {
     "io14_table_lines": (lambda s, d: _lines(s, d).where("cells is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("cells").cast("long").alias("widest"), F.count_if(F.col("cells") == F.col("header_cells")).alias("as_header")), f"WITH {_LINES} SELECT doc_id, count(*) AS rows, max(cells) AS widest, count(*) FILTER (cells = header_cells) AS as_header FROM h WHERE cells IS NOT NULL GROUP BY 1"),
@@ -111,8 +95,6 @@ QUERIES = {
         f"""WITH {block_sql(seed="recall")} SELECT lg.s AS eval_set_id, round(value, 9) AS recall, round(CASE WHEN coalesce(hi - lo < 1e-12, true) THEN CASE WHEN o > 0 THEN {B.low_sql("k", "o")} END ELSE lo END, 9) AS low,
         round(CASE WHEN coalesce(hi - lo < 1e-12, true) THEN CASE WHEN o > 0 THEN {B.high_sql("k", "o")} END ELSE hi END, 9) AS high, coalesce(hi - lo < 1e-12, true) AS exact FROM lg LEFT JOIN iv ON iv.s = lg.s AND iv.metric = 'recall' WHERE lg.metric = 'recall'""",
     ),
-    "tk04_best_regularisation": (_best_c, None),
-    "sr16_transfer": (_transfer, None),
     "io21_scoring_log": (lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("scorings"), F.max("ts").alias("last")), "SELECT user_id, count(*) AS scorings, max(ts) AS last FROM events GROUP BY 1"),
     "sf12_canonical_json": (
         lambda s, d: table(s, d, "part").select("p_partkey", F.sha2(F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("key"), F.col("p_size").alias("size"))), 256).alias("digest")),

@@ -65,7 +65,49 @@ def _null(s, d):
     return s.createDataFrame(rows, "control string, repeats int, mean double, spread double, needed int, verdict string")
 
 
+def _rounded(block, *more):
+    return block.select(*more, "metric", "n", *(F.round(c, 6).alias(c) for c in ("value", "ci_low", "ci_high")), "n_test", "status", "reasons")
+
+
+def _best_c(s, d):
+    """Every strength's validation area; the chosen one is that of the largest, of equal ones the smallest."""
+    train, validation = _parts(s, d)
+    strength, _, every = V.select(train, validation)
+    found = V.areas(validation, every)
+    return s.createDataFrame([(c, round(found[k], 9), c == strength) for k, c in enumerate(V.GRID)], "c double, auroc double, chosen boolean")
+
+
+def _transfer(s, d):
+    """A frozen probe and threshold on its own test split and on the same vectors scaled and shifted: blocks, controls, issue."""
+    items = _items(s, d)
+    dealt = V.splits(items, "validate")
+    train, validation, test = (dealt.where(F.col("split") == x) for x in ("train", "validation", "test"))
+    strength, probe, every = V.select(train, validation)
+    threshold = V.frozen_threshold(validation, probe, BUDGET)
+    controls = V.run_controls(train, validation, strength, probe, threshold, V.canaries_of(train, validation, every, BUDGET))
+    moved = test.withColumn("vec", F.transform("vec", lambda v: v * 1.5 + 0.1))
+    both = test.withColumn("envelope", F.lit("own")).unionByName(moved.withColumn("envelope", F.lit("moved")))
+    scored = V.score_many(both, probe).select("envelope", "cluster", "label", F.col("scores")[0].alias("score"))
+    return _rounded(V.warranted(scored, ["envelope"], threshold, REPS, "transfer", controls, LEAST_TEST, 0.1), "envelope")
+
+
+def _ablation(s, d):
+    """A probe for each set of leading dimensions, chosen, frozen and measured alike; without controls none is issued."""
+    dealt, out = V.splits(_items(s, d), "validate"), None
+    for name, n in (("first8", 8), ("first32", 32), ("all", 64)):
+        train, validation, test = (dealt.where(F.col("split") == x).withColumn("vec", F.slice("vec", 1, n)) for x in ("train", "validation", "test"))
+        strength, probe, _ = V.select(train, validation)
+        threshold = V.frozen_threshold(validation, probe, BUDGET)
+        scored = V.score_many(test, probe).select(F.lit(name).alias("variant"), "cluster", "label", F.col("scores")[0].alias("score"))
+        part = _rounded(V.warranted(scored, ["variant"], threshold, REPS, "ablation", [], LEAST_TEST), "variant").withColumn("c", F.lit(strength))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 QUERIES = {
+    "tk04_best_regularisation": (_best_c, None),
+    "sr16_transfer": (_transfer, None),
+    "sr18_ablation": (_ablation, None),
     "sr15_validate": (_validate, None),
     "ud10_controls": (_controls, None),
     "ud03_coefficients": (_coefficients, None),
