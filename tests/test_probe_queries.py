@@ -91,6 +91,23 @@ def test_coefficients_and_frozen_threshold(spark, parts):
         assert r["flag_rate"] == pytest.approx((score(parts[r["split"]][0]) >= threshold - 1e-12).mean(), abs=1e-9)
 
 
+def test_the_sweep_and_its_pivot(spark, parts):
+    got = rows(spark, "tk03_best_setting")
+    (x, y), (u, v) = parts["train"], parts["validation"]
+    want = {(layer, c): area(fitted(x[:, 16 * layer : 16 * layer + 16], y, c)[0](u[:, 16 * layer : 16 * layer + 16]), v) for layer in range(4) for c in V.GRID}
+    assert {(r["layer"], r["c"]): r["auroc"] for r in got} == pytest.approx(want, abs=1e-8)
+    assert [(r["layer"], r["c"]) for r in got if r["best"]] == [min(want, key=lambda k: (-round(want[k], 9), *k))]
+    names = {0.0001: "c_0_0001", 0.001: "c_0_001", 0.01: "c_0_01", 0.1: "c_0_1", 1.0: "c_1"}
+    pivoted = {r["layer"]: r for r in rows(spark, "ag24_auroc_pivot")}
+    assert all(pivoted[layer][names[c]] == pytest.approx(a, abs=1e-8) for (layer, c), a in want.items())
+
+
+def test_ties_of_a_sweep_go_to_the_lowest_layer_and_smallest_strength():
+    assert V.best_setting([(2, 0.1, 0.9), (1, 1.0, 0.9), (1, 0.1, 0.9), (0, 0.1, 0.8), (0, 0.01, None)]) == (1, 0.1, 0.9)
+    with pytest.raises(ValueError, match="empty sweep"):
+        V.best_setting([(0, 0.1, None)])
+
+
 def made(spark, n, width, seed=3):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, width))

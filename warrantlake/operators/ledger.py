@@ -37,6 +37,12 @@ def with_version(ledger: DataFrame, version: str) -> DataFrame:
     return ledger.where(F.array_contains(F.split("detector_versions", ","), version))
 
 
+def overrides_of(ledger: DataFrame, certificates: DataFrame) -> DataFrame:
+    """Overrides with the certificate that their body names, joined on it; those that name none or an unknown one are left out."""
+    named = ledger.where("kind = 'override'").withColumn("certificate_id", F.get_json_object("body", "$.certificate_id"))
+    return named.join(certificates, "certificate_id")
+
+
 def latest(ledger: DataFrame, keys: list[str]) -> DataFrame:
     """The row of the largest ``seq`` of each key, by one aggregation."""
     rest = [c for c in ledger.columns if c not in keys]

@@ -17,6 +17,19 @@ def within_budget(items: DataFrame, keys: list[str], budget: float) -> DataFrame
     return flags.groupBy(*keys).agg(F.min(F.when(F.col("flag_rate") <= budget, F.col("threshold"))).alias("threshold"))
 
 
+def probe_score(thresholds: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, probe_score, problem: a score between the two highest thresholds of a key's profiles (keys, threshold).
+
+    It tells the most conservative profile from all others. Fewer than two thresholds, or two equal highest ones,
+    give no score: no input could tell those profiles apart.
+    """
+    top = thresholds.where("threshold is not null").groupBy(*keys, "threshold").agg(F.count("*").alias("c"))
+    x = thresholds.select(*keys).distinct().join(top.groupBy(*keys).agg(F.max_by("c", "threshold").alias("ties"), F.max("threshold").alias("first"), F.sum("c").alias("n")), keys, "left")
+    below = top.join(x.select(*keys, "first"), keys).where("threshold < first").groupBy(*keys).agg(F.max("threshold").alias("second"))
+    problem = F.when(F.coalesce("n", F.lit(0)) < 2, "fewer than two thresholds").when(F.col("ties") > 1, "the two highest thresholds are equal")
+    return x.join(below, keys, "left").withColumn("problem", problem).select(*keys, F.when(F.col("problem").isNull(), (F.col("first") + F.col("second")) / 2).alias("probe_score"), "problem")
+
+
 def kth_largest(items: DataFrame, keys: list[str], budget: float) -> DataFrame:
     """The k-th largest score, k = max(1, round-half-even(budget * n)); ties may exceed the budget."""
     grain = items.groupBy(*keys, "score").agg(F.count("*").alias("c"))

@@ -296,6 +296,24 @@ def select(train: DataFrame, validation: DataFrame, grid: tuple[float, ...] = GR
     return grid[best], Probes(every.mean, every.scale, every.weights[best : best + 1]), every
 
 
+def sweep(train: DataFrame, validation: DataFrame, layers: dict[int, Column], grid: tuple[float, ...] = GRID) -> list[tuple[int, float, float | None]]:
+    """(layer, strength, validation area) of a fit for each; ``layers`` gives each layer's vector. A layer's fits share its passes."""
+    out = []
+    for layer, vector in sorted(layers.items()):
+        a, b = (df.withColumn("vec", vector) for df in (train, validation))
+        found = areas(b, fit_many(a.select("id", "vec", F.array(*[F.col("label")] * len(grid)).alias("ys")), list(grid)))
+        out += [(layer, c, found.get(k)) for k, c in enumerate(grid)]
+    return out
+
+
+def best_setting(rows: list[tuple[int, float, float | None]]) -> tuple[int, float, float]:
+    """That of the largest area; of equal ones the lowest layer, then the smallest strength. An empty sweep is refused."""
+    known = [r for r in rows if r[2] is not None]
+    if not known:
+        raise ValueError("there is no winner of an empty sweep")
+    return min(known, key=lambda r: (-r[2], r[0], r[1]))
+
+
 def frozen_threshold(validation: DataFrame, probe: Probes, budget: float) -> float | None:
     scored = score_many(validation, probe).select(F.lit("all").alias("all"), "label", F.col("scores")[0].alias("score"))
     return H.within_budget(scored, ["all"], budget).first()["threshold"]

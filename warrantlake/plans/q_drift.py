@@ -238,7 +238,7 @@ QUERIES = {
     "wn10_eprocess_state": (_resume, f"WITH {TRAFFIC}, x AS (SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS k, count(*) FILTER (live) AS n_live FROM traffic GROUP BY 1) SELECT *, round(k * {math.log1p(D.bets(0.5)[-1] * 0.5)!r}::DOUBLE + (n - k) * {math.log1p(-D.bets(0.5)[-1] * 0.5)!r}::DOUBLE, 6) AS log_wealth_last_bet FROM x"),
     "st01_bootstrap_recall": _bootstrap("recall"),
     "st01_bootstrap_precision": _bootstrap("precision"),
-    "st18_bootstrap_flag_rate": _bootstrap("flag_rate"),
+    "st18_cluster_flag_rate": _bootstrap("flag_rate"),
     "st07_seed_stability": (_seed_stability, _seed_stability_sql()),
     "st08_paired_difference": (_paired, _PAIRED),
     "st12_n_to_detect": (_n_to_detect, f"WITH {GROUPS}, pt AS (SELECT eval_set_id, CAST(sum(tp + fp) AS DOUBLE) / sum(tp + fp + tn + fn) AS t FROM grp GROUP BY 1), m AS (SELECT *, t * 1.25::DOUBLE AS mv FROM pt WHERE t > 0) SELECT eval_set_id, CAST(ceil({1.96 * 1.96!r}::DOUBLE * mv * (1 - mv) / pow(mv - t, 2)) AS BIGINT) AS n_needed FROM m"),

@@ -90,11 +90,11 @@ QUERIES = {
         f"WITH {_OVERRIDES} SELECT stratum, count(*) AS n, count(*) FILTER (direction = 'none') AS upheld, count(*) FILTER (direction <> 'none') AS overridden, round(coalesce(sum(1 / p) FILTER (direction = 'false_negative'), 0), 6) AS weighted_false_negatives, round(coalesce(sum(1 / p) FILTER (direction = 'false_positive'), 0), 6) AS weighted_false_positives FROM ov GROUP BY 1",
     ),
     "ag26_one_hash": (lambda s, d: _led(s, d).groupBy("session_id").agg((F.count_distinct(F.sha2("detector_versions", 256)) == 1).alias("consistent")), f"WITH {LEDGER} SELECT session_id, count(DISTINCT sha256(detector_versions)) = 1 AS consistent FROM ledger GROUP BY 1"),
-    "jn07_overrides_of_certificate": (
+    "jn07_overrides_of_session": (
         lambda s, d: _overrides(s, d).where("direction <> 'none'").groupBy("session_id").agg(F.count("*").alias("overrides")).join(s.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("session_id"), "c_mktsegment"), "session_id"),
         f"WITH {_OVERRIDES} SELECT session_id, count(*) AS overrides, any_value(c_mktsegment) AS c_mktsegment FROM ov JOIN customer ON c_custkey = session_id WHERE direction <> 'none' GROUP BY 1",
     ),
-    "df10_chain_state": (
+    "df10_last_body": (
         lambda s, d: _led(s, d).groupBy("kind").agg(F.max_by("body", "seq").alias("last_body"), F.min("seq").alias("first_seq"), (F.min("seq") > 8).alias("truncated")),
         f"WITH {LEDGER} SELECT kind, arg_max(body, seq) AS last_body, min(seq) AS first_seq, min(seq) > 8 AS truncated FROM ledger GROUP BY 1",
     ),

@@ -191,7 +191,7 @@ QUERIES = {
         SELECT conv_id, turn, CASE WHEN a THEN 'BLOCK' WHEN b THEN 'REDACT' WHEN c THEN 'ESCALATE' WHEN e THEN 'CONFIRM' ELSE 'ALLOW' END AS action, CAST(a AS BIGINT) + CAST(b AS BIGINT) + CAST(c AS BIGINT) + CAST(e AS BIGINT) AS rules_held FROM h""",
     ),
     "sr19_profile_comparison": (_profiles, "WITH x AS (SELECT conv_id, turn, (length(text) % 100) / 100::DOUBLE AS score FROM conversations), y AS (SELECT conv_id, turn, unnest([CASE WHEN score >= 0.3 THEN 'BLOCK' ELSE 'ALLOW' END, CASE WHEN score >= 0.6 THEN 'REDACT' ELSE 'ALLOW' END, CASE WHEN score >= 0.9 THEN 'ESCALATE' ELSE 'ALLOW' END]) AS a FROM x) SELECT conv_id, turn, count(DISTINCT a) AS distinct_actions FROM y GROUP BY 1, 2"),
-    "sr10_latency_budget": (lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("value") > 80).alias("over_budget"), F.round(F.greatest(F.lit(0.0), F.col("value") - 80), 9).alias("overrun")), "SELECT event_id, value > 80 AS over_budget, round(greatest(0, value - 80), 9) AS overrun FROM events"),
+    "sr10_overrun": (lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("value") > 80).alias("over_budget"), F.round(F.greatest(F.lit(0.0), F.col("value") - 80), 9).alias("overrun")), "SELECT event_id, value > 80 AS over_budget, round(greatest(0, value - 80), 9) AS overrun FROM events"),
     "df12_warrant_id": (
         lambda s, d: _cells(s, d).select(*KEY, F.concat_ws("|", *KEY).alias("key"), F.concat(F.lit("W-"), F.substring(F.sha2(F.concat_ws("|", *KEY, F.lit("v1")), 256), 1, 16)).alias("warrant_id")),
         f"WITH {ISSUED} SELECT {_SEL}, concat_ws('|', {_SEL}) AS key, 'W-' || substr(sha256(concat_ws('|', {_SEL}, 'v1')), 1, 16) AS warrant_id FROM cells",

@@ -246,7 +246,7 @@ QUERIES = {
         UNION ALL SELECT eval_set_id, 'random', round(10000 * flag_rate, 6), round(9000 * base_rate * flag_rate, 6) FROM rates
         UNION ALL SELECT eval_set_id, 'triggered', round(10000 * flag_rate, 6), round(9000 * base_rate * recall, 6) FROM rates""",
     ),
-    "ag24_auroc_pivot": (
+    "ag24_fold_pivot": (
         _pivot,
         f"""WITH {SCORED}, ranked AS (SELECT eval_set_id, item_id % 3 AS fold, label AS y, rank() OVER (PARTITION BY eval_set_id, item_id % 3 ORDER BY score) + (count(*) OVER (PARTITION BY eval_set_id, item_id % 3, score) - 1) / CAST(2 AS DOUBLE) AS r FROM scored),
         area AS (SELECT eval_set_id, fold, (sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / CAST(2 AS DOUBLE)) / nullif(count(*) FILTER (y = 1) * count(*) FILTER (y = 0), 0) AS a FROM ranked GROUP BY 1, 2)
@@ -277,8 +277,8 @@ QUERIES = {
     "th14_achieved_risk": (_achieved, f"WITH {RATES}, x AS (SELECT *, base_rate * (1 - recall) / nullif(1 - flag_rate, 0) AS r FROM rates), y AS (SELECT *, CASE WHEN r < 1 THEN greatest(0, (base_rate - r) / (1 - r)) END AS fl FROM x) SELECT eval_set_id, round(r, 9) AS residual_risk, round(fl, 9) AS floor, CASE WHEN fl > 1e-9 THEN round(flag_rate / fl, 6) END AS efficiency FROM y"),
     "th15_review_volume": (_volume, f"WITH {RATES} SELECT eval_set_id, round(flag_rate * 100000, 4) AS flagged, round(base_rate * recall * 100000, 4) AS true_flags, round(greatest(0, flag_rate * 100000 - base_rate * recall * 100000), 4) AS false_flags, round(greatest(0, base_rate * 100000 - base_rate * recall * 100000), 4) AS missed FROM rates"),
     "th16_sample_size": (lambda s, d: _rates(s, d).select(*KEYS, T.sample_size(F.col("recall"), 0.05, 1.5).cast("long").alias("items")), f"WITH {RATES} SELECT eval_set_id, CAST(ceil(1.959963984540054::DOUBLE * 1.959963984540054::DOUBLE * recall * (1 - recall) / (0.05::DOUBLE * 0.05::DOUBLE) * 1.5::DOUBLE) AS BIGINT) AS items FROM rates"),
-    "th18_branch": (_branch, f"WITH {SCORED}, {_auroc_sql()} SELECT eval_set_id, CASE WHEN auroc >= 0.6 THEN 'A' WHEN auroc >= 0.5 THEN 'B' ELSE 'C' END AS branch, coalesce(auroc <= 0.55, true) AS below_floor FROM area"),
-    "th20_probe_score": (
+    "th18_fixed_cut_points": (_branch, f"WITH {SCORED}, {_auroc_sql()} SELECT eval_set_id, CASE WHEN auroc >= 0.6 THEN 'A' WHEN auroc >= 0.5 THEN 'B' ELSE 'C' END AS branch, coalesce(auroc <= 0.55, true) AS below_floor FROM area"),
+    "th04_midpoint_of_three_rules": (
         _top_two,
         f"""WITH {GRAIN}, k AS (SELECT eval_set_id, score, row_number() OVER (PARTITION BY eval_set_id ORDER BY score DESC) AS nth, count(*) OVER (PARTITION BY eval_set_id) AS n FROM scored),
         t AS (SELECT eval_set_id, min(score) FILTER (CAST(upto AS DOUBLE) / n <= {BUDGET}) AS x FROM cum GROUP BY 1

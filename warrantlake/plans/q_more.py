@@ -169,7 +169,7 @@ QUERIES = {
     "st10_two_regimes": (_two_regimes, _REGIMES),
     "st11_selection_aware": (_selection_aware, _SELECTION),
     "st15_null_iqr_ratio": (_null_iqr, _IQR),
-    "st17_null_summary": (_null_summary, _NULL_SUMMARY),
+    "st17_area_summary": (_null_summary, _NULL_SUMMARY),
     "jn09_overlap_free": (
         _overlap_free,
         """WITH x AS (SELECT l_orderkey, [-round(l_extendedprice, 2), CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS DOUBLE), CAST(l_linenumber AS DOUBLE), date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) + trunc(l_quantity)] AS x FROM lineitem),
@@ -178,7 +178,7 @@ QUERIES = {
     ),
     "ud06_controls": (_controls, None),
     "df08_verdict_flags": (_psi_flags, f"WITH {PSI}, st AS (SELECT event_type, CASE WHEN psi < 0.1 THEN 'INSIDE' WHEN psi < 0.25 THEN 'MODERATE' ELSE 'SIGNIFICANT' END AS state FROM psi) SELECT event_type, state = 'SIGNIFICANT' AS revokes, state = 'MODERATE' AS widens, state = 'INSIDE' AS is_inside, sha256('0.1|0.25|200|' || state) AS policy_hash FROM st"),
-    "df14_span_fields": (_requests, "SELECT conv_id, turn, regexp_extract(text, '[0-9]+') AS span, length(regexp_extract(text, '[0-9]+')) AS length, regexp_extract(text, '[0-9]+') <> '' AS found FROM conversations"),
+    "df14_number_spans": (_requests, "SELECT conv_id, turn, regexp_extract(text, '[0-9]+') AS span, length(regexp_extract(text, '[0-9]+')) AS length, regexp_extract(text, '[0-9]+') <> '' AS found FROM conversations"),
     "df04_interval_ratio": (
         lambda s, d: R.interval(R.replicates(_groups(s, d), ["eval_set_id"], REPS, "recall", list(R.COUNTS)), ["eval_set_id"], R.recall()).select("eval_set_id", F.round(F.try_divide(F.col("ci_high") - F.col("ci_low"), F.col("ci_high") + F.col("ci_low")), 6).alias("relative_width")),
         f"WITH {GROUPS}, {_reps_sql('recall')}, v AS (SELECT eval_set_id, CAST(tp AS DOUBLE) / nullif(tp + fn, 0) AS v FROM reps), q AS (SELECT eval_set_id, {quantile_sql((1 - 0.95) / 2)} AS lo, {quantile_sql((1 + 0.95) / 2)} AS hi FROM v GROUP BY 1) SELECT eval_set_id, round((hi - lo) / nullif(hi + lo, 0), 6) AS relative_width FROM q",

@@ -95,7 +95,7 @@ QUERIES = {
         f"""WITH {block_sql(seed="recall")} SELECT lg.s AS eval_set_id, round(value, 9) AS recall, round(CASE WHEN coalesce(hi - lo < 1e-12, true) THEN CASE WHEN o > 0 THEN {B.low_sql("k", "o")} END ELSE lo END, 9) AS low,
         round(CASE WHEN coalesce(hi - lo < 1e-12, true) THEN CASE WHEN o > 0 THEN {B.high_sql("k", "o")} END ELSE hi END, 9) AS high, coalesce(hi - lo < 1e-12, true) AS exact FROM lg LEFT JOIN iv ON iv.s = lg.s AND iv.metric = 'recall' WHERE lg.metric = 'recall'""",
     ),
-    "io21_scoring_log": (lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("scorings"), F.max("ts").alias("last")), "SELECT user_id, count(*) AS scorings, max(ts) AS last FROM events GROUP BY 1"),
+    "io21_scoring_counts": (lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.count("*").alias("scorings"), F.max("ts").alias("last")), "SELECT user_id, count(*) AS scorings, max(ts) AS last FROM events GROUP BY 1"),
     "sf12_canonical_json": (
         lambda s, d: table(s, d, "part").select("p_partkey", F.sha2(F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_partkey").alias("key"), F.col("p_size").alias("size"))), 256).alias("digest")),
         """SELECT p_partkey, sha256('{"brand":"' || p_brand || '","key":' || p_partkey || ',"size":' || p_size || '}') AS digest FROM part""",

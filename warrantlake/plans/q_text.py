@@ -214,7 +214,7 @@ QUERIES = {
         "WITH x AS (SELECT CAST(l_linenumber * 3 AS VARCHAR) || substr('smhdx', l_linenumber % 5 + 1, 1) AS t, count(*) AS n FROM lineitem GROUP BY 1) SELECT t, n, CASE right(t, 1) WHEN 's' THEN 1 WHEN 'm' THEN 60 WHEN 'h' THEN 3600 WHEN 'd' THEN 86400 END * TRY_CAST(left(t, length(t) - 1) AS BIGINT) AS seconds FROM x",
     ),
     "sf13_content_hash": (lambda s, d: _docs(s, d).select("doc_id", F.sha2("text", 256).alias("content"), F.sha2(F.concat(F.lit("GENESIS"), "text"), 256).alias("chained")), "SELECT doc_id, sha256(text) AS content, sha256('GENESIS' || text) AS chained FROM documents"),
-    "sf16_json_path": (lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
+    "sf16_one_key": (lambda s, d: table(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"),
     "sf17_half_even": (lambda s, d: table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.bround(F.col("l_quantity") / 4, 0).alias("rounded")), "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 4, 0) AS rounded FROM lineitem"),
     "sf22_last_user_turn": (lambda s, d: table(s, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("prompt")), "SELECT conv_id, arg_max(text, turn) AS prompt FROM conversations WHERE role = 'user' GROUP BY 1"),
     "tx02_pattern_counts": (_pattern_counts, _pattern_counts_sql()),
@@ -235,7 +235,7 @@ QUERIES = {
     "so07_dedup": (lambda s, d: S.first_of(_docs(s, d).select(T.question(F.col("text")).alias("q"), "doc_id", "source"), "q", "doc_id").select("doc_id", "source", "copies"), f"WITH n AS (SELECT {_Q} AS q, doc_id, source FROM documents) SELECT min(doc_id) AS doc_id, arg_min(source, doc_id) AS source, count(*) AS copies FROM n GROUP BY q"),
     "pf07_usable_rows": (lambda s, d: _docs(s, d).where(F.length(T.question(F.col("text"))) > 20).groupBy("lang").agg(F.count("*").alias("kept")), f"SELECT lang, count(*) AS kept FROM documents WHERE length({_Q}) > 20 GROUP BY 1"),
     "pf06_segment": (lambda s, d: table(s, d, "events").where("event_type = 'error'").select("event_id", "value"), "SELECT event_id, value FROM events WHERE event_type = 'error'"),
-    "pf13_label_category": (
+    "sf07_part_type_suffix": (
         lambda s, d: table(s, d, "part").select("p_partkey", F.regexp_replace("p_type", " (BRASS|STEEL)$", "").alias("category"), F.col("p_type").rlike(" (BRASS|STEEL)$").alias("stripped")),
         "SELECT p_partkey, regexp_replace(p_type, ' (BRASS|STEEL)$', '') AS category, regexp_matches(p_type, ' (BRASS|STEEL)$') AS stripped FROM part",
     ),
@@ -254,7 +254,7 @@ QUERIES = {
     "ud02_probe_score": (_probe, "WITH v AS (SELECT vec_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT vec_id, label, round(1 / (1 + exp(-(list_dot_product(v, list_transform(range(0, 64), lambda i: cos(i))) - 0.25))), 6) AS score FROM v"),
     "wn11_max_rolling_means": (_rolling, "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT vec_id, round(list_max(list_transform(range(0, 57, 4), lambda i: list_sum(v[i + 1:i + 8]) / 8)), 6) AS max_rolling, round(list_sum(v) / 64, 6) AS mean_pool, round(v[64], 6) AS last FROM v"),
     "tk02_canary": (_canary, _CANARY),
-    "tk03_best_setting": (_best_by, "WITH g AS (SELECT lang, source, round(avg(n_chars), 6) AS score FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, source) AS nth FROM g) SELECT lang, source, score FROM r WHERE nth = 1"),
+    "tk03_longest_source": (_best_by, "WITH g AS (SELECT lang, source, round(avg(n_chars), 6) AS score FROM documents GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, source) AS nth FROM g) SELECT lang, source, score FROM r WHERE nth = 1"),
     "tk05_even_picks": (_even_picks, "WITH x AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS place, count(*) OVER () AS n FROM documents), w AS (SELECT DISTINCT CAST(floor(i * ((SELECT max(n) FROM x) - 1) / 19::DOUBLE + 0.5) AS BIGINT) AS place FROM range(20) t(i)) SELECT doc_id, n_chars FROM x JOIN w USING (place)"),
     "df06_base_rates": (lambda s, d: probe_items(s, d).groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("vec")).cast("long").alias("dimensions")), "SELECT CASE WHEN label < 5 THEN 1 ELSE 0 END AS label, count(*) AS n, CAST(min(len(embedding)) AS BIGINT) AS dimensions FROM embeddings GROUP BY 1"),
     "ud09_determinism": (
