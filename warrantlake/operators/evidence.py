@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from warrantlake.functions import bounds as B
 from warrantlake.operators import metrics as M
 from warrantlake.operators import resample as R
+from warrantlake.sources.shared import written
 
 #: The bars of an issue.
 MIN_AUROC_LOW, MIN_LIFT_LOW, CONTROLS = 0.55, 1.0, 5
@@ -22,9 +23,11 @@ def metric_block(items: DataFrame, keys: list[str], unit: str, threshold: float,
     Intervals are percentiles of a bootstrap of units. Where that has no width, a rate takes the exact binomial
     interval instead. A key of one class has no ranking metrics; its false-positive rate is that of hard negatives,
     bounded on one side. With nothing flagged, precision is 0 with the interval [0, 1]. Confirmed errors are counted.
+    Items, groups and the replicates' values are written once, as several parts read each.
     """
+    items = written(items.select(*dict.fromkeys((*keys, unit, "label", "score"))), "items")
     counts = M.confusion(items, keys, threshold)
-    groups = R.numbered_groups(items, keys, unit, threshold)
+    groups = written(R.numbered_groups(items, keys, unit, threshold), "groups")
     sums = R.replicates(groups, keys, reps, seed, list(R.COUNTS))
     p, q = F.col("tp") + F.col("fn"), F.col("fp") + F.col("tn")
     flagged = F.col("tp") + F.col("fp")
@@ -35,6 +38,7 @@ def metric_block(items: DataFrame, keys: list[str], unit: str, threshold: float,
     long = long.where("value is not null and not (one_class and metric in ('auroc', 'recall', 'precision'))")
     drawn = sums.select(*keys, "rep", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("v")) for m, v in (("recall", R.recall()), ("precision", R.precision()), ("fpr", M.ratio(F.col("fp"), q)), ("flag_rate", R.flag_rate()))])).alias("m")).select(*keys, "rep", "m.*")
     drawn = drawn.unionByName(R.replicate_auroc(items, groups, keys, unit, reps, seed).withColumn("metric", F.lit("auroc")))
+    drawn = written(drawn, "replicates")
     two = R.interval(drawn, [*keys, "metric"], F.col("v"), level)
     one = R.interval(drawn.where("metric = 'fpr'"), [*keys, "metric"], F.col("v"), level, one_sided=True).select(*keys, "metric", F.col("ci_high").alias("one_high"))
     exact = B.with_bounds(long, "k", "of", 1 - level)
