@@ -25,24 +25,22 @@ _HALVES = f"""{SCORED}, va AS (SELECT * FROM scored WHERE item_id % 2 = 0), te A
 REPEATS, IQR_SAMPLES = 1000, 20_000
 
 
-def _item_draws(items, seed: str):
-    """Items numbered by id, and for each replicate as many draws of them as there are."""
+def _item_draws(items, seed: str, *values: str):
+    """eval_set_id, rep and values: for each replicate as many draws of the set's items, numbered by id, as there are."""
     n = G.numbered(items, ["eval_set_id"], F.col("item_id"), ["item_id"], "g").withColumn("g", F.col("g") - 1)
-    sizes = items.groupBy("eval_set_id").agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    picked = draws.withColumn("g", draw(F.lit(seed), "rep", "i") % F.col("n")).groupBy("eval_set_id", "rep", "g").agg(F.count("*").alias("times"))
-    return picked.join(n, ["eval_set_id", "g"])
+    sizes = items.groupBy("eval_set_id").agg(F.count("*").alias("groups"))
+    return R.drawn_items(n.join(sizes, "eval_set_id"), ["eval_set_id"], REPEATS, seed, list(values))
 
 
 def _selection_aware(s, d):
     """Recall on resampled test items at a threshold chosen again on resampled validation items."""
     items = scored_items(s, d)
-    va, te = _item_draws(items.where("item_id % 2 = 0"), "sel-v"), _item_draws(items.where("item_id % 2 = 1"), "sel-t")
-    grain = va.groupBy("eval_set_id", "rep", "score").agg(F.sum("times").alias("c"))
+    va, te = _item_draws(items.where("item_id % 2 = 0"), "sel-v", "score"), _item_draws(items.where("item_id % 2 = 1"), "sel-t", "score", "label")
+    grain = va.groupBy("eval_set_id", "rep", "score").agg(F.count("*").alias("c"))
     down, whole = Window.partitionBy("eval_set_id", "rep").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("eval_set_id", "rep")
     chosen = grain.withColumns({"upto": F.sum("c").over(down), "n": F.sum("c").over(whole)}).groupBy("eval_set_id", "rep").agg(F.min(F.when(F.col("upto") / F.col("n") <= BUDGET, F.col("score"))).alias("threshold"))
     pinned = H.within_budget(items.where("item_id % 2 = 0"), KEYS, BUDGET).withColumnRenamed("threshold", "pinned")
-    t = te.where("label = 1").join(chosen, ["eval_set_id", "rep"]).join(pinned, "eval_set_id")
+    t = te.where("label = 1").groupBy("eval_set_id", "rep", "score").agg(F.count("*").alias("times")).join(chosen, ["eval_set_id", "rep"]).join(pinned, "eval_set_id")
     hit = lambda c: F.sum(F.when(F.col("score") >= F.col(c), F.col("times")).otherwise(0)) / F.sum("times")
     v = t.groupBy("eval_set_id", "rep").agg(hit("threshold").alias("a"), hit("pinned").alias("c"))
     q = lambda c, p: F.percentile(c, F.lit(p))
