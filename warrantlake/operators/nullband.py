@@ -8,41 +8,80 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from warrantlake.functions.rng import uniform
 from warrantlake.operators.drift import EPSILON
+from warrantlake.operators.resample import RUN, TASKS
 from warrantlake.sources.shared import written
 
 SHAPES = ("normal", "logistic", "beta2_2")
 LEAST = 4
 
 
+def met_bins(upto: dict[int, list[float]], sizes: dict[int, int], side: str, repeats: int, spark: SparkSession) -> DataFrame:
+    """(key, rep, bin, c): where ``sizes[key]`` uniform draws fall among the cumulative shares ``upto[key]``.
+
+    A draw depends on side, repeat and number alone, so it is made once for all keys: it is placed among the cuts of all
+    of them and among their sizes, and counted by both places. What leaves the tasks doesn't grow with the draws.
+    """
+    cuts = sorted({c for key in upto for c in upto[key][:-1]})
+    ends = sorted({n for n in sizes.values() if n > 0})
+    if not ends:
+        return spark.createDataFrame([], "key int, rep int, bin int, c long")
+    runs = spark.range(repeats * -(-ends[-1] // RUN)).repartition(TASKS).select((F.col("id") % repeats).cast("int").alias("rep"), F.expr(f"id div {repeats}").alias("_run"))
+    each = runs.withColumn("i", F.explode(F.sequence(F.col("_run") * RUN, F.least(F.lit(ends[-1]), (F.col("_run") + 1) * RUN) - 1))).withColumn("u", uniform(F.lit(side), "rep", "i"))
+    counted = each.groupBy("rep", _place(F.col("u"), cuts).alias("_cut"), _place(F.col("i"), ends).alias("_end")).agg(F.count("*").alias("c"))
+    rows = [(key, cut, end, min(sum(c <= cuts[cut - 1] for c in upto[key]) if cut else 0, len(upto[key]) - 1)) for key in upto for cut in range(len(cuts) + 1) for end in range(len(ends)) if sizes[key] >= ends[end]]
+    told = spark.createDataFrame(rows, "key int, _cut int, _end int, bin int")
+    return counted.join(F.broadcast(told), ["_cut", "_end"]).groupBy("key", "rep", "bin").agg(F.sum("c").alias("c"))
+
+
+def _place(value: Column, cuts: list) -> Column:
+    """How many of the sorted ``cuts`` are at most ``value``, by halving."""
+
+    def within(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value < F.lit(cuts[middle]), within(low, middle)).otherwise(within(middle + 1, high))
+
+    return within(0, len(cuts))
+
+
+def index_values(known: list[tuple[list[float], int, int]], repeats: int, spark: SparkSession, sides: tuple[str, str] = ("live", "ref")) -> DataFrame:
+    """(key, rep, v): PSI of each repeat between ``n`` live and ``n_reference`` reference draws, by the place in ``known``.
+
+    ``known``: cumulative shares, n and n_reference.
+    """
+    upto = {k: x[0] for k, x in enumerate(known)}
+    parts = []
+    for at, side in enumerate(sides):
+        sizes = {k: x[1 + at] for k, x in enumerate(known)}
+        table = spark.createDataFrame([(k, n) for k, n in sizes.items()], "key int, n long")
+        parts.append(met_bins(upto, sizes, side, repeats, spark).join(F.broadcast(table), "key").select("key", "rep", "bin", (F.col("c") / F.col("n")).alias(side)))
+    # A bin that neither side met adds nothing: both are the same floor.
+    safe = lambda k: F.greatest(F.coalesce(k, F.lit(0.0)), F.lit(EPSILON))
+    a, b = (safe(side) for side in sides)
+    return parts[0].join(parts[1], ["key", "rep", "bin"], "full").groupBy("key", "rep").agg(F.sum((a - b) * F.log(a / b)).alias("v"))
+
+
 def null_psi(settings: DataFrame, keys: list[str], repeats: int = 400) -> DataFrame:
     """p50, p95, p99 and ``false_alarm_rate`` of PSI between samples of one distribution, for each setting.
 
     ``settings``: keys, ``probabilities``, sizes ``n`` (live) and ``n_reference``, and the ``stable`` band. Both sides
-    are drawn, as the reference's own error is part of the null.
+    are drawn, as the reference's own error is part of the null. Distinct distributions and sizes, which are few, pass
+    through the driver.
     """
     share = F.aggregate("probabilities", F.lit(0.0), lambda a, p: a + p)
     upto = F.transform(F.sequence(F.lit(1), F.size("probabilities")), lambda i: F.aggregate(F.slice("probabilities", F.lit(1), i), F.lit(0.0), lambda a, p: a + p) / share)
     known = written(settings.select(*keys, upto.alias("upto"), F.col("n").cast("long").alias("_n"), F.col("n_reference").cast("long").alias("_ref"), F.col("stable").alias("_stable")), "settings")
-
-    def counted(size: str, side: str) -> DataFrame:
-        """Shares of bins in each repeat: one set of draws for each distribution and size, however many settings share it."""
-        each = known.select("upto", size).distinct().withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-        drawn = each.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col(size) - 1))).withColumn("u", uniform(F.lit(side), "rep", "i"))
-        place = F.least(F.size(F.filter("upto", lambda c: c <= F.col("u"))), F.size("upto") - 1)
-        return drawn.select("upto", size, "rep", place.alias("bin")).groupBy("upto", size, "rep", "bin").agg((F.count("*") / F.col(size)).alias(side))
-
-    pairs = known.select("upto", "_n", "_ref").distinct()
-    on = ["upto", "_n", "_ref", "rep", "bin"]
-    both = pairs.join(counted("_ref", "ref"), ["upto", "_ref"]).join(pairs.join(counted("_n", "live"), ["upto", "_n"]), on, "full")
-    # A bin that neither side met adds nothing: both are the same floor.
-    safe = lambda k: F.greatest(F.coalesce(k, F.lit(0.0)), F.lit(EPSILON))
-    values = both.groupBy("upto", "_n", "_ref", "rep").agg(F.sum((safe("live") - safe("ref")) * F.log(safe("live") / safe("ref"))).alias("v"))
-    told = known.join(values, ["upto", "_n", "_ref"])
+    on = ["upto", "_n", "_ref"]
+    spark = settings.sparkSession
+    distinct = [(list(r["upto"]), r["_n"], r["_ref"]) for r in known.select(*on).distinct().collect()]
+    named = spark.createDataFrame([(k, *x) for k, x in enumerate(distinct)], "key int, upto array<double>, _n long, _ref long")
+    told = known.join(named, on).join(index_values(distinct, repeats, spark), "key")
     return told.groupBy(*keys).agg(*(F.percentile("v", F.lit(p / 100)).alias(f"p{p}") for p in (50, 95, 99)), F.avg((F.col("v") > F.col("_stable")).cast("double")).alias("false_alarm_rate"))
 
 
