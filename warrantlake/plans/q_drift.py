@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from warrantlake.functions.rng import draw, draw_sql, uniform
 from warrantlake.operators import drift as D
 from warrantlake.operators import metrics as M
+from warrantlake.operators import nullband as N
 from warrantlake.operators import resample as R
 from warrantlake.sources.shared import written
 from warrantlake.sources.views import SCORED, TRAFFIC, scored_items, traffic
@@ -173,12 +174,9 @@ def _null_psi(s, d):
     w = Window.partitionBy("event_type").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     cum = env.select("event_type", "bin", "p", "n_reference", F.sum("p").over(w).alias("upto"))
     lists = cum.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "upto"))), lambda x: x["upto"]).alias("upto"), F.max("n_reference").alias("n_reference"))
-    sides = F.explode(F.array(F.struct(F.lit("ref").alias("side"), F.col("n_reference").cast("long").alias("n")), F.struct(F.lit("live").alias("side"), F.lit(WINDOW).cast("long").alias("n")))).alias("s")
-    u = lists.select("event_type", "upto", sides).select("event_type", "upto", "s.*").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(NULLS - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))).withColumn("u", uniform("side", "rep", "i"))
-    b = u.select("event_type", "rep", "n", "side", F.least(F.size(F.filter("upto", lambda c: c <= F.col("u"))), F.size("upto") - 1).alias("bin")).groupBy("event_type", "rep", "bin").agg(*(F.coalesce(F.count_if(F.col("side") == k) / F.max(F.when(F.col("side") == k, F.col("n"))), F.lit(0.0)).alias(k) for k in ("ref", "live")))
-    full = env.select("event_type", "bin").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(NULLS - 1)))).join(b, ["event_type", "rep", "bin"], "left")
-    share = lambda k: F.greatest(F.coalesce(k, F.lit(0.0)), F.lit(D.EPSILON))
-    v = full.groupBy("event_type", "rep").agg(F.sum((share("live") - share("ref")) * F.log(share("live") / share("ref"))).alias("v"))
+    known = [(r["event_type"], list(r["upto"]), r["n_reference"]) for r in lists.collect()]
+    named = s.createDataFrame([(k, x[0]) for k, x in enumerate(known)], "key int, event_type string")
+    v = named.join(N.index_values([(x[1], WINDOW, x[2]) for x in known], NULLS, s), "key")
     return v.groupBy("event_type").agg(F.round(F.percentile("v", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("v", F.lit(0.95)), 6).alias("p95"), F.round(F.percentile("v", F.lit(0.99)), 6).alias("p99"), F.round(F.avg((F.col("v") >= 0.1).cast("double")), 6).alias("false_alarm"))
 
 
