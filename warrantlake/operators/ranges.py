@@ -63,4 +63,4 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, fl
         return F.struct(rank(F.floor(place)).alias("low"), rank(F.ceil(place)).alias("high"), F.max(place - F.floor(place)).alias("part"))
 
     found = known.groupBy(*keys).agg(*(at(s).alias(f"_{i}") for i, s in enumerate(shares.values())))
-    return found.select(*keys, *((F.col(f"_{i}.low") * (1 - F.col(f"_{i}.part")) + F.col(f"_{i}.high") * F.col(f"_{i}.part")).alias(name) for i, name in enumerate(shares)))
+    return found.select(*keys, *((F.col(f"_{i}.low") + (F.col(f"_{i}.high") - F.col(f"_{i}.low")) * F.col(f"_{i}.part")).alias(name) for i, name in enumerate(shares)))
