@@ -51,6 +51,9 @@ def _kinds(s, d):
     return table(s, d, "documents").select("doc_id", F.size(twelve).alias("twelve_digits"), F.size(F.filter(twelve, T.verhoeff_valid)).alias("valid"), F.size(T.found(text, T.PAN)).alias("pans"), F.size(phones).alias("phones"), F.size(F.filter(phones, lambda n: F.substring(n, -10, 1).isin(*"6789"))).alias("plausible"))
 
 
+#: To SQL's patterns a word is ASCII, white space has no vertical tab, and the letters s and k have a third form.
+BOUND = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+BLANK, LETTERS = r" \t\n\f\r", "A-Za-zſK"
 SEPARATOR = r"[\s.\-:]"
 #: Separator-tolerant shapes and their base scores.
 TOLERANT = {
@@ -64,8 +67,14 @@ TOLERANT = {
 }
 
 
+def _found(pattern: str):
+    """Whether ``text`` holds the pattern as SQL reads it."""
+    spaced = pattern.replace(r"[\s", f"[{BLANK}").replace(r"\s", f"[{BLANK}]")
+    return F.col("text").rlike("(?i)" + spaced.replace("A-Za-z", LETTERS).replace(r"\b", BOUND))
+
+
 def _tolerant(s, d):
-    return table(s, d, "documents").select("doc_id", F.greatest(*[F.when(F.col("text").rlike("(?i)" + p), c).otherwise(0.0) for p, c in TOLERANT.values()]).alias("score"), *(F.col("text").rlike("(?i)" + p).alias(n) for n, (p, _) in TOLERANT.items()))
+    return table(s, d, "documents").select("doc_id", F.greatest(*[F.when(_found(p), c).otherwise(0.0) for p, c in TOLERANT.values()]).alias("score"), *(_found(p).alias(n) for n, (p, _) in TOLERANT.items()))
 
 
 def _estimated(s, d):
