@@ -2,6 +2,8 @@
 
 import hashlib
 
+from pyspark.sql import functions as F
+
 from warrantlake.operators import nullband
 
 
@@ -16,3 +18,10 @@ def test_draws_fall_into_the_bins_of_every_distribution(spark):
                 place = (key, rep, min(sum(c <= u for c in cuts), len(cuts) - 1))
                 want[place] = want.get(place, 0) + 1
     assert got == want
+
+
+def test_samples_of_one_shape_are_dealt_over_tasks(spark):
+    cells = spark.createDataFrame([("logistic", 8)], "shape string, n int")
+    dealt = nullband._spreads(cells, ["shape", "n"], "n", "pilot", 64)
+    assert dealt.select(F.spark_partition_id().alias("p")).distinct().count() > 8
+    assert dealt.count() == 64

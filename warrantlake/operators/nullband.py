@@ -107,10 +107,12 @@ def shaped(shape: Column, one: Column, two: Column) -> Column:
 
 
 def _spreads(cells: DataFrame, keys: list[str], size: str, side: str, repeats: int) -> DataFrame:
-    """(keys, rep, iqr) of samples of ``size`` draws."""
-    each = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col(size).cast("long") - 1)))
+    """(keys, rep, iqr) of samples of ``size`` draws, a sample in the task that its key and repeat are dealt to."""
+    reps = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_size", F.col(size).cast("long")).repartition(4 * TASKS, *keys, "rep")
+    runs = reps.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_size - 1) div {RUN}"))))
+    each = runs.withColumn("i", F.explode(F.sequence(F.col("_run") * RUN, F.least(F.col("_size"), (F.col("_run") + 1) * RUN) - 1)))
     x = each.select(*keys, "rep", shaped(F.col("shape"), uniform(F.lit(side), "rep", "i"), uniform(F.lit(f"{side}2"), "rep", "i")).alias("x"))
-    return x.groupBy(*keys, "rep").agg((F.percentile("x", F.lit(0.75)) - F.percentile("x", F.lit(0.25))).alias("iqr"))
+    return x.groupBy(*keys, "rep").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("_q")).select(*keys, "rep", (F.col("_q")[1] - F.col("_q")[0]).alias("iqr"))
 
 
 def iqr_ratios(sizes: DataFrame, shapes: tuple[str, ...] = SHAPES, repeats: int = 1000) -> DataFrame:
