@@ -116,3 +116,10 @@ def test_a_grid_is_checked_field_by_field():
     k, n = np.array([3]), np.array([50])
     plain = math.log(sum((1 + b * 0.98) ** 3 * (1 - b * 0.02) ** 47 for b in grid.bets()) / 40)
     assert abs(grid.log_wealth(k, n)[0] - plain) < 1e-12
+
+
+def test_answers_that_carry_their_request_need_no_table_of_requests(spark):
+    answers = spark.sql("select 'w' as warrant_id, 7L as request_id, 5 as n_window, 0.01D as psi, 0D as log_wealth, false as revoked, 3L as session_id, timestamp '2024-01-20' as ts, 0.9D as score")
+    warrants = spark.sql("select 'w' as warrant_id, 0.5D as threshold, array(0D, 1D) as edges, array(1D) as probabilities, 0.6D as recall_low, 0.8D as recall_high, 'VALID' as status, timestamp '2024-03-01' as expires_at")
+    made = session.certificates(answers, None, warrants, 5).first()
+    assert (made["session_id"], made["cited"], made["flagged"], made["action"]) == (3, "w", True, "ESCALATE")

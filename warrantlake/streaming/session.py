@@ -34,12 +34,15 @@ STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.e
 RING, WAGER = "window int, bins array<int>, seen long", "p0 double, low double, high double, stakes int, n long, k long, most double"
 OBSERVED = "warrant_id string, request_id long, n_window int, psi double, log_wealth double, revoked boolean"
 ALPHA = 0.05
+#: What a certificate needs of a request beside its answer.
+CARRIED = ("session_id", "ts", "score")
 
 
 class Observer(StatefulProcessor):
     """Keeps a warrant's ring and wager; answers each request with its window's PSI and the wealth after it."""
 
-    def __init__(self, window: int, p0: float, low: float = 0.01, stakes: int = 40, alpha: float = ALPHA):
+    def __init__(self, window: int, p0: float, low: float = 0.01, stakes: int = 40, alpha: float = ALPHA, carried: tuple[str, ...] = ()):
+        self.carried = carried
         self.window, self.alpha = window, alpha
         self.grid = D.Grid(p0, low, stakes)
 
@@ -67,7 +70,7 @@ class Observer(StatefulProcessor):
         peak = np.maximum.accumulate(np.concatenate(([most], wealth)))[1:]
         self.ring.update((self.window, bins[-self.window :].tolist(), seen + len(batch)))
         self.wager.update((self.grid.p0, self.grid.low, self.grid.high, self.grid.stakes, int(total[-1]), int(fired[-1]), float(peak[-1])))
-        yield pd.DataFrame({"warrant_id": key[0], "request_id": batch["request_id"], "n_window": size.astype(np.int32), "psi": np.where(size < self.window, np.nan, psi), "log_wealth": wealth, "revoked": peak >= math.log(1 / self.alpha)})
+        yield pd.DataFrame({"warrant_id": key[0], "request_id": batch["request_id"], "n_window": size.astype(np.int32), "psi": np.where(size < self.window, np.nan, psi), "log_wealth": wealth, "revoked": peak >= math.log(1 / self.alpha), **{c: batch[c] for c in self.carried}})
 
     def resumed(self, key: tuple) -> tuple[int, int, float]:
         """Counts and highest log wealth so far; refused if they belong to another grid of stakes."""
@@ -82,11 +85,12 @@ class Observer(StatefulProcessor):
 
 
 def observed(requests: DataFrame, warrants: DataFrame, window: int, p0: float, stakes: int = 40) -> DataFrame:
-    """``OBSERVED`` for each request (warrant_id, request_id, ts, value, score) of a stream."""
+    """``OBSERVED`` for each request (warrant_id, request_id, ts, value, score) of a stream; with a session_id also ``CARRIED``."""
+    carried = CARRIED if "session_id" in requests.columns else ()
     known = requests.join(warrants.select("warrant_id", "threshold", "edges", "probabilities"), "warrant_id")
-    fed = known.select("warrant_id", "request_id", "ts", D.bin_of(F.col("value"), F.col("edges")).cast("int").alias("bin"), (F.col("score") >= F.col("threshold")).cast("int").alias("false_flag"), "probabilities")
-    shape = StructType.fromDDL(OBSERVED)
-    return fed.groupBy("warrant_id").transformWithStateInPandas(statefulProcessor=Observer(window, p0, stakes=stakes), outputStructType=shape, outputMode="Append", timeMode="None")
+    fed = known.select("warrant_id", "request_id", "ts", D.bin_of(F.col("value"), F.col("edges")).cast("int").alias("bin"), (F.col("score") >= F.col("threshold")).cast("int").alias("false_flag"), "probabilities", *(c for c in carried if c != "ts"))
+    shape = StructType([*StructType.fromDDL(OBSERVED).fields, *(requests.schema[c] for c in carried)])
+    return fed.groupBy("warrant_id").transformWithStateInPandas(statefulProcessor=Observer(window, p0, stakes=stakes, carried=carried), outputStructType=shape, outputMode="Append", timeMode="None")
 
 
 def certificates(answers: DataFrame, requests: DataFrame, warrants: DataFrame, window: int, widen: float = 1.5) -> DataFrame:
@@ -95,8 +99,10 @@ def certificates(answers: DataFrame, requests: DataFrame, warrants: DataFrame, w
     The ladder turns the warrant's status by the window's verdict, and latched wealth revokes. A warrant that is
     valid or stale, and not expired, is cited with its bounds, widened around their middle when stale; any other is
     not cited and nothing is claimed. A flagged request is escalated, and so is one without a warrant to rely on.
+    Answers that carry their request aren't joined with all ``requests``, which every batch would read again.
     """
-    x = answers.join(requests.select("request_id", "session_id", "ts", "score"), "request_id").join(F.broadcast(warrants), "warrant_id")
+    known = answers if set(CARRIED) <= set(answers.columns) else answers.join(requests.select("request_id", *CARRIED), "request_id")
+    x = known.join(F.broadcast(warrants), "warrant_id")
     state = F.when(F.col("n_window") < window, "INSUFFICIENT_DATA").otherwise(D.state(F.col("psi")))
     x = x.withColumn("state", state)
     expired = F.col("ts") >= F.col("expires_at")
@@ -141,10 +147,13 @@ def run(spark: SparkSession, stream: DataFrame, requests: DataFrame, warrants: D
     if most_false_alarms is not None:
         settings = warrants.select("warrant_id", "probabilities", F.lit(window).alias("n"), F.lit(n_reference).alias("n_reference"), F.lit(D.STABLE).alias("stable"))
         refuse_noisy(settings, ["warrant_id"], most_false_alarms)
-    before = spark.conf.get(STORE[0], None)
+    before, tasks = spark.conf.get(STORE[0], None), spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set(*STORE)
+    # A task without a warrant would open and commit a store in every batch all the same.
+    spark.conf.set("spark.sql.shuffle.partitions", max(1, min(int(tasks), warrants.count())))
     try:
         query = observed(stream, warrants, window, p0, stakes).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(sink).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
         spark.conf.unset(STORE[0]) if before is None else spark.conf.set(STORE[0], before)
