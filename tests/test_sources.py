@@ -7,8 +7,10 @@ from warrantlake.operators import categories as K
 from warrantlake.operators import ledger as L
 from warrantlake.operators import paired as D
 from warrantlake.operators import thresholds as H
+from warrantlake.plans import q_sources as Q
 from warrantlake.sources import scorings as G
 from warrantlake.sources import splits as P
+from warrantlake.sources.views import scored_items
 
 SCHEMA = "item_id long, group string, aliases array<string>, split string"
 GOOD = [(1, "a", ["x"], "train"), (2, "a", None, "train"), (3, "b", [], "test")]
@@ -109,6 +111,20 @@ def test_probe_scores_lie_between_the_two_highest_thresholds(spark):
     assert got == {"a": (pytest.approx(0.6), None), "b": (None, "the two highest thresholds are equal"), "c": (None, "fewer than two thresholds"), "d": (None, "fewer than two thresholds"), "e": (pytest.approx(0.5), None)}
 
 
+def test_all_budgets_take_one_pass_over_the_scores(spark, monkeypatch):
+    sf_dir, windows = "/root/testdata/sf0.001", []
+    for budgets in ([0.2], [0.05, 0.1, 0.2]):
+        monkeypatch.setattr(Q, "BUDGETS", budgets)
+        plan = Q.QUERIES["th20_probe_score"][0](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        windows.append(plan.count("Window ["))
+    assert windows[0] == windows[1] > 0
+    items = scored_items(spark, sf_dir)
+    every = {(r["eval_set_id"], r["budget"]): r["threshold"] for r in H.within_budgets(items, ["eval_set_id"], budgets).collect()}
+    for budget in budgets:
+        one = {r["eval_set_id"]: r["threshold"] for r in H.within_budget(items, ["eval_set_id"], budget).collect()}
+        assert one == {k: v for (k, b), v in every.items() if b == budget}
+
+
 def test_overrides_are_found_by_the_certificate_in_their_body(spark):
     rows = [(1, "override", '{"certificate_id":"C"}'), (2, "warrant", '{"certificate_id":"C"}'), (3, "override", '{"other":"C"}'), (4, "override", None), (5, "override", "{"), (6, "override", '{"certificate_id":"Z"}'), (7, "override", '{"certificate_id":"C"}')]
     got = L.overrides_of(spark.createDataFrame(rows, "seq long, kind string, body string"), spark.createDataFrame([("C",), ("D",)], "certificate_id string"))

@@ -49,11 +49,7 @@ def stacked(items: DataFrame) -> DataFrame:
 
 def thresholds(items: DataFrame, keys: list[str], budgets: list[float]) -> DataFrame:
     """(keys, budget, baseline, variant): both models' thresholds within each budget."""
-    long = stacked(items)
-    found = None
-    for budget in budgets:
-        one = H.within_budget(long, [*keys, "model"], budget).select(*keys, "model", "threshold", F.lit(budget).alias("budget"))
-        found = one if found is None else found.unionByName(one)
+    found = H.within_budgets(stacked(items), [*keys, "model"], budgets)
     return found.groupBy(*keys, "budget").agg(*(F.max(F.when(F.col("model") == m, F.col("threshold"))).alias(m) for m in MODELS))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from warrantlake.operators.metrics import confusion_at_every_score, rates, ratio, running, totals
@@ -13,8 +13,14 @@ Z95 = 1.959963984540054
 
 def within_budget(items: DataFrame, keys: list[str], budget: float) -> DataFrame:
     """The smallest score whose flag rate stays within the budget; null where the top tie alone exceeds it."""
+    return within_budgets(items, keys, [budget]).drop("budget")
+
+
+def within_budgets(items: DataFrame, keys: list[str], budgets: list[float]) -> DataFrame:
+    """keys, budget, threshold: ``within_budget`` of each budget, all from one pass over the scores."""
     flags = rates(confusion_at_every_score(items, keys))
-    return flags.groupBy(*keys).agg(F.min(F.when(F.col("flag_rate") <= budget, F.col("threshold"))).alias("threshold"))
+    found = flags.groupBy(*keys).agg(*(F.min(F.when(F.col("flag_rate") <= b, F.col("threshold"))).alias(f"_{i}") for i, b in enumerate(budgets)))
+    return found.select(*keys, F.inline(F.array(*(F.struct(F.lit(b).alias("budget"), F.col(f"_{i}").alias("threshold")) for i, b in enumerate(budgets)))))
 
 
 def probe_score(thresholds: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,11 +29,12 @@ def probe_score(thresholds: DataFrame, keys: list[str]) -> DataFrame:
     It tells the most conservative profile from all others. Fewer than two thresholds, or two equal highest ones,
     give no score: no input could tell those profiles apart.
     """
-    top = thresholds.where("threshold is not null").groupBy(*keys, "threshold").agg(F.count("*").alias("c"))
-    x = thresholds.select(*keys).distinct().join(top.groupBy(*keys).agg(F.max_by("c", "threshold").alias("ties"), F.max("threshold").alias("first"), F.sum("c").alias("n")), keys, "left")
-    below = top.join(x.select(*keys, "first"), keys).where("threshold < first").groupBy(*keys).agg(F.max("threshold").alias("second"))
-    problem = F.when(F.coalesce("n", F.lit(0)) < 2, "fewer than two thresholds").when(F.col("ties") > 1, "the two highest thresholds are equal")
-    return x.join(below, keys, "left").withColumn("problem", problem).select(*keys, F.when(F.col("problem").isNull(), (F.col("first") + F.col("second")) / 2).alias("probe_score"), "problem")
+    top = thresholds.groupBy(*keys, "threshold").agg(F.count("threshold").alias("c"))
+    placed = top.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("threshold")))).where("r <= 2")
+    at = lambda r, c: F.max(F.when(F.col("r") == r, F.col(c)))
+    x = placed.groupBy(*keys).agg(F.sum("c").alias("n"), at(1, "c").alias("ties"), at(1, "threshold").alias("first"), at(2, "threshold").alias("second"))
+    problem = F.when(F.col("n") < 2, "fewer than two thresholds").when(F.col("ties") > 1, "the two highest thresholds are equal")
+    return x.withColumn("problem", problem).select(*keys, F.when(F.col("problem").isNull(), (F.col("first") + F.col("second")) / 2).alias("probe_score"), "problem")
 
 
 def kth_largest(items: DataFrame, keys: list[str], budget: float) -> DataFrame:

@@ -51,11 +51,7 @@ def _categories(s: SparkSession, d: str) -> DataFrame:
 
 
 def _probe_scores(s: SparkSession, d: str) -> DataFrame:
-    items, found = scored_items(s, d), None
-    for budget in BUDGETS:
-        one = H.within_budget(items, ["eval_set_id"], budget)
-        found = one if found is None else found.unionByName(one)
-    return H.probe_score(found, ["eval_set_id"]).withColumn("probe_score", F.round("probe_score", 9))
+    return H.probe_score(H.within_budgets(scored_items(s, d), ["eval_set_id"], BUDGETS), ["eval_set_id"]).withColumn("probe_score", F.round("probe_score", 9))
 
 
 def _swept(s: SparkSession, d: str) -> DataFrame:
