@@ -30,7 +30,9 @@ def _digest(column):
 def _aliases(s, d):
     """Each document against four aliases, two of them short."""
     a = F.array(*[F.lit(x) for x in ("us", "th", "licen", "trash")])
-    return _docs(s, d).select("doc_id", T.alias_rule(T.answer(F.col("text")), a).alias("rule"))
+    # A column of its own: written into the rule, the answer would be made anew for each alias.
+    known = _docs(s, d).select("doc_id", T.answer(F.col("text")).alias("answer"))
+    return known.select("doc_id", T.alias_rule(F.col("answer"), a).alias("rule"))
 
 
 def _labels_by_rule(s, d):
