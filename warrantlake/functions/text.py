@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ PAN = r"(?<![A-Z0-9])[A-Z]{3}[\s.\-]{0,2}[A-Z]{2}[\s.\-]{0,2}\d{4}[\s.\-]{0,2}[A
 PHONE = r"(?<![\d])(?:\+?91[\s.\-]{0,3})?\d{2,5}(?:[\s.\-]{0,3}\d{2,5}){1,4}(?![\d])"
 LEAST_CONFIDENCE = 0.35
 SPANS = "array<struct<kind:string,text:string,start:int,end:int,confidence:double>>"
+FOUND = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())]))
 
 
 def question(text: Column) -> Column:
@@ -161,16 +163,20 @@ def _take_numbers(take, number) -> None:
         take("IN_AADHAAR", pattern, confidence)
 
 
+def scanned(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """``spans`` of each text; a batch stays in Arrow, and one text at a time becomes a Python string."""
+    for batch in texts:
+        yield pa.array((spans(t.as_py()) for t in batch), type=FOUND)
+
+
 def span_column(text: Column) -> Column:
-    @F.pandas_udf(SPANS)
-    def scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([spans(t) for t in batch])
+    @F.arrow_udf(SPANS)
+    def scan(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from scanned(texts)
 
     return scan(text)
 
 
-
 def folded_question(text: Column) -> Column:
     """A question for comparing: NFKC, case folding, runs of characters that no word has as one space.
 
