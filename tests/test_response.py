@@ -6,7 +6,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from warrantlake.operators import drift as D
 from warrantlake.operators import response as C
+from warrantlake.plans.q_nullband import last_windows
 
 W = "detector_id string, operating_point_id string, envelope_id string, recall double, recall_low double, recall_high double, fpr_high double, status string, expired boolean, stream string, live_envelope_id string"
 V = "stream string, state string, driver string, unobserved array<string>, driven_by_smoothing boolean"
@@ -110,3 +112,26 @@ def test_the_last_window_decides(spark):
     out = C.final_verdicts(spark.createDataFrame(rows, "stream string, ts int, id string, state string, driver string, unobserved array<string>, driven_by_smoothing boolean"), "stream", ["ts", "id"])
     assert {r["stream"]: r["state"] for r in out.collect()} == {"s": "INSIDE", "t": "INSIDE"}
     assert out.where(F.col("stream") == "s").first()["unobserved"] == ["z"]
+
+
+def test_routing_reads_warrants_that_no_request_asks_for(spark):
+    warrants, told = spark.createDataFrame([warrant("A"), warrant("B", "away")], W), spark.createDataFrame([verdict("A", "SIGNIFICANT")], V)
+    asked = spark.createDataFrame([("A", "P", "home"), ("Z", "P", "home")], "detector_id string, operating_point_id string, envelope_id string")
+    (only,) = C.respond(warrants, told, "stream", POLICY, asked).collect()
+    assert only == C.respond(warrants, told, "stream", POLICY).where("detector_id = 'A'").first() and only["cited"] == "B|P|away"
+
+
+def test_last_verdicts_are_those_of_the_last_rows(spark):
+    rows = [(k, i // 2, i, None if i % 5 == 0 else (i * 7 + len(k)) % 3, (i // 9) % 2) for k, n in (("a", 40), ("bb", 12), ("ccc", 11), ("d", 1)) for i in range(n)]
+    stream, sizes = spark.createDataFrame(rows, "shard string, ts int, event_id int, bin_x int, bin_y int"), {"x": 3, "y": 2}
+    expected = D.expected_shares(stream.where("ts < 8"), sizes)
+    every = D.verdicts(stream, "shard", F.col("ts"), ["ts", "event_id"], sizes, expected, 12)
+    last = C.final_verdicts(every, "shard", ["ts", "event_id"])
+    found = D.last_verdicts(stream, "shard", ["ts", "event_id"], sizes, expected, 12)
+    assert sorted(found.select(last.columns).collect()) == sorted(last.collect()) and {r["state"] for r in last.collect()} > {"INSUFFICIENT_DATA"}
+
+
+def test_responses_slide_no_frame_over_all_events(spark):
+    found = last_windows(spark, "/root/testdata/sf0.001", F.col("user_id"), 60)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "RowFrame, -59" not in plan

@@ -103,8 +103,25 @@ def verdicts(stream: DataFrame, key: str, lead: Column, order: list[str], sizes:
     """
     blocks, own = G.framed(stream, [key], lead, order, window)
     frame = Window.partitionBy(key, "_block").orderBy("_nth").rowsBetween(1 - window, 0)
-    x = blocks.withColumns({"n": F.count("*").over(frame)} | {f"_c_{name}_{i}": F.count_if(F.col(f"bin_{name}") == i).over(frame) for name, n in sizes.items() for i in range(n)})
-    x = x.where(own).crossJoin(F.broadcast(expected))
+    x = blocks.withColumns({c: a.over(frame) for c, a in _window_counts(sizes).items()})
+    return _judged(x.where(own), sizes, expected, window).drop("_block", "_own", "_nth")
+
+
+def last_verdicts(stream: DataFrame, key: str, order: list[str], sizes: dict[str, int], expected: DataFrame, window: int) -> DataFrame:
+    """What ``verdicts`` says of each key's last row, from the last ``window`` rows alone: a row a key."""
+    latest = Window.partitionBy(key).orderBy(*(F.desc(c) for c in order))
+    last = stream.withColumn("_back", F.row_number().over(latest)).where(F.col("_back") <= window)
+    return _judged(last.groupBy(key).agg(*(a.alias(c) for c, a in _window_counts(sizes).items())), sizes, expected, window)
+
+
+def _window_counts(sizes: dict[str, int]) -> dict[str, Column]:
+    """``n``, a window's rows, and those of each feature's bins."""
+    return {"n": F.count("*")} | {f"_c_{name}_{i}": F.count_if(F.col(f"bin_{name}") == i) for name, n in sizes.items() for i in range(n)}
+
+
+def _judged(windows: DataFrame, sizes: dict[str, int], expected: DataFrame, window: int) -> DataFrame:
+    """The indexes, state, driver and unobserved features of windows with the columns of ``_window_counts``."""
+    x = windows.crossJoin(F.broadcast(expected))
     full = F.col("n") >= window
     for name, n in sizes.items():
         counts = [F.col(f"_c_{name}_{i}") for i in range(n)]
@@ -123,7 +140,7 @@ def verdicts(stream: DataFrame, key: str, lead: Column, order: list[str], sizes:
     states = F.array(F.lit("INSIDE"), F.lit("MODERATE"), F.lit("SIGNIFICANT"))
     lacking = F.array_compact(F.array(*[F.when(F.col(f"psi_{name}").isNull(), F.lit(name)) for name in sizes]))
     x = x.withColumns({"state": F.coalesce(F.get(states, top["s"]), F.lit("INSUFFICIENT_DATA")), "driver": top["name"], "driven_by_smoothing": F.coalesce(top["smoothed"], F.lit(False)), "unobserved": lacking})
-    return x.drop("_block", "_own", "_nth", *(f"_empty_{name}" for name in sizes), *(f"expected_{name}" for name in sizes), *(f"_c_{name}_{i}" for name, n in sizes.items() for i in range(n)))
+    return x.drop(*(f"_empty_{name}" for name in sizes), *(f"expected_{name}" for name in sizes), *(f"_c_{name}_{i}" for name, n in sizes.items() for i in range(n)))
 
 
 @dataclass(frozen=True)

@@ -52,16 +52,16 @@ class Policy:
 
 
 def final_verdicts(windows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The verdict of each key's last window, from the rows of ``drift.verdicts``."""
+    """The verdict of each key's last window, from the rows of ``drift.verdicts``; ``drift.last_verdicts`` makes no others."""
     told = F.struct("state", "driver", "unobserved", "driven_by_smoothing")
     return windows.groupBy(key).agg(F.max_by(told, F.struct(*order)).alias("v")).select(key, "v.*")
 
 
-def respond(warrants: DataFrame, verdicts: DataFrame, stream: str, policy: Policy) -> DataFrame:
+def respond(warrants: DataFrame, verdicts: DataFrame, stream: str, policy: Policy, wanted: DataFrame | None = None) -> DataFrame:
     """One row a warrant: its next status, what may be claimed now, on whose warrant, and the action.
 
     ``warrants``: KEY, ``stream``, live_envelope_id, status, expired and BOUNDS; ``verdicts``: see
-    ``final_verdicts``. A stream without a verdict has too little data, and nothing changes. An expired warrant is
+    ``final_verdicts``; ``wanted``: the KEYs to answer, all without it, while routing reads every warrant. A stream without a verdict has too little data, and nothing changes. An expired warrant is
     stale at best. Stale bounds are widened by the declared factor; a revoked warrant claims its replacement's
     bounds, unwidened, or none; a refused one claims nothing. A live envelope that isn't in the matrix is told apart
     from one where no warrant qualifies.
@@ -73,8 +73,10 @@ def respond(warrants: DataFrame, verdicts: DataFrame, stream: str, policy: Polic
 
     cells = moved.select(*KEY, *BOUNDS, F.col("after").alias("status"))
     best = X.route(cells, policy.min_recall, policy.max_fpr)
-    r = best.join(cells.drop("status"), KEY, "left").select(F.col("envelope_id").alias("live_envelope_id"), F.lit(True).alias("on_axis"), "considered", F.when(F.col("operating_point_id").isNotNull(), F.struct("detector_id", "operating_point_id", "envelope_id", *BOUNDS)).alias("other"))
-    x = moved.join(r, "live_envelope_id", "left")
+    taken = cells.drop("status").join(F.broadcast(best.select(*KEY)), KEY)
+    r = best.join(taken, KEY, "left").select(F.col("envelope_id").alias("live_envelope_id"), F.lit(True).alias("on_axis"), "considered", F.when(F.col("operating_point_id").isNotNull(), F.struct("detector_id", "operating_point_id", "envelope_id", *BOUNDS)).alias("other"))
+    asked = moved if wanted is None else moved.join(wanted.select(*KEY), KEY, "left_semi")
+    x = asked.join(F.broadcast(r), "live_envelope_id", "left")
 
     revoked, stale = F.col("after") == "REVOKED", F.col("after") == "STALE"
     routed = revoked & F.col("other").isNotNull()

@@ -66,19 +66,29 @@ SELECT r.shape, r.n, r.n_reference, collapse, round(avg(CASE WHEN ratio * collap
 FROM r JOIN b ON b.shape = r.shape AND b.n = r.n, (VALUES {_VALUES(COLLAPSES, "::DOUBLE")}) c(collapse) GROUP BY 1, 2, 3, 4"""
 
 
-def windows(s: SparkSession, d: str, key: Column, window: int) -> DataFrame:
-    """Windows over a numeric value, a category, an attribute that some events lack, and a feature that none has."""
-    x = traffic(s, d).join(s.read.parquet(f"{d}/events.parquet").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k")), "event_id")
-    ref = x.where("not live")
-    cuts = D.edges(ref.withColumn("_one", F.lit(1)), ["_one"], "value").select("edges")
-    x = x.crossJoin(F.broadcast(cuts)).withColumn("shard", key)
+def _watched(s: SparkSession, d: str, key: Column) -> tuple[DataFrame, dict[str, int], DataFrame]:
+    """Binned events with their ``shard``, each feature's number of bins, and the shares that are expected of them."""
+    cuts = D.edges(traffic(s, d).where("not live").withColumn("_one", F.lit(1)), ["_one"], "value").select("edges")
+    read = traffic(s, d, k=F.get_json_object("props", "$.k").cast("int")).where("event_id is not null")
+    x = read.crossJoin(F.broadcast(cuts)).withColumn("shard", key)
     bins = {"value": (D.bin_of(F.col("value"), F.col("edges")), 8), "event_type": (F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("event_type")).cast("int") - 1, len(TYPES)), "k": (F.when(F.col("k") >= 20, F.floor(F.col("k") / 20).cast("int") - 1), 4), "latency": (F.lit(None).cast("int"), 4)}
     known = x.select("shard", "ts", "event_id", "live", *(b.alias(f"bin_{name}") for name, (b, _) in bins.items()))
     sizes = {name: n for name, (_, n) in bins.items()}
-    expected = D.expected_shares(known.where("not live"), sizes)
+    return known, sizes, D.expected_shares(known.where("not live"), sizes)
+
+
+def windows(s: SparkSession, d: str, key: Column, window: int) -> DataFrame:
+    """Windows over a numeric value, a category, an attribute that some events lack, and a feature that none has."""
+    known, sizes, expected = _watched(s, d, key)
     return D.verdicts(known, "shard", F.unix_micros(F.col("ts").cast("timestamp")), ["ts", "event_id"], sizes, expected, window)
 
 
+def last_windows(s: SparkSession, d: str, key: Column, window: int) -> DataFrame:
+    """The verdict of each shard's last window, of the same features."""
+    known, sizes, expected = _watched(s, d, key)
+    return D.last_verdicts(known, "shard", ["ts", "event_id"], sizes, written(expected, "expected"), window)
+
+
 def _verdict(s: SparkSession, d: str) -> DataFrame:
     told = windows(s, d, F.col("user_id") % 4, 200)
     return told.select("event_id", "n", *(F.round(f"psi_{name}", 6).alias(f"psi_{name}") for name in _SIZES), "state", "driver", F.concat_ws(",", "unobserved").alias("unobserved"))

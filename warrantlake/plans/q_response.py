@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from warrantlake.operators import matrix as X
 from warrantlake.operators import response as C
 from warrantlake.plans.q_matrix import DAYS, ISSUED, NOW, _issued
-from warrantlake.plans.q_nullband import windows, windows_sql
+from warrantlake.plans.q_nullband import last_windows, windows_sql
 from warrantlake.plans.q_paired import _rounded
-from warrantlake.sources.shared import written
 from warrantlake.sources.views import TRAFFIC, table, traffic
 
 POLICY = C.Policy(window=60, min_recall=0.2, max_fpr=0.7)
@@ -25,9 +24,8 @@ def _watched(s: SparkSession, d: str) -> DataFrame:
     return aged.select(*C.KEY, *C.BOUNDS, F.when(F.col("status") == "STALE", "VALID").otherwise(F.col("status")).alias("status"), (F.col("status") == "STALE").alias("expired"), number.alias("shard"), live.alias("live_envelope_id"))
 
 
-def _responses(s: SparkSession, d: str) -> DataFrame:
-    told = C.final_verdicts(windows(s, d, F.col("user_id"), POLICY.window), "shard", ["ts", "event_id"])
-    return C.respond(_watched(s, d), told, "shard", POLICY)
+def _responses(s: SparkSession, d: str, wanted: DataFrame | None = None) -> DataFrame:
+    return C.respond(_watched(s, d), last_windows(s, d, F.col("user_id"), POLICY.window), "shard", POLICY, wanted)
 
 
 def _certificates(s: SparkSession, d: str) -> DataFrame:
@@ -36,7 +34,7 @@ def _certificates(s: SparkSession, d: str) -> DataFrame:
     point = F.concat(F.lit("P-"), F.get(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (F.col("event_id") % 3).cast("int")))
     month = F.concat(F.lit("E"), (1993 + F.col("event_id") % 5).cast("string"), F.lit("-0"), (1 + F.col("event_id") % 9).cast("string"))
     requests = e.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("session_id"), F.col("ts").alias("decided_at"), F.col("value").alias("elapsed"), F.lit(BUDGET).alias("budget"), F.concat(F.lit("D"), F.col("user_id").cast("string")).alias("detector_id"), point.alias("operating_point_id"), month.alias("envelope_id"))
-    return C.certify(requests, written(_responses(s, d), "responses"), POLICY)
+    return C.certify(requests, _responses(s, d, requests.select(*C.KEY).distinct()), POLICY)
 
 
 def _flat(df: DataFrame, *lists: str) -> DataFrame:

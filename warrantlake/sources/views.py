@@ -5,7 +5,7 @@ Each view has a DataFrame builder and the same view as SQL text (a common table
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,11 +33,13 @@ SCORED = """scored AS (
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
-def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events in arrival order (ts, event_id); the first half of January is the reference, the rest is live."""
-    return table(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", "event_type", "value", (F.col("ts") >= F.lit("2024-01-16").cast("timestamp")).alias("live")
-    )
+def traffic(spark: SparkSession, sf_dir: str, **more: Column) -> DataFrame:
+    """Events in arrival order (ts, event_id); the first half of January is the reference, the rest is live.
+
+    ``more``: columns made of an event's own, such as one of its ``props``.
+    """
+    live = F.col("ts") >= F.lit("2024-01-16").cast("timestamp")
+    return table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", live.alias("live"), *(c.alias(name) for name, c in more.items()))
 
 
 TRAFFIC = """traffic AS (
@@ -72,17 +74,21 @@ LEDGER = """ledger AS (
 def warrant_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items summed into warrants: supplier is the detector, return flag the operating point, month the envelope."""
     li = table(spark, sf_dir, "lineitem")
-    keys = li.groupBy(
-        F.concat(F.lit("D"), F.col("l_suppkey").cast("string")).alias("detector_id"),
-        F.concat(F.lit("P-"), F.col("l_returnflag")).alias("operating_point_id"),
-        F.concat(F.lit("E"), F.date_format("l_shipdate", "yyyy-MM")).alias("envelope_id"),
-    )
-    return keys.agg(
+    groups = li.groupBy("l_suppkey", "l_returnflag", F.trunc(F.col("l_shipdate").cast("date"), "MM").alias("month")).agg(
         F.count("*").alias("n"),
         F.count_if(F.expr("l_quantity >= 25")).alias("hits"),
         F.count_if(F.expr("l_discount >= 0.08")).alias("false_flags"),
         F.max("l_shipdate").alias("issued_at"),
     )
+    return groups.select(
+        F.concat(F.lit("D"), F.col("l_suppkey").cast("string")).alias("detector_id"),
+        F.concat(F.lit("P-"), F.col("l_returnflag")).alias("operating_point_id"),
+        F.concat(F.lit("E"), F.date_format("month", "yyyy-MM")).alias("envelope_id"),
+        "n",
+        "hits",
+        "false_flags",
+        "issued_at",
+    )
 
 
 WARRANTS = """warrants AS (
