@@ -48,3 +48,13 @@ def test_replicates_sum_the_counts_of_drawn_groups(spark):
     groups = spark.createDataFrame([("a", i, n, i * i) for i in range(n)], "k string, g long, groups long, c long")
     got = {r["rep"]: r["c"] for r in R.replicates(groups, ["k"], 4, "s", ["c"]).collect()}
     assert got == {rep: sum(g * g for g in _drawn("s", rep, n)) for rep in range(4)}
+
+
+def test_more_drawn_rows_are_dealt_over_more_tasks(spark, monkeypatch):
+    few = R.drawn_items(_grain(spark), ["k"], 300, "s", ["score"])
+    monkeypatch.setattr(R, "DEALT", 64)
+    many = R.drawn_items(_grain(spark), ["k"], 300, "s", ["score"])
+    tasks = lambda drawn: drawn.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks(few) <= R.TASKS < tasks(many)
+    counted = [sorted(d.groupBy("rep", "score").count().collect()) for d in (few, many)]
+    assert counted[0] == counted[1]

@@ -1,6 +1,7 @@
 """Cluster bootstraps with draws from a hash: every draw looks its group up in packed blocks, or meets a matrix of wins.
 
-Draws of one key and replicate stay in one task, so nothing that is summed by replicate is shuffled again. Groups are
+Draws of one key and replicate stay in one task, so nothing that is summed by replicate is shuffled again; the more rows
+are drawn, the more tasks share the replicates. Groups are
 packed into blocks of ``BLOCK``, with an array for each count; blocks of up to ``HELD`` values are broadcast, larger
 tables are joined by shuffles.
 """
@@ -20,6 +21,8 @@ from warrantlake.sources.shared import written
 COUNTS = ("tp", "fp", "tn", "fn")
 #: Groups of a block, draws made from one row, tasks of all draws, and packed values that are broadcast at most.
 BLOCK, RUN, TASKS, HELD = 256, 1 << 16, 64, 1 << 23
+#: Rows that a task draws on the average at most, where more than ``TASKS`` tasks are needed for that.
+DEALT = 1 << 19
 #: Groups of a key at most for its matrix of wins, its cells for each counted row, ranges of scores, parts of replicates.
 MATRIX, CELLS, RANGES, PARTS = 1024, 16, 64, 16
 NUMBERS = ("tinyint", "smallint", "int", "bigint")
@@ -35,9 +38,9 @@ def numbered_groups(items: DataFrame, keys: list[str], unit: str, threshold: flo
     return G.numbered(g, keys, F.col(unit), [unit], "g").withColumn("g", F.col("g") - 1).join(sizes, keys)
 
 
-def each_draw(sizes: DataFrame, keys: list[str], n: int, seed: Column | str) -> DataFrame:
+def each_draw(sizes: DataFrame, keys: list[str], n: int, seed: Column | str, tasks: int = TASKS) -> DataFrame:
     """keys, rep, g: as many draws with replacement as the key has ``groups``, in each of ``n`` replicates, a row each."""
-    reps = sizes.select(*keys, F.col("groups").cast("long").alias("groups"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")).repartition(TASKS, *keys, "rep")
+    reps = sizes.select(*keys, F.col("groups").cast("long").alias("groups"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep")).repartition(tasks, *keys, "rep")
     runs = reps.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(groups - 1) div {RUN}"))))
     each = runs.withColumn("i", F.explode(F.sequence(F.col("_run") * RUN, F.least(F.col("groups"), (F.col("_run") + 1) * RUN) - 1)))
     return each.select(*keys, "rep", (draw(F.lit(seed) if isinstance(seed, str) else seed, "rep", "i") % F.col("groups")).alias("g"))
@@ -84,7 +87,8 @@ def drawn_items(items: DataFrame, keys: list[str], n: int, seed: Column | str, v
     blocks = written(flat.select(*keys, "_block", "groups", _each("_all", "_from").alias("_from"), _each("_all", "_n").alias("_n"), *(_each("_flat", c).alias(f"_of_{c}") for c in values)), "blocks")
     size = blocks.agg(F.sum(F.size(f"_of_{values[0]}").cast("long")).alias("rows"), F.max(F.array_max("_n")).alias("most")).first()
     sizes = blocks.groupBy(*keys).agg(F.max("groups").alias("groups"))
-    met = _located(each_draw(sizes, keys, n, seed), keys, blocks.drop("groups"), (size["rows"] or 0) * len(values) <= HELD).where(F.get("_n", F.col("_at")) > 0)
+    tasks = max(TASKS, n * (size["rows"] or 0) // DEALT)
+    met = _located(each_draw(sizes, keys, n, seed, tasks), keys, blocks.drop("groups"), (size["rows"] or 0) * len(values) <= HELD).where(F.get("_n", F.col("_at")) > 0)
     first = F.get("_from", F.col("_at"))
     if size["most"] != 1:
         met = met.withColumn("_p", F.explode(F.sequence(first, first + F.get("_n", F.col("_at")) - 1)))
